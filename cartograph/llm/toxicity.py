@@ -24,13 +24,15 @@ from pyspark.sql import functions as F
 from .common import cut, text_or_empty
 
 #: Labelled rows that the model is fitted on, at most; those with the least hashes.
-FIT_ROWS = 20_000
+FIT_ROWS = 60_000
 #: Terms of the lexicon, at most; those with the highest log odds times support.
 LEXICON_TERMS = 2_000
 #: Log odds of a term, and its likelihood ratio against the base rate (twice the logarithm), at least; stems need STEM_RATIO.
 MIN_LOG_ODDS = 2.5
-MIN_RATIO = 30.0
+MIN_RATIO = 25.0
 STEM_RATIO = 40.0
+#: A word with a stem of the lexicon needs less evidence of its own.
+STEMMED_RATIO = 8.0
 STEM_LENGTHS = (4, 5, 6, 7)
 STEM_ENDINGS = 4
 #: Tokens on either side of a match that count as its context.
@@ -62,7 +64,7 @@ class Trie:
                 node = self.root
                 for ch in term:
                     node = node.setdefault(ch, {})
-                node[kind * 2] = (term, weight, edits_allowed(term))
+                node[kind * 2] = (weight, edits_allowed(term))
                 self._keys(term, stem=kind == "%")
         self.sizes = sorted({len(x) for x in self.starts}), sorted({len(x) for x in self.ends})
 
@@ -77,18 +79,18 @@ class Trie:
     def may_match(self, token: str) -> bool:
         return any(token[:n] in self.starts for n in self.sizes[0]) or any(token[i : i + n] in self.ends for n in self.sizes[1] for i in range(1, len(token) - n + 1))
 
-    def walk(self, token: str) -> tuple[float, int, str] | None:
-        """The best match: weight less a half for each edit, edits, term."""
-        best: tuple[float, int, str] | None = None
+    def walk(self, token: str) -> tuple[float, bool] | None:
+        """The best match: weight, halved for each edit, and whether the token is a term itself."""
+        best: tuple[float, bool] | None = None
         stack = [(self.root, list(range(len(token) + 1)))]
         while stack:
             node, row = stack.pop()
             for mark in ("$$", "%%"):
                 if mark in node:
-                    term, weight, allowed = node[mark]
+                    weight, allowed = node[mark]
                     d = row[-1] if mark == "$$" else min(row)
                     if d <= allowed and (best is None or weight * 0.5**d > best[0]):
-                        best = (weight * 0.5**d, d, term)
+                        best = (weight * 0.5**d, mark == "$$" and not d)
             for ch, below in node.items():
                 if len(ch) == 1:
                     step = [row[0] + 1]
@@ -104,12 +106,12 @@ class Matcher:
 
     def __init__(self, terms: dict[str, float], stems: dict[str, float], harmless: frozenset[str]):
         self.trie, self.harmless = Trie(terms, stems), harmless
-        self.hits: dict[str, tuple[float, int, str]] = {}
+        self.hits: dict[str, tuple[float, bool]] = {}
         self.seen: set[str] = set()
 
-    def match(self, token: str) -> tuple[float, int, str] | None:
+    def match(self, token: str) -> tuple[float, bool] | None:
         found = self.trie.walk(token) if 3 < len(token) < 40 and self.trie.may_match(token) else None
-        return None if found and found[1] and token in self.harmless else found
+        return None if found and not found[1] and token in self.harmless else found
 
     def features(self, text: str) -> list[float]:
         tokens = _token.findall(text.lower())
@@ -125,7 +127,7 @@ class Matcher:
             at = [i for i, t in enumerate(tokens) if t in self.hits]
             places = np.array(at)
             for i in at:
-                weight, d, _ = self.hits[tokens[i]]
+                weight, exact = self.hits[tokens[i]]
                 near = tokens[max(0, i - WINDOW) : i] + tokens[i + 1 : i + 1 + WINDOW]
                 factor = 1.0
                 if any(t in REPORTING for t in near):
@@ -138,7 +140,7 @@ class Matcher:
                     factor *= 1.2
                 if factor < 1:
                     quoted += weight * (1 - factor)
-                if d:
+                if not exact:
                     edited += weight * factor
                 total += weight * factor
                 most = max(most, weight * factor)
@@ -182,22 +184,30 @@ def learn_lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]
         part = lambda k, share: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / (n * share))).otherwise(0.0)
         return 2 * (part(t, p) + part(c, 1 - p)) if n_clean else F.lit(0.0)
 
-    good = table.withColumn("odds", odds("toxic", "clean")).where((F.col("odds") >= MIN_LOG_ODDS) & (ratio("toxic", "clean") >= MIN_RATIO) & (F.length("word") >= 4) & (F.col("clean") <= F.col("toxic") * 0.05))
-    terms = {r["word"]: r["odds"] for r in good.orderBy((F.col("odds") * F.log1p("toxic")).desc(), "word").limit(LEXICON_TERMS).collect()}
+    weighed = table.withColumn("odds", odds("toxic", "clean")).withColumn("ratio", ratio("toxic", "clean"))
     starts = table.select("toxic", "clean", "word", F.explode(F.array(*map(F.lit, STEM_LENGTHS))).alias("n")).where(F.length("word") > F.col("n"))
     stem = starts.groupBy(F.expr("substring(word, 1, n)").alias("stem")).agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.count_if(F.col("toxic") > 0).alias("endings"))
-    stem = stem.withColumn("odds", odds("toxic", "clean")).where((F.col("endings") >= STEM_ENDINGS) & (ratio("toxic", "clean") >= STEM_RATIO) & (F.col("clean") <= F.col("toxic") * 0.02) & (F.col("odds") >= MIN_LOG_ODDS))
+    stem = stem.withColumn("odds", odds("toxic", "clean")).withColumn("ratio", ratio("toxic", "clean"))
+    stem = stem.where((F.col("endings") >= STEM_ENDINGS) & (F.col("ratio") >= STEM_RATIO) & (F.col("clean") <= F.col("toxic")))
     stems: dict[str, float] = {}
-    for r in sorted(stem.orderBy((F.col("odds") * F.log1p("toxic")).desc(), "stem").limit(LEXICON_TERMS).collect(), key=lambda r: (len(r["stem"]), r["stem"])):
+    for r in sorted(stem.orderBy(F.col("ratio").desc(), "stem").limit(LEXICON_TERMS).collect(), key=lambda r: (-r["odds"], len(r["stem"]), r["stem"])):
         if not any(r["stem"][:k] in stems for k in STEM_LENGTHS if k < len(r["stem"])):
             stems[r["stem"]] = r["odds"]
+    stemmed = F.lit(False)
+    for n in STEM_LENGTHS:
+        if own := [x for x in stems if len(x) == n]:
+            stemmed = stemmed | F.substring("word", 1, n).isin(own)
+    good = weighed.where((F.col("odds") >= MIN_LOG_ODDS) & (F.length("word") >= 4) & (F.col("clean") <= F.col("toxic") * 0.05))
+    good = good.where((F.col("ratio") >= MIN_RATIO) | stemmed & (F.col("ratio") >= STEMMED_RATIO))
+    terms = {r["word"]: r["odds"] for r in good.orderBy(F.col("ratio").desc(), "word").limit(LEXICON_TERMS).collect()}
     matcher = Matcher(terms, stems, frozenset())
 
     def near_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([w for w in b.column(0).to_pylist() if (m := matcher.match(w)) and m[1]], pa.string())], ["word"])
+            yield pa.RecordBatch.from_arrays([pa.array([w for w in b.column(0).to_pylist() if (m := matcher.match(w)) and not m[1]], pa.string())], ["word"])
 
-    harmless = frozenset(r["word"] for r in table.where("clean > 0").select("word").mapInArrow(near_terms, "word string").collect())  # words within two edits of a lexicon term
+    # clean words within two edits of a term or with a stem: few, as terms and stems are bounded
+    harmless = frozenset(r["word"] for r in table.where("clean > 0 and toxic <= clean").select("word").mapInArrow(near_terms, "word string").collect())
     return terms, stems, harmless
 
 
@@ -246,9 +256,10 @@ class ToxicityModel:
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> ToxicityModel:
     """Learns the lexicon and the model from at most fit_rows labelled rows outside the held-out fold; without labels every text scores 0.5 x base."""
     sample = fit_sample(docs, labels, fit_rows)
-    terms, stems, harmless = learn_lexicon(sample)
-    rows = featured(sample, Matcher(terms, stems, harmless), ["toxic"]).collect() if terms or stems else []  # at most fit_rows rows of numbers
-    if not rows:
+    apart = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(3)) == 0  # the lexicon has not seen these, as it has not seen what it will score
+    terms, stems, harmless = learn_lexicon(sample.where(~apart))
+    rows = featured(sample.where(apart), Matcher(terms, stems, harmless), ["toxic"]).collect() if terms or stems else []  # at most fit_rows rows of numbers
+    if len({r["toxic"] for r in rows}) < 2:
         return ToxicityModel(terms, stems, harmless, np.r_[np.zeros(N_FEATURES), -4.0])
     x, y = np.array([r["features"] for r in rows]), np.array([float(r["toxic"]) for r in rows])
     weights = logistic(x, y)
