@@ -65,7 +65,8 @@ class WordCoder:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
-        chunks = self._between.sub(" ", text).replace("\n", " ").split(" ")
+        parted = text if "<|" in text else self._between.sub(" ", text)  # special tokens hold letters and punctuation
+        chunks = parted.replace("\n", " ").split(" ")
         if len(self.cache) > CACHE_WORDS:
             self.cache = {"": b""}
         cache = self.cache

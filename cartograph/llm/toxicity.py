@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, text_or_empty
@@ -161,13 +161,14 @@ def fit_sample(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
 def learn_lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float], frozenset[str]]:
     """Terms and stems with their log odds, and words near a term that documents without toxicity have.
 
-    Documents that share their least word hash count once: copies of one toxic
+    Documents that share the least hash of their word triples count once: copies of one toxic
     document shall not make its other words look toxic.
     """
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}][\\p{L}\\p{N}'\\u2019]*"), F.lit(0)))
-    rows = sample.select("doc_id", "toxic", words.alias("words"))
-    rows = rows.withColumn("least", F.array_min(F.transform(F.filter("words", lambda w: F.length(w) >= 8), lambda w: F.xxhash64(w))))
-    rows = rows.groupBy("toxic", F.coalesce("least", F.xxhash64("doc_id"))).agg(F.min_by("words", "doc_id").alias("words"))
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}][\\p{L}\\p{N}'\\u2019]*"), F.lit(0))
+    rows = sample.select("doc_id", "toxic", words.alias("all"))
+    triples = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("all") - 3)), lambda i: F.xxhash64(F.get("all", i), F.get("all", i + 1), F.get("all", i + 2)))
+    rows = rows.select("doc_id", "toxic", F.array_distinct("all").alias("words"), F.when(F.size("all") > 2, F.array_min(triples)).otherwise(F.xxhash64("doc_id")).alias("least"))
+    rows = rows.groupBy("toxic", "least").agg(F.min_by("words", "doc_id").alias("words"))
     rows = cut(rows)
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
@@ -228,16 +229,16 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 40)
 
 
 def featured(docs: DataFrame, matcher: Matcher, keep: list[str]) -> DataFrame:
-    """The columns in keep, and features (array of doubles) of the text."""
+    """The columns in keep, and __features (array of doubles) of the text."""
     schema = docs.select(*keep).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             f = [matcher.features(t.as_py()) for t in b.column(len(keep))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(f, pa.list_(pa.float64()))], [*keep, "features"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(f, pa.list_(pa.float64()))], [*keep, "__features"])
 
     kinds = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in schema)
-    return docs.select(*keep, text_or_empty().alias("__text")).mapInArrow(run, f"{kinds}, features array<double>")
+    return docs.select(*keep, text_or_empty().alias("__text")).mapInArrow(run, f"{kinds}, __features array<double>")
 
 
 class ToxicityModel:
@@ -245,12 +246,12 @@ class ToxicityModel:
         self.terms, self.stems, self.harmless, self.weights = terms, stems, harmless, weights
 
     def score(self, docs: DataFrame, keep: list[str]) -> DataFrame:
-        """keep and score, 0 to 1; a null text is empty and scored like one."""
+        """keep and __score, 0 to 1; a null text is empty and scored like one."""
         rows = featured(docs, Matcher(self.terms, self.stems, self.harmless), keep)
         z = F.lit(float(self.weights[-1]))
         for k in range(N_FEATURES):
-            z = z + F.col("features")[k] * F.lit(float(self.weights[k]))
-        return rows.select(*keep, (1 / (1 + F.exp(-z))).alias("score"))
+            z = z + F.col("__features")[k] * F.lit(float(self.weights[k]))
+        return rows.select(*keep, (1 / (1 + F.exp(-z))).alias("__score"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> ToxicityModel:
@@ -261,7 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Toxicit
     rows = featured(sample.where(apart), Matcher(terms, stems, harmless), ["toxic"]).collect() if terms or stems else []  # at most fit_rows rows of numbers
     if len({r["toxic"] for r in rows}) < 2:
         return ToxicityModel(terms, stems, harmless, np.r_[np.zeros(N_FEATURES), -4.0])
-    x, y = np.array([r["features"] for r in rows]), np.array([float(r["toxic"]) for r in rows])
+    x, y = np.array([r["__features"] for r in rows]), np.array([float(r["toxic"]) for r in rows])
     weights = logistic(x, y)
     return ToxicityModel(terms, stems, harmless, weights)
 
@@ -275,15 +276,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, f
     model = fit(docs, labels, fit_rows)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     rows = model.score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"])
-    return rows.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return rows.select("doc_id", held.alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= threshold).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs whose score is below threshold, columns as they are."""
     model = fit(docs, labels)
     rows = model.score(docs, docs.columns)
-    return rows.where(F.col("score") < threshold).select(*docs.columns)
+    return rows.where(F.col("__score") < threshold).select(*docs.columns)
 
-
-def labels_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/labels.parquet")
