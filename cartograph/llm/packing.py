@@ -27,7 +27,7 @@ END_ID = 1
 #: Rows of one length and bucket that are ranked together in one task.
 RANK_ROWS = 50_000
 #: Words whose ids a Python worker keeps, at most.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 800_000
 
 _coders: dict[str, "WordCoder"] = {}
 
@@ -70,8 +70,8 @@ class WordCoder:
         if len(self.cache) > CACHE_WORDS:
             self.cache = {"": b""}
         cache = self.cache
-        if missing := [c for c in set(chunks) if c not in cache]:
-            self._learn(missing)
+        if missing := set(chunks).difference(cache):
+            self._learn(list(missing))
         return b"".join(map(cache.__getitem__, chunks))
 
 
