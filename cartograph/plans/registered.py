@@ -1,8 +1,8 @@
 """All registered queries and their SQL."""
 
-from . import charts
+from . import charts, sequences
 
 QUERIES, SQL = {}, {}
-for _module in (charts,):
+for _module in (charts, sequences):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
