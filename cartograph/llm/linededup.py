@@ -86,7 +86,8 @@ def line_dedup(docs: DataFrame, gram_words: int = GRAM_WORDS, run_words: int = R
     """
     rows = docs.withColumn("__uid", F.monotonically_increasing_id())
     runs = cut(repeated_runs(_hashed(rows), gram_words, run_words))
-    joined = rows.join(runs.withColumnRenamed("runs", "__runs"), "__uid", "left")
+    # by hash of the narrow side at every size: a broadcast would stop being possible as runs grow with the input
+    joined = rows.join(runs.withColumnRenamed("runs", "__runs").hint("shuffle_hash"), "__uid", "left")
     lines = lines_of(F.col("text").cast("string"))
     stay = F.filter(lines, lambda x, i: ~F.exists("__runs", lambda r: (i >= r["a"]) & (i <= r["b"])))
     n = F.coalesce(F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)), F.lit(0)).cast("long")
