@@ -28,7 +28,7 @@ BLOCK_WORDS = 2048
 #: Slots of an output shard.
 SHARD_SLOTS = 1024
 #: Documents that one task numbers together.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
 ROUNDS = 24
 SEED = 20_2611
 

@@ -5,10 +5,11 @@ postings: for every dimension the vectors in the order of their value, so that
 the postings of one value are a segment and those beyond a value a run of
 segments.  A query takes segments score at a time: all with an impact
 |query component * value| above a level, then those above half that level, and so
-on.  After a level every vector's score lies within the bound of what is left,
+on; a list that is largely above the first level is taken whole.  After a level every vector's score lies within the bound of what is left,
 the sum over dimensions of the largest impact that is still open there.  The
-search stops only when that proves which vectors can be among the k best (there
-are few), and those are scored exactly.
+search stops only when that proves which vectors can be among the k best, those
+whose bound reaches a score that k vectors are known to have, and they are few;
+then they are scored exactly.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ QUERY_EVERY = 20
 #: Vectors of an index block, and queries that are searched in it by one task.
 BLOCK_ROWS = 65_536
 BLOCK_QUERIES = 1_024
-#: A search may stop at so many possible members, times k.
+#: A search stops at so many possible members, times k, or at a sixteenth of the block.
 POSSIBLE = 8
+#: The first level, as a fraction of the largest impact.
+FIRST_LEVEL = 16
 
 
 class ImpactIndex:
@@ -34,39 +37,60 @@ class ImpactIndex:
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         self.ids, self.x = ids, x
         order = np.argsort(x, axis=0, kind="stable")
-        self.docs = np.ascontiguousarray(order.T)
-        self.values = np.ascontiguousarray(np.take_along_axis(x, order, axis=0).T)
         self.widest = np.abs(x).max(axis=0, initial=0)
+        top = int(self.widest.max(initial=0))
+        self.kind = np.int32 if 2 * top * top * x.shape[1] < 1 << 31 else np.int64
+        self.docs = np.ascontiguousarray(order.T)
+        self.values = np.ascontiguousarray(np.take_along_axis(x, order, axis=0).T).astype(self.kind)
+        self.columns = np.ascontiguousarray(x.T).astype(self.kind)
+        # first[d, v + top]: where the postings of dimension d with values from v on begin
+        self.first = np.stack([np.searchsorted(v, np.arange(-top, top + 2)) for v in self.values]) if top <= 4096 else None
+        self.top = top
+        self.exact = x.astype(np.float64) if 2 * top * top * x.shape[1] < 1 << 53 else x  # sums of products stay whole numbers
         self.place = {int(v): k for k, v in enumerate(ids)}
 
+    def _beyond(self, used: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each used dimension: the end of the postings with values up to -least, and the beginning of those from least on."""
+        if self.first is not None:
+            at = np.minimum(least, self.top + 1)
+            return self.first[used, np.maximum(self.top + 1 - at, 0)], self.first[used, self.top + at]
+        return np.array([np.searchsorted(self.values[d], -v, "right") for d, v in zip(used, least)]), np.array([np.searchsorted(self.values[d], v) for d, v in zip(used, least)])
+
     def possible(self, q: np.ndarray, k: int, skip: int | None) -> np.ndarray:
         """Rows that can be among the k best: a proof, not an estimate."""
-        n, dims = self.x.shape
-        acc = np.zeros(n, np.int64)
+        n = len(self.x)
+        if n <= POSSIBLE * k:
+            return np.arange(n)
+        acc = np.zeros(n, self.kind)
         used = np.flatnonzero(q)
-        left = {d: (0, n) for d in used.tolist()}  # postings between these are open
-        level = int(np.max(np.abs(q) * self.widest, initial=0))
-        while level:
-            level //= 2
-            for d in used.tolist():
-                a, b = left[d]
-                least = level // abs(int(q[d])) + 1  # values of at least this size have an impact above the level
-                lo = int(np.searchsorted(self.values[d, a:b], -least, "right")) + a
-                hi = int(np.searchsorted(self.values[d, a:b], least)) + a
-                if lo > a:
-                    acc[self.docs[d, a:lo]] += q[d] * self.values[d, a:lo]
-                if hi < b:
-                    acc[self.docs[d, hi:b]] += q[d] * self.values[d, hi:b]
-                left[d] = (lo, max(lo, hi))
-            rest = int(np.minimum(level, np.abs(q) * self.widest).sum())
-            scores = acc if skip is None else np.delete(acc, skip)
-            if len(scores) <= k:
-                break
-            kth = int(np.partition(scores, len(scores) - k)[len(scores) - k])
-            members = np.flatnonzero(acc >= kth - 2 * rest)
-            if len(members) <= POSSIBLE * k or not level:
+        size = np.abs(q[used])
+        widest = size * self.widest[used]
+        left, right = np.zeros(len(used), np.int64), np.full(len(used), n, np.int64)  # postings between these are open
+        level = int(widest.max(initial=0)) // FIRST_LEVEL
+        low, high = self._beyond(used, level // size + 1)
+        whole = low + n - np.maximum(low, high) > n // 4  # lists that are largely above the first level are taken whole, in document order
+        for d, c in zip(used[whole].tolist(), q[used[whole]].tolist()):
+            acc += self.kind(c) * self.columns[d]
+        used, size, widest, left, right = used[~whole], size[~whole], widest[~whole], left[~whole], right[~whole]
+        while True:
+            low, high = self._beyond(used, level // size + 1) if len(used) else (left, right)
+            high = np.maximum(low, high)
+            for d, c, a, b, e, f in zip(used.tolist(), q[used].tolist(), left.tolist(), low.tolist(), high.tolist(), right.tolist()):
+                if a < b:
+                    acc[self.docs[d, a:b]] += self.kind(c) * self.values[d, a:b]
+                if e < f:
+                    acc[self.docs[d, e:f]] += self.kind(c) * self.values[d, e:f]
+            left, right = low, high
+            if skip is not None:
+                acc[skip] = np.iinfo(self.kind).min // 2
+            rest = int(np.minimum(level, widest).sum())
+            ahead = np.argpartition(acc, n - 2 * k)[n - 2 * k :]
+            ahead = ahead[ahead != skip] if skip is not None else ahead
+            kth = np.sort(self.exact[ahead] @ q)[-k] if len(ahead) >= k else -np.inf  # k rows have this score or a better one
+            members = np.flatnonzero(acc >= kth - rest)
+            if len(members) <= max(POSSIBLE * k, n // 16) or not level or not len(used):
                 return members
-        return np.arange(n)
+            level //= 2
 
     def search(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best other vectors, ties to the smaller id."""
@@ -74,7 +98,7 @@ class ImpactIndex:
         rows = self.possible(q, k, skip)
         if skip is not None:
             rows = rows[rows != skip]
-        scores = self.x[rows] @ q
+        scores = (self.exact[rows] @ q.astype(self.exact.dtype)).astype(np.int64)
         best = np.lexsort((self.ids[rows], -scores))[:k]
         return self.ids[rows[best]], scores[best]
 
