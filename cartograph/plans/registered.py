@@ -1,8 +1,8 @@
 """All registered queries and their SQL."""
 
-from . import charts, sequences
+from . import charts, more, sequences
 
 QUERIES, SQL = {}, {}
-for _module in (charts, sequences):
+for _module in (charts, sequences, more):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
