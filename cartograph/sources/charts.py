@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import keys_by_case
+
 VERSION = "acmacs-ace-v1"
 
 _member = "N:string, a:array<string>, D:string, L:string, P:string, R:string, l:array<string>, A:string, B:string, s:string, I:string, C:string, T:string"
@@ -16,6 +18,7 @@ _sparse = "array<map<string,string>>"
 SCHEMA = f"`  version` string, c struct<i:struct<{_info}, S:array<struct<{_info}>>>, a:array<struct<{_member}>>, s:array<struct<{_member}>>, t:struct<l:array<array<string>>, d:{_sparse}, L:array<{_sparse}>>, P:array<struct<{_projection}>>, R:string, p:string>, _corrupt string"
 
 
+@keys_by_case
 def read(spark: SparkSession, path: str) -> DataFrame:
     """One row a document (files that Spark decompresses too): chart_id and c.  Other versions are an error."""
     docs = spark.read.schema(SCHEMA).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(path).withColumn("chart_id", F.input_file_name())
@@ -23,11 +26,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return docs.select("chart_id", known.alias("c"))
 
 
+@keys_by_case
 def from_json(spark: SparkSession, text: str, chart_id: str = "chart") -> DataFrame:
     rows = spark.createDataFrame([(chart_id, text)], "chart_id string, text string")
     return rows.select("chart_id", F.from_json("text", SCHEMA).alias("d")).select("chart_id", F.col("d.c").alias("c"))
 
 
+@keys_by_case
 def info(docs: DataFrame) -> DataFrame:
     names = {"v": "virus", "V": "type_subtype", "A": "assay", "D": "date", "N": "name", "l": "lab", "r": "rbc"}
     return docs.select("chart_id", *(F.coalesce(F.col(f"c.i.{k}"), F.lit("")).alias(v) for k, v in names.items()), F.coalesce(F.size("c.i.S"), F.lit(0)).alias("n_sources"))
@@ -40,10 +45,12 @@ def _members(docs: DataFrame, key: str, number: str) -> DataFrame:
     return rows.select("chart_id", number, *(text(k).alias(v) for k, v in names.items()), F.array_join(F.coalesce("m.a", F.array()), " ").alias("annotations"), F.coalesce("m.l", F.array()).alias("lab_ids"), F.col("m.T").alias("semantic"))
 
 
+@keys_by_case
 def antigens(docs: DataFrame) -> DataFrame:
     return _members(docs, "a", "antigen_no")
 
 
+@keys_by_case
 def sera(docs: DataFrame) -> DataFrame:
     return _members(docs, "s", "serum_no")
 
@@ -53,21 +60,25 @@ def _long(rows: DataFrame, keys: list[str]) -> DataFrame:
     return each.select(*keys, "antigen_no", F.col("s").cast("int").alias("serum_no"), "titer").where("titer <> '*'")
 
 
+@keys_by_case
 def titers(docs: DataFrame) -> DataFrame:
     """Merged titers, from the dense or the sparse form."""
     dense = docs.where("c.t.l is not null").select("chart_id", F.posexplode("c.t.l").alias("antigen_no", "row")).select("chart_id", "antigen_no", F.posexplode("row").alias("serum_no", "titer")).where("titer <> '*'")
     return dense.unionByName(_long(docs.where("c.t.d is not null").select("chart_id", F.col("c.t.d").alias("m")), ["chart_id"]))
 
 
+@keys_by_case
 def layers(docs: DataFrame) -> DataFrame:
     return _long(docs.where("c.t.L is not null").select("chart_id", F.posexplode("c.t.L").alias("layer_no", "m")), ["chart_id", "layer_no"])
 
 
+@keys_by_case
 def projections(docs: DataFrame) -> DataFrame:
     rows = docs.select("chart_id", F.posexplode("c.P").alias("projection_no", "p"))
     return rows.select("chart_id", "projection_no", F.col("p.s").alias("stress"), F.coalesce("p.m", F.lit("none")).alias("minimum_column_basis"), F.coalesce("p.c", F.lit("")).alias("comment"), F.col("p.t").alias("transformation"), F.col("p.C").alias("forced_column_bases"), F.col("p.f").alias("avidity"), F.coalesce("p.d", F.lit(False)).alias("dodgy_is_regular"), F.col("p.U").alias("unmovable"), F.col("p.D").alias("disconnected"))
 
 
+@keys_by_case
 def layouts(docs: DataFrame) -> DataFrame:
     """coord is null where a point is disconnected."""
     rows = docs.select("chart_id", F.posexplode("c.P").alias("projection_no", "p")).select("chart_id", "projection_no", F.posexplode("p.l").alias("point_no", "coord"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import keys_by_case
+
 SEQDB_VERSION = "sequence-database-v4"
 CLADES_VERSION = "clades-v2"
 
@@ -67,6 +69,7 @@ def write_fasta(df: DataFrame, path: str, header: Column, column: str = "aa", wr
     df.select(F.concat(F.lit(">"), header, F.lit("\n"), seq).alias("value")).write.mode("overwrite").text(path)
 
 
+@keys_by_case
 def read_seqdb(spark: SparkSession, path: str) -> DataFrame:
     """One row a sequence of the database's JSON files, with its entry's fields and is_master."""
     seq = "a:string, n:string, I:array<struct<p:int,s:string>>, H:string, r:array<string>, A:array<string>, p:array<string>, i:string, l:map<string,array<string>>"

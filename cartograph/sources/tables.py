@@ -173,7 +173,7 @@ def sheet_chart(cells: DataFrame, control: str = "(?i)pool|control|normal") -> t
     antigen_no = number(fields.where("kind = 'name'"), "row", "antigen_no")
     antigens = fields.join(antigen_no, [*SHEET, "row"]).groupBy(*SHEET, "antigen_no").agg(*(F.max(F.when(F.col("kind") == k, F.col("text"))).alias(k) for k in COLUMNS)).na.fill("")
     above = rows.where("row < first_row and col between first_col and last_col")
-    named = above.where(F.col("text").rlike("/") | F.col("text").rlike(COLUMNS["name"])).groupBy(*SHEET, "col").agg(F.max_by("text", "row").alias("name"))
+    named = above.where(F.col("text").rlike(COLUMNS["name"])).groupBy(*SHEET, "col").agg(F.max_by("text", "row").alias("name"))
     passages = above.where(F.col("text").rlike(COLUMNS["passage"])).groupBy(*SHEET, "col").agg(F.max_by("text", "row").alias("passage"))
     ids = above.where(F.col("text").rlike("^[A-Z]*\\d[\\w/-]*$") & ~F.col("text").rlike(COLUMNS["passage"])).groupBy(*SHEET, "col").agg(F.max_by("text", "row").alias("serum_id"))
     serum = named.where(~F.col("name").rlike(control)).join(passages, [*SHEET, "col"], "left").join(ids, [*SHEET, "col"], "left").na.fill("")
