@@ -19,7 +19,7 @@ MOST_REPEATED = 50
 MOST_LOST = 0.3
 #: A line is heavy with symbols, or a menu, when so large a share of its words holds one.
 SYMBOL_SHARE = 0.2
-#: A line of so many words needs no closing punctuation.
+#: A line of so many words is prose: it needs no closing punctuation and may name a policy or a licence.
 LONG_LINE = 30
 
 # Fixed values of the line rules.
@@ -33,11 +33,11 @@ BOILERPLATE = "(?i)all rights reserved|terms of (?:use|service)|privacy policy|c
 def _line(x: Column) -> Column:
     """Words of a line, and whether it stays."""
     words = F.regexp_count(x, F.lit(WORD))
+    plain = F.length(F.translate(x, SYMBOLS + "{}\u00bb\u203a\u2022\u00b7/\u2192", "")) == F.length(x)  # most lines: no symbol, no separator
     symbols = F.regexp_count(x, F.lit("[^ \\t-\\r]*[#*$%&|<>{}][^ \\t-\\r]*"))
-    closed = x.rlike(CLOSED) | (words >= LONG_LINE)
-    heavy = symbols > SYMBOL_SHARE * words
-    menu = x.rlike(MENU) | (F.regexp_count(x, F.lit(SEPARATORS)) > SYMBOL_SHARE * words)
-    return F.struct(words.alias("n"), (closed & ~heavy & ~menu & ~x.rlike(BOILERPLATE)).alias("stays"))
+    heavy = (symbols > SYMBOL_SHARE * words) | (F.regexp_count(x, F.lit(SEPARATORS)) > SYMBOL_SHARE * words)
+    short = F.when(words < LONG_LINE, x.rlike(CLOSED) & ~x.rlike(MENU) & ~x.rlike(BOILERPLATE)).otherwise(True)
+    return F.struct(words.alias("n"), (short & (plain | ~heavy)).alias("stays"))
 
 
 def measured(docs: DataFrame) -> DataFrame:
