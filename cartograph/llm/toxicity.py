@@ -3,8 +3,8 @@
 The lexicon is learned from labelled documents: words, and stems that many
 toxic words begin with, that toxic documents have far more often than others.
 A token is matched by running its Levenshtein automaton along the trie: the
-automaton's state is carried down each branch and a branch is left as soon as no
-state can still accept.  Each match weighs its term's log odds, less for each
+automaton's states are carried down each branch and a branch is left as soon as
+none of them can still accept.  Each match weighs its term's log odds, less for each
 edit, and by a window of tokens around it: quotation marks and words of
 reporting lower it, address and further matches raise it.  A logistic model over
 few sums of those weights gives the score.
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +38,7 @@ STEM_LENGTHS = (4, 5, 6, 7)
 STEM_ENDINGS = 4
 #: Tokens on either side of a match that count as its context.
 WINDOW = 6
-CACHE_TOKENS = 300_000
+CACHE_TOKENS = 800_000
 THRESHOLD = 0.7
 
 # Words that report speech, and words that address someone.
@@ -56,56 +57,76 @@ class Trie:
     """The lexicon; walk() intersects it with a token's Levenshtein automaton."""
 
     def __init__(self, terms: dict[str, float], stems: dict[str, float]):
-        self.root: dict = {}
-        self.starts: set[str] = set()
-        self.ends: set[str] = set()
-        for table, kind in ((terms, "$"), (stems, "%")):
+        self.root: dict = {"most": 0}
+        pieces: dict[int, dict[str, list[tuple[int, int, int, int]]]] = {}
+        for table, kind in ((terms, "$$"), (stems, "%%")):
             for term, weight in table.items():
-                node = self.root
+                k, node = edits_allowed(term), self.root
+                node["most"] = max(node["most"], k)
                 for ch in term:
-                    node = node.setdefault(ch, {})
-                node[kind * 2] = (weight, edits_allowed(term))
-                self._keys(term, stem=kind == "%")
-        self.sizes = sorted({len(x) for x in self.starts}), sorted({len(x) for x in self.ends})
-
-    def _keys(self, term: str, stem: bool) -> None:
-        """Of k + 1 pieces of a term, k edits leave one untouched: the first at a token's start, the others anywhere in it."""
-        k = edits_allowed(term)
-        size = len(term) // (k + 1)
-        self.starts.add(term[:size])
-        for j in range(1, k + 1):
-            self.ends.add(term[j * size : (j + 1) * size] if j < k else term[j * size :])
+                    node = node.setdefault(ch, {"most": 0})
+                    node["most"] = max(node["most"], k)
+                node[kind] = (weight, k)
+                longest = len(term) + k if kind == "$$" else 1 << 30
+                size = len(term) // (k + 1)
+                for j in range(k + 1):  # k edits leave one of k + 1 pieces untouched, moved by k places at most
+                    piece = term[j * size : (j + 1) * size] if j < k else term[j * size :]
+                    pieces.setdefault(len(piece), {}).setdefault(piece, []).append((j * size - k, j * size + k, len(term) - k, longest))
+        self.pieces = [(n, max(x[1] for y in at.values() for x in y) + 1, at) for n, at in sorted(pieces.items())]
 
     def may_match(self, token: str) -> bool:
-        return any(token[:n] in self.starts for n in self.sizes[0]) or any(token[i : i + n] in self.ends for n in self.sizes[1] for i in range(1, len(token) - n + 1))
+        """Whether some term's piece is where it has to be, and the length fits: true for all tokens that walk() accepts."""
+        size = len(token)
+        for n, places, at in self.pieces:
+            for i in range(min(places, size - n + 1)):
+                if (found := at.get(token[i : i + n])) and any(lo <= i <= hi and least <= size <= longest for lo, hi, least, longest in found):
+                    return True
+        return False
 
     def walk(self, token: str) -> tuple[float, bool] | None:
-        """The best match: weight, halved for each edit, and whether the token is a term itself."""
+        """The best match: weight, halved for each edit, and whether the token is a term itself.
+
+        The automaton's states after e edits are the bits of an integer, bit i for
+        i characters of the token that are read.
+        """
         best: tuple[float, bool] | None = None
-        stack = [(self.root, list(range(len(token) + 1)))]
+        end, same = 1 << len(token), {}
+        for i, c in enumerate(token):
+            same[c] = same.get(c, 0) | 1 << i
+        full = 2 * end - 1
+        stack = [(self.root, 1, 3 & full, 7 & full)]
         while stack:
-            node, row = stack.pop()
+            node, r0, r1, r2 = stack.pop()
             for mark in ("$$", "%%"):
                 if mark in node:
                     weight, allowed = node[mark]
-                    d = row[-1] if mark == "$$" else min(row)
+                    accepting = end if mark == "$$" else full
+                    d = 0 if r0 & accepting else 1 if r1 & accepting else 2 if r2 & accepting else 3
                     if d <= allowed and (best is None or weight * 0.5**d > best[0]):
                         best = (weight * 0.5**d, mark == "$$" and not d)
             for ch, below in node.items():
                 if len(ch) == 1:
-                    step = [row[0] + 1]
-                    for i, c in enumerate(token):
-                        step.append(min(step[i] + 1, row[i + 1] + 1, row[i] + (c != ch)))
-                    if min(step) <= 2:
-                        stack.append((below, step))
+                    on, most = same.get(ch, 0), below["most"]
+                    s0 = (r0 & on) << 1
+                    s1 = s2 = 0
+                    if most:
+                        s1 = ((r1 & on) << 1 | r0 | (r0 | s0) << 1) & full
+                        if most > 1:
+                            s2 = ((r2 & on) << 1 | r1 | (r1 | s1) << 1) & full
+                    if s0 or s1 or s2:
+                        stack.append((below, s0, s1, s2))
         return best
 
 
+_matchers: dict[str, "Matcher"] = {}
+
+
 class Matcher:
     """Matches of the tokens of texts, with a bounded cache over tokens."""
 
     def __init__(self, terms: dict[str, float], stems: dict[str, float], harmless: frozenset[str]):
         self.trie, self.harmless = Trie(terms, stems), harmless
+        self.key = uuid.uuid4().hex
         self.hits: dict[str, tuple[float, bool]] = {}
         self.seen: set[str] = set()
 
@@ -113,6 +134,13 @@ class Matcher:
         found = self.trie.walk(token) if 3 < len(token) < 40 and self.trie.may_match(token) else None
         return None if found and not found[1] and token in self.harmless else found
 
+    def here(self) -> "Matcher":
+        """This worker's copy, so that tasks that run one after another share what has been seen."""
+        if self.key not in _matchers:
+            _matchers.clear()
+            _matchers[self.key] = self
+        return _matchers[self.key]
+
     def features(self, text: str) -> list[float]:
         tokens = _token.findall(text.lower())
         words = set(tokens)
@@ -233,8 +261,9 @@ def featured(docs: DataFrame, matcher: Matcher, keep: list[str]) -> DataFrame:
     schema = docs.select(*keep).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = matcher.here()
         for b in batches:
-            f = [matcher.features(t.as_py()) for t in b.column(len(keep))]
+            f = [mine.features(t.as_py()) for t in b.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(f, pa.list_(pa.float64()))], [*keep, "__features"])
 
     kinds = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in schema)
