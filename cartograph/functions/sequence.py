@@ -91,3 +91,19 @@ def aa_to_nuc(pos: Column) -> Column:
 
 def nuc_to_aa(pos: Column) -> Column:
     return F.floor((pos - 1) / 3) + 1
+
+
+def checked_ending(aa: Column, master: Column, size: int = 3) -> Column:
+    """aa and issues: the end of a sequence against its master's.
+
+    Shorter ones are too short (s); longer ones that end like the master have
+    insertions (l), those that have its end at its place are cut there, others
+    have garbage at the end (lE), as have those of equal length with another end (E).
+    """
+    n, m = F.length(aa), F.length(master)
+    end = F.right(master, F.lit(size))
+    alike = hamming(F.right(aa, F.lit(size)), end) <= 1
+    at_place = hamming(F.substring(aa, m - size + 1, F.lit(size)), end) <= 1
+    longer = F.when(alike, "l").when(at_place, "").otherwise("lE")
+    issues = F.when(n < m, "s").when(n > m, longer).when(~alike, "E").otherwise("")
+    return F.struct(F.when((n > m) & ~alike & at_place, F.left(aa, m)).otherwise(aa).alias("aa"), issues.alias("issues"))

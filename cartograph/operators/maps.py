@@ -210,6 +210,22 @@ def theoretical_circles(homologous: DataFrame, titers: DataFrame, bases: DataFra
     return each.withColumn("serum_radius", F.greatest(F.lit(2.0), F.min("radius").over(Window.partitionBy("serum_no"))))
 
 
+def least_wrong_radius(near: DataFrame, *by: str) -> DataFrame:
+    """by, radius: the mean of the radii that are wrong about the fewest rows (map_distance, protected 0 or 1) of a group."""
+    w = Window.partitionBy(*by).orderBy("map_distance")
+    upto, whole = w.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*by)
+    # a midpoint between two distances has all before it inside; equal distances make a candidate with all of them inside
+    before = F.lag("map_distance").over(w)
+    near = near.withColumn("radius", F.when(before.isNull(), F.col("map_distance")).otherwise((F.col("map_distance") + before) / 2))
+    inside = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    exact = before.isNull() | (before == F.col("map_distance"))
+    wrong_inside = F.when(exact, F.sum(1 - F.col("protected")).over(inside)).otherwise(F.coalesce(F.sum(1 - F.col("protected")).over(upto), F.lit(0)))
+    right_inside = F.when(exact, F.sum("protected").over(inside)).otherwise(F.coalesce(F.sum("protected").over(upto), F.lit(0)))
+    near = near.withColumn("wrong", wrong_inside + F.sum("protected").over(whole) - right_inside)
+    near = near.withColumn("least", F.min("wrong").over(whole))
+    return near.where("wrong = least").groupBy(*by).agg(F.avg("radius").alias("radius"))
+
+
 def empirical_circles(homologous: DataFrame, titers: DataFrame, bases: DataFrame, layout: DataFrame, n_antigens: int, fold: float = 2.0) -> DataFrame:
     """serum_no, antigen_no, status, radius for each serum and homologous antigen.
 
@@ -232,18 +248,7 @@ def empirical_circles(homologous: DataFrame, titers: DataFrame, bases: DataFrame
     seen = F.least("column_basis", T.logged(F.col("titer")))
     protects = F.when(T.sign(F.col("titer")) == "", seen >= F.col("boundary")).otherwise(seen > F.col("boundary"))
     near = near.withColumn("protected", protects.cast("int"))
-    w = Window.partitionBy("serum_no", "home").orderBy("map_distance")
-    upto, whole = w.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("serum_no", "home")
-    # a midpoint between two distances has all before it inside; equal distances make a candidate with all of them inside
-    before = F.lag("map_distance").over(w)
-    near = near.withColumn("radius", F.when(before.isNull(), F.col("map_distance")).otherwise((F.col("map_distance") + before) / 2)).withColumn("tied", before == F.col("map_distance"))
-    inside = Window.partitionBy("serum_no", "home").orderBy("map_distance").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    exact = before.isNull() | (before == F.col("map_distance"))
-    wrong_inside = F.when(exact, F.sum(1 - F.col("protected")).over(inside)).otherwise(F.coalesce(F.sum(1 - F.col("protected")).over(upto), F.lit(0)))
-    right_inside = F.when(exact, F.sum("protected").over(inside)).otherwise(F.coalesce(F.sum("protected").over(upto), F.lit(0)))
-    near = near.withColumn("wrong", wrong_inside + F.sum("protected").over(whole) - right_inside)
-    near = near.withColumn("least", F.min("wrong").over(whole))
-    found = near.where("wrong = least").groupBy("serum_no", F.col("home").alias("antigen_no")).agg(F.avg("radius").alias("radius"))
+    found = least_wrong_radius(near, "serum_no", "home").withColumnRenamed("home", "antigen_no")
     return home.join(found, ["serum_no", "antigen_no"], "left").select("serum_no", "antigen_no", "status", "radius")
 
 
@@ -252,3 +257,38 @@ def serum_coverage(homologous: DataFrame, titers: DataFrame, fold: float = 2.0)
     home = homologous.join(titers, ["antigen_no", "serum_no"]).where(T.sign(F.col("titer")) == "").select("serum_no", F.col("antigen_no").alias("home"), T.logged(F.col("titer")).alias("home_logged"))
     rows = titers.where("titer <> '*'").join(home, "serum_no")
     return rows.select("serum_no", "home", "antigen_no", (T.logged_with_thresholded(F.col("titer")) >= F.col("home_logged") - fold).alias("within"))
+
+
+def circle_for_several_sera(homologous: DataFrame, titers: DataFrame, bases: DataFrame, layout: DataFrame, sera: DataFrame, n_antigens: int, fold: float = 2.0, conservative: bool = False) -> DataFrame:
+    """One row for the sera (serum_no) together: centre (mean of their points), n antigens, n_protected, radius.
+
+    Each serum's first homologous antigen with a boundary of 1 or more says which
+    antigens it protects; an antigen counts if its votes are not even, and, if
+    conservative, only if they all agree.  The radius is null where every antigen
+    is protected, or none.
+    """
+    dims, points = dims_of(layout), connected(layout)
+    ours = sera.select("serum_no").join(points.select((F.col("point_no") - n_antigens).alias("serum_no"), *dims), "serum_no")
+    centre = ours.agg(*(F.avg(c).alias(f"b_{c}") for c in dims))
+    home = homologous.join(titers, ["antigen_no", "serum_no"]).where("titer <> '*'").join(ours.select("serum_no"), "serum_no", "left_semi")
+    home = home.join(points.select(F.col("point_no").alias("antigen_no")), "antigen_no", "left_semi").join(F.broadcast(bases), "serum_no")  # one row a serum
+    home = home.withColumn("boundary", F.least("column_basis", T.logged_for_column_bases(F.col("titer"))) - fold).where("boundary >= 1")
+    home = home.groupBy("serum_no").agg(F.min(F.struct("antigen_no", "boundary", "column_basis")).alias("h")).select("serum_no", "h.boundary", "h.column_basis")
+    seen = F.least("column_basis", T.logged_for_column_bases(F.col("titer")))
+    protects = F.when(T.sign(F.col("titer")) == "", seen >= F.col("boundary")).otherwise(seen > F.col("boundary"))
+    votes = titers.where("titer <> '*'").join(home, "serum_no").groupBy(F.col("antigen_no").alias("point_no")).agg(F.count_if(protects).alias("yes"))
+    one_row = centre.crossJoin(home.agg(F.count("*").alias("voters")))  # one row each
+    rows = points.where(F.col("point_no") < n_antigens).select("point_no", *(F.col(c).alias(f"a_{c}") for c in dims)).join(votes, "point_no", "left").crossJoin(F.broadcast(one_row))
+    yes = F.coalesce("yes", F.lit(0))
+    no = F.col("voters") - yes
+    counts = (yes != no) & ((yes == 0) | (no == 0)) if conservative else yes != no
+    near = rows.where(counts).select(F.lit(0).alias("k"), euclid(dims, "a", "b").alias("map_distance"), (yes > no).cast("int").alias("protected"))  # antigens of one chart
+    sums = near.groupBy("k").agg(F.count("*").alias("n"), F.sum("protected").alias("n_protected")).join(least_wrong_radius(near, "k"), "k")
+    radius = F.when((F.col("n_protected") > 0) & (F.col("n_protected") < F.col("n")), F.col("radius"))
+    return centre.select(*(F.col(f"b_{c}").alias(c) for c in dims)).join(sums, how="left").select(*dims, "n", "n_protected", radius.alias("radius"))  # one row each
+
+
+def procrustes_summary(distances: DataFrame) -> DataFrame:
+    """Number, mean, root mean square and greatest of the distances between partners, and the point that moved farthest."""
+    d = F.col("distance")
+    return distances.agg(F.count("*").alias("n"), F.avg(d).alias("mean"), F.sqrt(F.avg(d * d)).alias("rms"), F.max(d).alias("longest"), F.max_by("primary_no", F.struct(d, -F.col("primary_no"))).alias("longest_no"))

@@ -266,3 +266,9 @@ def _same(a: str, i: int, b: str, j: int) -> int:
     while i < len(a) and j < len(b) and a[i] == b[j]:
         n, i, j = n + 1, i + 1, j + 1
     return n
+
+
+def on_one_side(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
+    """side (first or second), key: keys that only one of two tables has."""
+    a, b = first.select(key).distinct(), second.select(key).distinct()
+    return a.join(b, key, "left_anti").select(F.lit("first").alias("side"), key).unionByName(b.join(a, key, "left_anti").select(F.lit("second").alias("side"), key))

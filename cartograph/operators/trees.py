@@ -152,3 +152,28 @@ def newick(nodes: DataFrame) -> str:
         below = text.groupBy(F.col("parent_id").alias("node_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("child_order", "text"))), lambda s: s["text"]), ",").alias("inner"))
         text = deep.where(F.col("depth") == d).join(below, "node_id", "left").select("node_id", "parent_id", "child_order", F.concat(F.when(F.col("inner").isNotNull(), F.concat(F.lit("("), F.col("inner"), F.lit(")"))).otherwise(""), "label").alias("text"))
     return text.first()["text"] + ";"
+
+
+def fixed_names(leaves: DataFrame, seqs: DataFrame) -> DataFrame:
+    """Adds fixed: the seq_id of the sequence (seq_id, hash) that a leaf's name is, or whose hash its last eight characters are."""
+    ids = seqs.select(F.col("seq_id").alias("name"), F.col("seq_id").alias("by_id")).distinct()
+    hashes = seqs.groupBy(F.col("hash").alias("h")).agg(F.min("seq_id").alias("by_hash"))
+    return leaves.withColumn("h", F.right("name", F.lit(8))).join(ids, "name", "left").join(hashes, "h", "left").withColumn("fixed", F.coalesce("by_id", "by_hash")).drop("h", "by_id", "by_hash")
+
+
+def inferred_sequences(nodes: DataFrame, column: str = "aa") -> DataFrame:
+    """node_id and a sequence for inner nodes without one whose parent has one: letters that all children share, elsewhere the parent's.
+
+    Positions are compared by an aggregation over (node, position, letter), so a
+    node may have any number of children.
+    """
+    seq = F.col(column)
+    there = nodes.where(seq.isNotNull() & (seq != ""))
+    open_ = nodes.where(~F.col("is_leaf") & (seq.isNull() | (seq == ""))).select("node_id", "parent_id")
+    wanted = open_.join(there.select(F.col("node_id").alias("parent_id"), seq.alias("above")), "parent_id").select("node_id", "above")
+    kids = there.select(F.col("parent_id").alias("node_id"), seq.alias("kid")).distinct().join(wanted.select("node_id"), "node_id", "left_semi")
+    letters = kids.select("node_id", F.posexplode(F.split("kid", "")).alias("p", "letter")).where("letter <> ''")
+    same = letters.groupBy("node_id", "p").agg(F.min("letter").alias("least"), F.max("letter").alias("most"))
+    known = same.groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("p", F.when(F.col("least") == F.col("most"), F.col("least")).alias("letter")))).alias("known"))
+    filled = F.array_join(F.transform("known", lambda x: F.coalesce(x["letter"], F.substring("above", x["p"] + 1, F.lit(1)))), "")
+    return wanted.join(known, "node_id", "left").select("node_id", F.coalesce(filled, F.col("above")).alias(column))

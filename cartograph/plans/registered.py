@@ -1,8 +1,8 @@
 """All registered queries and their SQL."""
 
-from . import charts, more, sequences
+from . import charts, extra, more, sequences
 
 QUERIES, SQL = {}, {}
-for _module in (charts, sequences, more):
+for _module in (charts, sequences, more, extra):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
