@@ -32,7 +32,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
     What follows neither repeats the work above nor depends on any executor
-    staying alive.  The tables are narrow (ids, sizes, hashes: never texts).
+    staying alive.  The tables are narrow (ids, sizes, hashes), but for those of numbered().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
@@ -40,6 +40,15 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with __uid, a number for each row, written once with the rows.
+
+    The number depends on how a scan is split, which follows the executors that
+    live at that time; so no later job may make it again.
+    """
+    return cut(docs.withColumn("__uid", F.monotonically_increasing_id()))
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 

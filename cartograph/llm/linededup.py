@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, numbered
 
 GRAM_WORDS = 25
 RUN_WORDS = 50
@@ -84,7 +84,7 @@ def line_dedup(docs: DataFrame, gram_words: int = GRAM_WORDS, run_words: int = R
     Null texts stay null, repeated rows are documents of their own, an empty
     table gives none.
     """
-    rows = docs.withColumn("__uid", F.monotonically_increasing_id())
+    rows = numbered(docs)
     runs = cut(repeated_runs(_hashed(rows), gram_words, run_words))
     # by hash of the narrow side at every size: a broadcast would stop being possible as runs grow with the input
     joined = rows.join(runs.withColumnRenamed("runs", "__runs").hint("shuffle_hash"), "__uid", "left")

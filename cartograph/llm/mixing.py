@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, n_words, text_or_empty
+from .common import cut, n_words, numbered, text_or_empty
 
 #: Weights by a source's place in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -38,10 +38,6 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(text_or_empty()).alias("size"), F.col("__uid").alias("uid"))
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__uid", F.monotonically_increasing_id())
-
-
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, most: int = MOST) -> DataFrame:
     """One row a source: source, source_no, source_size, n_docs, target.
 
@@ -156,7 +152,7 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> Da
     source, the last; repeated rows are documents of their own; an empty table
     gives no rows.
     """
-    sizes = cut(sized(numbered(docs)))
+    sizes = cut(sized(docs.withColumn("__uid", F.monotonically_increasing_id())))  # the rows themselves are not needed again
     by = cut(targets(sizes))
     rows = cut(streamed(sizes, by))
     taken = taken_parts(rows.select("uid", "source_no", "first", "size"), by, block_words, seed).groupBy("uid").agg(F.sum(F.col("end") - F.col("begin")).alias("taken"))

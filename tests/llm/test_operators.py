@@ -434,6 +434,28 @@ def test_line_dedup_removes_every_long_repeat(spark):
     assert linededup.line_dedup(docs.limit(0)).count() == 0
 
 
+def test_rows_keep_their_numbers_when_scans_are_split_anew(spark, tmp_path):
+    r, vocab = random.Random(12), vocabulary(n=3000)
+    texts = [prose(r, 60, vocab) + "\n" + prose(r, 60, vocab) for _ in range(12)]
+    texts += [x.split("\n")[0] + "\n" + prose(r, 60, vocab) for x in texts]
+    documents(spark, texts).repartition(8, "doc_id").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    held = [spark.conf.get(n) for n in names]
+    try:
+        spark.conf.set(names[1], "0")
+        spark.conf.set(names[0], "1g")
+        deduped, mixed = linededup.line_dedup(docs), mixing.mixed_documents(docs, block_words=7)
+        spark.conf.set(names[0], "1k")
+        got = {x.doc_id: x.text for x in deduped.collect()}
+        assert got == {k: t if k < 12 else t.split("\n")[1] for k, t in enumerate(texts)}
+        words = sum(len(x.text.split()) for x in mixed.collect())
+        assert abs(words - sum(x.taken for x in mixing.mix(docs, block_words=7).collect())) == 0
+    finally:
+        for n, v in zip(names, held):
+            spark.conf.set(n, v)
+
+
 # ---- pipeline
 
 def test_pipeline_stages(spark, sf_dir):
