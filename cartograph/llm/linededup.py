@@ -7,8 +7,14 @@ selected.  Windows follow from the lines in them alone, so a run of RUN_WORDS or
 more words that two places share has a selected gram at the same line in both.
 Each selected gram is joined with the first place where it is selected, never
 with all; along the diagonal of such a pair the equal lines on both sides of the
-match are the repeated run, and the later one's lines are deleted.  A line is
-only deleted for an equal line at an earlier place, so one copy stays.
+match are the repeated run, and the later one's lines are deleted.
+
+The first places of a passage's grams may lie in several documents, so that two
+copies of the passage are never compared.  In documents with a repeated gram the
+shortest runs of RUN_WORDS words from each line on, and up to each line, are
+grouped by hash too, and all but the first place of each are deleted; together
+they cover every repeated run.  A line is only deleted for an equal line at an
+earlier place, so one copy stays.
 """
 
 from __future__ import annotations
@@ -49,6 +55,25 @@ def selected(hashed: DataFrame, gram_words: int, run_words: int) -> DataFrame:
     return rows.withColumn("best", best).where(F.col("gram") == F.col("best")).select("__uid", "doc_id", "pos", "gram")
 
 
+def repeated_windows(hashed: DataFrame, run_words: int) -> DataFrame:
+    """__uid and run (first and last line) of every shortest run of run_words words, from a line on or up to a line, that has an equal one at an earlier place."""
+    rows = hashed.select("__uid", "doc_id", F.posexplode("lines").alias("pos", "line")).select("__uid", "doc_id", "pos", "line.h", F.col("line.n").cast("long").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("__uid").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("e", upto).withColumn("c", F.col("e") - F.col("n"))  # words up to the line's end and before it
+    onward, back = Window.partitionBy("__uid").orderBy("c"), Window.partitionBy("__uid").orderBy("e")
+    end = F.max("e").over(onward.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = rows.withColumn("end", end).withColumn("from", F.collect_list("h").over(onward.rangeBetween(0, run_words - 1))).withColumn("to", F.collect_list("h").over(back.rangeBetween(1 - run_words, 0)))
+    run = lambda whole, lines, a, b: F.when(whole, F.struct(F.xxhash64(lines).alias("window"), a.cast("int").alias("a"), b.cast("int").alias("b")))
+    pos = F.col("pos")
+    ahead = run(F.col("end") - F.col("c") >= run_words, "from", pos, pos + F.size("from") - 1)
+    behind = run(F.col("e") >= run_words, "to", pos - F.size("to") + 1, pos)
+    both = cut(rows.select("__uid", "doc_id", F.explode(F.array_compact(F.array(ahead, behind))).alias("w")).select("__uid", "doc_id", "w.*").distinct())
+    place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "__uid", "a")
+    first = both.groupBy("window").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
+    later = both.join(first, "window").where((F.col("__uid") != F.col("first.__uid")) | (F.col("a") != F.col("first.a")))
+    return later.select("__uid", F.struct("a", "b").alias("run"))
+
+
 def repeated_runs(hashed: DataFrame, gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
     """__uid and runs: first and last line (from 0, among lines with a word) of the runs to delete."""
     marks = cut(selected(hashed, gram_words, run_words))
@@ -57,7 +82,8 @@ def repeated_runs(hashed: DataFrame, gram_words: int = GRAM_WORDS, run_words: in
     pairs = marks.join(first, "gram").where((F.col("__uid") != F.col("first.__uid")) | (F.col("pos") != F.col("first.pos")))
     pairs = cut(pairs.select("__uid", F.col("first.__uid").alias("uid0"), (F.col("pos") - F.col("first.pos")).alias("shift")).distinct())
     needed = pairs.select("__uid").union(pairs.select(F.col("uid0").alias("__uid"))).distinct()
-    arrays = hashed.join(needed, "__uid", "left_semi").select("__uid", F.col("lines.h").alias("h"), F.col("lines.n").alias("n"))
+    needed = hashed.join(needed, "__uid", "left_semi")
+    arrays = needed.select("__uid", F.col("lines.h").alias("h"), F.col("lines.n").alias("n"))
     both = pairs.join(arrays, "__uid").join(arrays.select(F.col("__uid").alias("uid0"), F.col("h").alias("h0")), "uid0")
     # one pass along the diagonal: start and words of the equal stretch, and the stretches so far
     at = F.struct(F.lit(-1).alias("start"), F.lit(0).cast("long").alias("words"), F.array().cast("array<struct<a:int,b:int>>").alias("runs"))
@@ -71,7 +97,8 @@ def repeated_runs(hashed: DataFrame, gram_words: int = GRAM_WORDS, run_words: in
         return F.when(F.coalesce(equal, F.lit(False)), grown).otherwise(closed)
 
     runs = F.aggregate(F.sequence(F.lit(0), F.size("h")), at, step, lambda s: s["runs"])
-    return both.select("__uid", runs.alias("runs")).where(F.size("runs") > 0).groupBy("__uid").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    every = both.select("__uid", F.explode(runs).alias("run")).unionByName(repeated_windows(needed, run_words))
+    return every.groupBy("__uid").agg(F.collect_set("run").alias("runs"))
 
 
 def line_dedup(docs: DataFrame, gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
@@ -80,12 +107,12 @@ def line_dedup(docs: DataFrame, gram_words: int = GRAM_WORDS, run_words: int = R
     Places are ordered by doc_id (null last), row and line.  Where nothing is
     removed the text stays as it is; else the lines with a word that stay are
     joined by a line feed.  Every repeated run of RUN_WORDS words or more is
-    removed but for its first place; runs under GRAM_WORDS words never are.
+    removed whole but for its first place; runs under GRAM_WORDS words never are.
     Null texts stay null, repeated rows are documents of their own, an empty
     table gives none.
     """
     rows = numbered(docs)
-    runs = cut(repeated_runs(_hashed(rows), gram_words, run_words))
+    runs = cut(repeated_runs(cut(_hashed(rows)), gram_words, run_words))
     # by hash of the narrow side at every size: a broadcast would stop being possible as runs grow with the input
     joined = rows.join(runs.withColumnRenamed("runs", "__runs").hint("shuffle_hash"), "__uid", "left")
     lines = lines_of(F.col("text").cast("string"))

@@ -434,6 +434,33 @@ def test_line_dedup_removes_every_long_repeat(spark):
     assert linededup.line_dedup(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_removes_repeats_whole_where_a_line_came_first_elsewhere(spark):
+    r, vocab = random.Random(13), vocabulary(n=3000)
+    q, p, long, tail = (prose(r, n, vocab) for n in (30, 40, 60, 8))
+    docs = documents(spark, [q, f"{q}\n{p}", f"{q}\n{p}", f"{long}", f"{long}\n{tail}", f"{tail}\nx\n{long}\n{tail}\ny"])
+    got = {x.doc_id: x.text for x in linededup.line_dedup(docs).collect()}
+    assert got == {0: q, 1: p, 2: "", 3: long, 4: tail, 5: f"{tail}\nx\ny"}
+
+
+def test_line_dedup_covers_every_repeated_run(spark):
+    r, vocab = random.Random(14), vocabulary(n=3000)
+    lines = [prose(r, r.choice([5, 12, 30, 60]), vocab) for _ in range(12)]
+    texts = ["\n".join(r.choice(lines) for _ in range(r.randint(1, 8))) for _ in range(60)]
+    got = {x.doc_id: with_words(x.text) for x in linededup.line_dedup(documents(spark, texts)).collect()}
+    seen = set()  # every run of 50 words or more at an earlier place
+    for k, t in enumerate(texts):
+        split = t.split("\n")
+        gone = set()
+        for i in range(len(split)):
+            for j in range(i + 1, len(split) + 1):
+                if sum(len(x.split()) for x in split[i:j]) >= 50:
+                    gone |= set(range(i, j)) if tuple(split[i:j]) in seen else set()
+                    seen.add(tuple(split[i:j]))
+        it = iter([x for i, x in enumerate(split) if i not in gone])
+        assert all(x in it for x in got[k]), k
+    assert {x for t in texts for x in t.split("\n")} == {x for g in got.values() for x in g}
+
+
 def test_rows_keep_their_numbers_when_scans_are_split_anew(spark, tmp_path):
     r, vocab = random.Random(12), vocabulary(n=3000)
     texts = [prose(r, 60, vocab) + "\n" + prose(r, 60, vocab) for _ in range(12)]
