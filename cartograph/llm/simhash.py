@@ -210,15 +210,16 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = BITS) -> DataFrame:
     """doc_id, fingerprint, component_id: one row per document.
 
-    component_id is the smallest doc_id that is reachable.  Texts without words
+    component_id is the smallest doc_id that is reachable; rows that share a
+    doc_id are linked by their texts only.  Texts without words
     have fingerprint zero, which links like any other; repeated rows come out as
     often as they are there; rows whose doc_id is null keep a null component
     unless they share a component with a numbered row; an empty table gives none.
     """
     fps = cut(fingerprints(docs, shingle))
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    named = nodes.where("node is not null")
-    found = components(links(named, most))
-    ids = cut(nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")))
+    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    found = components(links(nodes.select(F.col("fp").alias("node"), "fp"), most))  # fingerprints are the nodes: ids may be null or repeated
+    ids = cut(nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")))
+    ids = cut(ids.join(ids.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "component_id"))
     text = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return fps.join(ids, "fp").select("doc_id", text, "component_id")

@@ -499,5 +499,28 @@ def test_pipeline_stages(spark, sf_dir):
     assert len(got) and labels.count() and (got.groupby("sequence_id").length.sum() <= 4096).all()
 
 
+def test_near_dedup_keeps_different_texts_of_null_and_repeated_ids(spark, sf_dir):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    r, vocab = random.Random(15), vocabulary(n=3000)
+    t = [prose(r, 80, vocab) for _ in range(6)]
+    docs = documents(spark, [t[0], t[1], t[1], t[2], t[3], t[4], t[4], t[5], t[0]], ids=[None, None, None, 7, 7, 8, 8, 9, 3])
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir)
+    assert got.columns == docs.columns
+    assert sorted(((x.doc_id, x.text) for x in got.collect()), key=str) == sorted([(3, t[0]), (None, t[1]), (7, t[2]), (7, t[3]), (8, t[4]), (9, t[5])], key=str)
+    assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_simhash_links_rows_without_id(spark):
+    r, vocab = random.Random(7), vocabulary()
+    while True:  # a chain: the ends are linked by the middle only
+        a = prose(r, 300, vocab)
+        chain = [a, a.replace(a.split()[10], "x", 1), a.replace(a.split()[10], "x", 1).replace(a.split()[200], "y", 1)]
+        f = list(map(plain_fingerprint, chain))
+        if (f[0] ^ f[1]).bit_count() <= 4 and 0 < (f[1] ^ f[2]).bit_count() <= 4 < (f[0] ^ f[2]).bit_count():
+            break
+    docs = documents(spark, chain, ids=[5, None, 6])
+    assert {(x.doc_id, x.component_id) for x in simhash.near_duplicates(docs).collect()} == {(5, 5), (None, 5), (6, 5)}
+
+
 def test_registered():
     assert [int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES] == list(range(1, 11))
