@@ -38,22 +38,28 @@ CHUNK = 1 << 16
 _ODD = np.uint64(0x5555555555555555)
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Bit k is set if it is set in over half of the hashes of the text's shingles."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
+    """The hashes of the text's shingles in order, CHUNK at a time; a shorter text is one shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, ASCII white space only
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.r_[0, ends[:-1] + 1]
     k = min(shingle, len(words)) - 1
     starts, ends = starts[: len(words) - k].tolist(), ends[k:].tolist()
     digest = xxhash.xxh64_intdigest
-    total = np.zeros(64, np.int64)
     for at in range(0, len(starts), CHUNK):
-        h = np.array([digest(joined[a:b], 42) for a, b in zip(starts[at : at + CHUNK], ends[at : at + CHUNK])], dtype="<u8")
+        yield np.array([digest(joined[a:b], 42) for a, b in zip(starts[at : at + CHUNK], ends[at : at + CHUNK])], dtype="<u8")
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Bit k is set if it is set in over half of the hashes of the text's shingles."""
+    total, n = np.zeros(64, np.int64), 0
+    for h in shingle_hashes(text, shingle):
         total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = (2 * total > len(starts)).astype(np.uint8)
+        n += len(h)
+    bits = (2 * total > n).astype(np.uint8)
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 

@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartograph.llm import linededup, mixing, packing, simhash, toxicity
+from cartograph.llm import linededup, mixing, nearcopies, packing, toxicity
 from cartograph.llm.common import cut, numbered, shared_dir, table
 from cartograph.llm.queries import tokenizer_path
 
@@ -33,11 +33,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates one row stays, of the smallest doc_id (null last)."""
+    """Of each group of near-duplicates (0.8 of the five-word shingles or more) one row stays, of the smallest doc_id (null last)."""
     rows = numbered(docs)  # ids may be null or repeated
-    groups = simhash.near_duplicates(rows.select(F.col("__uid").alias("doc_id"), "text")).select(F.col("doc_id").alias("__uid"), "component_id")
-    place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "__uid")
-    first = cut(groups.join(rows.select("__uid", "doc_id"), "__uid").groupBy("component_id").agg(F.min(place).alias("first")).select("first.__uid"))
+    first = cut(nearcopies.firsts(rows))
     return rows.join(first, "__uid", "left_semi").select(*docs.columns)
 
 

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from cartograph.llm import html_text, linededup, mixing, packing, pii, quality, sharding, simhash, topk, toxicity
+from cartograph.llm import html_text, linededup, mixing, nearcopies, packing, pii, quality, sharding, simhash, topk, toxicity
 from cartograph.llm.queries import QUERIES, tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -510,6 +510,39 @@ def test_near_dedup_keeps_different_texts_of_null_and_repeated_ids(spark, sf_dir
     assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), sf_dir).count() == 0
 
 
+def plain_set(text):
+    words = WORDS.findall((text or "").lower())
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+@pytest.mark.parametrize("shingles", [nearcopies.CELL_SHINGLES, 2000])
+def test_near_dedup_decides_by_exact_similarity(spark, sf_dir, shingles, monkeypatch):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    search = nearcopies.links
+    monkeypatch.setattr(nearcopies, "links", lambda members, sets: search(members, sets, shingles))
+    r, vocab = random.Random(16), vocabulary(n=3000)
+    texts = [t for t in ODD if t != "Ünïcode Ωmega x é\n\nline"]
+    for _ in range(12):
+        base = prose(r, r.randint(30, 300), vocab).split()
+        texts.append(" ".join(base))
+        for _ in range(5):
+            w = list(base)
+            for _ in range(r.randint(1, len(w) // 25)):
+                w[r.randrange(len(w))] = r.choice(vocab)
+            texts.append(" ".join(w))
+    sets = list(map(plain_set, texts))
+    alike = lambda a, b: a == b or 5 * len(a & b) >= 4 * len(a | b)
+    label = list(range(len(texts)))
+    for _ in range(len(texts)):
+        for i, a in enumerate(sets):
+            label[i] = min([label[i], *(label[j] for j, b in enumerate(sets) if alike(a, b))])
+    assert 12 < len(set(label)) < len(texts) - 12
+    got = corpus_pipeline.drop_near_duplicates(spark, documents(spark, texts), sf_dir).collect()
+    assert {x.doc_id for x in got} == set(label) and len(got) == len(set(label))
+    far = [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] and alike(sets[i], sets[j]) and (plain_fingerprint(texts[i]) ^ plain_fingerprint(texts[j])).bit_count() > 4]
+    assert far  # operator 7 alone doesn't link these
+
+
 def test_simhash_links_rows_without_id(spark):
     r, vocab = random.Random(7), vocabulary()
     while True:  # a chain: the ends are linked by the middle only
