@@ -1,7 +1,8 @@
 """Main text of web pages by line-block distribution (operator 2).
 
 Markup is stripped to lines, one a block of the page.  A line's weight is the
-length of its text, outside a marked article without its links; lines inside parts that are never
+length of its text, outside a marked article without its links (an article is
+marked if it has at least half of the page's weight without links); lines inside parts that are never
 content (menus, headers, footers, asides, forms, adverts, comments) weigh
 nothing.  The distribution is the sums of weights over sliding windows of lines;
 where it surges a stretch of content begins and where it dives to nothing the
@@ -50,9 +51,9 @@ def _unlikely(attributes: str) -> bool:
     return False
 
 
-def lines_of(html: str) -> list[tuple[str, int, bool]]:
-    """The page's blocks in order: text, weight (length; outside a marked article without links; 0 in parts that are no content), whether in the marked article."""
-    out: list[tuple[str, int, bool]] = []
+def lines_of(html: str) -> list[tuple[str, int, int, bool]]:
+    """The page's blocks in order: text, length and length without links (0 in parts that are no content), whether in an article."""
+    out: list[tuple[str, int, int, bool]] = []
     text: list[str] = []
     linked = 0  # characters of this line inside links
     stack: list[tuple[str, bool, bool]] = []  # open elements that matter: name, no content, article
@@ -64,7 +65,7 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
         if line:
             barred = any(x[1] for x in stack)
             article = any(x[2] for x in stack)
-            out.append((line, 0 if barred else len(line) if article else max(0, len(line) - linked), article))
+            out.append((line, 0 if barred else len(line), 0 if barred else max(0, len(line) - linked), article))
         text.clear()
         linked = 0
 
@@ -112,20 +113,21 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
     return out
 
 
-def main_lines(lines: list[tuple[str, int, bool]], window: int = WINDOW, surge: int = SURGE) -> list[str]:
-    """The lines between surge and dive.  Where an article is marked, lines outside it weigh nothing and any weight is a surge."""
-    if any(a for _, _, a in lines):
-        lines, surge = [(t, w * a, a) for t, w, a in lines], 1
-    weight = np.array([w for _, w, _ in lines], dtype=np.int64)
+def main_lines(lines: list[tuple[str, int, int, bool]], window: int = WINDOW, surge: int = SURGE) -> list[str]:
+    """The lines between surge and dive.  Where articles have half of the page's weight or more, lines outside them weigh nothing and any weight is a surge."""
+    if any(w and a for _, w, _, a in lines) and 2 * sum(w for _, _, w, a in lines if a) >= sum(w for _, _, w, _ in lines):
+        weight, surge = np.array([w * a for _, w, _, a in lines], dtype=np.int64), 1
+    else:
+        weight = np.array([w for _, _, w, _ in lines], dtype=np.int64)
     if not weight.any():
         return []
     sums = np.convolve(weight, np.ones(window, np.int64))[window - 1 :]  # of a line and those after it
     if not (sums >= surge).any():
         surge = int(sums.max())  # a short page: its heaviest stretch
     out, inside = [], False
-    for k, (line, w, _) in enumerate(lines):
+    for k, (line, *_) in enumerate(lines):
         inside = sums[k] >= surge or inside and sums[k] > 0
-        if inside and w:
+        if inside and weight[k]:
             out.append(line)
     return out
 

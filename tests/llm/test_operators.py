@@ -79,6 +79,15 @@ def test_main_text_drops_what_is_around_the_article():
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<p></p>") == ""
 
 
+def test_main_text_beside_articles_that_are_not_the_text():
+    story = "Long story. " * 20
+    comments = "".join(f"<article class='comment'>Reader {k} says so.</article>" for k in range(3))
+    assert html_text.main_text(f"<body><div><p>{story}</p></div>{comments}") == story.strip()
+    teasers = "".join(f"<article><a href=/{k}>Teaser number {k} leads to another long story of ours, number {k}</a></article>" for k in range(9))
+    assert story.strip() in html_text.main_text(f"<body><div><p>{story}</p></div>{teasers}")
+    assert html_text.main_text(f"<body><p>Some words around.</p><article><p>{story}</p></article>") == story.strip()
+
+
 def test_extract_text_table(spark):
     pages = spark.createDataFrame([(1, "u", None), (1, "u", None), (None, None, "<article>a &#x41;</article>")], "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("n_chars", F.lit("clash"))
     got = sorted(map(tuple, html_text.extract_text(pages).collect()), key=str)
@@ -519,7 +528,7 @@ def plain_set(text):
 def test_near_dedup_decides_by_exact_similarity(spark, sf_dir, shingles, monkeypatch):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     search = nearcopies.links
-    monkeypatch.setattr(nearcopies, "links", lambda members, sets: search(members, sets, shingles))
+    monkeypatch.setattr(nearcopies, "links", lambda members, rows: search(members, rows, shingles))
     r, vocab = random.Random(16), vocabulary(n=3000)
     texts = [t for t in ODD if t != "Ünïcode Ωmega x é\n\nline"]
     for _ in range(12):
