@@ -244,7 +244,7 @@ def grid_test(spark: SparkSession, edges: DataFrame, layout: np.ndarray, step: f
     return wanted.repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, "point_no int, status string, distance double, change double")
 
 
-def avidity_test(spark: SparkSession, edges: DataFrame, layout: np.ndarray, antigens: list[int], adjusts: tuple[float, ...] = (-3.0, -2.0, -1.0, 1.0, 2.0, 3.0)) -> DataFrame:
+def avidity_test(spark: SparkSession, edges: DataFrame, layout: np.ndarray, antigens: list[int], adjusts: tuple[float, ...] = (*range(-6, 0), *range(1, 7))) -> DataFrame:
     """antigen_no, adjust, stress_change, moved, most_moved: a map for every antigen with every adjustment of its titers, from the layout as it is."""
     d = collected(edges, len(layout))
     there = ~np.isnan(layout).any(axis=1)

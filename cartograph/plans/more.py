@@ -53,12 +53,12 @@ def relax_incremental(spark, d):
 
 @query("gt1_grid_test")
 def grid(spark, d):
-    return optimise.grid_test(spark, edges(spark, d), points(spark, d), step=0.5, points=list(range(0, 150, 10)))
+    return optimise.grid_test(spark, edges(spark, d), points(spark, d))
 
 
 @query("av1_avidity_test")
 def avidity(spark, d):
-    return optimise.avidity_test(spark, edges(spark, d), np.nan_to_num(points(spark, d)), [3, 4], (-1.0, 1.0))
+    return optimise.avidity_test(spark, edges(spark, d), np.nan_to_num(points(spark, d)), list(range(N_ANTIGENS)))
 
 
 @query("av1_best_adjust")
