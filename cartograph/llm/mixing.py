@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, n_words, numbered, text_or_empty
+from .common import cut, n_words, numbered, scoped, text_or_empty
 
 #: Weights by a source's place in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -84,7 +84,7 @@ def streamed(sizes: DataFrame, by: DataFrame) -> DataFrame:
     before = Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     firsts = rows.groupBy("source_no", "bucket").agg(F.sum("size").alias("n")).select("source_no", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("bucket_first"))
     rows = rows.withColumn("first", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    return rows.join(firsts, ["source_no", "bucket"]).withColumn("first", F.col("first") + F.col("bucket_first")).drop("bucket", "bucket_first")
+    return rows.join(firsts.hint("merge"), ["source_no", "bucket"]).withColumn("first", F.col("first") + F.col("bucket_first")).drop("bucket", "bucket_first")
 
 
 def slots(by: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
@@ -105,7 +105,7 @@ def slots(by: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHAR
     block = F.when(j < F.col("full"), shuffled(j, F.col("full"), F.xxhash64(F.lit(seed), "source_no", "pass"))).otherwise(j)
     words = F.least(F.lit(block_words).cast("long"), F.col("want") - j * block_words)
     needed = needed.select("source_no", "pass", block.alias("block"), (F.col("from") + j).alias("slot"), words.alias("words"))
-    return needed.join(dealt_slots(by, block_words, shard_slots, seed), ["source_no", "slot"])
+    return needed.join(dealt_slots(by, block_words, shard_slots, seed).hint("merge"), ["source_no", "slot"])
 
 
 def dealt_slots(by: DataFrame, block_words: int, shard_slots: int, seed: int) -> DataFrame:
@@ -125,7 +125,12 @@ def dealt_slots(by: DataFrame, block_words: int, shard_slots: int, seed: int) ->
     drawn = drawn.repartition("shard").select("all", "shard", F.explode(F.sequence(F.lit(0), F.lit(shard_slots - 1))).alias("draw"))
     drawn = drawn.where(F.col("shard") * shard_slots + F.col("draw") < F.col("all")).withColumn("u", F.pmod(F.xxhash64(F.lit(seed), F.lit("draw"), "shard", "draw"), "all"))
     sources = need.where(F.col("need") > 0)
-    counts = drawn.join(F.broadcast(sources.select("source_no", "low", "upto", "need")), (F.col("u") >= F.col("low")) & (F.col("u") < F.col("upto"))).groupBy("source_no", "shard").agg(F.count("*").alias("n"), F.first("need").alias("need"))
+    # draws meet sources by bins of draws, about as many as there are sources, each of which lies in few
+    width = F.greatest(F.lit(1), F.ceil(F.col("all") / F.col("n")))
+    binned = sources.withColumn("n", F.count("*").over(Window.partitionBy())).withColumn("width", width)
+    binned = binned.select("source_no", "low", "upto", "need", F.explode(F.sequence(F.floor(F.col("low") / F.col("width")), F.floor((F.col("upto") - 1) / F.col("width")))).alias("bin"))
+    drawn = drawn.crossJoin(F.broadcast(sources.agg(F.greatest(F.lit(1), F.ceil(F.max("all") / F.count("*"))).alias("width")))).withColumn("bin", F.floor(F.col("u") / F.col("width")))  # one row
+    counts = drawn.join(binned, "bin").where((F.col("u") >= F.col("low")) & (F.col("u") < F.col("upto"))).groupBy("source_no", "shard").agg(F.count("*").alias("n"), F.first("need").alias("need"))
     ends = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
     kept = counts.withColumn("to", F.least("need", F.sum("n").over(ends))).withColumn("from", F.least("need", F.sum("n").over(ends) - F.col("n"))).where(F.col("to") > F.col("from"))
     own = kept.select("source_no", "shard", F.explode(F.sequence("from", F.col("to") - 1)).alias("slot"))
@@ -139,7 +144,7 @@ def taken_parts(rows: DataFrame, by: DataFrame, block_words: int = BLOCK_WORDS,
     """Each document's words that the mix takes, block by block: the rows of ``rows`` with pass, shard, slot, begin, end (words of the document)."""
     a, b = F.col("first"), F.col("first") + F.col("size")
     blocks = rows.where(F.col("size") > 0).withColumn("block", F.explode(F.sequence(F.floor(a / block_words), F.floor((b - 1) / block_words))))
-    joined = blocks.join(slots(by, block_words, seed=seed), ["source_no", "block"])
+    joined = blocks.join(slots(by, block_words, seed=seed).hint("merge"), ["source_no", "block"])  # by hash at every size
     start = F.col("block") * block_words
     begin, end = F.greatest(a, start) - a, F.least(b, start + F.col("words")) - a
     return joined.withColumn("begin", begin).withColumn("end", end).where(F.col("end") > F.col("begin")).drop("block", "words")
@@ -152,11 +157,12 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> Da
     source, the last; repeated rows are documents of their own; an empty table
     gives no rows.
     """
-    sizes = cut(sized(docs.withColumn("__uid", F.monotonically_increasing_id())))  # the rows themselves are not needed again
-    by = cut(targets(sizes))
-    rows = cut(streamed(sizes, by))
+    with scoped(docs.sparkSession):
+        sizes = cut(sized(docs.withColumn("__uid", F.monotonically_increasing_id())))  # the rows themselves are not needed again
+        by = cut(targets(sizes), keep=True)
+        rows = cut(streamed(sizes, by), keep=True)
     taken = taken_parts(rows.select("uid", "source_no", "first", "size"), by, block_words, seed).groupBy("uid").agg(F.sum(F.col("end") - F.col("begin")).alias("taken"))
-    return rows.join(taken, "uid", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return rows.join(taken.hint("merge"), "uid", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
@@ -167,13 +173,14 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int =
     are left out; n_chars, if there, is set anew for cut texts.
     """
     rows_of = numbered(docs)
-    sizes = cut(sized(rows_of))
-    by = cut(targets(sizes))
-    rows = streamed(sizes, by)
-    parts = taken_parts(rows.select("uid", "source_no", "first", "size"), by, block_words, seed)
-    spans = parts.groupBy("uid", "pass").agg(F.first("size").alias("size"), F.sum(F.col("end") - F.col("begin")).alias("n"), F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans"))
-    spans = cut(spans.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("pass", "size", "n", "spans"))).alias("takes")))
-    joined = rows_of.join(spans, F.col("__uid") == F.col("uid")).withColumn("__take", F.explode("takes"))
+    with scoped(docs.sparkSession):
+        sizes = cut(sized(rows_of))
+        by = cut(targets(sizes))
+        rows = streamed(sizes, by)
+        parts = taken_parts(rows.select("uid", "source_no", "first", "size"), by, block_words, seed)
+        spans = parts.groupBy("uid", "pass").agg(F.first("size").alias("size"), F.sum(F.col("end") - F.col("begin")).alias("n"), F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans"))
+        spans = cut(spans.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("pass", "size", "n", "spans"))).alias("__takes")).withColumnRenamed("uid", "__uid"), keep=True)
+    joined = rows_of.join(spans.hint("shuffle_hash"), "__uid").withColumn("__take", F.explode("__takes"))
     words = F.filter(F.split(F.col("text").cast("string"), "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")
     whole = F.col("__take.n") == F.col("__take.size")
     some = F.array_join(F.flatten(F.transform(F.col("__take.spans"), lambda s: F.slice(words, (s["begin"] + 1).cast("int"), (s["end"] - s["begin"]).cast("int")))), " ")

@@ -3,9 +3,10 @@
 A fingerprint's 32 two-bit segments are mapped to their popcounts.  The Manhattan
 distance of two such vectors is at most the Hamming distance of the fingerprints,
 so fingerprints at ``most`` or fewer differing bits lie within ``most`` of each
-other in the popcount grid.  The segments form most + 2 groups; of those at
-least two have distance 0, so both fingerprints share the grid cell that is made
-of the popcounts of some two groups.  Within a cell, the whole vectors'
+other in the popcount grid.  The segments form most + 2 groups (more for large
+inputs, so that cells stay small); of those at least two have distance 0, so both
+fingerprints share the grid cell that is made of the popcounts of some two groups
+(or as many more as there are groups more).  Within a cell, the whole vectors'
 Manhattan distance filters and the Hamming distance decides.
 
 A cell gives links that connect what belongs together, fewer than it has
@@ -26,12 +27,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty
+from .common import cut, scoped, text_or_empty
 
 SHINGLE = 4
 BITS = 4
 #: Members of a grid cell that one task searches together.
 CELL_ROWS = 50_000
+#: Numbers of fingerprints beyond which cells are made of one more group of segments: 16, 20, 24, 27 bits of popcounts.
+FINER = (1 << 21, 1 << 26, 1 << 30)
 #: Shingles whose bits are added up at a time.
 CHUNK = 1 << 16
 
@@ -87,11 +90,11 @@ def manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(low) + 2 * np.bitwise_count(high)
 
 
-def cell_masks(most: int = BITS) -> list[int]:
-    """Masks over the popcount vector, one for each two of the most + 2 groups of segments."""
-    edges = [32 * g // (most + 2) for g in range(most + 3)]
+def cell_masks(most: int = BITS, equal: int = 2) -> list[int]:
+    """Masks over the popcount vector, one for each ``equal`` of the most + equal groups of segments."""
+    edges = [32 * g // (most + equal) for g in range(most + equal + 1)]
     groups = [sum(3 << (2 * s) for s in range(a, b)) for a, b in zip(edges, edges[1:])]
-    return [a | b for a, b in combinations(groups, 2)]
+    return [sum(some) for some in combinations(groups, equal)]
 
 
 def connect(fp: np.ndarray, node: np.ndarray, most: int, sides: np.ndarray | None = None) -> tuple[list, list]:
@@ -127,15 +130,16 @@ def _small_links(cell: np.ndarray, fp: np.ndarray, node: np.ndarray, most: int,
     return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
-def links(nodes: DataFrame, most: int = BITS, cell_rows: int = CELL_ROWS) -> DataFrame:
+def links(nodes: DataFrame, most: int = BITS, cell_rows: int = CELL_ROWS, finer: tuple[int, ...] = FINER) -> DataFrame:
     """a, b: links between nodes (columns node, fp; fp distinct) that give the same components as all pairs within ``most`` bits."""
-    masks = [int(np.uint64(m).astype(np.int64)) for m in cell_masks(most)]
+    n = nodes.count()
+    masks = [int(np.uint64(m).astype(np.int64)) for m in cell_masks(most, 2 + sum(n > least for least in finer))]
     even, odd = F.col("fp").bitwiseAND(int(_ODD)), F.shiftrightunsigned("fp", 1).bitwiseAND(int(_ODD))
     pop = even.bitwiseXOR(odd).bitwiseOR(F.shiftleft(even.bitwiseAND(odd), 1))  # their sum in each two bits, without carries that overflow
     cells = nodes.select("node", "fp", pop.alias("pop")).select("node", "fp", F.posexplode(F.array(*(F.xxhash64(F.lit(k), F.col("pop").bitwiseAND(F.lit(m))) for k, m in enumerate(masks)))).alias("k", "cell"))
     cells = cells.select("node", "fp", "cell")
     crowded = cells.groupBy("cell").count().where(F.col("count") > cell_rows)
-    crowd = crowded.select("cell", F.ceil(2 * F.col("count") / cell_rows).cast("int").alias("chunks")).collect()  # at most 15 * nodes / cell_rows rows
+    crowd = crowded.select("cell", F.ceil(2 * F.col("count") / cell_rows).cast("int").alias("chunks")).collect()  # at most len(masks) * nodes / cell_rows rows
     if crowd:  # members of a crowded cell go to every pair of chunks that has theirs
         chunks = F.create_map(*(x for r in crowd for x in (F.lit(r["cell"]), F.lit(r["chunks"]))))
         n = chunks[F.col("cell")]
@@ -222,10 +226,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = BITS) -
     often as they are there; rows whose doc_id is null keep a null component
     unless they share a component with a numbered row; an empty table gives none.
     """
-    fps = cut(fingerprints(docs, shingle))
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = components(links(nodes.select(F.col("fp").alias("node"), "fp"), most))  # fingerprints are the nodes: ids may be null or repeated
-    ids = cut(nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")))
-    ids = cut(ids.join(ids.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "component_id"))
+    with scoped(docs.sparkSession):
+        fps = cut(fingerprints(docs, shingle), keep=True)
+        nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+        found = components(links(nodes.select(F.col("fp").alias("node"), "fp"), most))  # fingerprints are the nodes: ids may be null or repeated
+        ids = cut(nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")))
+        ids = cut(ids.join(ids.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "component_id"), keep=True)
     text = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return fps.join(ids, "fp").select("doc_id", text, "component_id")
