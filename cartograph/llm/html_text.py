@@ -1,12 +1,14 @@
 """Main text of web pages by line-block distribution (operator 2).
 
-Markup is stripped to lines, one a block of the page.  A line's weight is the
-length of its text, outside a marked article without its links (an article is
-marked if it has at least half of the page's weight without links); lines inside parts that are never
-content (menus, headers, footers, asides, forms, adverts, comments) weigh
-nothing.  The distribution is the sums of weights over sliding windows of lines;
-where it surges a stretch of content begins and where it dives to nothing the
-stretch ends.  The lines with content between surge and dive are the text.
+Markup is stripped to lines, one a block of the page.  Every line has a weight:
+the length of its text, which markup makes heavier or lighter.  Lines in a
+marked article (one with at least half of the page's text outside links) gain a
+surge; plain lines count their text outside links and gain a little; lines of
+menus, headers, footers, adverts, forms or comments, and those outside of a
+marked article, keep a tenth of their length, LIGHT at most.  The distribution is
+the sums over sliding windows of what the lines weigh above LIGHT.  Where the
+windows' weight surges a stretch of content begins, where they dive to nothing it
+ends; the lines above LIGHT between surge and dive are the text.
 """
 
 from __future__ import annotations
@@ -22,18 +24,23 @@ from pyspark.sql import functions as F
 
 #: Lines of a window.
 WINDOW = 3
-#: A window's sum of weights from which a stretch begins, outside a marked article.
+#: A window's sum of weights from which a stretch begins.
 SURGE = 80
+#: What a line weighs at most where markup says that it is no content: the floor of the distribution.
+LIGHT = 15
+#: What a plain line gains, if most of it is outside links.
+PLAIN = 20
 
 # Elements by what they mean for the text.
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 NEVER = frozenset("nav header footer aside form menu dialog head title button select option textarea noscript template iframe object canvas svg math audio video map datalist".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math object xmp noembed noframes".split())
+EMPTY = frozenset("svg math iframe object".split())  # those that a slash closes at once
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNLIKELY = frozenset("ad ads adv advert advertisement advertising banner sponsor sponsored promo promotion menu nav navbar navigation navi breadcrumb breadcrumbs sidebar sidenav side widget footer foot header masthead topbar toolbar comment comments commentlist disqus respond reply replies discussion cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login share sharing social follow related recommended recommendations pagination pager tags tagcloud meta byline search skip copyright legal disclaimer".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 
-_part = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_part = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)(?:((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|([^>]*)(?:>|\Z))", re.S)
 _attribute = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _space = re.compile(r"\s+")
 
@@ -51,24 +58,31 @@ def _unlikely(attributes: str) -> bool:
     return False
 
 
-def lines_of(html: str) -> list[tuple[str, int, int, bool]]:
-    """The page's blocks in order: text, length and length without links (0 in parts that are no content), whether in an article."""
-    out: list[tuple[str, int, int, bool]] = []
+def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
+    """The page's blocks in order: text, its length outside links, whether in a part that is no content, whether in an article."""
+    out: list[tuple[str, int, bool, bool]] = []
     text: list[str] = []
     linked = 0  # characters of this line inside links
     stack: list[tuple[str, bool, bool]] = []  # open elements that matter: name, no content, article
+    opened: dict[str, int] = {}  # how many of a name are open
     links = 0
 
     def end_line() -> None:
         nonlocal linked
         line = _space.sub(" ", unescape("".join(text))).strip()
         if line:
-            barred = any(x[1] for x in stack)
-            article = any(x[2] for x in stack)
-            out.append((line, 0 if barred else len(line), 0 if barred else max(0, len(line) - linked), article))
+            out.append((line, max(0, len(line) - linked), bool(stack) and stack[-1][1], bool(stack) and stack[-1][2]))
         text.clear()
         linked = 0
 
+    def close(name: str) -> None:
+        if opened.get(name):
+            while True:
+                last = stack.pop()[0]
+                opened[last] -= 1
+                if last == name:
+                    break
+
     at = 0
     while True:
         m = _part.search(html, at)
@@ -85,7 +99,9 @@ def lines_of(html: str) -> list[tuple[str, int, int, bool]]:
             if m[0].startswith("<![CDATA["):
                 text.append(m[0][9:-3])
             continue
-        closing = bool(m[1])
+        closing, attributes = bool(m[1]), m[3] if m[3] is not None else m[4] or ""
+        if name in EMPTY and attributes.endswith("/"):
+            continue
         if name in RAW and not closing:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
             at = end.end() if end else len(html)
@@ -98,36 +114,48 @@ def lines_of(html: str) -> list[tuple[str, int, int, bool]]:
         if name in BLOCKS or name in NEVER:
             end_line()
         if closing:
-            names = [x[0] for x in stack]
-            if name in names:
-                del stack[len(names) - 1 - names[::-1].index(name) :]
+            close(name)
             continue
         if name in VOID:
             continue
-        if name in BLOCKS or name in NEVER or m[3] and _unlikely(m[3]):
+        bad = bool(attributes) and _unlikely(attributes)
+        if name in BLOCKS or name in NEVER or bad:
             if name == "p" and stack and stack[-1][0] == "p":  # a paragraph ends where the next begins
-                stack.pop()
+                close("p")
             if name not in ("html", "body"):
-                stack.append((name, name in NEVER or _unlikely(m[3]), name in ("article", "main")))
+                _, barred, article = stack[-1] if stack else ("", False, False)
+                stack.append((name, barred or name in NEVER or bad, article or name in ("article", "main")))
+                opened[name] = opened.get(name, 0) + 1
     end_line()
     return out
 
 
-def main_lines(lines: list[tuple[str, int, int, bool]], window: int = WINDOW, surge: int = SURGE) -> list[str]:
-    """The lines between surge and dive.  Where articles have half of the page's weight or more, lines outside them weigh nothing and any weight is a surge."""
-    if any(w and a for _, w, _, a in lines) and 2 * sum(w for _, _, w, a in lines if a) >= sum(w for _, _, w, _ in lines):
-        weight, surge = np.array([w * a for _, w, _, a in lines], dtype=np.int64), 1
-    else:
-        weight = np.array([w for _, _, w, _ in lines], dtype=np.int64)
-    if not weight.any():
+def weights(lines: list[tuple[str, int, bool, bool]], surge: int = SURGE, light: int = LIGHT) -> np.ndarray:
+    """What every line weighs."""
+    free = lambda wanted: sum(n for _, n, barred, article in lines if not barred and wanted(article))
+    marked = any(article and not barred for _, _, barred, article in lines) and 2 * free(bool) >= free(lambda _: True)
+    out = np.zeros(len(lines), np.int64)
+    for k, (line, n, barred, article) in enumerate(lines):
+        if barred or marked and not article:
+            out[k] = min(len(line) // 10, light)
+        elif marked:
+            out[k] = len(line) + surge
+        else:
+            out[k] = n + PLAIN * (2 * n >= len(line))
+    return out
+
+
+def main_lines(lines: list[tuple[str, int, bool, bool]], window: int = WINDOW, surge: int = SURGE, light: int = LIGHT) -> list[str]:
+    """The lines between surge and dive."""
+    above = np.maximum(weights(lines, surge, light) - light, 0)
+    if not above.any():
         return []
-    sums = np.convolve(weight, np.ones(window, np.int64))[window - 1 :]  # of a line and those after it
-    if not (sums >= surge).any():
-        surge = int(sums.max())  # a short page: its heaviest stretch
+    sums = np.convolve(above, np.ones(window, np.int64))[window - 1 :]  # of a line and those after it
+    surge = min(surge - light, int(sums.max()))  # on a short page its heaviest stretch
     out, inside = [], False
     for k, (line, *_) in enumerate(lines):
         inside = sums[k] >= surge or inside and sums[k] > 0
-        if inside and weight[k]:
+        if inside and above[k]:
             out.append(line)
     return out
 
