@@ -4,12 +4,12 @@ Components are quantised to integers.  A block of vectors is indexed by
 postings: for every dimension the vectors in the order of their value, so that
 the postings of one value are a segment and those beyond a value a run of
 segments.  A query takes segments score at a time: all with an impact
-|query component * value| above a level, then those above half that level, and so
-on; a list that is largely above the first level is taken whole.  After a level every vector's score lies within the bound of what is left,
-the sum over dimensions of the largest impact that is still open there.  The
-search stops only when that proves which vectors can be among the k best, those
-whose bound reaches a score that k vectors are known to have, and they are few;
-then they are scored exactly.
+|query component * value| above a level, then those above three quarters of that
+level, and so on.  After a level every vector's score lies within the bound of
+what is left: over dimensions, the largest positive and the largest negative
+impact that is still open there.  The search stops only when that proves which
+vectors can be among the k best, those whose bound reaches a score that k vectors
+are known to have, and they are few; then they are scored exactly.
 """
 
 from __future__ import annotations
@@ -19,16 +19,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 SCALE = 64
 K = 20
 QUERY_EVERY = 20
-#: Vectors of an index block, and queries that are searched in it by one task.
-BLOCK_ROWS = 65_536
-BLOCK_QUERIES = 1_024
-#: A search stops at so many possible members, times k, or at a sixteenth of the block.
-POSSIBLE = 8
+#: Vectors of an index block.
+BLOCK_ROWS = 16_384
+#: Queries that one task searches in a block, at most, and tasks that are wanted at least.
+BLOCK_QUERIES, TASKS = 65_536, 64
+#: Queries that one task searches at least, if there are so many.
+FEW_QUERIES = 256
+#: A search stops at so many possible members, times k, or at this share of the block.
+POSSIBLE, SHARE = 8, 8
 #: The first level, as a fraction of the largest impact.
-FIRST_LEVEL = 16
+FIRST_LEVEL = 4
 
 
 class ImpactIndex:
@@ -36,18 +41,16 @@ class ImpactIndex:
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         self.ids, self.x = ids, x
-        order = np.argsort(x, axis=0, kind="stable")
         self.widest = np.abs(x).max(axis=0, initial=0)
         top = int(self.widest.max(initial=0))
         self.kind = np.int32 if 2 * top * top * x.shape[1] < 1 << 31 else np.int64
+        order = np.argsort(x, axis=0, kind="stable")
         self.docs = np.ascontiguousarray(order.T)
         self.values = np.ascontiguousarray(np.take_along_axis(x, order, axis=0).T).astype(self.kind)
-        self.columns = np.ascontiguousarray(x.T).astype(self.kind)
         # first[d, v + top]: where the postings of dimension d with values from v on begin
         self.first = np.stack([np.searchsorted(v, np.arange(-top, top + 2)) for v in self.values]) if top <= 4096 else None
         self.top = top
         self.exact = x.astype(np.float64) if 2 * top * top * x.shape[1] < 1 << 53 else x  # sums of products stay whole numbers
-        self.place = {int(v): k for k, v in enumerate(ids)}
 
     def _beyond(self, used: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each used dimension: the end of the postings with values up to -least, and the beginning of those from least on."""
@@ -67,46 +70,56 @@ class ImpactIndex:
         widest = size * self.widest[used]
         left, right = np.zeros(len(used), np.int64), np.full(len(used), n, np.int64)  # postings between these are open
         level = int(widest.max(initial=0)) // FIRST_LEVEL
-        low, high = self._beyond(used, level // size + 1)
-        whole = low + n - np.maximum(low, high) > n // 4  # lists that are largely above the first level are taken whole, in document order
-        for d, c in zip(used[whole].tolist(), q[used[whole]].tolist()):
-            acc += self.kind(c) * self.columns[d]
-        used, size, widest, left, right = used[~whole], size[~whole], widest[~whole], left[~whole], right[~whole]
         while True:
             low, high = self._beyond(used, level // size + 1) if len(used) else (left, right)
             high = np.maximum(low, high)
+            rest = int((size * np.minimum(level // size, self.widest[used])).sum())  # open values are at most level // size
+            docs, impacts = [], []
             for d, c, a, b, e, f in zip(used.tolist(), q[used].tolist(), left.tolist(), low.tolist(), high.tolist(), right.tolist()):
                 if a < b:
-                    acc[self.docs[d, a:b]] += self.kind(c) * self.values[d, a:b]
+                    docs.append(self.docs[d, a:b])
+                    impacts.append(self.values[d, a:b] * self.kind(c))
                 if e < f:
-                    acc[self.docs[d, e:f]] += self.kind(c) * self.values[d, e:f]
+                    docs.append(self.docs[d, e:f])
+                    impacts.append(self.values[d, e:f] * self.kind(c))
+            if docs and self.exact.dtype == np.float64:
+                acc += np.bincount(np.concatenate(docs), np.concatenate(impacts), n).astype(self.kind)
+            else:
+                for at, x in zip(docs, impacts):  # a vector has one posting in a dimension
+                    acc[at] += x
             left, right = low, high
             if skip is not None:
                 acc[skip] = np.iinfo(self.kind).min // 2
-            rest = int(np.minimum(level, widest).sum())
             ahead = np.argpartition(acc, n - 2 * k)[n - 2 * k :]
             ahead = ahead[ahead != skip] if skip is not None else ahead
             kth = np.sort(self.exact[ahead] @ q)[-k] if len(ahead) >= k else -np.inf  # k rows have this score or a better one
             members = np.flatnonzero(acc >= kth - rest)
-            if len(members) <= max(POSSIBLE * k, n // 16) or not level or not len(used):
+            if len(members) <= max(POSSIBLE * k, n // SHARE) or not level or not len(used):
                 return members
-            level //= 2
+            level = level * 3 // 4
 
-    def search(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best other vectors, ties to the smaller id."""
-        skip = self.place.get(query_id)
+    def search(self, skip: int | None, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and scores of the k best vectors but row skip, ties to the smaller id, then the earlier row."""
         rows = self.possible(q, k, skip)
         if skip is not None:
             rows = rows[rows != skip]
         scores = (self.exact[rows] @ q.astype(self.exact.dtype)).astype(np.int64)
-        best = np.lexsort((self.ids[rows], -scores))[:k]
-        return self.ids[rows[best]], scores[best]
+        best = np.lexsort((rows, self.ids[rows], -scores))[:k]
+        return rows[best], scores[best]
+
+
+def exhaustive(x: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int, skip: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """As ImpactIndex.search for components whose products don't fit 64 bits: whole numbers of any size, scores held to the limits of 64 bits."""
+    rows = np.array([r for r in range(len(x)) if r != skip], np.int64)
+    scores = np.array([max(-(1 << 63), min((1 << 63) - 1, sum(int(a) * int(b) for a, b in zip(x[r], q)))) for r in rows], np.int64)
+    best = np.array(sorted(range(len(rows)), key=lambda r: (-int(scores[r]), ids[rows[r]], rows[r])), np.int64)[:k]
+    return rows[best], scores[best]
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     """vec_id and v, the components as floor(scale * x); vectors that are null or hold a null or non-finite component are left out."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(finite)
+    rows = vectors.where(F.col("embedding").isNotNull()).where(finite)
     return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long")).alias("v"))
 
 
@@ -114,7 +127,7 @@ def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
     """Rows of equal length; shorter vectors count as ending in zeros."""
     lists = column.combine_chunks()
     n = np.diff(lists.offsets.to_numpy())
-    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     if (n == dims).all():
         return flat.reshape(-1, dims)
     out = np.zeros((len(n), dims), np.int64)
@@ -125,32 +138,48 @@ def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
 def exact_top_k(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY, scale: int = SCALE, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for every row whose vec_id is divisible by query_every its k best other rows.
 
-    Every query meets every block of vectors in a task of its own pair of
-    blocks; the k best of each block are merged by query.  Rows with the same
-    vec_id count once; an empty table, or one row, gives no rows.
+    Every query meets every block of vectors in one task; the k best of each
+    block are merged by query.  Rows with the same vec_id are rows of their own,
+    as candidates and as queries; rows without one are candidates, last among
+    ties.  Components and scores are held to the limits of 64 bits; other columns
+    are ignored; an empty table, or one row, gives no rows.
     """
-    rows = quantised(vectors, scale).groupBy("vec_id").agg(F.min("v").alias("v"))
-    total = vectors.count()
-    blocks, parts = max(1, -(-total // block_rows)), max(1, -(-total // (query_every * block_queries)))
+    rows = cut(quantised(vectors, scale).withColumn("rid", F.monotonically_increasing_id()))
+    asked = F.coalesce(F.col("vec_id") % query_every == 0, F.lit(False))
+    largest = F.max(F.coalesce(F.array_max(F.transform("v", lambda x: F.greatest(x, F.bitwise_not(x)))), F.lit(0)))
+    sizes = rows.agg(F.count("*").alias("rows"), F.count_if(asked).alias("queries"), largest.alias("largest")).first()
+    width = next(t for t, n in (("tinyint", 7), ("smallint", 15), ("int", 31), ("bigint", 64)) if (sizes["largest"] or 0) < 1 << n)
+    blocks = max(1, -(-sizes["rows"] // block_rows))
+    parts = max(1, -(-sizes["queries"] // block_queries), min(-(-sizes["queries"] // FEW_QUERIES), -(-TASKS // blocks)))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("i")
-    part = F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(parts)).cast("int").alias("j")
-    left = rows.select("vec_id", "v", block, every(parts).alias("j"))
-    right = rows.where(F.col("vec_id") % query_every == 0).select("vec_id", "v", part, every(blocks).alias("i"))
+    block = F.pmod(F.xxhash64("rid"), F.lit(blocks)).cast("int").alias("i")
+    part = F.pmod(F.xxhash64("rid", F.lit(7)), F.lit(parts)).cast("int").alias("j")
+    narrow = rows.select("rid", "vec_id", F.col("v").cast(f"array<{width}>").alias("v"))  # one byte a component as a rule
+    left = narrow.select("rid", "vec_id", "v", block, every(parts).alias("j"))
+    right = narrow.where(asked).select("rid", "vec_id", "v", part, every(blocks).alias("i"))
+    none = np.iinfo(np.int64).max  # where a row without an id stands among ties
 
     def search(docs: pa.Table, queries: pa.Table) -> pa.Table:
-        out: tuple[list, list, list, list] = ([], [], [], [])
+        out: tuple[list, list, list] = ([], [], [])
         if len(docs) and len(queries):
             dims = max(max(len(x) for x in t.column("v")) for t in (docs, queries))
-            index = ImpactIndex(docs.column("vec_id").to_numpy(), _matrix(docs.column("v"), dims))
-            for query, q in zip(queries.column("vec_id").to_pylist(), _matrix(queries.column("v"), dims)):
-                ids, scores = index.search(query, q, k)
-                out[0].append(np.full(len(ids), query, np.int64))
-                out[1].append(ids)
+            x, q = _matrix(docs.column("v"), dims), _matrix(queries.column("v"), dims)
+            rid, ids = docs.column("rid").to_numpy(), docs.column("vec_id").fill_null(none).to_numpy()
+            top = [max(int(m.max(initial=0)), -int(m.min(initial=0))) for m in (x, q)]
+            index = ImpactIndex(ids, x) if 2 * dims * max(top) ** 2 < 1 << 62 else None
+            place = {r: n for n, r in enumerate(rid.tolist())}
+            for query, y in zip(queries.column("rid").to_pylist(), q):
+                skip = place.get(query)
+                at, scores = index.search(skip, y, k) if index else exhaustive(x, ids, y, k, skip)
+                out[0].append(np.full(len(at), query, np.int64))
+                out[1].append(at)
                 out[2].append(scores)
-        none = np.zeros(0, np.int64)
-        return pa.table({c: np.concatenate([none, *x]) for c, x in zip(("query_id", "vec_id", "score"), out)})
-
-    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(search, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        empty = np.zeros(0, np.int64)
+        query, at, score = (np.concatenate([empty, *x]) for x in out)
+        return pa.table({"query": query, "rid": docs.column("rid").take(pa.array(at)), "vec_id": docs.column("vec_id").take(pa.array(at)), "score": score})
+
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(search, "query long, rid long, vec_id long, score long")
+    best = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last(), "rid")
+    found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    names = narrow.where(asked).select(F.col("rid").alias("query"), F.col("vec_id").alias("query_id"))
+    return found.join(names, "query").select("query_id", "rank", "vec_id", "score")
