@@ -2,16 +2,18 @@
 
 The base spans are taken by fixed rules.  Beyond them the method proposes
 international account numbers (confirmed by mod 97), national telephone numbers
-without a country code, social security numbers, cards that an unlucky
-neighbouring digit hides, and IPv6 and MAC addresses; each has a prior score
+without a country code, social security numbers, IPv6 and MAC addresses, and
+access tokens (confirmed by their mix of characters); each has a prior score
 that confirmation and context words around it raise or lower, and is kept from
-THRESHOLD on.
+THRESHOLD on.  All of it is linear in the text: patterns begin at the edge of a
+run of their characters and don't give back what they took.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -22,13 +24,13 @@ from pyspark.sql import functions as F
 from .common import text_or_empty
 
 #: Kinds in the order in which spans that start together are listed.
-KINDS = ("email", "ip", "card", "phone", "iban", "national_phone", "ssn", "ipv6", "mac")
+KINDS = ("email", "ip", "card", "phone", "iban", "national_phone", "ssn", "ipv6", "mac", "secret")
 BASE = 4
 THRESHOLD = 0.6
 CONTEXT = 40
 
 # The base patterns, and the proposals of the method with their prior scores.
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 EMAIL_AFTER = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -39,6 +41,7 @@ PROPOSED = {
     "ssn": (re.compile(r"(?<![\w-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![\w-])"), 0.4),
     "ipv6": (re.compile(r"(?<![\w:])(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![\w:])"), 0.8),
     "mac": (re.compile(r"(?<![\w:-])(?:[0-9a-fA-F]{2}[:-]){5}[0-9a-fA-F]{2}(?![\w:-])"), 0.7),
+    "secret": (re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,128}+(?![A-Za-z0-9_-])"), 0.3),
 }
 RAISES = {
     "iban": ("iban", "account", "konto", "bank", "transfer", "compte", "cuenta", "payment"),
@@ -46,6 +49,7 @@ RAISES = {
     "ssn": ("ssn", "social", "security", "tax", "taxpayer", "identity"),
     "ipv6": ("ip", "address", "host", "server", "ipv6"),
     "mac": ("mac", "device", "address", "hardware"),
+    "secret": ("token", "key", "apikey", "secret", "password", "passwd", "pwd", "auth", "bearer", "credential", "credentials"),
 }
 LOWERS = ("order", "invoice", "version", "isbn", "issn", "part", "sku", "serial", "example", "page", "article", "item", "ref")
 
@@ -69,6 +73,12 @@ def mod97(account: str) -> bool:
     return 15 <= len(text) <= 34 and int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
 
 
+def random_looking(token: str) -> bool:
+    """Whether letters and digits are mixed as in a generated token: both, ten different characters or more, several changes between the two."""
+    changes = sum(a.isdigit() != b.isdigit() for a, b in zip(token, token[1:]))
+    return any(c.isalpha() for c in token) and len(set(token)) >= 10 and changes >= 5
+
+
 def emails(text: str) -> list[Span]:
     """Leftmost matches: the local part is the run before an @, back to the last match at most."""
     out, done, at = [], 0, text.find("@")
@@ -86,7 +96,9 @@ def emails(text: str) -> list[Span]:
 
 def base_spans(text: str) -> list[Span]:
     out = emails(text) if "@" in text else []
-    out += [Span(m.start(), "ip", m.end()) for m in IP.finditer(text) if all(int(x) <= 255 for x in m[0].split(".") if len(x) < 4 or not x.lstrip("0") or len(x.lstrip("0")) < 4) and all(len(x.lstrip("0")) < 4 for x in m[0].split("."))]
+    for m in IP.finditer(text):
+        if all(len(x) < 4 and int(x or "0") <= 255 for x in (part.lstrip("0") for part in m[0].split("."))):
+            out.append(Span(m.start(), "ip", m.end()))
     for m in CARD.finditer(text):
         if 14 <= m.end() - m.start() <= 40 and 14 <= len(d := re.sub(r"[ -]", "", m[0])) <= 19 and luhn(d):
             out.append(Span(m.start(), "card", m.end()))
@@ -98,9 +110,17 @@ def base_spans(text: str) -> list[Span]:
 def added_spans(text: str, base: list[Span], threshold: float = THRESHOLD) -> list[Span]:
     """What the method adds where no base span lies: prior, checksum and context words make the score."""
     out: list[Span] = []
+    taken: list[list[int]] = []  # stretches of the base spans, apart from each other
+    for b in base:
+        if taken and b.start < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], b.end)
+        else:
+            taken.append([b.start, b.end])
+    begins = [x[0] for x in taken]
     for kind, (pattern, prior) in PROPOSED.items():
         for m in pattern.finditer(text):
-            if any(b.start < m.end() and m.start() < b.end for b in base):
+            before = bisect_right(begins, m.end() - 1)
+            if before and taken[before - 1][1] > m.start() or kind == "secret" and not random_looking(m[0]):
                 continue
             score = prior
             if kind == "iban":
@@ -114,7 +134,7 @@ def added_spans(text: str, base: list[Span], threshold: float = THRESHOLD) -> li
     return out
 
 
-_any = re.compile(r"[0-9@]|(?:[0-9a-fA-F]{1,4}:)")
+_any = re.compile(r"[0-9@]|[0-9a-fA-F]:")
 
 
 def spans_of(text: str) -> tuple[list[Span], list[Span]]:
