@@ -21,12 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty
+from .common import cut, scoped, text_or_empty
 
 #: Labelled rows that the model is fitted on, at most; those with the least hashes.
 FIT_ROWS = 60_000
-#: Terms of the lexicon, at most; those with the highest log odds times support.
-LEXICON_TERMS = 2_000
 #: Log odds of a term, and its likelihood ratio against the base rate (twice the logarithm), at least; stems need STEM_RATIO.
 MIN_LOG_ODDS = 2.5
 MIN_RATIO = 25.0
@@ -41,11 +39,17 @@ CACHE_TOKENS = 300_000
 THRESHOLD = 0.7
 
 # Words that report speech, and words that address someone.
-REPORTING = frozenset("said says say called calls quote quoted quoting cited cites word words term terms phrase reported reports alleged allegedly claims claimed wrote writes according definition means meaning".split())
-ADDRESS = frozenset("you your you're youre yourself u ur".split())
+REPORTING = frozenset(
+    "said says say called calls quote quoted quoting cited cites word words term terms phrase reported reports alleged allegedly claims claimed wrote writes according definition means meaning"
+    " sagte sagt nannte zitat zitierte zitiert wort wörter begriff berichtete berichtet angeblich behauptet schrieb laut bedeutet bedeutung"
+    " dit disait appelé appelle citation cite cité mot mots terme rapporte rapporté prétend écrit selon définition signifie"
+    " dijo dice llamó llama cita citó palabra palabras término informó presunto presuntamente afirma escribió según definición significa".split()
+)
+ADDRESS = frozenset("you your you're youre yourself u ur du dich dir dein deine ihr euch tu toi ton ta vous votre tú ti tu usted ustedes vosotros".split())
 QUOTES = frozenset("\"'“”‘’«»„")
 
 _token = re.compile(r"[^\W\d_][\w'’]*|[\"“”«»„]")
+_stretched = re.compile(r"(.)\1{2,}")
 
 
 def edits_allowed(term: str) -> int:
@@ -60,7 +64,7 @@ class Trie:
         pieces: dict[int, dict[str, list[tuple[int, int, int, int]]]] = {}
         for table, kind in ((terms, "$$"), (stems, "%%")):
             for term, weight in table.items():
-                k, node = edits_allowed(term), self.root
+                k, node = edits_allowed(term) if kind == "$$" else 0, self.root  # a stem stands for many words as it is
                 node["most"] = max(node["most"], k)
                 for ch in term:
                     node = node.setdefault(ch, {"most": 0})
@@ -83,7 +87,7 @@ class Trie:
         return False
 
     def walk(self, token: str) -> tuple[float, bool] | None:
-        """The best match: weight, halved for each edit, and whether the token is a term itself.
+        """The best match: weight, halved for each edit, and whether it is without edits (of a term, or of a stem).
 
         The automaton's states after e edits are the bits of an integer, bit i for
         i characters of the token that are read.
@@ -102,7 +106,7 @@ class Trie:
                     accepting = end if mark == "$$" else full
                     d = 0 if r0 & accepting else 1 if r1 & accepting else 2 if r2 & accepting else 3
                     if d <= allowed and (best is None or weight * 0.5**d > best[0]):
-                        best = (weight * 0.5**d, mark == "$$" and not d)
+                        best = (weight * 0.5**d, not d)
             for ch, below in node.items():
                 if len(ch) == 1:
                     on, most = same.get(ch, 0), below["most"]
@@ -126,8 +130,14 @@ class Matcher:
         self.seen: set[str] = set()
 
     def match(self, token: str) -> tuple[float, bool] | None:
-        found = self.trie.walk(token) if 3 < len(token) < 40 and self.trie.may_match(token) else None
-        return None if found and not found[1] and token in self.harmless else found
+        """The token's best match as it is written, or, stretched, with runs of a letter made short."""
+        found = self.trie.walk(token) if self.trie.may_match(token) else None
+        if found is None and _stretched.search(token):
+            for run in (r"\1", r"\1\1"):
+                short = _stretched.sub(run, token)
+                if found := self.trie.walk(short) if self.trie.may_match(short) else None:
+                    return found
+        return None if found and token in self.harmless else found
 
     def features(self, text: str) -> list[float]:
         tokens = _token.findall(text.lower())
@@ -138,32 +148,28 @@ class Matcher:
             if found := self.match(t):
                 self.hits[t] = found
         self.seen |= words
-        total = quoted = most = edited = 0.0
+        total = edited = quoted = aimed = most = 0.0
         if not words.isdisjoint(self.hits):
             at = [i for i, t in enumerate(tokens) if t in self.hits]
-            places = np.array(at)
-            for i in at:
+            for k, i in enumerate(at):
                 weight, exact = self.hits[tokens[i]]
                 near = tokens[max(0, i - WINDOW) : i] + tokens[i + 1 : i + 1 + WINDOW]
-                factor = 1.0
-                if any(t in REPORTING for t in near):
-                    factor *= 0.5
-                if QUOTES.intersection(tokens[max(0, i - 3) : i]) and QUOTES.intersection(tokens[i + 1 : i + 4]):
-                    factor *= 0.3
-                if any(t in ADDRESS for t in near):
-                    factor *= 1.3
-                if np.count_nonzero(np.abs(places - i) <= WINDOW) > 1:
-                    factor *= 1.2
-                if factor < 1:
-                    quoted += weight * (1 - factor)
+                said = any(t in REPORTING for t in near)
+                marked = bool(QUOTES.intersection(tokens[max(0, i - 3) : i]) and QUOTES.intersection(tokens[i + 1 : i + 4]))
+                factor = 0.5**said * 0.3**marked
+                if any(t in ADDRESS for t in near) or k and i - at[k - 1] <= WINDOW or k + 1 < len(at) and at[k + 1] - i <= WINDOW:
+                    aimed += weight * factor
+                quoted += weight * (1 - factor)
                 if not exact:
                     edited += weight * factor
                 total += weight * factor
                 most = max(most, weight * factor)
-        return [math.log1p(total), most, math.log1p(quoted), math.log1p(edited), math.log1p(100 * total / max(1, len(tokens)))]
+        return [math.log1p(total), math.log1p(edited), most, math.log1p(quoted), math.log1p(aimed), math.log1p(100 * total / max(1, len(tokens)))]
 
 
-N_FEATURES = 5
+N_FEATURES = 6
+#: Weights that the model has where the sample says nothing: what is quoted speaks against toxicity, what is aimed at someone or comes in numbers for it.
+PRIOR = (0.5, 0.0, 0.3, -0.5, 0.3, 0.5)
 
 
 def fit_sample(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -207,40 +213,43 @@ def learn_lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]
     stem = stem.withColumn("odds", odds("toxic", "clean")).withColumn("ratio", ratio("toxic", "clean"))
     stem = stem.where((F.col("endings") >= STEM_ENDINGS) & (F.col("ratio") >= STEM_RATIO) & (F.col("clean") <= F.col("toxic")))
     stems: dict[str, float] = {}
-    for r in sorted(stem.orderBy(F.col("ratio").desc(), "stem").limit(LEXICON_TERMS).collect(), key=lambda r: (-r["odds"], len(r["stem"]), r["stem"])):
+    for r in sorted(stem.orderBy(F.col("ratio").desc(), "stem").collect(), key=lambda r: (-r["odds"], len(r["stem"]), r["stem"])):
         if not any(r["stem"][:k] in stems for k in STEM_LENGTHS if k < len(r["stem"])):
             stems[r["stem"]] = r["odds"]
     stemmed = F.lit(False)
     for n in STEM_LENGTHS:
         if own := [x for x in stems if len(x) == n]:
             stemmed = stemmed | F.substring("word", 1, n).isin(own)
-    good = weighed.where((F.col("odds") >= MIN_LOG_ODDS) & (F.length("word") >= 4) & (F.col("clean") <= F.col("toxic") * 0.05))
+    good = weighed.where((F.col("odds") >= MIN_LOG_ODDS) & (F.length("word") >= 2) & (F.col("clean") <= F.col("toxic") * 0.05))
     good = good.where((F.col("ratio") >= MIN_RATIO) | stemmed & (F.col("ratio") >= STEMMED_RATIO))
-    terms = {r["word"]: r["odds"] for r in good.orderBy(F.col("ratio").desc(), "word").limit(LEXICON_TERMS).collect()}
+    terms = {r["word"]: r["odds"] for r in good.orderBy(F.col("ratio").desc(), "word").collect()}
     matcher = Matcher(terms, stems, frozenset())
 
     def near_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([w for w in b.column(0).to_pylist() if (m := matcher.match(w)) and not m[1]], pa.string())], ["word"])
+            yield pa.RecordBatch.from_arrays([pa.array([w for w in b.column(0).to_pylist() if w not in terms and matcher.match(w)], pa.string())], ["word"])
 
-    # clean words within two edits of a term or with a stem: few, as terms and stems are bounded
+    # clean words within two edits of a term or with a stem: some of the words of fit_rows documents at most
     harmless = frozenset(r["word"] for r in table.where("clean > 0 and toxic <= clean").select("word").mapInArrow(near_terms, "word string").collect())
     return terms, stems, harmless
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> np.ndarray:
-    """Weights, the constant last, by Newton's method with a ridge penalty."""
+def logistic(x: np.ndarray, y: np.ndarray, prior: tuple[float, ...] = PRIOR, ridge: float = 1.0, rounds: int = 100) -> np.ndarray:
+    """Weights, the constant last, by damped Newton steps with a ridge penalty on what lies off the prior weights."""
     x = np.c_[x, np.ones(len(x))]
-    w = np.zeros(x.shape[1])
+    middle = np.r_[prior, 0.0]
     penalty = np.diag([ridge] * (x.shape[1] - 1) + [1e-6])
+    loss = lambda w: np.logaddexp(0, x @ w).sum() - y @ (x @ w) + 0.5 * (w - middle) @ penalty @ (w - middle)
+    w, before = middle.copy(), loss(middle)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (y - p) - penalty @ w
-        h = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + penalty
-        step = np.linalg.solve(h, g)
-        w += np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
+        g = x.T @ (y - p) - penalty @ (w - middle)
+        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + penalty, g)
+        while (after := loss(w + step)) > before and np.abs(step).max() > 1e-9:
+            step /= 2
+        if after > before or np.abs(step).max() < 1e-8:
             break
+        w, before = w + step, after
     return w
 
 
@@ -272,12 +281,16 @@ class ToxicityModel:
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> ToxicityModel:
     """Learns the lexicon and the model from at most fit_rows labelled rows outside the held-out fold; without labels every text scores 0.5 x base."""
-    sample = fit_sample(docs, labels, fit_rows)
+    with scoped(docs.sparkSession):
+        return _fit(cut(fit_sample(docs, labels, fit_rows)))
+
+
+def _fit(sample: DataFrame) -> ToxicityModel:
     apart = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(3)) == 0  # the lexicon has not seen these, as it has not seen what it will score
     terms, stems, harmless = learn_lexicon(sample.where(~apart))
     rows = featured(sample.where(apart), Matcher(terms, stems, harmless), ["toxic"]).collect() if terms or stems else []  # at most fit_rows rows of numbers
     if len({r["toxic"] for r in rows}) < 2:
-        return ToxicityModel(terms, stems, harmless, np.r_[np.zeros(N_FEATURES), -4.0])
+        return ToxicityModel(terms, stems, harmless, np.r_[PRIOR, -4.0])
     x, y = np.array([r["__features"] for r in rows]), np.array([float(r["toxic"]) for r in rows])
     weights = logistic(x, y)
     return ToxicityModel(terms, stems, harmless, weights)
