@@ -5,7 +5,8 @@ splitters between shards come from rounds of exact counting: each round adds up
 the bytes below a set of probe keys in all partitions at once, keeps for each
 splitter the interval that still holds its target, and lays new probes in it,
 until the bytes below a probe are within the tolerance or the interval holds one
-row.  Then the rows are exchanged once, by slice.
+row.  A splitter inside a group of equal texts moves to the group's edge if that
+is near, so that only groups which are large beside a shard are cut.  Then the rows are exchanged once, by slice.
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ TOLERANCE = 0.0005
 #: Probes for each open splitter and round.
 PROBES = 32
 #: Rows of a slice of a shard that one task orders.
-SLICE_ROWS = 250_000
+SLICE_ROWS = 4_000_000
+#: A splitter moves to the edge of a group of equal texts if that costs no more than this share of a shard.
+GROUP_TOLERANCE = 0.01
 
 _LOW, _HIGH = 0, 1 << 128
 
@@ -120,11 +123,27 @@ def splitters(rows: DataFrame, shares: list[float], tolerances: list[float], pro
     return [done[k] for k in range(len(shares))]
 
 
+def at_edges(rows: DataFrame, found: list[int], shares: list[float], most: float) -> list[int]:
+    """The splitters, each moved to the nearer edge of the group of equal text hashes that it lies in, if that is off its share by ``most`` or less."""
+    edges = sorted({edge for key in found if key < _HIGH for edge in (key >> 64 << 64, ((key >> 64) + 1) << 64) if edge < _HIGH})
+    if not edges:
+        return found
+    gaps = _counted(rows, edges)
+    below = dict(zip(edges, np.cumsum([gaps.get(g, (0,))[0] for g in range(len(edges))]).tolist()))
+    out = []
+    for key, share in zip(found, shares):
+        near = [(abs(below[e] - share), e) for e in (key >> 64 << 64, ((key >> 64) + 1) << 64) if e in below]
+        off, edge = min(near, default=(most + 1, key))
+        out.append(edge if off <= most else key)
+    return out
+
+
 def histogram_shards(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot: shards of near-equal bytes in key order, slots gapless from 0.
 
     Null texts have size 8; repeated rows and null ids are kept (rows with the
-    same text and id stay together); an empty table gives no rows; shards that
+    same text and id stay together, however many); equal texts lie in one shard
+    but for groups that are large beside it; an empty table gives no rows; shards that
     no row falls into (fewer rows than shards) are empty.
     """
     rows = cut(keyed(docs))
@@ -134,7 +153,10 @@ def histogram_shards(docs: DataFrame, shards: int = SHARDS, tolerance: float = T
     tight, loose = tolerance * each * slices, 0.25 * each
     at = range(1, shards * slices)
     found = splitters(rows, [k * each for k in at], [loose if k % slices else tight for k in at])
-    edges = np.array(sorted(map(_text_key, found)), dtype="S32")
+    cuts = at_edges(rows, found[slices - 1 :: slices], [k * each for k in at if k % slices == 0], GROUP_TOLERANCE * each * slices)
+    bounds = [_LOW, *cuts, _HIGH]
+    found = [cuts[k // slices - 1] if k % slices == 0 else min(max(key, bounds[k // slices]), bounds[k // slices + 1]) for k, key in zip(at, found)]
+    edges = np.array([_text_key(min(key, _HIGH - 1)) for key in found], dtype="S32")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
