@@ -25,9 +25,11 @@ from .common import cut, text_or_empty
 MAX_TOKENS = 4096
 END_ID = 1
 #: Rows of one length and bucket that are ranked together in one task.
-RANK_ROWS = 50_000
+RANK_ROWS = 20_000
 #: Words whose ids a Python worker keeps, at most.
 CACHE_WORDS = 800_000
+#: A stored number of each piece, by which pieces are dealt over tasks.
+DEAL = "__deal"
 
 _coders: dict[str, "WordCoder"] = {}
 
@@ -180,7 +182,8 @@ def best_fit_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
 def ranked(pieces: DataFrame, total: int) -> DataFrame:
     """Adds rank, from 0 among the pieces of a length, without a task that holds a whole length: counts by (length, bucket) give each bucket's first rank."""
     buckets = max(1, -(-total // RANK_ROWS))
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    by = [DEAL] if DEAL in pieces.columns else [c for c in pieces.columns if c != "length"]  # not by the id: it may be null or repeated
+    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64(*by), F.lit(buckets)).cast("int"))
     w = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
     ranks = dealt.withColumn("rank", F.row_number().over(w) - 1)
     if buckets == 1:
@@ -199,7 +202,7 @@ def pack(pieces: DataFrame, capacity: int = MAX_TOKENS) -> DataFrame:
     plan = sorted(best_fit_plan(counts, capacity))
     length, rank, per, first, offset = (np.array(x, dtype=np.int64) for x in (zip(*plan) if plan else [()] * 5))
     keys = (length << 44) | rank  # 2^44 pieces of one length
-    columns = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    columns = [c for c in pieces.columns if c not in ("sequence_id", "offset", DEAL)]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -209,9 +212,9 @@ def pack(pieces: DataFrame, capacity: int = MAX_TOKENS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(first[k] + r // per[k]), pa.array(offset[k] + r % per[k] * n)], [*columns, "sequence_id", "offset"])
 
     kinds = ", ".join(f"`{c}` {k}" for c, k in pieces.select(*columns).dtypes)
-    return ranked(pieces.select(*columns), sum(counts.values())).withColumn("rank", F.col("rank").cast("long")).mapInArrow(place, f"{kinds}, sequence_id long, offset long")
+    return ranked(pieces.drop("sequence_id", "offset"), sum(counts.values())).withColumn("rank", F.col("rank").cast("long")).mapInArrow(place, f"{kinds}, sequence_id long, offset long")
 
 
 def best_fit_packing(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, end_id: int = END_ID) -> DataFrame:
     """Tokenises documents, cuts the longer ones and packs the pieces by best fit decreasing."""
-    return pack(cut(token_pieces(docs, tokenizer_path, max_tokens, end_id)), max_tokens)
+    return pack(cut(token_pieces(docs, tokenizer_path, max_tokens, end_id).withColumn(DEAL, F.monotonically_increasing_id())), max_tokens)
