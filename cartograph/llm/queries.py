@@ -1,4 +1,4 @@
-"""The registered queries of this subpackage, and their SQL for DuckDB."""
+"""The registered queries of this subpackage; their SQL, where there is any, is in oracles.py."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import html_text, linededup, mixing, packing, pii, quality, sharding, simhash, topk, toxicity
 from .common import table
+from .oracles import ORACLE_SQL
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -60,5 +61,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_removed", "text")
 
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
 QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_html_extraction, op3_best_fit_packing, op4_quality_rules, op5_toxicity, op6_sharding, op7_simhash, op8_pii, op9_mixing, op10_line_dedup)}
-ORACLE_SQL: dict[str, str] = {}

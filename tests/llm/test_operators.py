@@ -1,8 +1,10 @@
 """The operators against plain brute-force versions, and on nulls, empty tables, repeated rows and clashing columns."""
 
 import collections
+import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -10,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from cartograph.llm import html_text, linededup, mixing, nearcopies, packing, pii, quality, sharding, simhash, topk, toxicity
+from cartograph.llm import common, html_text, linededup, mixing, nearcopies, packing, pii, quality, sharding, simhash, topk, toxicity
 from cartograph.llm.queries import QUERIES, tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -61,10 +63,27 @@ def test_topk_against_brute_force(spark, sf_dir):
 def test_topk_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     data = [(0, [1.0, 0.5]), (1, None), (2, [nan, 1.0]), (3, [inf, 1.0]), (4, [None, 1.0]), (5, [1.0, 0.5]), (6, [1.0, 0.5]), (20, [0.0, 0.0]), (None, [1.0, 1.0]), (7, [-1.0, 0.1]), (5, [1.0, 0.5])]
-    got = topk.exact_top_k(spark.createDataFrame(data, "vec_id long, embedding array<float>")).orderBy("query_id", "rank").collect()
-    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in got if r.query_id == 0] == [(0, 1, 5, 5120), (0, 2, 6, 5120), (0, 3, 20, 0), (0, 4, 7, -64 * 64 + 32 * 6)]
-    assert [r.vec_id for r in got if r.query_id == 20] == [0, 5, 6, 7]
-    assert topk.exact_top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    vectors = spark.createDataFrame(data, "vec_id long, embedding array<float>").withColumn("rid", F.lit("clash")).withColumn("v", F.lit("clash"))
+    got = topk.exact_top_k(vectors).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in got if r.query_id == 0] == [(0, 1, None, 6144), (0, 2, 5, 5120), (0, 3, 5, 5120), (0, 4, 6, 5120), (0, 5, 20, 0), (0, 6, 7, -64 * 64 + 32 * 6)]
+    assert [r.vec_id for r in got if r.query_id == 20] == [0, 5, 5, 6, 7, None]
+    assert topk.exact_top_k(vectors.limit(0)).count() == 0 and topk.exact_top_k(vectors.where("vec_id = 20")).count() == 0
+    twice = topk.exact_top_k(vectors.where("vec_id = 20").union(vectors.where("vec_id = 20"))).collect()
+    assert [tuple(r) for r in twice] == [(20, 1, 20, 0)] * 2
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e5, 1e9, 1e17])
+def test_topk_of_large_components(spark, scale):
+    r = random.Random(17)
+    data = [(k, [round(r.gauss(0, 1), 3) * scale for _ in range(r.choice([4, 6]))]) for k in range(300)]
+    hold = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
+    x = {k: [hold(int(np.floor(64 * y))) for y in v] for k, v in data}
+    got = collections.defaultdict(list)
+    for row in topk.exact_top_k(spark.createDataFrame(data, "vec_id long, embedding array<double>"), block_rows=200).orderBy("query_id", "rank").collect():
+        got[row.query_id].append((row.vec_id, row.score))
+    for q in range(0, 300, 20):
+        scores = sorted((-hold(sum(a * b for a, b in zip(x[q], x[k]))), k) for k in x if k != q)
+        assert got[q] == [(k, -s) for s, k in scores[:20]]
 
 
 # ---- 2
@@ -88,6 +107,31 @@ def test_main_text_beside_articles_that_are_not_the_text():
     assert html_text.main_text(f"<body><p>Some words around.</p><article><p>{story}</p></article>") == story.strip()
 
 
+def test_windows_decide_on_a_page():
+    story = [f"Sentence number {k} of the story is long enough. " * 2 for k in range(6)]
+    page = "<nav>" + "".join(f"<li><a href=/{k}>Item {k} of menu</a></li>" for k in range(9)) + "</nav><p>Aside.</p>" + "<div></div>" + "".join(f"<p>{x}</p>" for x in story) + "<h4>Short</h4>" + f"<p>{story[0]}</p>" + "".join(f"<a href=/{k}>Read the other story number {k}</a><br>" for k in range(9)) + "<footer>Imprint and so on</footer>"
+    lines = html_text.lines_of(page)
+    weights = html_text.weights(lines)
+    kept = html_text.main_lines(lines)
+    assert kept == [*(x.strip() for x in story), "Short", story[0].strip()] or kept == ["Aside.", *(x.strip() for x in story), "Short", story[0].strip()]
+    assert (weights > 0).sum() > len(kept)  # lines with weight are left out by surge and dive
+    alone = html_text.lines_of("<p>" + story[0] + "</p>" + "<p></p>".join("<p><a href=/>A link of some length, number</a></p>" for _ in range(5)) + "<p>Stray end.</p>")
+    assert html_text.main_lines(alone) == [story[0].strip()]
+
+
+def test_broken_markup():
+    text = html_text.main_text
+    assert text("<article><p>First</p><svg/><p>Second</p><iframe src=x /><p>Third</p></article>") == "First\n\nSecond\n\nThird"
+    assert text("<article><svg><text>no</text></svg><p>First</p></article>") == "First"
+    assert text('<article><p title="x>One two</p><p>Three</p></article>') == "One two\n\nThree"
+    assert text("<article><p>One <b>two</p></i><p>3 < 4 & 5 &gt; 2 &#x41;&nbsp;b</p>") == "One two\n\n3 < 4 & 5 > 2 A b"
+    assert text("</div></p>plain words only") == "plain words only" and text("<") == "<" and text("<!-- open") == ""
+    deep = "<div>" * 30_000 + "<p>" + "Long story. " * 20 + "</p>" + "</div>" * 30_000
+    assert text(deep) == ("Long story. " * 20).strip()
+    many = "<article>" + "<p>Some more words of it.</p>" * 40_000 + "</article>"
+    assert text(many).count("Some more") == 40_000
+
+
 def test_extract_text_table(spark):
     pages = spark.createDataFrame([(1, "u", None), (1, "u", None), (None, None, "<article>a &#x41;</article>")], "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("n_chars", F.lit("clash"))
     got = sorted(map(tuple, html_text.extract_text(pages).collect()), key=str)
@@ -189,6 +233,47 @@ def test_quality_keeps_prose_and_rejects_menus(spark):
     assert kept == {0: True, 1: False, 2: False, 3: False, 4: True}
 
 
+@pytest.mark.parametrize("least_bits", [1, 58, 62])
+def test_repeated_windows_with_keys_that_collide(spark, least_bits):
+    r, vocab = random.Random(18), vocabulary(n=40)
+    texts = [prose(r, r.randint(0, 400), vocab) for _ in range(40)] + [" ".join(vocab * 3), "a b c a b c", "a a a a a"]
+    got = quality.measured(documents(spark, texts), least_bits)
+    assert not {c for c in got.columns if c.startswith("__")} - {"__text", "__parts", "__lines"}
+    assert {x.doc_id: x.n_repeat_words for x in got.collect()} == {k: base_measures(t)[4] for k, t in enumerate(texts)}
+
+
+def test_quality_replaces_clashing_columns_and_judges_repeated_rows(spark):
+    r, vocab = random.Random(3), vocabulary()
+    good = "\n".join(prose(r, 12, vocab) for _ in range(8))
+    docs = documents(spark, [good, good, None]).withColumn("kept", F.lit("clash")).withColumn("n_words", F.lit("clash"))
+    got = quality.line_quality(docs.union(docs)).collect()
+    assert sorted((x.doc_id, x.n_words, x.kept) for x in got) == sorted([(0, 96, True), (1, 96, True), (2, 0, False)] * 2)
+
+
+def plain_kept(text):
+    words = len(WORDS.findall(text or ""))
+    stay = 0
+    fold = lambda pattern: re.compile(pattern.replace("\\z", "\\Z"), re.I)
+    for line in (text or "").split("\n"):
+        w = WORDS.findall(line)
+        if not w:
+            continue
+        bad = len(w) < 30 and (not re.search(quality.CLOSED.replace("\\z", "\\Z"), line) or fold(quality.MENU).search(line) or fold(quality.BOILERPLATE).search(line))
+        heavy = sum(bool(set(x) & set("#*$%&|<>{}")) for x in w) > 0.2 * len(w) or sum(not set(x) - set(quality.SEPARATORS) for x in w) > 0.2 * len(w)
+        stay += 0 if bad or heavy else len(w)
+    return stay, not base_measures(text)[5] and words - stay <= 0.3 * words
+
+
+def test_quality_verdict_against_brute_force(spark, rows):
+    r, vocab = random.Random(19), vocabulary()
+    parts = ["Home", "MENÜ", "« Zurück »", "À propos", "Leer más", "Alle Rechte vorbehalten.", "a | b | c | d.", "x% y% z w.", "(All rights reserved.)", prose(r, 60, vocab) + " and no end"]
+    made = ["\n".join(r.choice([prose(r, r.randint(3, 25), vocab), r.choice(parts), r.choice(vocab)]) for _ in range(r.randint(4, 20))) for _ in range(200)]
+    docs = rows.select(*rows.columns).union(documents(spark, made + ODD, ids=list(range(10**6, 10**6 + len(made + ODD)))))
+    got = {x.doc_id: (x.kept_words, x.kept) for x in quality.line_quality(docs).select("doc_id", "kept_words", "kept").collect()}
+    assert got == {x.doc_id: plain_kept(x.text) for x in docs.select("doc_id", "text").collect()}
+    assert 20 < sum(k for _, k in got.values()) < len(got) - 20
+
+
 # ---- 5
 
 def test_trie_walk_is_bounded_edit_distance():
@@ -241,7 +326,7 @@ def test_histogram_shards(spark, rows):
     r, vocab = random.Random(6), vocabulary()
     texts = ODD + [prose(r, r.randint(1, 80), vocab) for _ in range(500)] + ["copy of one text"] * 400
     docs = documents(spark, texts).withColumn("shard", F.lit("clash"))
-    for slice_rows in (250_000, 5):
+    for slice_rows in (4_000_000, 5):
         got = sharding.histogram_shards(docs, slice_rows=slice_rows).toPandas()
         assert len(got) == len(texts) and set(got["shard"]) <= set(range(24))
         for _, g in got.groupby("shard"):
@@ -334,6 +419,22 @@ def test_pii_adds_confirmed_spans(spark):
     assert pii.personal_data(documents(spark, [])).count() == 0
 
 
+def test_pii_is_linear_in_the_text():
+    began = time.perf_counter()
+    for t in ("1" * 1_000_000, "1." * 200_000, "+1" + "(" * 1_000_000, "4111 1111 1111 1111 " * 10_000, "a.b1" * 200_000 + "@", "AB12 " * 200_000):
+        pii.spans_of(t)
+    assert time.perf_counter() - began < 20
+    assert pii.spans_of("1" * 6000 + ".2.3.4 " + "0" * 6000 + "1.2.3.4")[0] == [(6007, "ip", 12014)]
+
+
+def test_pii_finds_tokens_by_context(spark):
+    t = 'x token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" y'
+    assert pii.spans_of(t)[1] == [(11, "secret", 51)] and not pii.spans_of(t.replace("token", "commit"))[1]
+    assert not pii.spans_of("token " + "internationalization_of_things")[1]
+    docs = documents(spark, [t, t, "1" * 100_000], ids=[1, 1, None])
+    assert sorted(map(str, (x.spans for x in pii.personal_data(docs).collect()))) == ["", "secret:11:51", "secret:11:51"]
+
+
 # ---- 9
 
 def plain_targets(sizes):
@@ -448,26 +549,48 @@ def test_line_dedup_removes_repeats_whole_where_a_line_came_first_elsewhere(spar
     q, p, long, tail = (prose(r, n, vocab) for n in (30, 40, 60, 8))
     docs = documents(spark, [q, f"{q}\n{p}", f"{q}\n{p}", f"{long}", f"{long}\n{tail}", f"{tail}\nx\n{long}\n{tail}\ny"])
     got = {x.doc_id: x.text for x in linededup.line_dedup(docs).collect()}
-    assert got == {0: q, 1: p, 2: "", 3: long, 4: tail, 5: f"{tail}\nx\ny"}
+    assert got == {0: q, 1: f"{q}\n{p}", 2: "", 3: long, 4: tail, 5: f"{tail}\nx\ny"}
 
 
-def test_line_dedup_covers_every_repeated_run(spark):
-    r, vocab = random.Random(14), vocabulary(n=3000)
-    lines = [prose(r, r.choice([5, 12, 30, 60]), vocab) for _ in range(12)]
-    texts = ["\n".join(r.choice(lines) for _ in range(r.randint(1, 8))) for _ in range(60)]
-    got = {x.doc_id: with_words(x.text) for x in linededup.line_dedup(documents(spark, texts)).collect()}
-    seen = set()  # every run of 50 words or more at an earlier place
-    for k, t in enumerate(texts):
-        split = t.split("\n")
+def plain_dedup(texts, ids):
+    """Every line in a run of 50 words or more that has an equal run at an earlier place goes."""
+    out, seen = {}, set()
+    order = sorted(range(len(texts)), key=lambda k: (ids[k] is None, ids[k] or 0, k))
+    for k in order:
+        lines = with_words(texts[k])
+        words = [len(WORDS.findall(x)) for x in lines]
         gone = set()
-        for i in range(len(split)):
-            for j in range(i + 1, len(split) + 1):
-                if sum(len(x.split()) for x in split[i:j]) >= 50:
-                    gone |= set(range(i, j)) if tuple(split[i:j]) in seen else set()
-                    seen.add(tuple(split[i:j]))
-        it = iter([x for i, x in enumerate(split) if i not in gone])
-        assert all(x in it for x in got[k]), k
-    assert {x for t in texts for x in t.split("\n")} == {x for g in got.values() for x in g}
+        for i in range(len(lines)):
+            for j in range(i + 1, len(lines) + 1):
+                if sum(words[i:j]) >= 50:
+                    run = tuple(lines[i:j])
+                    if run in seen:
+                        gone |= set(range(i, j))
+                    seen.add(run)
+        out[k] = texts[k] if not gone else "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    return out
+
+
+@pytest.mark.parametrize("seed", [14, 20])
+def test_line_dedup_equals_brute_force(spark, seed):
+    r, vocab = random.Random(seed), vocabulary(n=3000)
+    lines = [prose(r, r.choice([1, 5, 12, 30, 60]), vocab) for _ in range(12)]
+    texts = ["\n".join(r.choice(lines + ["", " "]) for _ in range(r.randint(1, 9))) for _ in range(80)] + ODD
+    texts += [texts[3], texts[3], "\n".join([lines[1]] * 60)]
+    ids = [r.choice([None, 1, 2, *range(3, 50)]) for _ in texts]
+    rows = [(d, t, k) for k, (d, t) in enumerate(zip(ids, texts))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k int").coalesce(1).withColumn("n_lines", F.lit("clash")).withColumn("lines", F.lit("clash"))
+    got = linededup.line_dedup(docs).collect()
+    assert {x.k: x.text for x in got} == plain_dedup(texts, ids)
+    assert all(x.n_lines == len(with_words(texts[x.k])) and x.n_removed == x.n_lines - len(with_words(x.text)) for x in got)
+
+
+def test_line_dedup_is_linear_in_a_document(spark):
+    docs = documents(spark, ["\n".join(["one and the same line of ten words in all."] * 20_000), "a b.\n" * 30_000])
+    began = time.perf_counter()
+    got = {x.doc_id: x for x in linededup.line_dedup(docs).collect()}
+    assert time.perf_counter() - began < 60
+    assert got[0].n_removed == 19_999 and got[1].n_removed == 29_999
 
 
 def test_rows_keep_their_numbers_when_scans_are_split_anew(spark, tmp_path):
@@ -508,6 +631,45 @@ def test_pipeline_stages(spark, sf_dir):
     assert len(got) and labels.count() and (got.groupby("sequence_id").length.sum() <= 4096).all()
 
 
+def test_pipeline_stages_take_odd_rows(spark, sf_dir):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    r, vocab = random.Random(21), vocabulary(n=3000)
+    t = [prose(r, n, vocab) for n in (80, 80, 60, 55, 30_000)]
+    texts = [t[0], t[0], None, None, "", " \n ", t[1], t[1] + "\n" + t[2], t[2] + "\n" + t[3], t[4], "x", "x"]
+    ids = [None, None, None, 1, 2, 2, 5, 6, 7, 8, 9, 9]
+    sources = ["a", None, "a", None, "b", "b", "a", "a", None, "b", None, "a"]
+    schema = DOCS + ", uid string, size string, runs string, kept string, rank string, block string, target string, lines string"
+    docs = spark.createDataFrame([(d, x, "en", s, None if x is None else len(x), *["clash"] * 8) for d, x, s in zip(ids, texts, sources)], schema).coalesce(1)
+    seen, out = docs, {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        made = stage(spark, seen, sf_dir)
+        assert made.columns == docs.columns and stage(spark, docs.limit(0), sf_dir).count() == 0, name
+        out[name] = made.collect()
+        seen = spark.createDataFrame(out[name], docs.schema)
+    assert len(out["toxicity"]) == len(docs.collect())
+    deduped = sorted(((x.doc_id, x.text) for x in out["line_dedup"]), key=str)
+    want = [(None, t[0]), (None, None), (1, None), (2, ""), (2, " \n "), (5, t[1]), (6, t[2]), (7, t[3]), (8, t[4]), (9, "x"), (9, "x")]  # a copy that is nothing but repeats goes
+    assert deduped == sorted(want, key=str)
+    near = sorted(((x.doc_id, x.text) for x in out["simhash_near_dedup"]), key=str)
+    assert near == sorted([(None, t[0]), (1, None), (5, t[1]), (6, t[2]), (7, t[3]), (8, t[4]), (9, "x")], key=str)
+    assert {x.doc_id for x in out["mixing"]} <= {None, 5, 6, 7, 8, 9} and all(x.kept == "clash" for x in out["mixing"])
+    packed = corpus_pipeline.STAGES[-1][1](spark, seen, sf_dir).toPandas()
+    assert (packed.groupby("sequence_id").length.sum() <= 4096).all() and packed.length.sum() > 30_000
+
+
+def test_shared_folder_and_cut_tables(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(common.uuid, "uuid4", lambda old=common.uuid.uuid4: made.append(old()) or made[-1])
+    there = lambda k: os.path.exists(f"{common.shared_dir(spark)}/cut-{made[k].hex}")
+    with common.scoped(spark):
+        with common.scoped(spark):
+            common.cut(spark.range(3))
+            kept = common.cut(spark.range(4), keep=True)
+        assert not there(0) and there(1) and kept.count() == 4
+    assert not there(1)
+    assert common.cut(spark.range(2)).count() == 2 and there(2)
+
+
 def test_near_dedup_keeps_different_texts_of_null_and_repeated_ids(spark, sf_dir):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     r, vocab = random.Random(15), vocabulary(n=3000)
