@@ -3,6 +3,12 @@
 Stages, in order: toxic documents go; repeated runs of lines go; one document of
 each near-duplicate group stays; sources are mixed to their target weights; the
 mix is packed into sequences.
+
+Every stage takes rows with null or repeated ids, null, empty and very long
+texts, and columns of any further name, as they are: a null text is empty (it
+has nothing toxic, no lines, and nothing to mix, so mixing leaves it out; null
+and empty texts are near copies of each other, of which one stays), repeated
+rows are near copies too, an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -13,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartograph.llm import linededup, mixing, nearcopies, packing, toxicity
-from cartograph.llm.common import cut, numbered, shared_dir, table
+from cartograph.llm.common import cut, numbered, remove, scoped, shared_dir, table
 from cartograph.llm.queries import tokenizer_path
 
 
@@ -35,7 +41,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (0.8 of the five-word shingles or more) one row stays, of the smallest doc_id (null last)."""
     rows = numbered(docs)  # ids may be null or repeated
-    first = cut(nearcopies.firsts(rows))
+    with scoped(spark):
+        first = cut(nearcopies.firsts(rows), keep=True)
     return rows.join(first, "__uid", "left_semi").select(*docs.columns)
 
 
@@ -62,13 +69,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each one's result is written to the shared folder and read again."""
+    """All stages over documents; each one's result is written to the shared folder and read again, and what it was made from removed."""
     docs = table(spark, sf_dir, "documents")
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
         if k == len(STAGES) - 1:
-            return out
-        out.write.parquet(f"{base}/{k}-{name}")
+            return stage(spark, docs, sf_dir)  # its tables stay, as the result is read from them
+        with scoped(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}-{name}")
+        if k:
+            remove(spark, f"{base}/{k - 1}-{STAGES[k - 1][0]}")
         docs = spark.read.parquet(f"{base}/{k}-{name}")
     return docs
