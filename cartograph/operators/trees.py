@@ -1,48 +1,74 @@
 """Rooted ordered trees as tables: node_id, parent_id, child_order, is_leaf, name, edge.
 
-Walks from the root are recursive queries over (node_id, parent_id, edge); a
-closure table (ancestor, node) answers what concerns whole subtrees.
+What concerns the way to the root, or all that is below a node, is found by
+pointer doubling: after round k a node knows its ancestor 2^k steps up, the sums
+of the steps to it, and the sums of what lies fewer than 2^k steps below.  A tree
+of any depth takes as many rounds as its depth has binary digits; a round joins
+the nodes with themselves and is stored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
+
+def way_sums(nodes: DataFrame, **values: Column) -> DataFrame:
+    """node_id and, for each value, its sum over the node and all nodes above it."""
+    state = stored(nodes.select("node_id", F.col("parent_id").alias("up"), *(v.alias(k) for k, v in values.items())))
+    while not state.where("up is not null").isEmpty():
+        above = state.select(F.col("node_id").alias("up"), F.col("up").alias("_up"), *(F.col(k).alias(f"_{k}") for k in values))
+        sums = [F.when(F.col("up").isNotNull(), F.col(k) + F.col(f"_{k}")).otherwise(F.col(k)).alias(k) for k in values]
+        state = stored(state.join(above, "up", "left").select("node_id", F.col("_up").alias("up"), *sums))
+    return state.select("node_id", *values)
+
 
 def walk(nodes: DataFrame) -> DataFrame:
-    """node_id, depth, cumulative (edges from the root), path (child orders from the root)."""
-    found = nodes.sparkSession.sql(
-        """WITH RECURSIVE w(node_id, depth, cumulative, path) AS (
-             SELECT node_id, 0, edge, array(child_order) FROM {nodes} WHERE parent_id IS NULL
-             UNION ALL
-             SELECT n.node_id, w.depth + 1, w.cumulative + n.edge, concat(w.path, array(n.child_order)) FROM w JOIN {nodes} n ON n.parent_id = w.node_id)
-           SELECT * FROM w""",
-        nodes=nodes,
-    )
-    return found
-
-
-def closure(nodes: DataFrame) -> DataFrame:
-    """ancestor, node_id: every node with all nodes on its way to the root, itself first."""
-    return nodes.sparkSession.sql(
-        """WITH RECURSIVE c(ancestor, node_id, up) AS (
-             SELECT node_id, node_id, parent_id FROM {nodes}
-             UNION ALL
-             SELECT n.node_id, c.node_id, n.parent_id FROM c JOIN {nodes} n ON n.node_id = c.up)
-           SELECT ancestor, node_id FROM c""",
-        nodes=nodes,
-    )
+    """node_id, depth, cumulative (edges from the root)."""
+    return way_sums(nodes, depth=F.when(F.col("parent_id").isNull(), 0).otherwise(1), cumulative=F.col("edge"))
+
+
+def below_sums(nodes: DataFrame, rows: DataFrame, *keys: str) -> DataFrame:
+    """node_id, the keys and n: rows (node_id, keys, n) summed over each node and all nodes below it."""
+    up = stored(nodes.select("node_id", F.col("parent_id").alias("up")))
+    sums = stored(rows.select("node_id", *keys, "n"))
+    while not up.where("up is not null").isEmpty():
+        lifted = sums.join(up.where("up is not null"), "node_id").select(F.col("up").alias("node_id"), *keys, "n")
+        sums = stored(sums.unionByName(lifted).groupBy("node_id", *keys).agg(F.sum("n").alias("n")))
+        up = stored(up.join(up.select(F.col("node_id").alias("up"), F.col("up").alias("_up")), "up", "left").select("node_id", F.col("_up").alias("up")))
+    return sums
+
+
+def measured(nodes: DataFrame) -> DataFrame:
+    """node_id, depth, cumulative, n_nodes and n_leaves at and below, max_edge (of a leaf at or below), far (the longest way down to a leaf, without the node's own edge; null if it has none)."""
+    leaf = F.col("is_leaf")
+    state = nodes.select(
+        "node_id", F.col("parent_id").alias("up"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).alias("depth"), F.col("edge").alias("cumulative"),
+        F.lit(1).cast("long").alias("n_nodes"), leaf.cast("long").alias("n_leaves"), F.when(leaf, F.col("edge")).alias("max_edge"), F.when(leaf, F.lit(0.0)).alias("far"),
+    )
+    state = stored(state)
+    while not state.where("up is not null").isEmpty():
+        above = state.select(F.col("node_id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("cumulative").alias("_cumulative"))
+        below = state.where("up is not null").groupBy(F.col("up").alias("node_id")).agg(F.sum("n_nodes").alias("_nodes"), F.sum("n_leaves").alias("_leaves"), F.max("max_edge").alias("_edge"), F.max(F.col("cumulative") + F.col("far")).alias("_far"))
+        state = stored(
+            state.join(above, "up", "left").join(below, "node_id", "left").select(
+                "node_id", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), (F.col("cumulative") + F.coalesce("_cumulative", F.lit(0.0))).alias("cumulative"),
+                (F.col("n_nodes") + F.coalesce("_nodes", F.lit(0))).alias("n_nodes"), (F.col("n_leaves") + F.coalesce("_leaves", F.lit(0))).alias("n_leaves"), F.greatest("max_edge", "_edge").alias("max_edge"), F.greatest("far", "_far").alias("far"),
+            )
+        )
+    return state.drop("up")
 
 
 def cumulative(nodes: DataFrame) -> DataFrame:
-    return nodes.join(walk(nodes).select("node_id", "depth", "cumulative"), "node_id")
+    return nodes.join(walk(nodes), "node_id")
 
 
 def subtree_counts(nodes: DataFrame) -> DataFrame:
-    """Of inner nodes: number of leaves, greatest leaf edge and greatest cumulative edge below."""
-    leaves = cumulative(nodes).where("is_leaf").select("node_id", "edge", "cumulative")
-    return closure(nodes).join(leaves, "node_id").groupBy(F.col("ancestor").alias("node_id")).agg(F.count("*").alias("n_leaves"), F.max("edge").alias("max_edge"), F.max("cumulative").alias("max_cumulative"))
+    """Of nodes with leaves: number of leaves, greatest leaf edge and greatest cumulative edge, at the node or below."""
+    rows = measured(nodes).where("n_leaves > 0")
+    return rows.select("node_id", "n_leaves", "max_edge", (F.col("cumulative") + F.col("far")).alias("max_cumulative"))
 
 
 def ladderized(nodes: DataFrame) -> DataFrame:
@@ -52,9 +78,46 @@ def ladderized(nodes: DataFrame) -> DataFrame:
     return nodes.join(counts, "node_id").withColumn("child_order", F.row_number().over(w) - 1).drop("n_leaves", "max_edge")
 
 
+def numbered(nodes: DataFrame) -> DataFrame:
+    """node_id, depth, n_nodes (at and below), place: parents before children, children in order.
+
+    A place is the sum, on the way from the root, of one for the step and the
+    sizes of the earlier siblings' subtrees; no task orders the whole tree.
+    """
+    sizes = stored(measured(nodes).select("node_id", "depth", "n_nodes"))
+    earlier = Window.partitionBy("parent_id").orderBy("child_order", "node_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = nodes.join(sizes, "node_id").select("node_id", "parent_id", F.when(F.col("parent_id").isNull(), 0).otherwise(1 + F.coalesce(F.sum("n_nodes").over(earlier), F.lit(0))).alias("step"))
+    return way_sums(rows, place=F.col("step")).join(sizes, "node_id")
+
+
 def preorder(nodes: DataFrame) -> DataFrame:
     """node_id, place: parents before children, children in order."""
-    return walk(nodes).withColumn("place", F.row_number().over(Window.orderBy("path")) - 1).select("node_id", "place")  # a report over one tree
+    return numbered(nodes).select("node_id", "place")
+
+
+def postorder(nodes: DataFrame) -> DataFrame:
+    """node_id, place: children in order, before their parents."""
+    return numbered(nodes).select("node_id", (F.col("place") - F.col("depth") + F.col("n_nodes") - 1).alias("place"))
+
+
+def at_level(nodes: DataFrame) -> DataFrame:
+    """node_id, depth, place: level by level from the root, each in the order of the tree."""
+    return numbered(nodes).select("node_id", "depth", F.row_number().over(Window.partitionBy("depth").orderBy("place")).alias("place"))
+
+
+def split(nodes: DataFrame, most: int) -> DataFrame:
+    """node_id, part: the tree in parts of at most ``most`` leaves; a part is named by its top node.
+
+    Tops are the highest nodes with no more leaves than that; what is above them has no part.
+    """
+    sizes = stored(nodes.select("node_id", "parent_id").join(measured(nodes).select("node_id", "n_leaves"), "node_id"))
+    small = F.col("n_leaves") <= most
+    above = sizes.select(F.col("node_id").alias("parent_id"), small.alias("above"))
+    tops = sizes.join(above, "parent_id", "left").where(small & ~F.coalesce("above", F.lit(False)))
+    # every node below a top has its number: numbers add up on the way, and only tops have one
+    marks = sizes.join(tops.select("node_id", F.lit(1).alias("top")), "node_id", "left").select("node_id", "parent_id", F.when(F.col("top") == 1, F.col("node_id")).alias("mark"))
+    found = way_sums(marks, part=F.coalesce("mark", F.lit(0)), n=F.col("mark").isNotNull().cast("int"))
+    return found.where("n > 0").select("node_id", "part")
 
 
 def children(nodes: DataFrame) -> DataFrame:
@@ -69,22 +132,23 @@ def single_child_nodes(nodes: DataFrame) -> DataFrame:
 def remove_leaves(nodes: DataFrame, gone: DataFrame) -> DataFrame:
     """The tree without the given leaves: inner nodes without leaves go, those with one child give it their edge.
 
-    Decided from the closure at once, not level by level: a node stays if it is
-    a leaf that stays, the root, or has leaves below two of its children; its
-    new parent is the nearest ancestor that stays, and its edge is the sum of
-    the edges on the way.
+    A node stays if it is a leaf that stays, the root, or has leaves below two of
+    its children.  Pointers of all nodes then jump over what goes, adding edges,
+    until every one is at a node that stays.
     """
-    stay = nodes.where("is_leaf").join(gone.select("node_id"), "node_id", "left_anti").select("node_id")
-    up = closure(nodes)
-    alive = up.join(stay, "node_id").select(F.col("ancestor").alias("node_id")).distinct()
+    stay = nodes.where("is_leaf").join(gone.select("node_id"), "node_id", "left_anti").select("node_id", F.lit(1).alias("n"))
+    alive = stored(below_sums(nodes, stay).select("node_id"))
     branches = nodes.join(alive, "node_id", "left_semi").where("parent_id is not null").groupBy(F.col("parent_id").alias("node_id")).agg(F.count("*").alias("n"))
-    kept = stay.unionByName(branches.where("n > 1").select("node_id")).unionByName(nodes.where("parent_id is null").select("node_id")).distinct()
-    far = walk(nodes).select("node_id", "depth", "cumulative")
-    above = up.where("ancestor <> node_id").join(kept, "node_id", "left_semi").join(kept.select(F.col("node_id").alias("ancestor")), "ancestor", "left_semi")
-    above = above.join(far.select(F.col("node_id").alias("ancestor"), F.col("depth").alias("d"), F.col("cumulative").alias("c")), "ancestor")
-    parent = above.groupBy("node_id").agg(F.max_by(F.struct("ancestor", "c"), "d").alias("p"))
-    out = nodes.join(kept, "node_id", "left_semi").join(parent, "node_id", "left").join(far.select("node_id", "cumulative"), "node_id")
-    return out.select("node_id", F.col("p.ancestor").alias("parent_id"), "child_order", "is_leaf", "name", F.when(F.col("p").isNull(), F.col("edge")).otherwise(F.col("cumulative") - F.col("p.c")).alias("edge"))
+    kept = stored(stay.select("node_id").unionByName(branches.where("n > 1").select("node_id")).unionByName(nodes.where("parent_id is null").select("node_id")).distinct().withColumn("kept", F.lit(True)))
+    at = kept.select(F.col("node_id").alias("up"), "kept")
+    state = stored(nodes.select("node_id", F.col("parent_id").alias("up"), "edge").join(at, "up", "left"))
+    while not state.where("up is not null and kept is null").isEmpty():
+        above = state.select(F.col("node_id").alias("up"), F.col("up").alias("_up"), F.col("edge").alias("_edge"), F.col("kept").alias("_kept"))
+        on = F.col("up").isNotNull() & F.col("kept").isNull()
+        pick = lambda new, old: F.when(on, new).otherwise(old)
+        state = stored(state.join(above, "up", "left").select("node_id", pick(F.col("_up"), F.col("up")).alias("up"), pick(F.col("edge") + F.col("_edge"), F.col("edge")).alias("edge"), pick(F.col("_kept"), F.col("kept")).alias("kept")))
+    found = state.join(kept.select("node_id"), "node_id", "left_semi").select("node_id", F.col("up").alias("parent_id"), "edge")
+    return found.join(nodes.select("node_id", "child_order", "is_leaf", "name"), "node_id").select("node_id", "parent_id", "child_order", "is_leaf", "name", "edge")
 
 
 def old_isolated_leaves(nodes: DataFrame, date: str, important: list[str], least_children: int = 2) -> DataFrame:
@@ -134,24 +198,30 @@ def flips(labels: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def consensus_counts(nodes: DataFrame, column: str = "aa") -> DataFrame:
-    """Of inner nodes, how often each letter stands at each position of the leaves below; equal sequences are counted first."""
+    """Of inner nodes, how often each letter stands at each position of the leaves below."""
     leaves = nodes.where("is_leaf").select("node_id", F.col(column).alias("seq")).where("seq is not null")
-    whole = closure(nodes).where("ancestor <> node_id").join(leaves, "node_id").groupBy("ancestor", "seq").agg(F.count("*").alias("n"))
-    each = whole.select(F.col("ancestor").alias("node_id"), "n", F.posexplode(F.split("seq", "")).alias("p", "letter")).where("letter <> ''")
-    return each.groupBy("node_id", (F.col("p") + 1).alias("pos"), "letter").agg(F.sum("n").alias("n"))
+    each = leaves.select("node_id", F.posexplode(F.split("seq", "")).alias("p", "letter")).where("letter <> ''")
+    sums = below_sums(nodes, each.select("node_id", (F.col("p") + 1).alias("pos"), "letter", F.lit(1).alias("n")), "pos", "letter")
+    return sums.join(nodes.where("not is_leaf").select("node_id"), "node_id", "left_semi")
 
 
 def newick(nodes: DataFrame) -> str:
-    """One tree as Newick text: built bottom up, one aggregation for each level."""
-    deep = nodes.join(walk(nodes).select("node_id", "depth"), "node_id")
+    """One tree as Newick text: its parts in the order of a walk round the tree, then one string."""
     label = F.concat(F.coalesce("name", F.lit("")), F.when(F.col("edge") != 0, F.concat(F.lit(":"), F.regexp_replace(F.format_string("%.10f", "edge"), "\\.?0+$", ""))).otherwise(""))
-    deep = deep.select("node_id", "parent_id", "child_order", "depth", label.alias("label"))
-    top = deep.agg(F.max("depth")).first()[0] or 0
-    text = deep.where(F.col("depth") == top).select("node_id", "parent_id", "child_order", F.col("label").alias("text"))
-    for d in range(top - 1, -1, -1):
-        below = text.groupBy(F.col("parent_id").alias("node_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("child_order", "text"))), lambda s: s["text"]), ",").alias("inner"))
-        text = deep.where(F.col("depth") == d).join(below, "node_id", "left").select("node_id", "parent_id", "child_order", F.concat(F.when(F.col("inner").isNotNull(), F.concat(F.lit("("), F.col("inner"), F.lit(")"))).otherwise(""), "label").alias("text"))
-    return text.first()["text"] + ";"
+    eldest = Window.partitionBy("parent_id").orderBy("child_order", "node_id")
+    rows = nodes.withColumn("later", F.col("parent_id").isNotNull() & (F.row_number().over(eldest) > 1)).join(numbered(nodes), "node_id")
+    inner, come = F.col("n_nodes") > 1, 2 * F.col("place") - F.col("depth")
+    first = F.struct(come.alias("at"), F.concat(F.when(F.col("later"), ",").otherwise(""), F.when(inner, "(").otherwise("")).alias("text"))
+    last = F.struct((come + 2 * F.col("n_nodes") - 1).alias("at"), F.concat(F.when(inner, ")").otherwise(""), label).alias("text"))
+    parts = rows.select(F.explode(F.array(first, last)).alias("x")).where("x.text <> ''")
+    return parts.agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["text"]), "")).first()[0] + ";"
+
+
+def text_art(nodes: DataFrame, step: float = 1.0) -> DataFrame:
+    """place, line: a tree for the terminal, one line a node, indented by depth, with edges as dashes (step: of one unit)."""
+    dash = F.repeat(F.lit("-"), F.greatest(F.lit(1), F.round(F.col("edge") * step)).cast("int"))
+    line = F.concat(F.repeat(F.lit("  "), F.col("depth").cast("int")), F.lit("+"), dash, F.lit(" "), F.coalesce("name", F.lit("")))
+    return nodes.join(numbered(nodes), "node_id").select("place", F.rtrim(line).alias("line"))
 
 
 def fixed_names(leaves: DataFrame, seqs: DataFrame) -> DataFrame:
