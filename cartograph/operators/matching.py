@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 KEY = ["name", "reassortant", "annotations"]
 DISTINCT = "DISTINCT"
 #: Score of each level of a match, best first.
@@ -66,25 +68,34 @@ def common(primary: DataFrame, secondary: DataFrame, number: str, kind: str = "a
     long as fewer than max(3, a tenth of the smaller side) are matched.
     """
     extra = ["serum_id"] if kind == "sera" else []
-    sides = [x.where(~is_distinct(F.col("annotations"))).select(F.col(number).alias("no"), *KEY, "passage", *extra) for x in (primary, secondary)]
+    sides = [x.where(~is_distinct(F.col("annotations"))).select(F.lit(k).alias("side"), F.col(number).alias("no"), *KEY, "passage", *extra) for k, x in ((1, primary), (2, secondary))]
     wanted = {"strict": ["full"], "relaxed": ["full", "without_date", "egg"], "ignored": ["ignored"]}.get(level, list(LEVELS))
-    found = None
+    keyed = F.lit(True)
+    for c in KEY:
+        keyed = keyed & F.col(c).isNotNull()
+    # one exchange by key; each level is windows within it over the members that finer levels have left
+    rows = sides[0].unionByName(sides[1]).repartition(*KEY).withColumns({"score": F.lit(None).cast("int"), "rank": F.lit(None).cast("int"), "cls": F.lit(None).cast("string")})
     for name, cls in _classes(kind):
         if name not in wanted:
             continue
-        w = Window.partitionBy(*KEY, "cls").orderBy("no")
-        a, b = (x.withColumn("cls", cls).where("cls is not null").withColumn("rank", F.row_number().over(w)) for x in sides)
-        pairs = a.select(*KEY, "cls", "rank", F.col("no").alias("primary_no")).join(b.select(*KEY, "cls", "rank", F.col("no").alias("secondary_no")), [*KEY, "cls", "rank"]).select("primary_no", "secondary_no", F.lit(LEVELS[name]).alias("score"))
-        found = pairs if found is None else found.unionByName(pairs)
-        sides = [x.join(pairs.select(F.col(c).alias("no")), "no", "left_anti") for x, c in zip(sides, ("primary_no", "secondary_no"))]
+        rows = rows.withColumn("_cls", F.when(F.col("score").isNull() & keyed, cls))
+        one, both = Window.partitionBy(*KEY, "_cls", "side").orderBy("no"), Window.partitionBy(*KEY, "_cls")
+        there = [F.count_if(F.col("side") == k).over(both) for k in (1, 2)]
+        rows = rows.withColumns({"_rank": F.row_number().over(one), "_pairs": F.least(*there)})
+        taken = F.col("_cls").isNotNull() & (F.col("_rank") <= F.col("_pairs"))
+        rows = rows.withColumns({"score": F.when(taken, LEVELS[name]).otherwise(F.col("score")), "rank": F.when(taken, F.col("_rank")).otherwise(F.col("rank")), "cls": F.when(taken, F.col("_cls")).otherwise(F.col("cls"))})
+    member = lambda k: F.max(F.when(F.col("side") == k, F.col("no")))
+    found = rows.where("score is not null").groupBy(*KEY, "score", "cls", "rank").agg(member(1).alias("primary_no"), member(2).alias("secondary_no")).select("primary_no", "secondary_no", "score")
     if level != "automatic":
         return found
-    sizes = primary.agg(F.count("*").alias("a")).crossJoin(secondary.agg(F.count("*").alias("b")))  # one row each
-    enough = sizes.select(F.greatest(F.lit(3), F.floor(F.least("a", "b") / 10)).alias("enough"))
-    before = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    counts = found.groupBy("score").count().withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0)))  # at most four rows
-    taken = counts.crossJoin(enough).where("before < enough").select("score")
-    return found.join(F.broadcast(taken), "score", "left_semi")
+    found = stored(found)
+    sizes = primary.select(F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(secondary.select(F.lit(0).alias("a"), F.lit(1).alias("b"))).agg(F.sum("a").alias("a"), F.sum("b").alias("b")).first()
+    enough, before, scores = max(3, min(sizes["a"] or 0, sizes["b"] or 0) // 10), 0, []
+    for r in found.groupBy("score").count().orderBy(F.col("score").desc()).collect():  # at most four rows
+        if before < enough:
+            scores.append(r["score"])
+        before += r["count"]
+    return found.where(F.col("score").isin(scores)) if scores else found.limit(0)
 
 
 def comparable_annotations(annotations: Column, serum: bool = False) -> Column:
