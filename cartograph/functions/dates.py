@@ -10,7 +10,7 @@ def parse_date(text: Column, month_first: bool = False, this_year: int = 2030, i
     """YYYY-MM-DD of a date; a missing month or day is 1 if incomplete ones are allowed; null if it is no date."""
     t = F.trim(F.translate(text, "/.", "--"))
     part = lambda p, k: F.nullif(F.regexp_extract(t, p, k), F.lit("")).cast("int")
-    day = lambda y, m, d: F.try_make_date(y, m, d) if hasattr(F, "try_make_date") else F.to_date(F.when(m.between(1, 12) & d.between(1, 31), F.format_string("%04d-%02d-%02d", y, m, d)))
+    day = lambda y, m, d: F.when(m.between(1, 12) & d.between(1, 31), F.try_to_timestamp(F.format_string("%04d-%02d-%02d", y, m, d)).cast("date"))
     full, short, local, month = "^(\\d{4})-(\\d{1,2})-(\\d{1,2})$", "^(\\d{2})-(\\d{1,2})-(\\d{1,2})$", "^(\\d{1,2})-(\\d{1,2})-(\\d{4})$", "^(\\d{4})-(\\d{1,2})$"
     one = F.lit(1)
     century = part(short, 1) + F.when(part(short, 1) <= this_year - 2000, 2000).otherwise(1900)

@@ -9,24 +9,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Patterns of reassortant names (upper case) and what they are called; the first that is found counts.
-_NUMBER = "[\\- ]?(\\d+[A-Z\\d\\-]*)\\b"
-REASSORTANTS = [
-    ("NYMC[ \\-]+X[\\- ]+(\\d+) +CL[\\- ]+(\\d+)", "NYMC-$1", "CL-$2"),
-    ("(?:NYMC[ \\-]?B?X|\\bBX|NYMC)" + _NUMBER, "NYMC-$1", ""),
-    ("(?:^|[ _])X" + _NUMBER, "NYMC-$1", ""),
-    ("NIB(?:SC|RG)?" + _NUMBER, "NIB-$1", ""),
-    ("(?:PR8[\\- ]*IDCDC[\\- _]*|I[DB]CDC-)?\\bRG[\\- ]*([\\dA-Z.]+)", "RG-$1", ""),
-    ("CBER" + _NUMBER, "CBER-$1", ""),
-    ("BVR" + _NUMBER, "BVR-$1", ""),
-    ("\\b(IVR|CVR)" + _NUMBER, "$1-$2", ""),
-    ("CNIC" + _NUMBER, "CNIC-$1", ""),
-    ("(IGYRP\\d+(?:\\.C\\d+)?)", "$1", ""),
-    ("\\bSAN" + _NUMBER, "SAN-$1", ""),
-    ("REASSORTANT-([A-Z0-9\\-()_/:]+)", "REASSORTANT-$1", ""),
-]
+# Names of reassortants and how they are spelled before their number (upper case; blanks, dashes and underscores between parts don't matter).
+MAKERS = {
+    "NYMC": "NYMC X, NYMC BX, NYMC, BX, X",
+    "NIB": "NIBSC, NIBRG, NIB",
+    "RG": "PR8 IDCDC RG, IDCDC RG, IBCDC RG, RG",
+    "CBER": "CBER",
+    "BVR": "BVR",
+    "IVR": "IVR",
+    "CVR": "CVR",
+    "CNIC": "CNIC",
+    "SAN": "SAN",
+}
+# Names without a number of their own, and those that only count where the name says that it is a reassortant's.
+UNNUMBERED = {"PR8": "PR8 HY, PR8"}
+DECLARED = {"CL": "CL", "CDC": "CDC"}
+DECLARED_UNNUMBERED = {"BS": "BS"}
 # Words that are hosts even where a location has the same name.
-HOSTS = "CAMEL CHICK CHICKEN COCKATOO CROW DUCK EGRET EMU EQ EQUINE FOX FOWL GADWALL MALLARD MINK OSTRICH PAVO QUAIL ROOK SHEARWATER SHOVELER STARLING SWINE TURKEY WDK".split()
+HOSTS = [
+    "BARNACLE GOOSE", "BROILER CHICKEN", "BLUE WINGED TEAL", "CAMEL", "CHICK", "CHICKEN", "COCKATOO", "COMMON BUZZARD", "COMMON KESTREL", "COMMON TEAL", "CROW", "DOMESTIC GOOSE",
+    "DUCK", "EGRET", "EMU", "EQ", "EQUINE", "EURASIAN TEAL", "EURASIAN WIGEON", "EUROPEAN HERRING GULL", "FANCY CHICKEN", "FOX", "FOWL", "GADWALL", "GRAY HERON", "GRAYLAG GOOSE",
+    "HARBOUR SEAL", "MALLARD", "MALLARD DUCK", "MINK", "OSTRICH", "PAVO", "PINTAIL DUCK", "QUAIL", "ROOK", "SHEARWATER", "SHOVELER", "STARLING", "SWINE", "TURKEY", "WDK", "WHITE-TAILED EAGLE",
+]
 EARLIEST = 1900
 
 
@@ -35,15 +39,54 @@ def tidy(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.trim(F.upper(name)), "\\s+", " "), " ?/ ?", "/")
 
 
-def reassortant_and_rest(name: Column) -> Column:
-    """Struct reassortant, rest: the first reassortant pattern found, and the text without it."""
+def _spelled(spellings: str, number: str) -> str:
+    """A pattern of any of the spellings, not inside a word, with a number after it."""
+    each = ["[ _-]*".join(x.split()) for x in spellings.split(", ")]
+    # a single letter is too common to stand for a name after a slash or a parenthesis
+    long, single = [x for x in each if len(x) > 1], [x for x in each if len(x) == 1]
+    out = [f"(?<![A-Z0-9])(?:{'|'.join(long)}){number}"] if long else []
+    return "|".join(out + [f"(?:(?<![A-Z0-9/(])|(?<=SORTANT/)|(?<=\\(A/)){x}{number}" for x in single])
+
+
+_NUMBER = "[ -]?[0-9][A-Z0-9-]*(?![A-Z0-9])"
+_DOTTED = "[ -]*[0-9A-Z.]*[0-9][0-9A-Z.]*(?![A-Z0-9])"
+_MADE = "^[AB][^/]*/RE[A-Z]*SORTANT/|^HIGH ?GROWTH RE[A-Z]*SORTANT "
+_NAMED = [(called, _spelled(x, _DOTTED if called == "RG" else _NUMBER), "") for called, x in MAKERS.items()]
+_NAMED += [("IGYRP", _spelled("IGYRP", "[0-9]+(?:[.]C[0-9]+)?"), ""), ("REASSORTANT", "(?<![A-Z0-9])REASSORTANT-[^ ]+", "")]
+_PLAIN = [(called, _spelled(x, "(?![A-Z0-9])"), called) for called, x in UNNUMBERED.items()]
+_ONLY_MADE = [(called, _spelled(x, "[ -]*[0-9]+"), "") for called, x in DECLARED.items()] + [(called, _spelled(x, "(?![A-Z0-9])"), called) for called, x in DECLARED_UNNUMBERED.items()]
+
+
+def _canonical(found: Column, named: list[tuple[str, str, str]]) -> Column:
+    """What a spelling with its number is called."""
     out = F
-    for pattern, called, extra in REASSORTANTS:
-        whole = F.regexp_extract(name, pattern, 0)
-        text = F.regexp_replace(F.trim(whole), "^[ _]*" + pattern.replace("(?:^|[ _])", ""), called)
-        left = F.regexp_replace(name, pattern, " " + extra + " ") if extra else F.regexp_replace(name, pattern, " ")
-        out = out.when(name.rlike(pattern), F.struct(text.alias("reassortant"), left.alias("rest")))
-    return out.otherwise(F.struct(F.lit("").alias("reassortant"), name.alias("rest")))
+    for called, pattern, whole in named:
+        if whole:
+            out = out.when(found.rlike(f"^(?:{pattern})$"), whole)
+        elif called in ("IGYRP", "REASSORTANT", "CDC"):
+            out = out.when(found.rlike(f"^(?:{called})"), F.regexp_replace(found, "^CDC[ -]+", "CDC"))
+        else:
+            spelled = "|".join(sorted(("[ _-]*".join(x.split()) for x in ({**MAKERS, **DECLARED})[called].split(", ")), key=len, reverse=True))
+            out = out.when(found.rlike(f"^(?:{spelled})[ -]*[0-9A-Z.]*[0-9]"), F.concat(F.lit(called + "-"), F.regexp_replace(found, f"^(?:{spelled})[ -]*", "")))
+    return out.otherwise(found)
+
+
+def reassortant_and_rest(name: Column) -> Column:
+    """Struct reassortant, rest: the first reassortant that is named, and the text without it.
+
+    Where the name declares a reassortant, all that it names count, in their
+    order, and the crosses between them are left out.
+    """
+    once = "|".join(p for _, p, _ in _NAMED + _PLAIN)
+    every = "|".join(p for _, p, _ in _NAMED + _ONLY_MADE + _PLAIN)
+    made, text = name.rlike(_MADE), F.trim(F.regexp_replace(name, "^HIGH ?GROWTH RE[A-Z]*SORTANT ", ""))
+    first = _canonical(F.regexp_extract(text, once, 0), _NAMED + _PLAIN)
+    all_ = F.array_join(F.transform(F.regexp_extract_all(text, F.lit(f"({every})"), F.lit(1)), lambda x: _canonical(x, _NAMED + _ONLY_MADE + _PLAIN)), " ")
+    bare = F.regexp_replace(F.regexp_replace(text, "^[AB][^/]*/RE[A-Z]*SORTANT/", ""), every, " ")
+    uncrossed = F.regexp_replace(F.regexp_replace(bare, "\\( *(?:A/)? *X ", "("), " X *(?=\\)|$)", " ")
+    single = F.regexp_replace(text, f"^(.*?)[_]?(?:{once})", "$1 ")
+    found = F.struct(all_.alias("reassortant"), uncrossed.alias("rest"))
+    return F.when(made & text.rlike(every), found).when(text.rlike(once), F.struct(first.alias("reassortant"), single.alias("rest"))).otherwise(F.struct(F.lit("").alias("reassortant"), name.alias("rest")))
 
 
 def fixed_year(year: Column, this_year: int) -> Column:
@@ -78,7 +121,7 @@ def parse_names(rows: DataFrame, locations: DataFrame, column: str = "name", thi
         part = known.select(F.col("_name").alias(f"_k{key}"), F.col("_loc").alias(f"_l{key}"), F.col("_country").alias(f"_c{key}"))
         df = df.withColumn(f"_q{key}", text).join(part, F.col(f"_q{key}") == F.col(f"_k{key}"), "left")
     four = F.col("_n") > 3
-    host_first = four & ((F.col("_l1").isNull() & F.col("_l2").isNotNull()) | F.col("_a").isin(HOSTS) & (F.col("_l2").isNotNull() | F.col("_l12").isNull()))
+    host_first = four & ((F.col("_l1").isNull() & F.col("_l2").isNotNull()) | F.translate("_a", "_", " ").isin(HOSTS) & (F.col("_l2").isNotNull() | F.col("_l12").isNull()))
     double = four & ~host_first & F.col("_l12").isNotNull()
     case = F.when(~F.col("_shaped"), "none").when(host_first, "host").when(double, "double").when(four & F.col("_l1").isNotNull(), "joined").when(four, "unknown").otherwise("plain")
     df = df.withColumn("_case", case)
