@@ -196,7 +196,7 @@ def relax_incremental(spark: SparkSession, edges: DataFrame, layout: np.ndarray,
 
 
 def grid_test(spark: SparkSession, edges: DataFrame, layout: np.ndarray, step: float = 0.1, far: float = 1.0, near_equal: float = 0.25, points: list[int] | None = None) -> DataFrame:
-    """point_no, status (normal, trapped, hemisphering, disconnected), distance to the better place, change of its contribution.
+    """point_no, status (normal, trapped, hemisphering, disconnected), distance to the better place, change of its contribution, that place.
 
     Of every point its contribution to stress is computed at all points of a
     grid over the box in which its distances could be met.
@@ -207,7 +207,7 @@ def grid_test(spark: SparkSession, edges: DataFrame, layout: np.ndarray, step: f
         mine = (d.p1 == p) | (d.p2 == p)
         other = np.where(d.p1[mine] == p, d.p2[mine], d.p1[mine])
         if not mine.any() or np.isnan(layout[p]).any():
-            return p, "disconnected", None, None
+            return p, "disconnected", None, None, None
         at, target, less = layout[other], d.target[mine], d.less[mine]
         ok = ~np.isnan(at).any(axis=1)
         at, target, less = at[ok], target[ok], less[ok]
@@ -231,17 +231,17 @@ def grid_test(spark: SparkSession, edges: DataFrame, layout: np.ndarray, step: f
             if away.any() and (h := float(c[away].min())) < home + near_equal and (hemi is None or h < hemi):
                 hemi, hemi_place = h, grid[away][int(c[away].argmin())]
         if place is not None and np.linalg.norm(place - layout[p]) > far:
-            return p, "trapped", float(np.linalg.norm(place - layout[p])), least - home
+            return p, "trapped", float(np.linalg.norm(place - layout[p])), least - home, place.tolist()
         if hemi_place is not None:
-            return p, "hemisphering", float(np.linalg.norm(hemi_place - layout[p])), hemi - home
-        return p, "normal", 0.0, 0.0
+            return p, "hemisphering", float(np.linalg.norm(hemi_place - layout[p])), hemi - home, hemi_place.tolist()
+        return p, "normal", 0.0, 0.0, None
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            yield pd.DataFrame([one(p) for p in pdf["point_no"].tolist()], columns=["point_no", "status", "distance", "change"])
+            yield pd.DataFrame([one(p) for p in pdf["point_no"].tolist()], columns=["point_no", "status", "distance", "change", "place"])
 
     wanted = spark.createDataFrame([(int(p),) for p in (points if points is not None else range(len(layout)))], "point_no int")
-    return wanted.repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, "point_no int, status string, distance double, change double")
+    return wanted.repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, "point_no int, status string, distance double, change double, place array<double>")
 
 
 def avidity_test(spark: SparkSession, edges: DataFrame, layout: np.ndarray, antigens: list[int], adjusts: tuple[float, ...] = (*range(-6, 0), *range(1, 7))) -> DataFrame:
