@@ -118,6 +118,17 @@ def ranked_cells(titers: DataFrame) -> DataFrame:
     return titers.withColumn("place", F.row_number().over(w))
 
 
+def by_layers(layers: DataFrame) -> DataFrame:
+    """antigen_no, n (layers), last (layer): those in most layers first, then the latest."""
+    counts = layers.groupBy("antigen_no").agg(F.count_distinct("layer_no").alias("n"), F.max("layer_no").alias("last"))
+    return counts.orderBy(F.col("n").desc(), F.col("last").desc(), F.col("antigen_no").desc())
+
+
+def wide(titers: DataFrame, sera: list[int]) -> DataFrame:
+    """One row an antigen, one column a serum of the list."""
+    return titers.groupBy("antigen_no").pivot("serum_no", sera).agg(F.first("titer"))
+
+
 def set_titers(titers: DataFrame, changes: DataFrame) -> DataFrame:
     """titers with those of changes (same key) put in; a change to * removes."""
     joined = titers.join(changes.select(*CELL, F.col("titer").alias("new")), list(CELL), "full_outer")

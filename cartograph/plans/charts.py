@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import titer as T
 from ..operators import maps, titers
-from .fixtures import N_ANTIGENS, N_SERA, view, with_views
+from .fixtures import SERA_FROM, view, with_views
 
 QUERIES, SQL = {}, {}
 
@@ -37,7 +37,7 @@ def merged(spark, d):
 
 
 def homologous(m: DataFrame) -> DataFrame:
-    return m.where(F.col("antigen_no") % 30 == F.col("serum_no")).select("antigen_no", "serum_no")
+    return m.where((F.col("antigen_no") % 30 == F.col("serum_no") % 30) & (F.floor(F.col("antigen_no") / 120) == F.floor(F.col("serum_no") / 30))).select("antigen_no", "serum_no")
 
 
 # ---- SQL blocks
@@ -61,7 +61,7 @@ PARTS = MERGED + """,
 m AS (SELECT antigen_no, serum_no, titer, CASE WHEN titer SIMILAR TO '[<>~*].*' THEN substr(titer, 1, 1) ELSE '' END AS p,
     TRY_CAST(regexp_replace(titer, '[^0-9]', '', 'g') AS INT) AS v FROM merged_all),
 bases AS (SELECT serum_no, greatest(0.0, max(CASE WHEN p IN ('*', '~') THEN -1.0 ELSE log2(v / 10.0) + CASE WHEN p = '>' THEN 1 ELSE 0 END END)) AS column_basis FROM m GROUP BY 1),
-edges AS (SELECT antigen_no AS p1, serum_no + 120 AS p2, CASE p WHEN '' THEN 'regular' ELSE 'less_than' END AS kind, greatest(0.0, column_basis - log2(v / 10.0)) AS distance
+edges AS (SELECT antigen_no AS p1, serum_no + 1000000 AS p2, CASE p WHEN '' THEN 'regular' ELSE 'less_than' END AS kind, greatest(0.0, column_basis - log2(v / 10.0)) AS distance
   FROM m JOIN bases USING (serum_no) WHERE p IN ('', '<'))"""
 EDGES = PARTS + """,
 md AS (SELECT e.*, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS map_distance
@@ -105,9 +105,11 @@ def a5(spark, d):
     return rounded(titers.column_bases(m, 4.0, forced), "column_basis")
 
 
-@query("a6_percent_there", PARTS + " SELECT count(*) FILTER (titer <> '*') AS there, round(count(*) FILTER (titer <> '*') * 100.0 / 3600, 6) AS percent FROM m", *L)
+@query("a6_percent_there", PARTS + " SELECT count(*) FILTER (titer <> '*') AS there, round(count(*) FILTER (titer <> '*') * 100.0 / (count(DISTINCT antigen_no) * count(DISTINCT serum_no)), 6) AS percent FROM m", *L)
 def a6(spark, d):
-    return titers.percent_there(merged(spark, d), N_ANTIGENS, N_SERA)
+    m = merged(spark, d)
+    n = m.agg(F.count_distinct("antigen_no").alias("a"), F.count_distinct("serum_no").alias("s")).first()
+    return titers.percent_there(m, n["a"], n["s"])
 
 
 for _by in ("antigen_no", "serum_no"):
@@ -119,7 +121,7 @@ for _by in ("antigen_no", "serum_no"):
 @query("a8_max_table_distance", PARTS + " SELECT round(max(distance), 6) AS max_distance FROM edges", *L)
 def a8(spark, d):
     m = merged(spark, d)
-    return rounded(titers.max_table_distance(m, titers.raw_column_bases(m), N_ANTIGENS), "max_distance")
+    return rounded(titers.max_table_distance(m, titers.raw_column_bases(m), SERA_FROM), "max_distance")
 
 
 @query("a9_members_of_layer", " SELECT layer_no, count(DISTINCT antigen_no) AS antigens, count(DISTINCT serum_no) AS sera FROM titer_layers GROUP BY 1", *L)
@@ -132,15 +134,15 @@ def a11(spark, d):
     return titers.has_more_than(layers(spark, d))
 
 
-@query("a12_too_few_titers", PARTS + """, r AS (SELECT antigen_no AS point_no FROM m WHERE p = '' UNION ALL SELECT serum_no + 120 FROM m WHERE p = '')
+@query("a12_too_few_titers", PARTS + """, r AS (SELECT antigen_no AS point_no FROM m WHERE p = '' UNION ALL SELECT serum_no + 1000000 FROM m WHERE p = '')
 SELECT point_no, n AS n_regular FROM (SELECT l.point_no, count(r.point_no) AS n FROM layout l LEFT JOIN r ON r.point_no = l.point_no GROUP BY 1) t WHERE n < 20""", *ML)
 def a12(spark, d):
-    return titers.too_few_titers(merged(spark, d), view(spark, d, "layout"), N_ANTIGENS, 20)
+    return titers.too_few_titers(merged(spark, d), view(spark, d, "layout"), SERA_FROM, 20)
 
 
-@query("a13_titrated_with", PARTS + " SELECT DISTINCT serum_no + 120 AS point_no FROM m WHERE titer <> '*' AND antigen_no = 7", *L)
+@query("a13_titrated_with", PARTS + " SELECT DISTINCT serum_no + 1000000 AS point_no FROM m WHERE titer <> '*' AND antigen_no = 7", *L)
 def a13(spark, d):
-    return titers.titrated_with(merged(spark, d), 7, N_ANTIGENS)
+    return titers.titrated_with(merged(spark, d), 7, SERA_FROM)
 
 
 @query("a32_merge_duplicates", """+ titer_layers2 AS (SELECT antigen_no % 40 AS antigen_no, serum_no, pfx, v FROM titer_layers),
@@ -191,7 +193,7 @@ def u3(spark, d):
 
 def edges(spark, d):
     m = merged(spark, d)
-    return titers.table_distances(m, titers.raw_column_bases(m), N_ANTIGENS)
+    return titers.table_distances(m, titers.raw_column_bases(m), SERA_FROM)
 
 
 def layout(spark, d):
@@ -203,13 +205,13 @@ def st1(spark, d):
     return rounded(edges(spark, d), "distance")
 
 
-@query("st1_with_avidity_and_disconnected", PARTS + """, e AS (SELECT p1, p2, kind, greatest(0.0, column_basis - log2(v / 10.0) - CASE WHEN antigen_no % 10 = 0 THEN 1.0 ELSE 0.0 END) AS distance FROM (SELECT *, antigen_no AS p1, serum_no + 120 AS p2, CASE p WHEN '' THEN 'regular' ELSE 'less_than' END AS kind FROM m JOIN bases USING (serum_no) WHERE p IN ('', '<')) t)
+@query("st1_with_avidity_and_disconnected", PARTS + """, e AS (SELECT p1, p2, kind, greatest(0.0, column_basis - log2(v / 10.0) - CASE WHEN antigen_no % 10 = 0 THEN 1.0 ELSE 0.0 END) AS distance FROM (SELECT *, antigen_no AS p1, serum_no + 1000000 AS p2, CASE p WHEN '' THEN 'regular' ELSE 'less_than' END AS kind FROM m JOIN bases USING (serum_no) WHERE p IN ('', '<')) t)
 SELECT p1, p2, kind, round(distance, 6) AS distance FROM e WHERE p1 % 15 <> 1""", *L)
 def st1b(spark, d):
     m = merged(spark, d)
     points = layout(spark, d).select("point_no")
-    avidity = points.where("point_no < 120 and point_no % 10 = 0").withColumn("logged_adjust", F.lit(1.0))
-    return rounded(titers.table_distances(m, titers.raw_column_bases(m), N_ANTIGENS, avidity, points.where("point_no < 120 and point_no % 15 = 1")), "distance").select("p1", "p2", "kind", "distance")
+    avidity = points.where("point_no < 1000000 and point_no % 10 = 0").withColumn("logged_adjust", F.lit(1.0))
+    return rounded(titers.table_distances(m, titers.raw_column_bases(m), SERA_FROM, avidity, points.where("point_no < 1000000 and point_no % 15 = 1")), "distance").select("p1", "p2", "kind", "distance")
 
 
 @query("st2_map_distances", EDGES + " SELECT p1, p2, round(map_distance, 6) AS map_distance FROM md", *ML)
@@ -248,16 +250,16 @@ def a29(spark, d):
     return rounded(maps.bounds(layout(spark, d)), "mean_x", "mean_y")
 
 
-@query("a29_extreme_points", " SELECT arg_min(point_no, x * 1000000 + point_no) AS min_x_point, arg_max(point_no, x * 1000000 + point_no) AS max_x_point, arg_min(point_no, y * 1000000 + point_no) AS min_y_point, arg_max(point_no, y * 1000000 + point_no) AS max_y_point FROM layout", "layout")
+@query("a29_extreme_points", " SELECT arg_min(point_no, x * 100000000 + point_no) AS min_x_point, arg_max(point_no, x * 100000000 + point_no) AS max_x_point, arg_min(point_no, y * 100000000 + point_no) AS min_y_point, arg_max(point_no, y * 100000000 + point_no) AS max_y_point FROM layout", "layout")
 def a29b(spark, d):
     return maps.extreme_points(layout(spark, d))
 
 
 @query("a30_area_intersection", """ SELECT greatest(0.0, least(a.mx, b.mx) - greatest(a.nx, b.nx)) * greatest(0.0, least(a.my, b.my) - greatest(a.ny, b.ny)) AS area
-FROM (SELECT min(x) AS nx, max(x) AS mx, min(y) AS ny, max(y) AS my FROM layout WHERE point_no < 120) a, (SELECT min(x) AS nx, max(x) AS mx, min(y) AS ny, max(y) AS my FROM layout WHERE point_no >= 120) b""", "layout")
+FROM (SELECT min(x) AS nx, max(x) AS mx, min(y) AS ny, max(y) AS my FROM layout WHERE point_no < 1000000) a, (SELECT min(x) AS nx, max(x) AS mx, min(y) AS ny, max(y) AS my FROM layout WHERE point_no >= 1000000) b""", "layout")
 def a30(spark, d):
     lay = layout(spark, d)
-    return maps.intersection_area(lay.where("point_no < 120"), lay.where("point_no >= 120"))
+    return maps.intersection_area(lay.where("point_no < 1000000"), lay.where("point_no >= 1000000"))
 
 
 @query("la1_transform", " SELECT point_no, round(0.6 * x - 0.8 * y + 2, 6) AS x, round(0.8 * x + 0.6 * y - 1, 6) AS y FROM layout", "layout")
@@ -265,9 +267,9 @@ def la1(spark, d):
     return rounded(maps.transform(layout(spark, d), [0.6, 0.8, -0.8, 0.6], [2.0, -1.0]), "x", "y")
 
 
-@query("la5_all_pairs", " SELECT a.point_no AS p1, b.point_no AS p2, round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), 6) AS map_distance FROM layout a JOIN layout b ON a.point_no < b.point_no", "layout")
+@query("la5_all_pairs", " SELECT a.point_no AS p1, b.point_no AS p2, round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), 6) AS map_distance FROM chart_layout a JOIN chart_layout b ON a.point_no < b.point_no", "chart_layout")
 def la5(spark, d):
-    return rounded(maps.all_pairs(layout(spark, d)), "map_distance")
+    return rounded(maps.all_pairs(view(spark, d, "chart_layout")), "map_distance")
 
 
 @query("pr1_procrustes", " SELECT point_no AS primary_no, point_no AS secondary_no, 0.0 AS distance FROM layout", "layout")
@@ -280,7 +282,7 @@ def pr1(spark, d):
     return maps.procrustes_distances(lay, moved, common, matrix, translation).withColumn("distance", F.abs(F.round("distance", 5)))
 
 
-HOME = EDGES + ", home AS (SELECT antigen_no, serum_no, titer, p, v FROM m WHERE antigen_no % 30 = serum_no)"
+HOME = EDGES + ", home AS (SELECT antigen_no, serum_no, titer, p, v FROM m WHERE antigen_no % 30 = serum_no % 30 AND antigen_no // 120 = serum_no // 30)"
 
 
 @query("ci1_theoretical_circles", HOME + """, each_ AS (SELECT serum_no, antigen_no, 2 + column_basis - log2(v / 10.0) AS radius FROM home JOIN bases USING (serum_no) WHERE p = '')
@@ -294,7 +296,7 @@ def ci1(spark, d):
 st AS (SELECT hb.*, CASE WHEN p <> '' THEN 'non_regular_homologous' WHEN boundary < 1 THEN 'titer_too_low' ELSE 'good' END AS status FROM hb),
 nr AS (SELECT g.serum_no, g.antigen_no AS home, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS dist,
    CASE WHEN t.p = '' THEN least(g.column_basis, log2(t.v / 10.0)) >= g.boundary ELSE least(g.column_basis, log2(t.v / 10.0)) > g.boundary END AS prot
-  FROM st g JOIN m t ON t.serum_no = g.serum_no JOIN layout a ON a.point_no = t.antigen_no JOIN layout b ON b.point_no = t.serum_no + 120 WHERE g.status = 'good' AND t.titer <> '*'),
+  FROM st g JOIN m t ON t.serum_no = g.serum_no JOIN layout a ON a.point_no = t.antigen_no JOIN layout b ON b.point_no = t.serum_no + 1000000 WHERE g.status = 'good' AND t.titer <> '*'),
 ca AS (SELECT serum_no, home, coalesce((dist + lag(dist) OVER (PARTITION BY serum_no, home ORDER BY dist)) / 2, dist) AS r FROM nr),
 su AS (SELECT ca.serum_no, ca.home, ca.r, count(*) FILTER (prot AND dist > r) + count(*) FILTER (NOT prot AND dist <= r) AS wrong FROM (SELECT DISTINCT * FROM ca) ca JOIN nr ON nr.serum_no = ca.serum_no AND nr.home = ca.home GROUP BY 1, 2, 3),
 be AS (SELECT su.*, min(wrong) OVER (PARTITION BY serum_no, home) AS least_ FROM su),
@@ -302,7 +304,7 @@ ra AS (SELECT c.serum_no, c.home, avg(c.r) AS radius FROM ca c JOIN be ON be.ser
 SELECT st.serum_no, st.antigen_no, status, round(radius, 5) AS radius FROM st LEFT JOIN ra ON ra.serum_no = st.serum_no AND ra.home = st.antigen_no""", *ML)
 def ci2(spark, d):
     m = merged(spark, d)
-    return rounded(maps.empirical_circles(homologous(m), m, titers.raw_column_bases(m), layout(spark, d), N_ANTIGENS), "radius", places=5)
+    return rounded(maps.empirical_circles(homologous(m), m, titers.raw_column_bases(m), layout(spark, d), SERA_FROM), "radius", places=5)
 
 
 @query("ci4_serum_coverage", HOME + """ SELECT h.serum_no, h.antigen_no AS home, m.antigen_no, log2(m.v / 10.0) + CASE m.p WHEN '<' THEN -1 WHEN '>' THEN 1 ELSE 0 END >= log2(h.v / 10.0) - 2 AS within FROM home h JOIN m ON m.serum_no = h.serum_no WHERE h.p = '' AND m.titer <> '*'""", *ML)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import sequence as S
 from ..operators import maps, sequences, titers, trees
 from .charts import HOME, homologous, layout, merged
-from .fixtures import N_ANTIGENS, view, with_views
+from .fixtures import SERA_FROM, view, with_views
 from .sequences import LETTERS, NSEQ, leafseqs, seqs
 
 QUERIES, SQL = {}, {}
@@ -25,9 +25,9 @@ def query(name, sql, *views):
 CIRCLE = HOME + """,
 hm AS (SELECT serum_no, arg_min(boundary, antigen_no) AS boundary, any_value(column_basis) AS column_basis
   FROM (SELECT serum_no, antigen_no, column_basis, least(column_basis, log2(v / 10.0) + CASE WHEN p = '>' THEN 1 ELSE 0 END) - 2 AS boundary FROM home JOIN bases USING (serum_no) WHERE serum_no < 8 AND titer <> '*') t WHERE boundary >= 1 GROUP BY 1),
-ce AS (SELECT avg(x) AS cx, avg(y) AS cy FROM layout WHERE point_no BETWEEN 120 AND 127),
+ce AS (SELECT avg(x) AS cx, avg(y) AS cy FROM layout WHERE point_no BETWEEN 1000000 AND 1000007),
 vo AS (SELECT antigen_no, count(*) FILTER (CASE WHEN p = '' THEN least(column_basis, log2(v / 10.0)) >= boundary ELSE least(column_basis, log2(v / 10.0) + CASE WHEN p = '>' THEN 1 ELSE 0 END) > boundary END) AS yes FROM m JOIN hm USING (serum_no) WHERE titer <> '*' GROUP BY 1),
-ag AS (SELECT coalesce(yes, 0) AS yes, (SELECT count(*) FROM hm) - coalesce(yes, 0) AS no, sqrt(pow(x - (SELECT cx FROM ce), 2) + pow(y - (SELECT cy FROM ce), 2)) AS dist FROM layout LEFT JOIN vo ON antigen_no = point_no WHERE point_no < 120),
+ag AS (SELECT coalesce(yes, 0) AS yes, (SELECT count(*) FROM hm) - coalesce(yes, 0) AS no, sqrt(pow(x - (SELECT cx FROM ce), 2) + pow(y - (SELECT cy FROM ce), 2)) AS dist FROM layout LEFT JOIN vo ON antigen_no = point_no WHERE point_no < 1000000),
 ds AS (SELECT yes > no AS prot, dist FROM ag WHERE yes <> no {cond}),
 ca AS (SELECT coalesce((dist + lag(dist) OVER (ORDER BY dist)) / 2, dist) AS r FROM ds),
 ct AS (SELECT count(*) AS n, count(*) FILTER (prot) AS n_protected FROM ds),
@@ -38,7 +38,7 @@ SELECT round(cx, 6) AS x, round(cy, 6) AS y, n, n_protected, CASE WHEN n_protect
 def several(spark, d, conservative):
     m = merged(spark, d)
     sera = m.select("serum_no").distinct().where("serum_no < 8")
-    out = maps.circle_for_several_sera(homologous(m), m, titers.raw_column_bases(m), layout(spark, d), sera, N_ANTIGENS, conservative=conservative)
+    out = maps.circle_for_several_sera(homologous(m), m, titers.raw_column_bases(m), layout(spark, d), sera, SERA_FROM, conservative=conservative)
     return out.select(F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "n", "n_protected", F.round("radius", 5).alias("radius"))
 
 
@@ -46,12 +46,12 @@ query("ci3_circle_for_several_sera", CIRCLE.format(cond=""), "titer_layers", "la
 query("ci3_circle_conservative", CIRCLE.format(cond="AND (yes = 0 OR no = 0)"), "titer_layers", "layout")(lambda spark, d: several(spark, d, True))
 
 
-@query("pr3_summary", """+ ds AS (SELECT a.point_no AS no, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d FROM layout a JOIN layout b ON b.point_no = a.point_no + 30 WHERE a.point_no < 120)
+@query("pr3_summary", """+ ds AS (SELECT a.point_no AS no, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d FROM layout a JOIN layout b ON b.point_no = a.point_no + 30 WHERE a.point_no < 1000000)
 SELECT count(*) AS n, round(avg(d), 6) AS mean, round(sqrt(avg(d * d)), 6) AS rms, round(max(d), 6) AS longest, (SELECT min(no) FROM ds WHERE d = (SELECT max(d) FROM ds)) AS longest_no FROM ds""", "layout")
 def pr3(spark, d):
     """Antigens against the points 30 places on, not moved."""
     lay = layout(spark, d)
-    common = lay.where("point_no < 120").select(F.col("point_no").alias("primary_no"), (F.col("point_no") + 30).alias("secondary_no"))
+    common = lay.where("point_no < 1000000").select(F.col("point_no").alias("primary_no"), (F.col("point_no") + 30).alias("secondary_no"))
     out = maps.procrustes_summary(maps.procrustes_distances(lay, lay, common, [1.0, 0.0, 0.0, 1.0], [0.0, 0.0]))
     return out.select("n", *(F.round(c, 6).alias(c) for c in ("mean", "rms", "longest")), "longest_no")
 

@@ -9,9 +9,12 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Antigens and sera of one chart, for the queries that search maps of one.
 N_ANTIGENS, N_SERA = 120, 30
+#: Points of sera follow those of antigens at this number in the tables that grow with the data.
+SERA_FROM = 1_000_000
 
-TITER_LAYERS = """
+_LAYERS = """
 SELECT antigen_no, serum_no, layer_no, pfx, v, concat(pfx, CAST(v AS STRING)) AS titer FROM (
   SELECT antigen_no, serum_no, layer_no,
     CASE WHEN (antigen_no + serum_no) % 11 = 0 AND q % 2 = 0 THEN '<'
@@ -19,17 +22,23 @@ SELECT antigen_no, serum_no, layer_no, pfx, v, concat(pfx, CAST(v AS STRING)) AS
          WHEN q % 29 = 0 THEN '<' WHEN q % 31 = 0 THEN '>' ELSE '' END AS pfx,
     CAST(pow(2, (antigen_no * 5 + serum_no * 3) % 6
          + CASE WHEN q % 17 = 0 THEN 4 WHEN q % 5 = 0 THEN 1 ELSE 0 END) AS INT) * 10 AS v
-  FROM (SELECT CAST(l_partkey % 120 AS INT) AS antigen_no, CAST(l_suppkey % 30 AS INT) AS serum_no,
+  FROM (SELECT CAST(l_partkey % 120 + {chart} * 120 AS INT) AS antigen_no, CAST(l_suppkey % 30 + {chart} * 30 AS INT) AS serum_no,
           CAST(l_linenumber - 1 AS INT) AS layer_no, CAST(min(l_quantity) AS INT) AS q FROM lineitem GROUP BY 1, 2, 3) t
   WHERE (antigen_no * 31 + serum_no * 17 + layer_no * 7) % 3 = 0) w
 """
-
-LAYOUT = """
-SELECT CAST(p_partkey AS INT) AS point_no,
-       CAST((p_partkey * 37 + p_size * 11) % 97 AS DOUBLE) / 16 AS x,
-       CAST((p_partkey * 53 + p_size * 7) % 89 AS DOUBLE) / 16 AS y
-FROM part WHERE p_partkey < 150
+#: A table of 120 antigens and 30 sera for each 6,000 orders, side by side.
+TITER_LAYERS = _LAYERS.format(chart="CAST(floor(l_orderkey / 6000) AS INT)")
+#: All titers folded to one chart.
+CHART_LAYERS = _LAYERS.format(chart="0")
+
+_PLACE = """CAST((p_partkey * 37 + p_size * 11) % 97 AS DOUBLE) / 16 AS x, CAST((p_partkey * 53 + p_size * 7) % 89 AS DOUBLE) / 16 AS y"""
+#: A point for every part as an antigen and as a serum.
+LAYOUT = f"""
+SELECT CAST(p_partkey AS INT) AS point_no, {_PLACE} FROM part
+UNION ALL SELECT CAST(p_partkey - 1 + {SERA_FROM} AS INT), y + 0.25, x + 0.5 FROM (SELECT p_partkey, {_PLACE} FROM part) s
 """
+#: The points of one chart.
+CHART_LAYOUT = f"SELECT CAST(p_partkey AS INT) AS point_no, {_PLACE} FROM part WHERE p_partkey < 150"
 
 SEQS = """
 SELECT CAST(doc_id AS INT) AS seq_no, CAST(doc_id % 12 AS INT) AS cluster_no, lang AS lineage, source AS country,
@@ -67,7 +76,10 @@ UNION ALL
 SELECT CAST(-100 - n_nationkey AS BIGINT), CAST(-1 - n_regionkey AS BIGINT), CAST(n_nationkey AS INT), false, n_name,
        CAST(n_nationkey * 11 % 17 + 1 AS DOUBLE) / 64 FROM nation
 UNION ALL
-SELECT CAST(c_custkey + 1 AS BIGINT), CAST(-100 - c_nationkey AS BIGINT), CAST(c_custkey AS INT), true, c_name,
+SELECT CAST(-1000 - c_custkey AS BIGINT), CAST(-100 - c_nationkey AS BIGINT), CAST(c_custkey AS INT), false, concat('only ', c_name), CAST(0.125 AS DOUBLE)
+FROM customer WHERE c_custkey % 50 = 0
+UNION ALL
+SELECT CAST(c_custkey + 1 AS BIGINT), CAST(CASE WHEN c_custkey % 50 = 0 THEN -1000 - c_custkey ELSE -100 - c_nationkey END AS BIGINT), CAST(c_custkey AS INT), true, c_name,
        CAST(c_custkey * 5 % 29 + 1 AS DOUBLE) / 64 FROM customer
 """
 
@@ -79,7 +91,7 @@ SELECT CAST(p_partkey AS INT) AS antigen_no, CASE WHEN p_partkey % 2 = 0 THEN 1
   CASE WHEN p_size % 3 = 0 THEN concat('E', CAST(p_size % 5 AS STRING)) WHEN p_size % 3 = 1 THEN concat('MDCK', CAST(p_size % 4 AS STRING)) ELSE concat('SIAT', CAST(p_size % 3 AS STRING)) END AS passage,
   concat('20', CAST(10 + p_size % 12 AS STRING), '-0', CAST(1 + p_size % 9 AS STRING), '-1', CAST(p_size % 10 AS STRING)) AS date,
   CASE WHEN p_size % 4 = 0 THEN 'V' WHEN p_size % 4 = 1 THEN 'Y' ELSE '' END AS lineage
-FROM part WHERE p_partkey < 240
+FROM part
 """
 
 SERA = """
@@ -87,11 +99,11 @@ SELECT CAST(s_suppkey AS INT) AS serum_no, CASE WHEN s_suppkey % 2 = 0 THEN 1 EL
   CASE WHEN p_partkey % 9 = 0 THEN 'NYMC-9' ELSE '' END AS reassortant,
   CASE WHEN p_partkey % 6 = 0 THEN 'NEW' WHEN p_partkey % 5 = 0 THEN 'CONC 2:1' ELSE '' END AS annotations,
   CASE WHEN p_size % 2 = 0 THEN 'E3' ELSE 'MDCK1' END AS passage, concat('S', CAST(s_suppkey AS STRING)) AS serum_id
-FROM supplier JOIN part ON p_partkey = s_suppkey WHERE s_suppkey < 60
+FROM supplier JOIN part ON p_partkey = s_suppkey
 """
 
-VIEWS = {"titer_layers": TITER_LAYERS, "layout": LAYOUT, "seqs": SEQS, "clade_rules": CLADE_RULES, "nodes": NODES, "antigens": ANTIGENS, "sera": SERA}
-TABLES = {"titer_layers": "lineitem", "layout": "part", "seqs": "documents", "clade_rules": "documents", "nodes": "region nation customer", "antigens": "part", "sera": "supplier part"}
+VIEWS = {"titer_layers": TITER_LAYERS, "layout": LAYOUT, "chart_layers": CHART_LAYERS, "chart_layout": CHART_LAYOUT, "seqs": SEQS, "clade_rules": CLADE_RULES, "nodes": NODES, "antigens": ANTIGENS, "sera": SERA}
+TABLES = {"titer_layers": "lineitem", "layout": "part", "chart_layers": "lineitem", "chart_layout": "part", "seqs": "documents", "clade_rules": "documents", "nodes": "region nation customer", "antigens": "part", "sera": "supplier part"}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
