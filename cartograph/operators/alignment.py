@@ -161,7 +161,7 @@ def lineage_of_gaps(subtype: Column, seq: Column) -> Column:
     found = gaps(seq)
     out = F
     for pos, n, lineage in B_GAPS:
-        out = out.when((subtype == "B") & (F.size(found) == 1) & (found[0]["pos"] == pos) & (found[0]["n"] == n), lineage)
+        out = out.when((subtype == "B") & (F.size(found) == 1) & (F.get(found, F.lit(0))["pos"] == pos) & (F.get(found, F.lit(0))["n"] == n), lineage)
     return out.otherwise("")
 
 
