@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import dates, names, passages
-from ..operators import locations, maps, matching, optimise, semantic, titers
+from ..operators import locations, maps, matching, optimise, projections, semantic, titers
+from ..streaming import events as stream
 from .charts import MERGED, layout
 from .fixtures import N_ANTIGENS, N_SERA, view, with_views
 from .sequences import antigens, seqs
@@ -40,8 +41,8 @@ def points(spark, d) -> np.ndarray:
 
 @query("relax_many_starts")
 def relax(spark, d):
-    """Eight maps from random starts."""
-    return optimise.relax(spark, edges(spark, d), N_ANTIGENS + N_SERA, 8, precision="rough").groupBy("start").agg(F.round(F.first("stress"), 3).alias("stress"), F.count("coord").alias("points"))
+    """A hundred maps from random starts."""
+    return optimise.relax(spark, edges(spark, d), N_ANTIGENS + N_SERA, 100, precision="rough").groupBy("start").agg(F.round(F.first("stress"), 3).alias("stress"), F.count("coord").alias("points"))
 
 
 @query("relax_annealed")
@@ -62,6 +63,12 @@ def grid(spark, d):
     return optimise.grid_test(spark, edges(spark, d), points(spark, d))
 
 
+@query("gt2_untrapped")
+def untrapped(spark, d):
+    """Rounds of the loop over trapped points, from the layout as it is."""
+    return projections.untrapped(spark, edges(spark, d), points(spark, d))[2].withColumn("stress", F.round("stress", 3))
+
+
 @query("av1_avidity_test")
 def avidity(spark, d):
     return optimise.avidity_test(spark, edges(spark, d), np.nan_to_num(points(spark, d)), list(range(N_ANTIGENS)))
@@ -138,11 +145,12 @@ def events(spark, d):
     return spark.read.parquet(f"{d}/events.parquet")
 
 
-query("stream_tumbling_counts", "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS begin, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")(lambda spark, d: events(spark, d).groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("window.start").cast("timestamp").alias("begin"), "event_type", "n", "total"))
+query("stream_tumbling_counts", "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS begin, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")(lambda spark, d: stream.tumbling_counts(events(spark, d)).select(F.col("begin").cast("timestamp").alias("begin"), "event_type", "n", F.round("total", 4).alias("total")))
 query("stream_sessions", """WITH g AS (SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS fresh FROM events),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
-SELECT user_id, CAST(min(ts) AS TIMESTAMP) AS begin, count(*) AS n FROM s GROUP BY user_id, k""")(lambda spark, d: events(spark, d).groupBy(F.session_window("ts", "30 minutes"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").cast("timestamp").alias("begin"), "n"))
-query("stream_first_events", "SELECT event_id FROM events GROUP BY 1")(lambda spark, d: events(spark, d).dropDuplicates(["event_id"]).select("event_id"))
+SELECT user_id, CAST(min(ts) AS TIMESTAMP) AS begin, count(*) AS n FROM s GROUP BY user_id, k""")(lambda spark, d: stream.sessions(events(spark, d)).select("user_id", F.col("begin").cast("timestamp").alias("begin"), "n"))
+query("stream_first_events", "SELECT event_id FROM events GROUP BY 1")(lambda spark, d: stream.first_events(events(spark, d)).select("event_id"))
+query("stream_sliding_counts", "SELECT CAST(b AS TIMESTAMP) AS begin, count(*) AS n FROM (SELECT date_trunc('hour', ts) - INTERVAL 1 HOUR * k AS b FROM events, (VALUES (0), (1)) v(k)) t GROUP BY 1")(lambda spark, d: stream.sliding_counts(events(spark, d)).select(F.col("begin").cast("timestamp").alias("begin"), "n"))
 query("js1_event_properties", None)(lambda spark, d: events(spark, d).select("event_id", F.try_parse_json("props").alias("v")).select("event_id", F.schema_of_variant("v").alias("kind")))
 query("mg2_mid_points", " SELECT a.point_no, round((a.x + b.x) / 2, 6) AS x, round((a.y + b.y) / 2, 6) AS y FROM layout a JOIN layout b ON b.point_no = a.point_no + 30 WHERE a.point_no < 1000000", "layout")(lambda spark, d: layout(spark, d).where("point_no < 1000000").join(layout(spark, d).select((F.col("point_no") - 30).alias("point_no"), F.col("x").alias("x2"), F.col("y").alias("y2")), "point_no").select("point_no", F.round((F.col("x") + F.col("x2")) / 2, 6).alias("x"), F.round((F.col("y") + F.col("y2")) / 2, 6).alias("y")))
 query("o5_by_layers", " SELECT antigen_no, count(DISTINCT layer_no) AS n, max(layer_no) AS last FROM titer_layers GROUP BY 1", "titer_layers")(lambda spark, d: titers.by_layers(view(spark, d, "titer_layers")))

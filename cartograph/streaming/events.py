@@ -16,40 +16,46 @@ def read_events(spark: SparkSession, path: str, schema, files_each: int = 1) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_each).parquet(path)
 
 
-def tumbling_counts(events: DataFrame, every: str = "1 day", late: str = "1 hour") -> DataFrame:
+def _watched(events: DataFrame, late: str | None) -> DataFrame:
+    """With a watermark; None: a step before has set it."""
+    return events.withWatermark("ts", late) if late else events
+
+
+def tumbling_counts(events: DataFrame, every: str = "1 day", late: str | None = "1 hour") -> DataFrame:
     """Counts and sums by calendar window and type; rows later than the watermark are left out once a window is closed."""
     w = F.window("ts", every)
-    return events.withWatermark("ts", late).groupBy(w, "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("begin"), "event_type", "n", "total")
+    return _watched(events, late).groupBy(w, "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("begin"), "event_type", "n", "total")
 
 
-def sliding_counts(events: DataFrame, length: str = "2 hours", slide: str = "1 hour", late: str = "1 hour") -> DataFrame:
-    return events.withWatermark("ts", late).groupBy(F.window("ts", length, slide)).agg(F.count("*").alias("n")).select(F.col("window.start").alias("begin"), "n")
+def sliding_counts(events: DataFrame, length: str = "2 hours", slide: str = "1 hour", late: str | None = "1 hour") -> DataFrame:
+    return _watched(events, late).groupBy(F.window("ts", length, slide)).agg(F.count("*").alias("n")).select(F.col("window.start").alias("begin"), "n")
 
 
-def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str | None = "1 hour") -> DataFrame:
     s = F.session_window("ts", gap)
-    return events.withWatermark("ts", late).groupBy(s, "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("begin"), F.col("session_window.end").alias("end"), "n")
+    return _watched(events, late).groupBy(s, "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("begin"), F.col("session_window.end").alias("end"), "n")
 
 
-def first_events(events: DataFrame, late: str = "1 hour") -> DataFrame:
+def first_events(events: DataFrame, late: str | None = "1 hour") -> DataFrame:
     """Of rows with the same event_id one."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+    return _watched(events, late).dropDuplicatesWithinWatermark(["event_id"]) if events.isStreaming else events.dropDuplicates(["event_id"])
 
 
 def upsert_sequences(new: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch is united with the table by (name, hash); versions are written side by side and the last one counts."""
+    """Each micro-batch is added to the table as a folder of its own; running a batch again replaces its folder.  current() unites them."""
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        old = f"{table}/v={batch_id - 1}"
-        merged = batch
-        if batch_id:
-            merged = spark.read.parquet(old).unionByName(batch)
-        merged.write.mode("overwrite").parquet(f"{table}/v={batch_id}")  # running a batch again gives the same version
+    def add(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
 
-    return new.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return new.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current(spark: SparkSession, table: str, version: int) -> DataFrame:
-    rows = spark.read.parquet(f"{table}/v={version}")
+def current(spark: SparkSession, table: str) -> DataFrame:
+    """The united sequences of all batches so far, by name and hash."""
+    rows = spark.read.parquet(table).drop("batch")
     return upsert(rows, rows.limit(0))
+
+
+def compact(spark: SparkSession, table: str, to: str) -> None:
+    """Copies a table's batches to one of few files, each row once; a stream can go on from there."""
+    spark.read.parquet(table).drop("batch").dropDuplicates().write.parquet(f"{to}/batch=0")
