@@ -205,7 +205,7 @@ def procrustes_distances(primary: DataFrame, secondary: DataFrame, common: DataF
 
 def theoretical_circles(homologous: DataFrame, titers: DataFrame, bases: DataFrame, fold: float = 2.0) -> DataFrame:
     """serum_no, antigen_no, radius = fold + basis - logged homologous titer; and of a serum the least, at least 2."""
-    rows = homologous.join(titers, ["antigen_no", "serum_no"]).where(T.sign(F.col("titer")) == "").join(F.broadcast(bases), "serum_no")
+    rows = homologous.join(titers, ["antigen_no", "serum_no"]).where(T.sign(F.col("titer")) == "").join(bases, "serum_no")
     each = rows.select("serum_no", "antigen_no", (fold + F.col("column_basis") - T.logged(F.col("titer"))).alias("radius"))
     return each.withColumn("serum_radius", F.greatest(F.lit(2.0), F.min("radius").over(Window.partitionBy("serum_no"))))
 
@@ -235,7 +235,7 @@ def empirical_circles(homologous: DataFrame, titers: DataFrame, bases: DataFrame
     midpoints between consecutive distances; counting what lies inside is a
     running sum over the sorted distances, not a join.
     """
-    home = homologous.join(titers.withColumnRenamed("titer", "home_titer"), ["antigen_no", "serum_no"], "left").join(F.broadcast(bases), "serum_no")
+    home = homologous.join(titers.withColumnRenamed("titer", "home_titer"), ["antigen_no", "serum_no"], "left").join(bases, "serum_no")
     home = home.withColumn("boundary", F.least("column_basis", T.logged_for_column_bases(F.col("home_titer"))) - fold)
     serum_at = connected(layout).select(F.col("point_no").alias("serum_point"), F.lit(True).alias("serum_there"))
     antigen_at = connected(layout).select(F.col("point_no").alias("antigen_no"), F.lit(True).alias("antigen_there"))
@@ -271,7 +271,7 @@ def circle_for_several_sera(homologous: DataFrame, titers: DataFrame, bases: Dat
     ours = sera.select("serum_no").join(points.select((F.col("point_no") - n_antigens).alias("serum_no"), *dims), "serum_no")
     centre = ours.agg(*(F.avg(c).alias(f"b_{c}") for c in dims))
     home = homologous.join(titers, ["antigen_no", "serum_no"]).where("titer <> '*'").join(ours.select("serum_no"), "serum_no", "left_semi")
-    home = home.join(points.select(F.col("point_no").alias("antigen_no")), "antigen_no", "left_semi").join(F.broadcast(bases), "serum_no")  # one row a serum
+    home = home.join(points.select(F.col("point_no").alias("antigen_no")), "antigen_no", "left_semi").join(bases, "serum_no")  # one row a serum
     home = home.withColumn("boundary", F.least("column_basis", T.logged_for_column_bases(F.col("titer"))) - fold).where("boundary >= 1")
     home = home.groupBy("serum_no").agg(F.min(F.struct("antigen_no", "boundary", "column_basis")).alias("h")).select("serum_no", "h.boundary", "h.column_basis")
     seen = F.least("column_basis", T.logged_for_column_bases(F.col("titer")))

@@ -77,7 +77,7 @@ def time_series_rules(periods: DataFrame) -> list[dict]:
 def vaccines(points: DataFrame, wanted: DataFrame) -> DataFrame:
     """Antigens of vaccine names by kind of passage, those in most layers first; choice counts from 0 in each (name, kind)."""
     w = Window.partitionBy("name", "passage_type").orderBy(F.col("n_layers").desc(), "antigen_no")
-    return points.join(F.broadcast(wanted.select("name", "surrogate")), "name").withColumn("choice", F.row_number().over(w) - 1)  # a hand-written list
+    return points.join(wanted.select("name", "surrogate"), "name").withColumn("choice", F.row_number().over(w) - 1)
 
 
 def user_over_collected(user: DataFrame, collected: DataFrame, key: str) -> DataFrame:

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from ..functions import sequence as S
 
 
+#: Candidates that each query is compared with, at most.
+MOST_MASTERS = 2_000
+
+
 class Selected:
     """A chain of selections over sequences; each step is a lazy DataFrame."""
 
@@ -144,12 +148,14 @@ def nearest(queries: DataFrame, candidates: DataFrame, most: int | None = None)
     Equal letters that differ between a query and a candidate at distance d leave
     some of d + 1 pieces untouched; with ``most`` given, only candidates that
     share a piece at its place are compared.  Without it every candidate is:
-    candidates are then a small table of masters.
+    candidates are then a table of MOST_MASTERS masters at most.
     """
     q = queries.select(F.col("seq_no").alias("query_no"), F.col("aa").alias("q"))
     c = candidates.select("seq_no", F.col("aa").alias("c"))
     if most is None:
-        pairs = q.crossJoin(c)
+        if (n := c.count()) > MOST_MASTERS:
+            raise ValueError(f"{n} candidates are too many to compare with all; give the greatest distance")
+        pairs = q.crossJoin(F.broadcast(c))  # checked above
     else:
         def pieces(col: str) -> Column:
             n = most + 1
@@ -257,8 +263,9 @@ def gaps_against(df: DataFrame, master: str, column: str = "aa", least_head: int
             laid = [lay(x or "") for x in pdf[column]]
             yield pdf.assign(aligned=[x[0] for x in laid], insertions=[x[1] for x in laid])
 
-    kinds = ", ".join(f"`{c}` {k}" for c, k in df.dtypes)
-    return df.mapInPandas(run, f"{kinds}, aligned string, insertions string")
+    # equal sequences are laid once
+    laid = df.select(column).distinct().mapInPandas(run, f"`{column}` string, aligned string, insertions string")
+    return df.join(laid, df[column].eqNullSafe(laid[column])).select(*(df[c] for c in df.columns), "aligned", "insertions")
 
 
 def _same(a: str, i: int, b: str, j: int) -> int:

@@ -161,7 +161,7 @@ def remove_members(titers: DataFrame, antigens: DataFrame | None = None, sera: D
 def table_distances(titers: DataFrame, bases: DataFrame, n_antigens: int, avidity: DataFrame | None = None, disconnected: DataFrame | None = None, dodgy_is_regular: bool = False) -> DataFrame:
     """p1 (antigen), p2 (serum), kind (regular or less_than), distance = basis - logged titer - adjustments, at least 0.  More-than titers and * make none."""
     kinds = F.when(T.sign(F.col("titer")) == "", "regular").when(T.sign(F.col("titer")) == "<", "less_than").when((T.sign(F.col("titer")) == "~") & F.lit(dodgy_is_regular), "regular")
-    rows = titers.withColumn("kind", kinds).where("kind is not null").join(F.broadcast(bases), "serum_no")  # one row a serum
+    rows = titers.withColumn("kind", kinds).where("kind is not null").join(bases, "serum_no")
     rows = rows.withColumn("p1", F.col("antigen_no")).withColumn("p2", F.col("serum_no") + n_antigens)
     d = F.col("column_basis") - T.logged(F.col("titer"))
     if avidity is not None:  # point_no, logged_adjust
