@@ -39,6 +39,14 @@ def duplicates(rows: DataFrame, *parts: str) -> DataFrame:
     return rows.withColumn("n", F.count("*").over(Window.partitionBy("designation"))).where("n > 1").drop("n")
 
 
+def without_duplicates(rows: DataFrame, *parts: str) -> DataFrame:
+    """The rows, or an error that lists designations which occur more than once."""
+    twice = [r[0] for r in duplicates(rows, *parts).select("designation").distinct().orderBy("designation").limit(20).collect()]
+    if twice:
+        raise ValueError("designations occur more than once: " + "; ".join(twice))
+    return rows
+
+
 def mark_distinct(rows: DataFrame, number: str, *parts: str) -> DataFrame:
     """The second and later rows of a designation are annotated as distinct."""
     w = Window.partitionBy(designation(*parts)).orderBy(number)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates
+from . import maps
 
 
 def with_attribute(df: DataFrame, name: str, value: Column, attributes: str = "semantic") -> DataFrame:
@@ -88,6 +89,45 @@ def user_over_collected(user: DataFrame, collected: DataFrame, key: str) -> Data
     return both.select(key, *(F.coalesce(f"_{c}", c).alias(c) if c in user.columns else F.col(c) for c in fields), F.coalesce("_u", F.lit(False)).alias("from_user"))
 
 
+def serum_circles(homologous: DataFrame, titers: DataFrame, bases: DataFrame, layout: DataFrame, n_antigens: int, folds: tuple[float, ...] = (2.0, 3.0)) -> DataFrame:
+    """serum_no, fold, theoretical and empirical radius (the least over a serum's homologous antigens)."""
+    out = None
+    for fold in folds:
+        t = maps.theoretical_circles(homologous, titers, bases, fold).groupBy("serum_no").agg(F.min("radius").alias("theoretical"))
+        e = maps.empirical_circles(homologous, titers, bases, layout, n_antigens, fold).where("status = 'good'").groupBy("serum_no").agg(F.min("radius").alias("empirical"))
+        both = t.join(e, "serum_no", "full_outer").select("serum_no", F.lit(fold).alias("fold"), "theoretical", "empirical")
+        out = both if out is None else out.unionByName(both)
+    return out
+
+
+def populated(antigens: DataFrame, egg: Column, reference_date: str, clades: DataFrame | None = None, references: DataFrame | None = None) -> DataFrame:
+    """Attributes that every chart gets, in order: passage (p), age, clades (C: antigen_no, clades), reference (R: antigen_no)."""
+    out = antigens.withColumn("semantic", F.coalesce(F.col("semantic"), F.create_map().cast("map<string,string>")) if "semantic" in antigens.columns else F.create_map().cast("map<string,string>"))
+    out = with_attribute(out, "p", passage_type(F.col("reassortant"), egg))
+    out = with_attribute(out, "age", age_mark(F.col("date"), reference_date))
+    if clades is not None:
+        out = with_attribute(out.join(clades.select("antigen_no", F.col("clades").alias("_c")), "antigen_no", "left"), "C", F.col("_c")).drop("_c")
+    if references is not None:
+        out = with_attribute(out.join(references.select("antigen_no", F.lit("1").alias("_r")).distinct(), "antigen_no", "left"), "R", F.col("_r")).drop("_r")
+    return out
+
+
+def clade_rules(clades: list[str], colours: list[str]) -> list[dict]:
+    """A rule for each clade, in order, with the colours in turn."""
+    return [{"select": {"C": c}, "set": {"fill": colours[k % len(colours)]}, "title": c} for k, c in enumerate(clades)]
+
+
+def pale_rules(fields: tuple[str, ...] = ("fill", "outline")) -> list[dict]:
+    """Old antigens, a year before the rest, are drawn pale."""
+    return [{"select": {"age": "12"}, "set": {f: "pale" for f in fields}, "title": "older than 12 months"}]
+
+
+def display_name(location: Column, isolation: Column, year: Column, passage: Column, reassortant: Column) -> Column:
+    """What a label says: place, isolation and two digits of the year, and the passage or the reassortant."""
+    kind = F.when(reassortant != "", reassortant).otherwise(passage)
+    return F.concat_ws(" ", F.concat_ws("/", F.initcap(location), isolation, F.substring(year, -2, 2)), F.nullif(kind, F.lit("")))
+
+
 def fixed_by_rules(column: Column, rules: list[tuple[str, str]]) -> Column:
     """A laboratory's table of pattern replacements, in order."""
     for pattern, new in rules:

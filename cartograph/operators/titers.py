@@ -129,6 +129,13 @@ def wide(titers: DataFrame, sera: list[int]) -> DataFrame:
     return titers.groupBy("antigen_no").pivot("serum_no", sera).agg(F.first("titer"))
 
 
+def remove_layers(layers: DataFrame, gone: list[int]) -> DataFrame:
+    """Layers without some of them; those that stay are numbered anew."""
+    rest = layers.where(~F.col("layer_no").isin(gone))
+    numbers = rest.select("layer_no").distinct().withColumn("_new", (F.row_number().over(Window.orderBy("layer_no")) - 1).cast("int"))  # one row a layer
+    return rest.join(numbers, "layer_no").withColumn("layer_no", F.col("_new")).drop("_new")
+
+
 def set_titers(titers: DataFrame, changes: DataFrame) -> DataFrame:
     """titers with those of changes (same key) put in; a change to * removes."""
     joined = titers.join(changes.select(*CELL, F.col("titer").alias("new")), list(CELL), "full_outer")

@@ -224,6 +224,21 @@ def text_art(nodes: DataFrame, step: float = 1.0) -> DataFrame:
     return nodes.join(numbered(nodes), "node_id").select("place", F.rtrim(line).alias("line"))
 
 
+def clade_keys(nodes: DataFrame) -> DataFrame:
+    """node_id, n_leaves and a key of the set of leaf names at or below each node: the sum of their hashes."""
+    leaf = nodes.where("is_leaf").select("node_id", F.explode(F.array(F.struct(F.lit("n").alias("what"), F.lit(1).cast("decimal(38,0)").alias("n")), F.struct(F.lit("key").alias("what"), F.xxhash64("name").cast("decimal(38,0)").alias("n")))).alias("x")).select("node_id", "x.what", "x.n")
+    sums = below_sums(nodes, leaf, "what")
+    of = lambda what: F.max(F.when(F.col("what") == what, F.col("n")))
+    return sums.groupBy("node_id").agg(of("n").cast("long").alias("n_leaves"), of("key").alias("key"))
+
+
+def ancestral_states(nodes: DataFrame, other: DataFrame, states: DataFrame) -> DataFrame:
+    """node_id, state: states of another tree's inner nodes (name, state), for the inner nodes that have the same leaves below."""
+    mine = nodes.where("not is_leaf").select("node_id").join(clade_keys(nodes), "node_id")
+    theirs = other.where("not is_leaf").select("node_id", "name").join(clade_keys(other), "node_id").select("name", "n_leaves", "key")
+    return mine.join(theirs, ["n_leaves", "key"]).join(states.select("name", "state"), "name").select("node_id", "state")
+
+
 def fixed_names(leaves: DataFrame, seqs: DataFrame) -> DataFrame:
     """Adds fixed: the seq_id of the sequence (seq_id, hash) that a leaf's name is, or whose hash its last eight characters are."""
     ids = seqs.select(F.col("seq_id").alias("name"), F.col("seq_id").alias("by_id")).distinct()
