@@ -53,14 +53,15 @@ def stress_and_gradient(d: Distances, x: np.ndarray) -> tuple[float, np.ndarray]
     return float(total), g
 
 
-def minimise(d: Distances, x: np.ndarray, precision: str = "fine", fixed: np.ndarray | None = None, most: int = 3000, memory: int = 12) -> tuple[np.ndarray, float]:
-    """Limited-memory quasi-Newton descent with a backtracking line search; fixed marks points that stay."""
+def minimise(d: Distances, x: np.ndarray, precision: str = "fine", fixed: np.ndarray | None = None, most: int = 3000, memory: int = 12, method: str = "quasi-newton") -> tuple[np.ndarray, float]:
+    """Limited-memory quasi-Newton descent, or conjugate gradients (method "cg"), with a backtracking line search; fixed marks points that stay."""
     relative, norm = PRECISION[precision]
     x = x.copy()
     free = np.ones(len(x), bool) if fixed is None else ~fixed
     f, g = stress_and_gradient(d, x)
     g = g * free[:, None]
     pairs: list[tuple[np.ndarray, np.ndarray, float]] = []
+    before, last, reach = None, None, 1.0  # the gradient, step and length before, of conjugate gradients
     for _ in range(most):
         if np.sqrt((g * g).sum()) <= norm * 1e-3:
             break
@@ -75,20 +76,24 @@ def minimise(d: Distances, x: np.ndarray, precision: str = "fine", fixed: np.nda
         for (s, y, r), a in zip(pairs, reversed(alphas)):
             q += (a - r * (y @ q)) * s
         step = -q.reshape(x.shape)
+        if method == "cg" and before is not None:
+            step = -g + max(0.0, float((g * (g - before)).sum() / (before * before).sum())) * last
         slope = float((step * g).sum())
         if slope >= 0:
             step, slope, pairs = -g, -float((g * g).sum()), []
-        t = 1.0 if pairs else min(1.0, 1.0 / (np.abs(g).max() + 1e-12))
+        before, last = g, step
+        t = 2 * reach if method == "cg" and reach < 1.0 else 1.0 if pairs else min(1.0, 1.0 / (np.abs(g).max() + 1e-12))
         while True:
             f2, g2 = stress_and_gradient(d, x + t * step)
             if f2 <= f + 1e-4 * t * slope or t < 1e-12:
                 break
             t /= 2
+        reach = t
         if t < 1e-12:
             break
         g2 = g2 * free[:, None]
         s, y = (t * step).ravel(), (g2 - g).ravel()
-        if s @ y > 1e-12:
+        if method != "cg" and s @ y > 1e-12:
             pairs = [*pairs[1 - memory :], (s, y, 1 / (s @ y))]
         done = f - f2 <= relative * max(f, 1e-12)
         x, f, g = x + t * step, f2, g2

@@ -75,6 +75,19 @@ def relaxed(spark: SparkSession, edges: DataFrame, layout: np.ndarray, unmovable
     return np.where(there[:, None], x, np.nan), stress
 
 
+def relaxed_in_steps(spark: SparkSession, edges: DataFrame, layout: np.ndarray, every: int = 10, most: int = 100) -> DataFrame:
+    """step, stress, point_no, coord: a layout as it is, and after each so many iterations of its relaxation, until stress stays."""
+    d, x = optimise.collected(edges, len(layout)), layout.copy()
+    stress, rows = optimise.stress_and_gradient(d, x)[0], []
+    for step in range(most):
+        rows += [(step, float(stress), p, [float(v) for v in c]) for p, c in enumerate(x)]
+        x, after = optimise.minimise(d, x, "fine", most=every)
+        if stress - after <= 1e-9 * max(1.0, stress):
+            break
+        stress = after
+    return spark.createDataFrame(rows, "step int, stress double, point_no int, coord array<double>")
+
+
 def merged_projection(spark: SparkSession, kind: int, primary: DataFrame, secondary: DataFrame | None, edges: DataFrame, n_points: int) -> DataFrame | None:
     """The layout of a merged chart, by kind of merge; layouts are under merged numbers, edges those of the merged chart.
 

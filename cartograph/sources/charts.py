@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import keys_by_case
 
+# Fixed value: the version that documents carry.
 VERSION = "acmacs-ace-v1"
 
 _member = "N:string, a:array<string>, D:string, L:string, P:string, R:string, l:array<string>, A:string, B:string, s:string, I:string, C:string, T:string"
@@ -32,6 +33,15 @@ def from_json(spark: SparkSession, text: str, chart_id: str = "chart") -> DataFr
     return rows.select("chart_id", F.from_json("text", SCHEMA).alias("d")).select("chart_id", F.col("d.c").alias("c"))
 
 
+def styles(spark: SparkSession, path: str) -> DataFrame:
+    """chart_id, name, style: semantic styles of documents as JSON text, and the older plot specification under the name "plot"."""
+    docs = spark.read.option("wholetext", True).text(path).withColumn("chart_id", F.input_file_name())
+    named = F.from_json(F.get_json_object("value", "$.c.R"), "map<string,string>")
+    plot = F.get_json_object("value", "$.c.p")
+    each = F.map_concat(F.coalesce(named, F.create_map().cast("map<string,string>")), F.when(plot.isNotNull(), F.create_map(F.lit("plot"), plot)).otherwise(F.create_map().cast("map<string,string>")))
+    return docs.select("chart_id", F.explode(each).alias("name", "style"))
+
+
 @keys_by_case
 def info(docs: DataFrame) -> DataFrame:
     names = {"v": "virus", "V": "type_subtype", "A": "assay", "D": "date", "N": "name", "l": "lab", "r": "rbc"}

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import keys_by_case
 
+# The versions that documents carry.
 SEQDB_VERSION = "sequence-database-v4"
 CLADES_VERSION = "clades-v2"
 
@@ -27,6 +30,16 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("file", F.trim(header).alias("header"), F.upper(F.regexp_replace(F.array_join(body, ""), "\\s", "")).alias("sequence"))
 
 
+def preprocessed(rows: DataFrame, hooks: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """rows (column file) with each hook applied to those whose file matches its pattern; the first pattern counts, others stay as they are."""
+    out, rest = None, F.lit(True)
+    for pattern, hook in hooks.items():
+        hit = F.col("file").rlike(pattern)
+        part = hook(rows.where(rest & hit)).select(*rows.columns)
+        out, rest = part if out is None else out.unionByName(part), rest & ~hit
+    return rows if out is None else out.unionByName(rows.where(rest))
+
+
 def parse_headers(rows: DataFrame) -> DataFrame:
     """Adds name, date, passage, lab, lab_id, type_subtype, lineage, excluded: fields joined by _|_, by " | ", or a name alone."""
     h = F.col("header")

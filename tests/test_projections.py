@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from cartograph.operators import maps, projections
+from cartograph.operators import maps, optimise, projections
 
 
 @pytest.fixture(scope="module")
@@ -73,3 +73,19 @@ def test_moved_stress(spark, made):
     layout = projections.as_table(spark, x)
     assert projections.moved_stress(edges, layout, 2, x[2].tolist()).first()["stress"] < 1e-9
     assert projections.moved_stress(edges, layout, 2, (x[2] + 1).tolist()).first()["stress"] > 1
+
+
+def test_both_methods_find_the_map(spark, made):
+    x, edges = made
+    d = optimise.collected(edges, 12)
+    start = x + np.random.default_rng(6).normal(0, 0.3, x.shape)
+    for method in ("quasi-newton", "cg"):
+        assert optimise.minimise(d, start, "fine", method=method)[1] < 1e-4
+
+
+def test_relaxation_in_steps(spark, made):
+    x, edges = made
+    start = x + np.random.default_rng(7).normal(0, 0.3, x.shape)
+    got = projections.relaxed_in_steps(spark, edges, start, every=3)
+    by = [r.stress for r in got.select("step", "stress").distinct().orderBy("step").collect()]
+    assert len(by) > 2 and by == sorted(by, reverse=True) and by[-1] < 1e-4 and got.count() == 12 * len(by)

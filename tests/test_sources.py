@@ -148,3 +148,12 @@ def test_trees(spark, tmp_path):
             tree_files.newick_nodes(bad)
     less = trees.remove_leaves(nodes, nodes.where("name = 'B'"))
     assert trees.newick(less) == "(A:0.1,C:0.35);"
+
+
+def test_styles_and_hooks(spark, tmp_path):
+    path = write(tmp_path / "styles.json", json.dumps({"c": {"R": {"reset": {"z": 1}, "-clades": {"T": "x"}}, "p": {"d": [1]}}}))
+    got = {r["name"]: json.loads(r.style) for r in charts.styles(spark, path).collect()}
+    assert got == {"reset": {"z": 1}, "-clades": {"T": "x"}, "plot": {"d": [1]}}
+    rows = spark.createDataFrame([("a/x.fas", "h", "AC"), ("b/y.fas", "h", "AC")], "file string, header string, sequence string")
+    fixed = sequences.preprocessed(rows, {"^a/": lambda df: df.withColumn("header", F.upper("header")), "x": lambda df: df.where("false")})
+    assert sorted(r.header for r in fixed.collect()) == ["H", "h"]
