@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
+from ..functions import sequence as S
 from . import matching
 
 # Laboratories and subtypes as sequence databases write them.
@@ -156,6 +157,44 @@ def detected_references(antigens: DataFrame, sera: DataFrame) -> DataFrame:
 
 # ---- tables and reports
 
+def date_range(members: DataFrame) -> DataFrame:
+    """first, last: of the dates that are there."""
+    date = F.nullif("date", F.lit(""))
+    return members.agg(F.min(date).alias("first"), F.max(date).alias("last"))
+
+
+def lineages(members: DataFrame) -> DataFrame:
+    return members.groupBy("lineage").agg(F.count("*").alias("n"))
+
+
+def majority_lineage(members: DataFrame) -> DataFrame:
+    """The lineage that most members have, the alphabetically first of equals; members without one don't count."""
+    return lineages(members.where("lineage <> ''")).agg(F.min_by("lineage", F.struct(-F.col("n"), F.col("lineage"))).alias("lineage"))
+
+
+def composed(rows: DataFrame, column: str, *by: str, sep: str = "+") -> DataFrame:
+    """The different values of a column joined, by group; empty ones left out."""
+    return rows.where(F.col(column) != "").groupBy(*by).agg(F.array_join(F.array_sort(F.collect_set(column)), sep).alias("composed"))
+
+
+def grouped_by_letter(seqs: DataFrame, pos: int) -> DataFrame:
+    """letter at a position, n, first_no."""
+    return seqs.groupBy(S.letter(F.col("aa"), pos).alias("letter")).agg(F.count("*").alias("n"), F.min("seq_no").alias("first_no"))
+
+
+def passage_counts(seqs: DataFrame) -> DataFrame:
+    """passage, n and the first and last isolation date."""
+    return seqs.groupBy("passage").agg(F.count("*").alias("n"), F.min("isolation_date").alias("first"), F.max("isolation_date").alias("last"))
+
+
+def united_points(*sets: DataFrame) -> DataFrame:
+    """Points that any of the sets has, each once."""
+    out = sets[0].select("point_no")
+    for s in sets[1:]:
+        out = out.union(s.select("point_no"))
+    return out.distinct()
+
+
 def assay(name: Column, form: str = "full") -> Column:
     """Names of an assay: full, brief, hi_or_neut or HI_or_Neut, no_hi or no_HI (empty for haemagglutination inhibition)."""
     hi = F.coalesce(name, F.lit("")).isin("", "HI")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-from ..operators import matching, sequences, titers, trees
+from ..operators import lookups, matching, sequences, titers, trees
 from ..operators.sequences import Selected
 from .fixtures import view, with_views
 
@@ -169,10 +169,10 @@ query("a20_diverse_positions", LETTERS + " SELECT pos, count(DISTINCT letter) AS
 query("w7_most_frequent_letter", LETTERS + " SELECT lineage, pos, letter, n FROM (SELECT *, row_number() OVER (PARTITION BY lineage, pos ORDER BY n DESC, letter) AS k FROM lc) t WHERE k = 1", *Q)(lambda spark, d: sequences.most_frequent(sequences.letter_counts(seqs(spark, d), "lineage"), "lineage"))
 query("a21_clear_differences", """+ g AS (SELECT DISTINCT cluster_no, CAST(i AS INT) AS pos, substr(aa, CAST(i AS INT), 1) AS letter FROM (SELECT cluster_no, aa, unnest(range(1, length(aa) + 1)) AS i FROM seqs WHERE cluster_no < 2) t)
 SELECT pos FROM (SELECT pos, letter, count(*) AS groups FROM g GROUP BY 1, 2) t GROUP BY 1 HAVING max(groups) = 1 AND count(*) > 1""", *Q)(lambda spark, d: sequences.clear_differences(sequences.letter_counts(seqs(spark, d).where("cluster_no < 2"), "cluster_no"), "cluster_no"))
-query("a22_grouped_by_letter", " SELECT substr(aa, 5, 1) AS letter, count(*) AS n, min(seq_no) AS first_no FROM seqs GROUP BY 1", *Q)(lambda spark, d: seqs(spark, d).groupBy(S.letter(F.col("aa"), 5).alias("letter")).agg(F.count("*").alias("n"), F.min("seq_no").alias("first_no")))
+query("a22_grouped_by_letter", " SELECT substr(aa, 5, 1) AS letter, count(*) AS n, min(seq_no) AS first_no FROM seqs GROUP BY 1", *Q)(lambda spark, d: lookups.grouped_by_letter(seqs(spark, d), 5))
 query("a17_length_histogram", " SELECT length(aa) AS length, count(*) AS n FROM seqs GROUP BY 1", *Q)(lambda spark, d: sequences.length_histogram(seqs(spark, d)))
 query("a18_statistics", " SELECT lineage, substr(isolation_date, 1, 4) AS year, count(*) AS total, count(*) FILTER (issues = '') AS no_issue FROM seqs GROUP BY CUBE (lineage, substr(isolation_date, 1, 4))", *Q)(lambda spark, d: sequences.statistics(seqs(spark, d)))
-query("a19_passage_counts", " SELECT passage, count(*) AS n, min(isolation_date) AS first, max(isolation_date) AS last FROM seqs GROUP BY 1", *Q)(lambda spark, d: seqs(spark, d).groupBy("passage").agg(F.count("*").alias("n"), F.min("isolation_date").alias("first"), F.max("isolation_date").alias("last")))
+query("a19_passage_counts", " SELECT passage, count(*) AS n, min(isolation_date) AS first, max(isolation_date) AS last FROM seqs GROUP BY 1", *Q)(lambda spark, d: lookups.passage_counts(seqs(spark, d)))
 query("sq12_upsert", """+ u AS (SELECT name, hash, aa, string_agg(DISTINCT passage, ',' ORDER BY passage) AS passages, string_agg(DISTINCT isolation_date, ',' ORDER BY isolation_date) AS dates, min(seq_no) AS seq_no FROM seqs GROUP BY 1, 2, 3)
 SELECT *, row_number() OVER (PARTITION BY hash ORDER BY dates, seq_no) = 1 AS is_master FROM u""", *Q)(lambda spark, d: sequences.upsert(seqs(spark, d).where("seq_no % 3 = 0"), seqs(spark, d).where("seq_no % 3 <> 0")))
 query("sq3_trim_absent", " SELECT seq_no, regexp_replace(concat('XX-', aa, '-X'), '^[X-]+|[X-]+$', '', 'g') AS aa FROM seqs", *Q)(lambda spark, d: seqs(spark, d).select("seq_no", S.trim_absent(F.concat(F.lit("XX-"), "aa", F.lit("-X"))).alias("aa")))
@@ -185,10 +185,10 @@ query("sq11_hash")(lambda spark, d: sequences.nuc_hash(seqs(spark, d).select("se
 query("sq7_deletions")(lambda spark, d: sequences.gaps_against(seqs(spark, d).select("seq_no", F.concat(F.substring("aa", 1, 12), F.substring("aa", 15, 99)).alias("aa")), seqs(spark, d).where("seq_no = 0").first()["aa"]))
 query("n14_seq_id", " SELECT seq_no, regexp_replace(translate(replace(concat_ws('_', name, passage, nullif(reassortant, '')), '?', 'X'), ' &=', '___'), '_+', '_', 'g') AS seq_id FROM seqs", *Q)(lambda spark, d: seqs(spark, d).select("seq_no", S.seq_id(F.col("name"), F.col("passage"), F.col("reassortant")).alias("seq_id")))
 query("n12_designation", f" SELECT antigen_no, {DESIGNATION} AS designation FROM antigens", *A)(lambda spark, d: antigens(spark, d).select("antigen_no", matching.designation(*PARTS).alias("designation")))
-query("a14_date_range", " SELECT min(nullif(date, '')) AS first, max(nullif(date, '')) AS last FROM antigens", *A)(lambda spark, d: antigens(spark, d).agg(F.min(F.nullif("date", F.lit(""))).alias("first"), F.max(F.nullif("date", F.lit(""))).alias("last")))
-query("a15_lineages", " SELECT lineage, count(*) AS n FROM antigens GROUP BY 1", *A)(lambda spark, d: antigens(spark, d).groupBy("lineage").agg(F.count("*").alias("n")))
-query("a15_majority_lineage", " SELECT arg_max(lineage, n * 1000 - ascii(lineage)) AS lineage FROM (SELECT lineage, count(*) AS n FROM antigens WHERE lineage <> '' GROUP BY 1) t", *A)(lambda spark, d: antigens(spark, d).where("lineage <> ''").groupBy("lineage").agg(F.count("*").alias("n")).agg(F.max_by("lineage", F.col("n") * 1000 - F.ascii("lineage")).alias("lineage")))
-query("a16_composed_fields", " SELECT chart_id, string_agg(DISTINCT lineage, '+' ORDER BY lineage) AS lineages FROM antigens WHERE lineage <> '' GROUP BY 1", *A)(lambda spark, d: antigens(spark, d).where("lineage <> ''").groupBy("chart_id").agg(F.array_join(F.array_sort(F.collect_set("lineage")), "+").alias("lineages")))
+query("a14_date_range", " SELECT min(nullif(date, '')) AS first, max(nullif(date, '')) AS last FROM antigens", *A)(lambda spark, d: lookups.date_range(antigens(spark, d)))
+query("a15_lineages", " SELECT lineage, count(*) AS n FROM antigens GROUP BY 1", *A)(lambda spark, d: lookups.lineages(antigens(spark, d)))
+query("a15_majority_lineage", " SELECT arg_max(lineage, n * 1000 - ascii(lineage)) AS lineage FROM (SELECT lineage, count(*) AS n FROM antigens WHERE lineage <> '' GROUP BY 1) t", *A)(lambda spark, d: lookups.majority_lineage(antigens(spark, d)))
+query("a16_composed_fields", " SELECT chart_id, string_agg(DISTINCT lineage, '+' ORDER BY lineage) AS lineages FROM antigens WHERE lineage <> '' GROUP BY 1", *A)(lambda spark, d: lookups.composed(antigens(spark, d), "lineage", "chart_id").withColumnRenamed("composed", "lineages"))
 query("a25_statistics", " SELECT round(avg(x), 6) AS mean, round(avg(abs(x - 3)), 6) AS mean_abs, round(var_pop(x), 6) AS variance, round(stddev_pop(x), 6) AS sd_pop, round(stddev_samp(x), 6) AS sd, round(covar_pop(x, y), 6) AS covariance, round(corr(x, y), 6) AS correlation FROM layout", "layout")(lambda spark, d: view(spark, d, "layout").agg(F.round(F.avg("x"), 6).alias("mean"), F.round(F.avg(F.abs(F.col("x") - 3)), 6).alias("mean_abs"), F.round(F.var_pop("x"), 6).alias("variance"), F.round(F.stddev_pop("x"), 6).alias("sd_pop"), F.round(F.stddev_samp("x"), 6).alias("sd"), F.round(F.covar_pop("x", "y"), 6).alias("covariance"), F.round(F.corr("x", "y"), 6).alias("correlation")))
 
 # ---- trees
