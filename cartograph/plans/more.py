@@ -151,7 +151,7 @@ s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED
 SELECT user_id, CAST(min(ts) AS TIMESTAMP) AS begin, count(*) AS n FROM s GROUP BY user_id, k""")(lambda spark, d: stream.sessions(events(spark, d)).select("user_id", F.col("begin").cast("timestamp").alias("begin"), "n"))
 query("stream_first_events", "SELECT event_id FROM events GROUP BY 1")(lambda spark, d: stream.first_events(events(spark, d)).select("event_id"))
 query("stream_sliding_counts", "SELECT CAST(b AS TIMESTAMP) AS begin, count(*) AS n FROM (SELECT date_trunc('hour', ts) - INTERVAL 1 HOUR * k AS b FROM events, (VALUES (0), (1)) v(k)) t GROUP BY 1")(lambda spark, d: stream.sliding_counts(events(spark, d)).select(F.col("begin").cast("timestamp").alias("begin"), "n"))
-query("js1_event_properties", None)(lambda spark, d: events(spark, d).select("event_id", F.try_parse_json("props").alias("v")).select("event_id", F.schema_of_variant("v").alias("kind")))
+query("js1_event_properties", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, json_extract(props, '$.absent') IS NULL AS lacks FROM events")(lambda spark, d: events(spark, d).select("event_id", F.try_parse_json("props").alias("v")).select("event_id", F.try_variant_get("v", "$.k", "bigint").alias("k"), F.try_variant_get("v", "$.absent", "string").isNull().alias("lacks")))
 query("mg2_mid_points", " SELECT a.point_no, round((a.x + b.x) / 2, 6) AS x, round((a.y + b.y) / 2, 6) AS y FROM layout a JOIN layout b ON b.point_no = a.point_no + 30 WHERE a.point_no < 1000000", "layout")(lambda spark, d: layout(spark, d).where("point_no < 1000000").join(layout(spark, d).select((F.col("point_no") - 30).alias("point_no"), F.col("x").alias("x2"), F.col("y").alias("y2")), "point_no").select("point_no", F.round((F.col("x") + F.col("x2")) / 2, 6).alias("x"), F.round((F.col("y") + F.col("y2")) / 2, 6).alias("y")))
 query("o5_by_layers", " SELECT antigen_no, count(DISTINCT layer_no) AS n, max(layer_no) AS last FROM titer_layers GROUP BY 1", "titer_layers")(lambda spark, d: titers.by_layers(view(spark, d, "titer_layers")))
 query("u7_union_of_disconnected", " SELECT DISTINCT point_no FROM layout WHERE point_no % 7 = 0 OR point_no % 11 = 0", "layout")(lambda spark, d: lookups.united_points(layout(spark, d).where("point_no % 7 = 0"), layout(spark, d).where("point_no % 11 = 0")))
