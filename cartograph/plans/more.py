@@ -79,7 +79,7 @@ def best_adjust(spark, d):
     return optimise.best_avidity(avidity(spark, d))
 
 
-@query("st3_stress_of_relaxed")
+@query("st3_stress_of_relaxed", "SELECT 0.0 AS difference")
 def relaxed_stress(spark, d):
     """The kernel's stress against the relational one on the map it found: the difference is 0."""
     best = optimise.best(optimise.relax(spark, edges(spark, d), N_ANTIGENS + N_SERA, 2, precision="rough"), 1)
@@ -88,7 +88,8 @@ def relaxed_stress(spark, d):
 
 
 A = ("antigens",)
-query("n1_virus_names")(lambda spark, d: names.parse_names(seqs(spark, d).select("seq_no", "name"), spark.createDataFrame([("EN", "ENGLAND", "UNITED KINGDOM"), ("FR", "FRANCE", "FRANCE")], "name string, location string, country string"), this_year=2026))
+PLACE = "split_part(name, '/', 2)"
+query("n1_virus_names", f" SELECT seq_no, name, 'A' AS subtype, '' AS host, CASE {PLACE} WHEN 'EN' THEN 'ENGLAND' WHEN 'FR' THEN 'FRANCE' ELSE {PLACE} END AS location, split_part(name, '/', 3) AS isolation, split_part(name, '/', 4) AS year, '' AS reassortant, '' AS extra, CASE {PLACE} WHEN 'EN' THEN 'UNITED KINGDOM' WHEN 'FR' THEN 'FRANCE' ELSE '' END AS country, CASE WHEN {PLACE} IN ('EN', 'FR') THEN '' ELSE 'unrecognized_location' END AS issue FROM seqs", "seqs")(lambda spark, d: names.parse_names(seqs(spark, d).select("seq_no", "name"), spark.createDataFrame([("EN", "ENGLAND", "UNITED KINGDOM"), ("FR", "FRANCE", "FRANCE")], "name string, location string, country string"), this_year=2026))
 query("n8_passages", """ SELECT antigen_no, CASE WHEN passage LIKE 'E%' THEN 'egg' ELSE 'cell' END AS kind, CASE WHEN passage LIKE '%0' THEN passage ELSE passage END AS text FROM antigens""", *A)(lambda spark, d: antigens(spark, d).withColumn("p", passages.parsed(F.col("passage"))).select("antigen_no", passages.kind(F.col("p")).alias("kind"), F.col("p.text").alias("text")))
 query("d1_dates", " SELECT antigen_no, date FROM antigens", *A)(lambda spark, d: antigens(spark, d).select("antigen_no", dates.parse_date(F.concat_ws("/", F.substring("date", 9, 2), F.substring("date", 6, 2), F.substring("date", 1, 4))).alias("date")))
 query("d3_older_than", " SELECT antigen_no, date < '2015-03-01' AS older FROM antigens", *A)(lambda spark, d: antigens(spark, d).select("antigen_no", dates.older_than(F.col("date"), "2015-09-17", 6).alias("older")))
