@@ -140,7 +140,7 @@ query("sm13_detected_references", " SELECT antigen_no FROM antigens WHERE upper(
 query("n13_formatted", " SELECT antigen_no, trim(regexp_replace(concat(CASE WHEN name <> '' THEN name ELSE '' END, ' [', passage, '] ', replace(date, '-', ''), '/', substr(lineage, 1, 1)), ' +', ' ', 'g')) AS text FROM antigens", "antigens")(
     lambda spark, d: antigens(spark, d).select("antigen_no", lookups.formatted("{name} [{passage}] {date_brief}/{lineage_letter}").alias("text"))
 )
-query("a24_letters", " SELECT letter, n, round(n / sum(n) OVER (), 6) AS share FROM (SELECT letter, count(*) AS n FROM (SELECT unnest(string_split(aa, '')) AS letter FROM seqs) t WHERE letter <> '' GROUP BY 1) u", "seqs")(lambda spark, d: lookups.letters_of(seqs(spark, d), "aa").withColumn("share", F.round("share", 6)))
+query("a24_letters", " SELECT letter, n, n / CAST(sum(n) OVER () AS DOUBLE) AS share FROM (SELECT letter, count(*) AS n FROM (SELECT unnest(string_split(aa, '')) AS letter FROM seqs) t WHERE letter <> '' GROUP BY 1) u", "seqs")(lambda spark, d: lookups.letters_of(seqs(spark, d), "aa"))
 query("a34_message_counts", " SELECT issues AS type, count(*) AS n, string_agg(DISTINCT country, ', ' ORDER BY country) AS \"values\" FROM seqs WHERE issues <> '' GROUP BY 1", "seqs")(lambda spark, d: lookups.message_counts(seqs(spark, d).where("issues <> ''").select(F.col("issues").alias("type"), F.col("country").alias("value"))))
 ASSAYS = "CASE CAST(n_nationkey AS INT) % 5 WHEN 0 THEN 'HI' WHEN 1 THEN 'HINT' WHEN 2 THEN 'FOCUS REDUCTION' WHEN 3 THEN 'PLAQUE REDUCTION NEUTRALISATION' END"
 query("info_assays", f"SELECT n_nationkey, CASE WHEN a IS NULL OR a = 'HI' THEN 'hi' WHEN a = 'HINT' THEN 'hint' ELSE 'neut' END AS hi_or_neut, CASE WHEN a IS NULL OR a = 'HI' THEN '' WHEN a = 'HINT' THEN 'HINT' ELSE 'Neut' END AS no_hi, CASE a WHEN 'FOCUS REDUCTION' THEN 'FRA' WHEN 'PLAQUE REDUCTION NEUTRALISATION' THEN 'PRN' ELSE coalesce(a, '') END AS brief FROM (SELECT n_nationkey, {ASSAYS} AS a FROM nation) t")(
