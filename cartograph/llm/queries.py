@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, linededup, mixing, packing, pii, quality, sharding, simhash, topk, toxicity
+from . import chat, html_text, linededup, mixing, packing, pii, quality, sharding, simhash, spelling, topk, toxicity, yinyang
 from .common import table
 from .oracles import ORACLE_SQL
 
@@ -61,5 +61,34 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op11_yinyang_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return yinyang.compressed(table(spark, sf_dir, "embeddings"))
+
+
+def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(chat.formatted(chat.with_marks_inside(table(spark, sf_dir, "conversations"))))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 __all__ = ["ORACLE_SQL", "QUERIES"]
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_html_extraction, op3_best_fit_packing, op4_quality_rules, op5_toxicity, op6_sharding, op7_simhash, op8_pii, op9_mixing, op10_line_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_exact_topk,
+        op2_html_extraction,
+        op3_best_fit_packing,
+        op4_quality_rules,
+        op5_toxicity,
+        op6_sharding,
+        op7_simhash,
+        op8_pii,
+        op9_mixing,
+        op10_line_dedup,
+        op11_yinyang_codes,
+        op12_chat_formatting,
+        op13_spelling_variants,
+    )
+}
