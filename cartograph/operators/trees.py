@@ -12,17 +12,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import stored
+from ..storage import MOST_ROUNDS, discard, settled, stored
 
 
 def way_sums(nodes: DataFrame, **values: Column) -> DataFrame:
     """node_id and, for each value, its sum over the node and all nodes above it."""
-    state = stored(nodes.select("node_id", F.col("parent_id").alias("up"), *(v.alias(k) for k, v in values.items())))
-    while not state.where("up is not null").isEmpty():
+
+    def step(state: DataFrame) -> DataFrame:
         above = state.select(F.col("node_id").alias("up"), F.col("up").alias("_up"), *(F.col(k).alias(f"_{k}") for k in values))
         sums = [F.when(F.col("up").isNotNull(), F.col(k) + F.col(f"_{k}")).otherwise(F.col(k)).alias(k) for k in values]
-        state = stored(state.join(above, "up", "left").select("node_id", F.col("_up").alias("up"), *sums))
-    return state.select("node_id", *values)
+        return state.join(above, "up", "left").select("node_id", F.col("_up").alias("up"), *sums)
+
+    return settled(nodes.select("node_id", F.col("parent_id").alias("up"), *(v.alias(k) for k, v in values.items())), step, "up is not null").select("node_id", *values)
 
 
 def walk(nodes: DataFrame) -> DataFrame:
@@ -30,15 +31,29 @@ def walk(nodes: DataFrame) -> DataFrame:
     return way_sums(nodes, depth=F.when(F.col("parent_id").isNull(), 0).otherwise(1), cumulative=F.col("edge"))
 
 
+def below(nodes: DataFrame, rows: DataFrame, keys: tuple[str, ...], **merged: Column) -> DataFrame:
+    """node_id, the keys and merged columns: rows gathered over each node and all nodes below it.
+
+    merged: aggregates that give a column of rows its own name back, such as
+    n=F.sum("n"); they must not depend on how rows are put together.
+    """
+    up = stored(nodes.select("node_id", F.col("parent_id").alias("up")))
+    sums = stored(rows.select("node_id", *keys, *merged))
+    for _ in range(MOST_ROUNDS):
+        if up.where("up is not null").isEmpty():
+            discard(up)
+            return sums
+        lifted = sums.join(up.where("up is not null"), "node_id").select(F.col("up").alias("node_id"), *keys, *merged)
+        more = stored(sums.unionByName(lifted).groupBy("node_id", *keys).agg(*(c.alias(k) for k, c in merged.items())))
+        on = stored(up.join(up.select(F.col("node_id").alias("up"), F.col("up").alias("_up")), "up", "left").select("node_id", F.col("_up").alias("up")))
+        discard(sums, up)
+        sums, up = more, on
+    raise ValueError(f"not settled after {MOST_ROUNDS} rounds: the parents form a cycle")
+
+
 def below_sums(nodes: DataFrame, rows: DataFrame, *keys: str) -> DataFrame:
     """node_id, the keys and n: rows (node_id, keys, n) summed over each node and all nodes below it."""
-    up = stored(nodes.select("node_id", F.col("parent_id").alias("up")))
-    sums = stored(rows.select("node_id", *keys, "n"))
-    while not up.where("up is not null").isEmpty():
-        lifted = sums.join(up.where("up is not null"), "node_id").select(F.col("up").alias("node_id"), *keys, "n")
-        sums = stored(sums.unionByName(lifted).groupBy("node_id", *keys).agg(F.sum("n").alias("n")))
-        up = stored(up.join(up.select(F.col("node_id").alias("up"), F.col("up").alias("_up")), "up", "left").select("node_id", F.col("_up").alias("up")))
-    return sums
+    return below(nodes, rows, keys, n=F.sum("n"))
 
 
 def measured(nodes: DataFrame) -> DataFrame:
@@ -48,17 +63,16 @@ def measured(nodes: DataFrame) -> DataFrame:
         "node_id", F.col("parent_id").alias("up"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).alias("depth"), F.col("edge").alias("cumulative"),
         F.lit(1).cast("long").alias("n_nodes"), leaf.cast("long").alias("n_leaves"), F.when(leaf, F.col("edge")).alias("max_edge"), F.when(leaf, F.lit(0.0)).alias("far"),
     )
-    state = stored(state)
-    while not state.where("up is not null").isEmpty():
+
+    def step(state: DataFrame) -> DataFrame:
         above = state.select(F.col("node_id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("cumulative").alias("_cumulative"))
         below = state.where("up is not null").groupBy(F.col("up").alias("node_id")).agg(F.sum("n_nodes").alias("_nodes"), F.sum("n_leaves").alias("_leaves"), F.max("max_edge").alias("_edge"), F.max(F.col("cumulative") + F.col("far")).alias("_far"))
-        state = stored(
-            state.join(above, "up", "left").join(below, "node_id", "left").select(
-                "node_id", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), (F.col("cumulative") + F.coalesce("_cumulative", F.lit(0.0))).alias("cumulative"),
-                (F.col("n_nodes") + F.coalesce("_nodes", F.lit(0))).alias("n_nodes"), (F.col("n_leaves") + F.coalesce("_leaves", F.lit(0))).alias("n_leaves"), F.greatest("max_edge", "_edge").alias("max_edge"), F.greatest("far", "_far").alias("far"),
-            )
+        return state.join(above, "up", "left").join(below, "node_id", "left").select(
+            "node_id", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), (F.col("cumulative") + F.coalesce("_cumulative", F.lit(0.0))).alias("cumulative"),
+            (F.col("n_nodes") + F.coalesce("_nodes", F.lit(0))).alias("n_nodes"), (F.col("n_leaves") + F.coalesce("_leaves", F.lit(0))).alias("n_leaves"), F.greatest("max_edge", "_edge").alias("max_edge"), F.greatest("far", "_far").alias("far"),
         )
-    return state.drop("up")
+
+    return settled(state, step, "up is not null").drop("up")
 
 
 def cumulative(nodes: DataFrame) -> DataFrame:
@@ -141,12 +155,14 @@ def remove_leaves(nodes: DataFrame, gone: DataFrame) -> DataFrame:
     branches = nodes.join(alive, "node_id", "left_semi").where("parent_id is not null").groupBy(F.col("parent_id").alias("node_id")).agg(F.count("*").alias("n"))
     kept = stored(stay.select("node_id").unionByName(branches.where("n > 1").select("node_id")).unionByName(nodes.where("parent_id is null").select("node_id")).distinct().withColumn("kept", F.lit(True)))
     at = kept.select(F.col("node_id").alias("up"), "kept")
-    state = stored(nodes.select("node_id", F.col("parent_id").alias("up"), "edge").join(at, "up", "left"))
-    while not state.where("up is not null and kept is null").isEmpty():
+
+    def step(state: DataFrame) -> DataFrame:
         above = state.select(F.col("node_id").alias("up"), F.col("up").alias("_up"), F.col("edge").alias("_edge"), F.col("kept").alias("_kept"))
         on = F.col("up").isNotNull() & F.col("kept").isNull()
         pick = lambda new, old: F.when(on, new).otherwise(old)
-        state = stored(state.join(above, "up", "left").select("node_id", pick(F.col("_up"), F.col("up")).alias("up"), pick(F.col("edge") + F.col("_edge"), F.col("edge")).alias("edge"), pick(F.col("_kept"), F.col("kept")).alias("kept")))
+        return state.join(above, "up", "left").select("node_id", pick(F.col("_up"), F.col("up")).alias("up"), pick(F.col("edge") + F.col("_edge"), F.col("edge")).alias("edge"), pick(F.col("_kept"), F.col("kept")).alias("kept"))
+
+    state = settled(nodes.select("node_id", F.col("parent_id").alias("up"), "edge").join(at, "up", "left"), step, "up is not null and kept is null")
     found = state.join(kept.select("node_id"), "node_id", "left_semi").select("node_id", F.col("up").alias("parent_id"), "edge")
     return found.join(nodes.select("node_id", "child_order", "is_leaf", "name"), "node_id").select("node_id", "parent_id", "child_order", "is_leaf", "name", "edge")
 
@@ -247,18 +263,38 @@ def fixed_names(leaves: DataFrame, seqs: DataFrame) -> DataFrame:
 
 
 def inferred_sequences(nodes: DataFrame, column: str = "aa") -> DataFrame:
-    """node_id and a sequence for inner nodes without one whose parent has one: letters that all children share, elsewhere the parent's.
+    """node_id and a sequence for inner nodes without one, filled from the root down.
+
+    A position takes the letter that the nearest sequences below share, looked
+    for through nodes without one; elsewhere, and where there are none below, the
+    letter of the parent, which may have been filled itself.  Nodes below an empty
+    root stay empty down to the next sequence.
 
-    Positions are compared by an aggregation over (node, position, letter), so a
-    node may have any number of children.
+    Both directions are pointer doubling over the empty nodes alone, so they stop
+    at nodes with a sequence: upwards the least and the greatest letter of a
+    position are merged, downwards the first known letter on the way counts.
     """
     seq = F.col(column)
-    there = nodes.where(seq.isNotNull() & (seq != ""))
-    open_ = nodes.where(~F.col("is_leaf") & (seq.isNull() | (seq == ""))).select("node_id", "parent_id")
-    wanted = open_.join(there.select(F.col("node_id").alias("parent_id"), seq.alias("above")), "parent_id").select("node_id", "above")
-    kids = there.select(F.col("parent_id").alias("node_id"), seq.alias("kid")).distinct().join(wanted.select("node_id"), "node_id", "left_semi")
-    letters = kids.select("node_id", F.posexplode(F.split("kid", "")).alias("p", "letter")).where("letter <> ''")
-    same = letters.groupBy("node_id", "p").agg(F.min("letter").alias("least"), F.max("letter").alias("most"))
-    known = same.groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("p", F.when(F.col("least") == F.col("most"), F.col("least")).alias("letter")))).alias("known"))
-    filled = F.array_join(F.transform("known", lambda x: F.coalesce(x["letter"], F.substring("above", x["p"] + 1, F.lit(1)))), "")
-    return wanted.join(known, "node_id", "left").select("node_id", F.coalesce(filled, F.col("above")).alias(column))
+    there = nodes.where(seq.isNotNull() & (seq != "")).select("node_id", "parent_id", seq.alias("seq"))
+    empty = nodes.where(~F.col("is_leaf") & (seq.isNull() | (seq == ""))).select("node_id", "parent_id")
+    above = empty.select(F.col("node_id").alias("parent_id"), F.lit(True).alias("open"))
+    chains = stored(empty.join(above, "parent_id", "left").select("node_id", F.col("parent_id").alias("anchor"), F.when(F.col("open"), F.col("parent_id")).alias("parent_id")))
+    kids = there.select(F.col("parent_id").alias("node_id"), "seq").join(chains.select("node_id"), "node_id", "left_semi").distinct()
+    each = kids.select("node_id", F.posexplode(F.split("seq", "")).alias("p", "letter")).where("letter <> ''")
+    extremes = each.groupBy("node_id", "p").agg(F.min("letter").alias("least"), F.max("letter").alias("most"))
+    shared = below(chains, extremes, ("p",), least=F.min("least"), most=F.max("most"))
+    known = shared.groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("p", F.when(F.col("least") == F.col("most"), F.col("least")).alias("letter")))).alias("known"))
+
+    def filled(own: str, over: str) -> Column:
+        both = F.transform(own, lambda x, k: F.coalesce(x, F.get(F.col(over), k)))
+        return F.when(F.col(own).isNull(), F.col(over)).when(F.col(over).isNull(), F.col(own)).otherwise(both)
+
+    anchors = there.select(F.col("node_id").alias("anchor"), F.split("seq", "").alias("over"))
+    state = chains.join(known.select("node_id", F.transform("known", lambda x: x["letter"]).alias("letters")), "node_id", "left").join(anchors, "anchor", "left")
+    state = state.select("node_id", F.col("parent_id").alias("up"), filled("letters", "over").alias("letters"), F.col("over").isNotNull().alias("anchored"))
+
+    def step(state: DataFrame) -> DataFrame:
+        over = state.select(F.col("node_id").alias("up"), F.col("up").alias("_up"), F.col("letters").alias("over"), F.col("anchored").alias("_anchored"))
+        return state.join(over, "up", "left").select("node_id", F.col("_up").alias("up"), filled("letters", "over").alias("letters"), F.coalesce("_anchored", "anchored").alias("anchored"))
+
+    return settled(state, step, "up is not null").where("anchored").select("node_id", F.array_join(F.transform("letters", lambda x: F.coalesce(x, F.lit(""))), "").alias(column))

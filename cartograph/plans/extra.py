@@ -70,15 +70,6 @@ def sq9(spark, d):
     return rows.select("seq_no", S.checked_ending(F.col("v"), F.col("aa")).alias("e")).select("seq_no", "e.aa", "e.issues")
 
 
-@query("sq15_inferred_sequences", NSEQ + """, kl AS (SELECT DISTINCT parent_id, i, substr(aa, CAST(i AS INT), 1) AS letter FROM (SELECT parent_id, aa, unnest(range(1, length(aa) + 1)) AS i FROM ns WHERE parent_id BETWEEN -5 AND -1) t),
-pl AS (SELECT parent_id, i, count(*) AS n, min(letter) AS letter FROM kl GROUP BY 1, 2)
-SELECT pl.parent_id AS node_id, string_agg(CASE WHEN n = 1 THEN letter ELSE substr(r.aa, CAST(i AS INT), 1) END, '' ORDER BY i) AS aa FROM pl JOIN ns r ON r.node_id = 0 GROUP BY 1""", "nodes", "seqs")
-def sq15(spark, d):
-    """Regions have no sequence; the root and the nations do."""
-    rows = leafseqs(spark, d)
-    return trees.inferred_sequences(rows.withColumn("aa", F.when(~F.col("node_id").between(-5, -1), F.col("aa"))))
-
-
 NAMED = "CASE seq_no % 3 WHEN 0 THEN concat(name, '_', CAST(seq_no AS STRING)) WHEN 1 THEN concat('old_', substr(hash, 1, 8)) ELSE 'unknown name' END"
 
 

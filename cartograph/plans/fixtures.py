@@ -83,6 +83,29 @@ SELECT CAST(c_custkey + 1 AS BIGINT), CAST(CASE WHEN c_custkey % 50 = 0 THEN -10
        CAST(c_custkey * 5 % 29 + 1 AS DOUBLE) / 64 FROM customer
 """
 
+_AMINO = "translate(md5({0}), '0123456789abcdef', 'ACDEFGHIKLMNPQRS')"
+
+
+def _block(k: int) -> str:
+    """32 letters: those of the cluster with one of the document's own."""
+    own, at = _AMINO.format(f"concat(CAST(doc_id AS STRING), '/{k}')"), f"CAST(1 + (doc_id * {2 * k + 3} + {k}) % 31 AS INT)"
+    base = _AMINO.format(f"concat(CAST(doc_id % 12 AS STRING), '-{k}')")
+    return f"concat(substr({base}, 1, {at} - 1), substr({own}, {at}, 1), substr({base}, {at} + 1))"
+
+
+#: Sequences of 256 letters, all but a few different, in twelve clusters of relatives.
+LONG_SEQS = f"""
+SELECT CAST(doc_id AS BIGINT) AS seq_no, concat({", ".join(_block(k) for k in range(8))}) AS aa FROM documents
+"""
+
+#: A tree over all documents: chains of five nodes that branch in two; every sixth node and some leaves have a sequence.
+DEEP_NODES = f"""
+SELECT node_id, parent_id, CAST(node_id % 7 AS INT) AS child_order, is_leaf, edge, concat('n', CAST(node_id AS STRING)) AS name, CASE WHEN node_id % 6 = 0 OR (is_leaf AND node_id % 4 = 0) THEN aa END AS aa
+FROM (SELECT CAST(doc_id AS BIGINT) AS node_id, CASE WHEN doc_id = 0 THEN NULL WHEN doc_id % 5 = 0 THEN CAST(floor(doc_id / 10) AS BIGINT) ELSE doc_id - 1 END AS parent_id,
+  doc_id % 5 = 4 AND doc_id * 10 > last AS is_leaf, CAST(doc_id % 29 + 1 AS DOUBLE) / 64 AS edge, concat({", ".join(_block(k) for k in range(8))}) AS aa
+  FROM (SELECT doc_id, (SELECT max(doc_id) FROM documents) AS last FROM documents) m) t
+"""
+
 #: Antigens of two charts: names repeat, so that matches are many to many.
 ANTIGENS = """
 SELECT CAST(p_partkey AS INT) AS antigen_no, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 2 END AS chart_id, p_name AS name,
@@ -102,8 +125,8 @@ SELECT CAST(s_suppkey AS INT) AS serum_no, CASE WHEN s_suppkey % 2 = 0 THEN 1 EL
 FROM supplier JOIN part ON p_partkey = s_suppkey
 """
 
-VIEWS = {"titer_layers": TITER_LAYERS, "layout": LAYOUT, "chart_layers": CHART_LAYERS, "chart_layout": CHART_LAYOUT, "seqs": SEQS, "clade_rules": CLADE_RULES, "nodes": NODES, "antigens": ANTIGENS, "sera": SERA}
-TABLES = {"titer_layers": "lineitem", "layout": "part", "chart_layers": "lineitem", "chart_layout": "part", "seqs": "documents", "clade_rules": "documents", "nodes": "region nation customer", "antigens": "part", "sera": "supplier part"}
+VIEWS = {"titer_layers": TITER_LAYERS, "layout": LAYOUT, "chart_layers": CHART_LAYERS, "chart_layout": CHART_LAYOUT, "seqs": SEQS, "clade_rules": CLADE_RULES, "nodes": NODES, "long_seqs": LONG_SEQS, "deep_nodes": DEEP_NODES, "antigens": ANTIGENS, "sera": SERA}
+TABLES = {"titer_layers": "lineitem", "layout": "part", "chart_layers": "lineitem", "chart_layout": "part", "seqs": "documents", "clade_rules": "documents", "nodes": "region nation customer", "long_seqs": "documents", "deep_nodes": "documents", "antigens": "part", "sera": "supplier part"}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """All registered queries and their SQL."""
 
-from . import charts, extra, further, more, sequences
+from . import charts, extra, further, genomes, more, sequences
 
 QUERIES, SQL = {}, {}
-for _module in (charts, sequences, more, extra, further):
+for _module in (charts, sequences, more, extra, further, genomes):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL

@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from weakref import WeakKeyDictionary
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+
+#: Rounds of pointer doubling after which a chain would have 2^64 steps.
+MOST_ROUNDS = 64
 
 _local: dict[str, str] = {}
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,4 +33,34 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of stored tables from which nothing is read any more; other DataFrames are left alone."""
+    for df in tables:
+        if path := _paths.pop(df, None):
+            remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder of any file system that Spark can reach."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def settled(state: DataFrame, step: Callable[[DataFrame], DataFrame], going: str | Column) -> DataFrame:
+    """state after as many steps as it takes until no row is ``going``: each round's table replaces the one before.
+
+    The last table stays, as the result is read from it.  What doesn't end after
+    MOST_ROUNDS follows pointers round a cycle: an error.
+    """
+    state = stored(state)
+    for _ in range(MOST_ROUNDS):
+        if state.where(going).isEmpty():
+            return state
+        before, state = state, stored(step(state))
+        discard(before)
+    raise ValueError(f"not settled after {MOST_ROUNDS} rounds: the pointers form a cycle")
