@@ -1,4 +1,4 @@
-"""Streaming forms of the batch operators: calendar counts, sessions, deduplication and upserts.
+"""Streaming forms of the batch operators: calendar counts, sessions and deduplication.
 
 The batch operators have no streams; these are natural extensions of them.
 """
@@ -7,9 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-
-from ..operators.sequences import upsert
 
 
 def read_events(spark: SparkSession, path: str, schema, files_each: int = 1) -> DataFrame:
@@ -39,23 +36,3 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str | None = "1 h
 def first_events(events: DataFrame, late: str | None = "1 hour") -> DataFrame:
     """Of rows with the same event_id one."""
     return _watched(events, late).dropDuplicatesWithinWatermark(["event_id"]) if events.isStreaming else events.dropDuplicates(["event_id"])
-
-
-def upsert_sequences(new: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch is added to the table as a folder of its own; running a batch again replaces its folder.  current() unites them."""
-
-    def add(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
-
-    return new.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def current(spark: SparkSession, table: str) -> DataFrame:
-    """The united sequences of all batches so far, by name and hash."""
-    rows = spark.read.parquet(table).drop("batch")
-    return upsert(rows, rows.limit(0))
-
-
-def compact(spark: SparkSession, table: str, to: str) -> None:
-    """Copies a table's batches to one of few files, each row once; a stream can go on from there."""
-    spark.read.parquet(table).drop("batch").dropDuplicates().write.parquet(f"{to}/batch=0")

@@ -1,11 +1,13 @@
 """Streams against the batch forms of the same operators."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from cartograph.operators.sequences import upsert
-from cartograph.plans.fixtures import view
+from cartograph.operators.updates import updated
 from cartograph.streaming import events as stream
+from cartograph.streaming import sequences
 
 
 @pytest.fixture(scope="module")
@@ -48,14 +50,53 @@ def test_first_events_have_each_id_once(spark, files, tmp_path):
     assert stream.first_events(rows.union(rows)).count() == rows.count()
 
 
-def test_upserts_by_batches(spark, sf_dir, tmp_path):
-    seqs = view(spark, sf_dir, "seqs").select("seq_no", "name", "hash", "aa", "passage", "isolation_date")
+UPDATES = "seq_no long, name string, hash string, aa string, passage string, isolation_date string, issues string"
+
+
+def plain_updates(rows):
+    """The table after the rows, one at a time: {(hash, name): [sequence, passages, dates, first]} and the holders."""
+    table, holders = {}, {}
+    for seq_no, name, h, aa, passage, date, issues in sorted(tuple(x if k == 0 else x or "" for k, x in enumerate(r)) for r in rows):
+        holder = holders.get(h)
+        kept = holder is None or holder == name
+        if not kept and len(aa) != len(table[h, holder][0]):
+            if issues:
+                continue
+            table = {k: v for k, v in table.items() if k[0] != h}
+            kept = True
+        if kept:
+            holders[h] = name
+        entry = table.setdefault((h, name), [None, set(), set(), seq_no])
+        entry[0] = aa if kept else entry[0]
+        entry[1] |= {passage} - {""}
+        entry[2] |= {date} if len(date) == 10 else set()
+    return {(name, h, holders[h] == name, e[0], ",".join(sorted(e[1])), ",".join(sorted(e[2])), e[3]) for (h, name), e in table.items()}
+
+
+def random_updates(r, n):
+    return [(k, r.choice([None, "", "a", "b", "c", "d"]), r.choice(["h1", "h2", "h3", None, "h5"]), "ACGT"[: r.choice([2, 2, 3, 3, 4])] if r.random() < 0.9 else None, r.choice(["E1", "E2", "", None]), r.choice(["2020-01-01", "2020", None]), r.choice(["", "", "s"])) for k in range(n)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_updates_evict_as_one_row_at_a_time(spark, seed):
+    rows = random_updates(random.Random(seed), 120)
+    got = updated(spark.createDataFrame(rows, UPDATES)).collect()
+    assert {tuple(x) for x in got} == plain_updates(rows) and len(got) == len({(x.name, x.hash) for x in got})
+
+
+def test_updates_as_a_stream(spark, tmp_path):
+    rows = random_updates(random.Random(9), 90)
     for k in range(3):
-        seqs.where(F.col("seq_no") % 3 == k).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    incoming = spark.readStream.schema(seqs.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        spark.createDataFrame(rows[30 * k : 30 * k + 30], UPDATES).coalesce(1).write.parquet(f"{tmp_path}/part{k}")
+        (tmp_path / "in").mkdir(exist_ok=True)
+        for f in (tmp_path / f"part{k}").glob("*.parquet"):
+            f.rename(tmp_path / "in" / f"{k}.parquet")
+    incoming = spark.readStream.schema(UPDATES).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     for _ in range(2):  # nothing new the second time
-        stream.upsert_sequences(incoming, f"{tmp_path}/table", f"{tmp_path}/checkpoint").awaitTermination()
-    want = {tuple(r) for r in upsert(seqs, seqs.limit(0)).collect()}
-    assert {tuple(r) for r in stream.current(spark, f"{tmp_path}/table").collect()} == want
-    stream.compact(spark, f"{tmp_path}/table", f"{tmp_path}/less")
-    assert {tuple(r) for r in stream.current(spark, f"{tmp_path}/less").collect()} == want
+        sequences.update_sequences(incoming, f"{tmp_path}/table", f"{tmp_path}/checkpoint").awaitTermination()
+    table = sequences.current(spark, f"{tmp_path}/table")
+    want = plain_updates(rows)
+    assert {tuple(x)[:7] for x in table.collect()} == want
+    assert table.agg(F.max("epoch")).first()[0] > 0  # there were evictions
+    sequences.compact(spark, f"{tmp_path}/table", f"{tmp_path}/less")
+    assert {tuple(x)[:7] for x in sequences.current(spark, f"{tmp_path}/less").collect()} == want
