@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
+from ..storage import discard, stored
 
 
 #: Candidates that each query is compared with, at most.
@@ -279,3 +280,72 @@ def on_one_side(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
     """side (first or second), key: keys that only one of two tables has."""
     a, b = first.select(key).distinct(), second.select(key).distinct()
     return a.join(b, key, "left_anti").select(F.lit("first").alias("side"), key).unionByName(b.join(a, key, "left_anti").select(F.lit("second").alias("side"), key))
+
+
+#: Letters of a piece, from few long pieces to single letters, and how many of a query's rarest pieces are looked up at a time.
+PIECES = ((16, (2, 8, 1 << 30)), (4, (32, 1 << 30)), (1, (1 << 30,)))
+
+
+def _pieces(rows: DataFrame, column: str, width: int, *keep: str) -> DataFrame:
+    """keep, i and a hash of the i-th piece of width letters, for all whole pieces."""
+    n = F.floor(F.length(column) / width).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(i, F.substring(F.col(column), i * width + 1, F.lit(width))))
+    return rows.where(n > 0).select(*keep, F.explode(cut).alias("piece"))
+
+
+def nearest_leaves(queries: DataFrame, leaves: DataFrame, per_letter: float = 100.0) -> DataFrame:
+    """seq_no, distance, leaf_no: for each query (seq_no, aa) the leaf (seq_no, aa, cumulative) with the least per_letter * distance - cumulative, ties to the smaller number.
+
+    Exact without a given distance.  Sequences that agree in none of k pieces at
+    their places differ in k letters at least, so after a query's k rarest pieces
+    have been looked up, no other leaf can do better than per_letter * k less the
+    greatest cumulative edge.  Queries whose best leaf is better than that are
+    done; the others go on with more, then with shorter pieces.  Leaves without
+    any letter in common have the length of the longer sequence as distance, so
+    the best leaf of each length stands for them.  Equal sequences are searched
+    once; only numbers of sequences are exchanged until pairs are compared.
+    """
+    spark = queries.sparkSession
+    best_of = leaves.where("aa <> ''").groupBy("aa").agg(F.min(F.struct((-F.col("cumulative")).alias("less"), "seq_no")).alias("b"))
+    trees_leaves = stored(best_of.select(F.col("b.seq_no").alias("leaf_no"), (-F.col("b.less")).alias("cumulative"), F.col("aa").alias("c")))
+    asked = stored(queries.where("aa <> ''").select("aa").distinct().withColumn("query", F.monotonically_increasing_id()))
+    farthest = trees_leaves.agg(F.max("cumulative")).first()[0]
+    if farthest is None:
+        return spark.createDataFrame([], "seq_no long, distance int, leaf_no long")
+    score = F.col("distance") * per_letter - F.col("cumulative")
+    choice = F.struct(score.alias("score"), "leaf_no", "distance")
+
+    # what no common letter leaves: the longer length
+    by_length = trees_leaves.groupBy(F.length("c").alias("m")).agg(F.min(F.struct((-F.col("cumulative")).alias("less"), "leaf_no")).alias("b"))
+    lengths = asked.select(F.length("aa").alias("n")).distinct()
+    apart = lengths.join(F.broadcast(by_length.groupBy().agg(F.collect_list(F.struct("m", "b")).alias("all"))))  # one row: a leaf for each length of a sequence
+    apart = apart.select("n", F.explode("all").alias("x")).select("n", F.greatest("n", "x.m").alias("distance"), F.col("x.b.leaf_no").alias("leaf_no"), (-F.col("x.b.less")).alias("cumulative"))
+    apart = apart.groupBy("n").agg(F.min(choice).alias("best"))
+    best = stored(asked.join(apart, F.length("aa") == F.col("n")).select("query", F.length("aa").alias("n"), "best"))
+
+    proven = lambda k, width: F.least(F.lit(float(k)), F.floor(F.col("n") / width)) * per_letter - farthest  # noqa: E731  what other leaves have at least
+    open_ = best
+    for width, steps in PIECES:
+        index = stored(_pieces(trees_leaves, "c", width, "leaf_no"))
+        often = index.groupBy("piece").agg(F.count("*").alias("often"))
+        left = _pieces(asked.join(open_.select("query"), "query", "left_semi"), "aa", width, "query").join(often, "piece", "left")
+        rarest = Window.partitionBy("query").orderBy(F.coalesce("often", F.lit(0)), "piece")
+        ranked = stored(left.withColumn("k", F.row_number().over(rarest)).where("often IS NOT NULL"))
+        done = 0
+        for k in steps:
+            some = ranked.where((F.col("k") > done) & (F.col("k") <= k)).join(open_.select("query"), "query", "left_semi")
+            pairs = some.join(index, "piece").select("query", "leaf_no").distinct()
+            compared = pairs.join(asked, "query").join(trees_leaves, "leaf_no").withColumn("distance", S.hamming(F.col("aa"), F.col("c")))
+            found = compared.groupBy("query").agg(F.min(choice).alias("found"))
+            now = stored(best.join(found, "query", "left").select("query", "n", F.least("best", "found").alias("best")))
+            going = stored(now.join(open_.select("query"), "query", "left_semi").where(~(F.col("best.score") < proven(k, width))))
+            discard(best, open_)
+            best, open_, done = now, going, k
+            if open_.isEmpty():
+                break
+        discard(index, ranked)
+        if open_.isEmpty():
+            break
+    discard(trees_leaves)
+    found = queries.join(asked, "aa").join(best, "query")
+    return found.select("seq_no", F.col("best.distance").cast("int").alias("distance"), F.col("best.leaf_no").alias("leaf_no"))
