@@ -146,10 +146,37 @@ def multiply(titers: DataFrame, by: float, where: Column) -> DataFrame:
     return titers.withColumn("titer", F.when(where, T.multiplied_by(F.col("titer"), by)).otherwise(F.col("titer")))
 
 
+#: Cells of one bin of draws that are put in order together, at most.
+BIN_CELLS = 100_000
+
+
 def drop_share(titers: DataFrame, share: float, seed: int = 0) -> DataFrame:
-    """Removes about a share of the titers, chosen by a hash of the cell, so that reruns agree."""
-    draw = F.pmod(F.xxhash64(F.lit(seed), *CELL), F.lit(1_000_000)) / 1_000_000
-    return titers.where(draw >= share)
+    """titers with exactly round(share * number) of those that are there set to *, the cells of least draw; reruns agree.
+
+    A draw is a hash of the cell.  The greatest draw to take is found by counting
+    draws in bins, narrower in each round, until a bin is small; so nothing is
+    sorted but that one bin.
+    """
+    there = titers.where(F.col("titer") != "*")
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), *CELL)), 1, 15), 16, 10).cast("long")
+    drawn = there.select(*CELL, draw.alias("draw"))
+    total = drawn.count()
+    wanted = int(total * share + 0.5)
+    low, width, inside = 0, 60, total  # draws of the bin are low .. low + 2^width - 1
+    while inside > BIN_CELLS and width:
+        step = min(16, width)
+        counts = drawn.where((F.col("draw") >= low) & (F.col("draw") <= low + (1 << width) - 1)).groupBy(F.shiftright(F.col("draw") - low, width - step).alias("bin")).agg(F.count("*").alias("n"))
+        width -= step
+        for r in sorted(counts.collect()):  # 65,536 rows at most
+            low_of, inside = low + (r["bin"] << width), r["n"]
+            if wanted <= inside:
+                break
+            wanted -= inside
+        low = low_of
+    edge = drawn.where((F.col("draw") >= low) & (F.col("draw") <= low + (1 << width) - 1)).orderBy("draw", *CELL).limit(max(0, wanted))
+    gone = drawn.where(F.col("draw") < low).unionByName(edge).select(*CELL, F.lit(True).alias("gone"))
+    rows = titers.join(gone, list(CELL), "left")
+    return rows.select(*(F.when(F.col("gone"), "*").otherwise(F.col("titer")).alias("titer") if c == "titer" else F.col(c) for c in titers.columns))
 
 
 def remove_members(titers: DataFrame, antigens: DataFrame | None = None, sera: DataFrame | None = None) -> DataFrame:
@@ -183,3 +210,30 @@ def table_distances(titers: DataFrame, bases: DataFrame, n_antigens: int, avidit
 
 def max_table_distance(titers: DataFrame, bases: DataFrame, n_antigens: int) -> DataFrame:
     return table_distances(titers, bases, n_antigens).agg(F.max("distance").alias("max_distance"))
+
+
+def merge_many(members: DataFrame, sera: DataFrame, layers: DataFrame, keys: tuple[str, ...] = ("name", "reassortant", "annotations", "passage"), serum_keys: tuple[str, ...] = ("name", "reassortant", "annotations", "serum_id")) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Many charts as one, as folding them from the first to the last: numbers of antigens, of sera, and the merged titers.
+
+    members: chart_no, antigen_no and keys; sera: chart_no, serum_no and keys;
+    layers: chart_no, layer_no, antigen_no, serum_no, titer.  A member is the one
+    of the charts before that has the same keys; where keys repeat within a chart,
+    the second is the second there, and so on.  What no chart before has comes
+    after the members so far, in its own order.  The first two results give
+    (chart_no, antigen_no or serum_no, new_no); the plan is the same for any
+    number of charts.
+    """
+
+    def numbers(rows: DataFrame, no: str, by: tuple[str, ...]) -> DataFrame:
+        same = Window.partitionBy("chart_no", *by).orderBy(no)
+        rows = rows.select("chart_no", no, *(F.coalesce(F.col(k), F.lit("")).alias(k) for k in by)).withColumn("nth", F.row_number().over(same))
+        firsts = rows.groupBy(*by, "nth").agg(F.min(F.struct("chart_no", no)).alias("first")).select(*by, "nth", F.col("first.chart_no").alias("c"), F.col(f"first.{no}").alias("k"))
+        # places: within the chart that brings a member, after those of the charts before
+        before = Window.orderBy("c").rowsBetween(Window.unboundedPreceding, -1)  # a row for each chart
+        base = firsts.groupBy("c").agg(F.count("*").alias("n")).select("c", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+        placed = firsts.withColumn("within", F.row_number().over(Window.partitionBy("c").orderBy("k")) - 1).join(base, "c")
+        return rows.join(placed.select(*by, "nth", (F.col("base") + F.col("within")).cast("int").alias("new_no")), [*by, "nth"]).select("chart_no", no, "new_no")
+
+    antigens, sera = numbers(members, "antigen_no", keys), numbers(sera, "serum_no", serum_keys)
+    cells = layers.join(antigens.withColumnRenamed("new_no", "a"), ["chart_no", "antigen_no"]).join(sera.withColumnRenamed("new_no", "s"), ["chart_no", "serum_no"])
+    return antigens, sera, merge_layers(cells.select(F.col("a").alias("antigen_no"), F.col("s").alias("serum_no"), "titer"))

@@ -152,7 +152,9 @@ def a32(spark, d):
     return titers.merge_duplicates(layers(spark, d).withColumn("antigen_no", F.col("antigen_no") % 40), "<40")
 
 
-@query("a31_drop_share")
+@query("a31_drop_share", "+" + MERGED.removeprefix("+") + """, x AS (SELECT antigen_no, serum_no, titer, row_number() OVER (ORDER BY titer = '*', substr(md5(concat('1:', CAST(antigen_no AS STRING), ':', CAST(serum_no AS STRING))), 1, 15), antigen_no, serum_no) AS k,
+  count(*) FILTER (titer <> '*') OVER () AS n FROM merged_all)
+SELECT antigen_no, serum_no, CASE WHEN k <= floor(n * 0.25 + 0.5) THEN '*' ELSE titer END AS titer FROM x""", *L)
 def a31(spark, d):
     return titers.drop_share(merged(spark, d), 0.25, 1)
 

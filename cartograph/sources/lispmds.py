@@ -200,8 +200,14 @@ class _File(InputPartition):
         self.path = path
 
 
+def _system(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system that a path is on, and the path there."""
+    path = re.sub("^file:/(?!/)", "file:///", path)
+    return pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+
+
 def _files(path: str) -> tuple[pafs.FileSystem, list[str]]:
-    fs, at = pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    fs, at = _system(path)
     info = fs.get_file_info(at)
     if info.type == pafs.FileType.File:
         return fs, [at]
@@ -245,7 +251,7 @@ class _Writer(DataSourceWriter):
         self.path, self.overwrite, self.job = path, overwrite, uuid.uuid4().hex
 
     def _at(self) -> tuple[pafs.FileSystem, str]:
-        fs, at = pafs.FileSystem.from_uri(self.path if "://" in self.path or self.path.startswith("file:") else f"file://{self.path}")
+        fs, at = _system(self.path)
         return fs, at.rstrip("/")
 
     def write(self, iterator: Iterator) -> _Message:
