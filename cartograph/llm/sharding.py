@@ -1,6 +1,6 @@
 """Histogram sort of documents into shards of near-equal bytes (operator 6).
 
-The sort key is (hash of the text, doc_id): equal texts lie together.  The
+The sort key is (hash of the text, doc_id, number of the row): equal texts lie together, and every row has a key of its own.  The
 splitters between shards come from rounds of exact counting: each round adds up
 the bytes below a set of probe keys in all partitions at once, keeps for each
 splitter the interval that still holds its target, and lays new probes in it,
@@ -30,15 +30,17 @@ SLICE_ROWS = 4_000_000
 #: A splitter moves to the edge of a group of equal texts if that costs no more than this share of a shard.
 GROUP_TOLERANCE = 0.01
 
-_LOW, _HIGH = 0, 1 << 128
+#: Digits of a key, and its bits below the text's hash.
+DIGITS, BELOW = 48, 128
+_LOW, _HIGH = 0, 1 << 4 * DIGITS
 
 
 def _text_key(key: int) -> str:
-    return f"{key:032x}"
+    return f"{key:0{DIGITS}x}"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32 and key: 32 hexadecimal digits that order rows by text hash, then doc_id (null first)."""
+    """doc_id, size, text_crc32 and key: hexadecimal digits that order rows by text hash, then doc_id (null first), then a number for the row; to be stored at once."""
     text = F.col("text").cast("string")
     flip = F.lit(-(1 << 63))
     hexed = lambda c: F.lower(F.lpad(F.hex(c.bitwiseXOR(flip)), 16, "0"))
@@ -46,20 +48,20 @@ def keyed(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8).alias("size"),
         F.crc32(text_or_empty().cast("binary")).alias("text_crc32"),
-        F.concat(hexed(F.xxhash64(text_or_empty())), hexed(F.coalesce(F.col("doc_id").cast("long"), flip))).alias("key"),
+        F.concat(hexed(F.xxhash64(text_or_empty())), hexed(F.coalesce(F.col("doc_id").cast("long"), flip)), hexed(F.monotonically_increasing_id())).alias("key"),
     )
 
 
 def _counted(rows: DataFrame, probes: list[int]) -> dict[int, tuple[int, int, int, int]]:
     """For each gap between probes that has rows: bytes, rows, least and greatest key.  Partial sums by task, then one small aggregation."""
-    edges = np.array([_text_key(p).encode() for p in probes], dtype="S32")
+    edges = np.array([_text_key(p).encode() for p in probes], dtype=f"S{DIGITS}")
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, list] = {}
         for b in batches:
             if not len(b):
                 continue
-            keys = np.array(b.column("key").to_pylist(), dtype="S32")
+            keys = np.array(b.column("key").to_pylist(), dtype=f"S{DIGITS}")
             size = b.column("size").to_numpy(zero_copy_only=False)
             gap = np.searchsorted(edges, keys, "right")
             order = np.lexsort((keys, gap))
@@ -84,7 +86,7 @@ def splitters(rows: DataFrame, shares: list[float], tolerances: list[float], pro
     An open splitter has an interval [low, high] of keys that rows have, and the
     bytes below it.  A round lays probes evenly over all open intervals and
     counts exactly; intervals shrink to keys that occur, so a group of equal
-    hashes costs one round and is then split by doc_id.
+    hashes costs one round and is then split by doc_id, one of equal ids by the rows' numbers.
     """
     first = _counted(rows, [])
     if not first:
@@ -125,14 +127,14 @@ def splitters(rows: DataFrame, shares: list[float], tolerances: list[float], pro
 
 def at_edges(rows: DataFrame, found: list[int], shares: list[float], most: float) -> list[int]:
     """The splitters, each moved to the nearer edge of the group of equal text hashes that it lies in, if that is off its share by ``most`` or less."""
-    edges = sorted({edge for key in found if key < _HIGH for edge in (key >> 64 << 64, ((key >> 64) + 1) << 64) if edge < _HIGH})
+    edges = sorted({edge for key in found if key < _HIGH for edge in (key >> BELOW << BELOW, ((key >> BELOW) + 1) << BELOW) if edge < _HIGH})
     if not edges:
         return found
     gaps = _counted(rows, edges)
     below = dict(zip(edges, np.cumsum([gaps.get(g, (0,))[0] for g in range(len(edges))]).tolist()))
     out = []
     for key, share in zip(found, shares):
-        near = [(abs(below[e] - share), e) for e in (key >> 64 << 64, ((key >> 64) + 1) << 64) if e in below]
+        near = [(abs(below[e] - share), e) for e in (key >> BELOW << BELOW, ((key >> BELOW) + 1) << BELOW) if e in below]
         off, edge = min(near, default=(most + 1, key))
         out.append(edge if off <= most else key)
     return out
@@ -141,10 +143,10 @@ def at_edges(rows: DataFrame, found: list[int], shares: list[float], most: float
 def histogram_shards(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot: shards of near-equal bytes in key order, slots gapless from 0.
 
-    Null texts have size 8; repeated rows and null ids are kept (rows with the
-    same text and id stay together, however many); equal texts lie in one shard
-    but for groups that are large beside it; an empty table gives no rows; shards that
-    no row falls into (fewer rows than shards) are empty.
+    Null texts have size 8; repeated rows and null ids are rows like others, so
+    the law holds for any ids; equal texts lie in one shard but for groups that
+    are large beside it; an empty table gives no rows; shards that no row falls
+    into (fewer rows than shards) are empty.
     """
     rows = cut(keyed(docs))
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
@@ -156,16 +158,16 @@ def histogram_shards(docs: DataFrame, shards: int = SHARDS, tolerance: float = T
     cuts = at_edges(rows, found[slices - 1 :: slices], [k * each for k in at if k % slices == 0], GROUP_TOLERANCE * each * slices)
     bounds = [_LOW, *cuts, _HIGH]
     found = [cuts[k // slices - 1] if k % slices == 0 else min(max(key, bounds[k // slices]), bounds[k // slices + 1]) for k, key in zip(at, found)]
-    edges = np.array([_text_key(min(key, _HIGH - 1)) for key in found], dtype="S32")
+    edges = np.array([_text_key(min(key, _HIGH - 1)) for key in found], dtype=f"S{DIGITS}")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = np.array(b.column("key").to_pylist(), dtype="S32")
+            keys = np.array(b.column("key").to_pylist(), dtype=f"S{DIGITS}")
             part = np.searchsorted(edges, keys, "right")
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array((part // slices).astype(np.int32)), pa.array(part.astype(np.int64))], ["doc_id", "size", "text_crc32", "key", "shard", "slice"])
 
     dealt = rows.mapInArrow(deal, "doc_id long, size long, text_crc32 long, key string, shard int, slice long")
-    out = dealt.withColumn("slot", F.row_number().over(Window.partitionBy("slice").orderBy("key", "text_crc32")).cast("long") - 1)
+    out = dealt.withColumn("slot", F.row_number().over(Window.partitionBy("slice").orderBy("key")).cast("long") - 1)
     if slices > 1:
         before = Window.partitionBy("shard").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
         firsts = dealt.groupBy("shard", "slice").count().select("slice", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
