@@ -29,11 +29,13 @@ t AS (SELECT id, i, count(*) OVER (PARTITION BY id, a, b, c) AS n FROM x WHERE c
 c AS (SELECT id, count(DISTINCT place) AS n_repeat_words FROM (SELECT id, unnest([i, i + 1, i + 2]) AS place FROM t WHERE n > 1) u GROUP BY 1),
 l AS (SELECT id, unnest(lines) AS line FROM w),
 lw AS (SELECT id, line, {WORDS.format("line")} AS lw FROM l),
-k AS (SELECT id, sum(CASE WHEN (len(lw) >= {quality.LONG_LINE} OR regexp_matches(line, '{_plain(quality.CLOSED)}')
+lx AS (SELECT *, CASE WHEN len(lw) >= {quality.LONG_LINE} THEN ' ' || regexp_replace(line, '{_plain(quality.APART)}', '  ', 'g') || ' ' END AS spread FROM lw),
+lp AS (SELECT *, len(regexp_extract_all(spread, '[^ ]+')) AS na, len(regexp_extract_all(regexp_replace(spread, '(?i){_plain(quality.PHRASE)}', ' ', 'g'), '[^ ]+')) AS nr FROM lx),
+k AS (SELECT id, sum(CASE WHEN (CASE WHEN len(lw) >= {quality.LONG_LINE} THEN na - nr <= CAST({quality.PHRASE_SHARE} AS DOUBLE) * na END OR len(lw) < {quality.LONG_LINE} AND regexp_matches(line, '{_plain(quality.CLOSED)}')
       AND NOT regexp_matches(line, '(?i){_plain(quality.MENU)}') AND NOT regexp_matches(line, '(?i){_plain(quality.BOILERPLATE)}'))
     AND NOT (len(list_filter(lw, lambda x: regexp_matches(x, '[#*$%&|<>{{}}]'))) > CAST({quality.SYMBOL_SHARE} AS DOUBLE) * len(lw)
       OR len(list_filter(lw, lambda x: regexp_full_match(x, '[{quality.SEPARATORS}]+'))) > CAST({quality.SYMBOL_SHARE} AS DOUBLE) * len(lw))
-    THEN len(lw) ELSE 0 END) AS kept_words FROM lw GROUP BY 1),
+    THEN len(lw) ELSE 0 END) AS kept_words FROM lp GROUP BY 1),
 m AS (SELECT w.id, doc_id, len(words) AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars,
     length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
     coalesce(n_repeat_words, 0) AS n_repeat_words, CAST(coalesce(kept_words, 0) AS BIGINT) AS kept_words

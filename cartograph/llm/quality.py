@@ -19,8 +19,9 @@ MOST_REPEATED = 50
 MOST_LOST = 0.3
 #: A line is heavy with symbols, or a menu, when so large a share of its words holds one.
 SYMBOL_SHARE = 0.2
-#: A line of so many words is prose: it needs no closing punctuation and may name a policy or a licence.
+#: A line of so many words needs no closing punctuation, and may hold words of menus and notices up to a share of all.
 LONG_LINE = 30
+PHRASE_SHARE = 0.2
 
 # Fixed values of the line rules.
 SYMBOLS = "#*$%&|<>"
@@ -41,6 +42,9 @@ NOTICES = (
 MENU = f"^[^A-Za-z0-9_\u00c0-\u024f]*(?:{'|'.join(MENUS)})[^A-Za-z0-9_\u00c0-\u024f]*\\z"
 BOILERPLATE = "|".join(NOTICES)
 CASELESS = "(?iu)"
+#: What parts the words of a long line; words are then set between two spaces each, so that a phrase ends where a word does.
+APART = "[^A-Za-z0-9_\u00c0-\u024f\u00a9()'.-]+"
+PHRASE = " [('.-]*(?:" + "|".join((*MENUS, *NOTICES)).replace(" ?", "_?").replace(" ", "  ").replace("_?", "(?:  )?") + ")[)'.-]* "
 
 
 def _line(x: Column) -> Column:
@@ -50,7 +54,9 @@ def _line(x: Column) -> Column:
     symbols = F.regexp_count(x, F.lit("[^ \\t-\\r]*[#*$%&|<>{}][^ \\t-\\r]*"))
     lone = F.regexp_count(x, F.lit(f"(?<![^ \\t-\\r])[{SEPARATORS}]+(?![^ \\t-\\r])"))
     heavy = (symbols > SYMBOL_SHARE * words) | (lone > SYMBOL_SHARE * words)
-    short = F.when(words < LONG_LINE, x.rlike(CLOSED) & ~x.rlike(CASELESS + MENU) & ~x.rlike(CASELESS + BOILERPLATE)).otherwise(True)
+    spread = F.concat(F.lit(" "), F.regexp_replace(x, APART, "  "), F.lit(" "))
+    all_, rest = F.regexp_count(spread, F.lit("[^ ]+")), F.regexp_count(F.regexp_replace(spread, CASELESS + PHRASE, " "), F.lit("[^ ]+"))
+    short = F.when(words < LONG_LINE, x.rlike(CLOSED) & ~x.rlike(CASELESS + MENU) & ~x.rlike(CASELESS + BOILERPLATE)).otherwise(all_ - rest <= PHRASE_SHARE * all_)
     return F.struct(words.alias("n"), (short & (plain | ~heavy)).alias("stays"))
 
 

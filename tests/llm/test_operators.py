@@ -259,14 +259,26 @@ def plain_kept(text):
         if not w:
             continue
         bad = len(w) < 30 and (not re.search(quality.CLOSED.replace("\\z", "\\Z"), line) or fold(quality.MENU).search(line) or fold(quality.BOILERPLATE).search(line))
+        if len(w) >= 30:
+            apart = " " + "".join(f" {x} " for x in re.split(quality.APART, line) if x).replace("  ", "  ") + " "
+            bad = len(apart.split()) - len(re.sub(quality.PHRASE, " ", apart, flags=re.I).split()) > 0.2 * len(apart.split())
         heavy = sum(bool(set(x) & set("#*$%&|<>{}")) for x in w) > 0.2 * len(w) or sum(not set(x) - set(quality.SEPARATORS) for x in w) > 0.2 * len(w)
         stay += 0 if bad or heavy else len(w)
     return stay, not base_measures(text)[5] and words - stay <= 0.3 * words
 
 
+def test_long_lines_of_menus_and_notices_go(spark):
+    vocab = vocabulary()
+    story = prose(random.Random(1), 60, vocab)
+    texts = [" ".join(["Home Login Register"] * 25), "All rights reserved privacy policy cookie settings accept cookies " + story, "All rights reserved. Privacy policy, cookie settings. " * 8 + story]
+    got = {x.doc_id: x.kept_words for x in quality.line_quality(documents(spark, texts)).collect()}
+    assert got == {0: 0, 1: len(texts[1].split()), 2: 0}
+
+
 def test_quality_verdict_against_brute_force(spark, rows):
     r, vocab = random.Random(19), vocabulary()
-    parts = ["Home", "MENÜ", "« Zurück »", "À propos", "Leer más", "Alle Rechte vorbehalten.", "a | b | c | d.", "x% y% z w.", "(All rights reserved.)", prose(r, 60, vocab) + " and no end"]
+    menu = " ".join(["Home", "Login", "Register", "Mehr lesen", "Plan du site", "homes"] * 12)
+    parts = [menu, "All rights reserved, privacy policy; cookie settings (accept cookies) " + prose(r, 40, vocab), prose(r, 20, vocab) + " Alle Rechte vorbehalten. Log in | sign up" * 2 + " " + prose(r, 10, vocab), "Home", "MENÜ", "« Zurück »", "À propos", "Leer más", "Alle Rechte vorbehalten.", "a | b | c | d.", "x% y% z w.", "(All rights reserved.)", prose(r, 60, vocab) + " and no end"]
     made = ["\n".join(r.choice([prose(r, r.randint(3, 25), vocab), r.choice(parts), r.choice(vocab)]) for _ in range(r.randint(4, 20))) for _ in range(200)]
     docs = rows.select(*rows.columns).union(documents(spark, made + ODD, ids=list(range(10**6, 10**6 + len(made + ODD)))))
     got = {x.doc_id: (x.kept_words, x.kept) for x in quality.line_quality(docs).select("doc_id", "kept_words", "kept").collect()}
@@ -340,6 +352,20 @@ def test_histogram_shards(spark, rows):
     assert len(repeated) == 2 and sorted(zip(repeated.shard, repeated.slot))[0][1] == 0
 
 
+def test_shards_of_rows_without_id(spark):
+    """Rows of one text and no id, or one id, are split like others."""
+    docs = documents(spark, ["same text of some length"] * 300 + [f"other {k}" for k in range(20)], ids=[None] * 200 + [7] * 100 + list(range(20)))
+    got = sharding.histogram_shards(docs, tolerance=0.02).collect()
+    total = collections.Counter()
+    for x in got:
+        total[x.shard] += x.size
+    each, largest = sum(total.values()) / 24, max(x.size for x in got)
+    assert len(got) == 320 and len(total) == 24 and all(abs(b - each) <= 2 * (largest + 0.02 * each) for b in total.values())
+    for k in range(24):
+        slots = sorted(x.slot for x in got if x.shard == k)
+        assert slots == list(range(len(slots)))
+
+
 # ---- 7
 
 def plain_fingerprint(text):
