@@ -33,6 +33,8 @@ SHINGLE = 4
 BITS = 4
 #: Members of a grid cell that one task searches together.
 CELL_ROWS = 50_000
+#: Crowded cells that are told to every task, at most; more are joined by hash, each dealt over SALTS tasks.
+MOST_BROADCAST, SALTS = 10_000, 16
 #: Numbers of fingerprints beyond which cells are made of one more group of segments: 16, 20, 24, 27 bits of popcounts.
 FINER = (1 << 21, 1 << 26, 1 << 30)
 #: Shingles whose bits are added up at a time.
@@ -139,10 +141,14 @@ def links(nodes: DataFrame, most: int = BITS, cell_rows: int = CELL_ROWS, finer:
     cells = nodes.select("node", "fp", pop.alias("pop")).select("node", "fp", F.posexplode(F.array(*(F.xxhash64(F.lit(k), F.col("pop").bitwiseAND(F.lit(m))) for k, m in enumerate(masks)))).alias("k", "cell"))
     cells = cells.select("node", "fp", "cell")
     crowded = cells.groupBy("cell").count().where(F.col("count") > cell_rows)
-    crowd = crowded.select("cell", F.ceil(2 * F.col("count") / cell_rows).cast("int").alias("chunks")).collect()  # at most len(masks) * nodes / cell_rows rows
-    if crowd:  # members of a crowded cell go to every pair of chunks that has theirs
-        chunks = F.create_map(*(x for r in crowd for x in (F.lit(r["cell"]), F.lit(r["chunks"]))))
-        n = chunks[F.col("cell")]
+    crowded = cut(crowded.select("cell", F.ceil(2 * F.col("count") / cell_rows).cast("int").alias("chunks")))
+    if not crowded.isEmpty():  # members of a crowded cell go to every pair of chunks that has theirs
+        if crowded.count() <= MOST_BROADCAST:
+            cells = cells.join(F.broadcast(crowded), "cell", "left")
+        else:
+            salted = crowded.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+            cells = cells.withColumn("salt", F.pmod(F.xxhash64("fp", F.lit(2)), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), ["cell", "salt"], "left").drop("salt")
+        n = F.col("chunks")
         own = F.pmod(F.xxhash64("fp", F.lit(1)), n).cast("int")
         pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.xxhash64("cell", F.least(own, j), F.greatest(own, j)))
         cells = cells.select("node", "fp", F.explode(F.when(n.isNull(), F.array("cell")).otherwise(pairs)).alias("cell"))
