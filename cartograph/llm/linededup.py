@@ -13,8 +13,9 @@ deleted.  Together they cover every repeated run of RUN_WORDS words or more, and
 nothing else: a line goes if and only if it lies in such a run.
 
 Places of a hash are never paired with each other, only with the first of them;
-joins by hash are salted, so that a passage that all documents share is dealt
-over tasks; all else is linear in a document's lines.
+common hashes, of which there are few, are told to every task, so that a passage
+that all documents share stays where it is; all else is linear in a document's
+lines.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ from .common import WORD, cut, numbered, scoped
 
 GRAM_WORDS = 25
 RUN_WORDS = 50
-#: Tasks that the places of one hash are dealt over.
-SALTS = 8
+#: A hash is common from this share of all places on, if it has COMMON_ROWS: so there are no more common hashes than this.
+MOST_COMMON = 10_000
+COMMON_ROWS = 1_000
 
 
 def lines_of(text: Column) -> Column:
@@ -64,10 +66,16 @@ def selected(hashed: DataFrame, gram_words: int = GRAM_WORDS, run_words: int = R
 
 
 def joined_by_hash(rows: DataFrame, few: DataFrame, *keys: str) -> DataFrame:
-    """Inner join of rows with one row for each key; a key's rows are dealt over SALTS tasks."""
-    few = few.withColumn("__salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-    dealt = rows.withColumn("__salt", F.pmod("__uid", F.lit(SALTS)).cast("int"))
-    return dealt.hint("merge").join(few, [*keys, "__salt"]).drop("__salt")
+    """Inner join of stored rows with one row for each key, which says how many times rows have it.
+
+    Those of common keys, MOST_COMMON at most, are broadcast; every other key has
+    few rows, which meet in one task.
+    """
+    few = cut(few)
+    most = max(COMMON_ROWS, (few.agg(F.sum("times")).first()[0] or 0) // MOST_COMMON)
+    common = F.broadcast(few.where(F.col("times") > most))
+    rare = rows.join(common, [*keys], "left_anti").hint("merge").join(few.where(F.col("times") <= most), [*keys])
+    return rows.join(common, [*keys]).unionByName(rare).drop("times")
 
 
 def extended(hashed: DataFrame, matches: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
@@ -98,11 +106,11 @@ def extended(hashed: DataFrame, matches: DataFrame, run_words: int = RUN_WORDS)
 def repeated_runs(hashed: DataFrame, gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
     """__uid, runs (first and last line, from 0 among lines with a word; in order, apart from each other): what to delete."""
     marks = cut(selected(hashed, gram_words, run_words))
-    matches = cut(joined_by_hash(marks, marks.groupBy("gram").agg(F.count("*").alias("times")).where("times > 1").select("gram"), "gram").drop("gram"))
+    matches = cut(joined_by_hash(marks, marks.groupBy("gram").agg(F.count("*").alias("times")).where("times > 1"), "gram").drop("gram"))
     needed = hashed.hint("shuffle_hash").join(matches.select("__uid").distinct(), "__uid", "left_semi")
     runs = cut(extended(needed, matches, run_words))
     place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "__uid", "a")
-    first = runs.groupBy("run", "words").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
+    first = runs.groupBy("run", "words").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1")
     later = joined_by_hash(runs, first, "run", "words").where((F.col("__uid") != F.col("first.__uid")) | (F.col("a") != F.col("first.a")))
     order = Window.partitionBy("__uid").orderBy("a", "b")
     island = F.sum(F.when(F.col("a") > F.coalesce(F.col("upto"), F.lit(-1)), 1).otherwise(0)).over(order)
