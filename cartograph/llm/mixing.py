@@ -29,13 +29,15 @@ BLOCK_WORDS = 2048
 SHARD_SLOTS = 1024
 #: Documents that one task numbers together.
 BUCKET_ROWS = 4_000
+#: Numbers that one row is counted off to at a time.
+STEP = 1 << 14
 ROUNDS = 24
 SEED = 20_2611
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size and uid, a number for each row, so that repeated rows stay apart."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(text_or_empty()).alias("size"), F.col("__uid").alias("uid"))
+    """doc_id, source, size, h (hash of doc_id and text) and uid, a number for each row, so that repeated rows stay apart."""
+    return docs.select(F.xxhash64(F.col("doc_id").cast("long"), text_or_empty()).alias("h"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(text_or_empty()).alias("size"), F.col("__uid").alias("uid"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, most: int = MOST) -> DataFrame:
@@ -74,17 +76,27 @@ def streamed(sizes: DataFrame, by: DataFrame) -> DataFrame:
     """Adds source_no, source_size, target and first: where a document's words begin in its source's stream.
 
     Sums by (source, bucket of documents) give each bucket's first word; no task
-    holds a whole source.
+    holds a whole source.  A bucket follows from doc_id and text, so the rows
+    without an id, or of one id, are in many; reruns agree.
     """
     buckets = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / BUCKET_ROWS)).cast("long")
     small = by.select(F.col("source").alias("named"), "source_no", "source_size", "target", buckets.alias("buckets"))
     rows = sizes.join(small, sizes.source.eqNullSafe(small.named)).drop("named")
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.col("buckets"))).drop("buckets")
-    within = Window.partitionBy("source_no", "bucket").orderBy("doc_id", "size", "uid").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("bucket", F.pmod("h", "buckets")).drop("buckets")
+    within = Window.partitionBy("source_no", "bucket").orderBy("doc_id", "size", "h", "uid").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     firsts = rows.groupBy("source_no", "bucket").agg(F.sum("size").alias("n")).select("source_no", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("bucket_first"))
     rows = rows.withColumn("first", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    return rows.join(firsts.hint("merge"), ["source_no", "bucket"]).withColumn("first", F.col("first") + F.col("bucket_first")).drop("bucket", "bucket_first")
+    return rows.join(firsts.hint("merge"), ["source_no", "bucket"]).withColumn("first", F.col("first") + F.col("bucket_first")).drop("bucket", "bucket_first", "h")
+
+
+def counted_off(rows: DataFrame, name: str, first: Column, n: Column) -> DataFrame:
+    """rows with name: first, first + 1, ... for n numbers.  One row becomes rows of STEP numbers, these are dealt over tasks and become one for each."""
+    steps = rows.withColumn("__first", first.cast("long")).withColumn("__n", n.cast("long")).where("__n > 0")
+    steps = steps.withColumn("__step", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / STEP))))
+    dealt = steps.repartition(F.xxhash64(*rows.columns, "__step"))
+    last = F.least(F.col("__n"), (F.col("__step") + 1) * STEP) - 1
+    return dealt.withColumn(name, F.explode(F.sequence(F.col("__first") + F.col("__step") * STEP, F.col("__first") + last))).drop("__first", "__n", "__step")
 
 
 def slots(by: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
@@ -98,9 +110,7 @@ def slots(by: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHAR
     passes = by.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(MOST - 1)))).withColumn("want", F.least(F.col("source_size"), F.col("want") - F.col("pass") * F.col("source_size")))
     passes = passes.where(F.col("want") > 0).withColumn("n", F.ceil(F.col("want") / block_words)).withColumn("full", full)
     numbered = passes.withColumn("from", F.coalesce(F.sum("n").over(Window.partitionBy("source_no").orderBy("pass").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    # one row a slot, made where it is used: no task holds more than its share
-    needed = numbered.select("source_no", "source_size", "pass", "want", "full", "from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
-    needed = needed.repartition(F.xxhash64("source_no", "pass", "k"))
+    needed = counted_off(numbered.select("source_no", "source_size", "pass", "want", "full", "from", "n"), "k", F.lit(0), F.col("n"))
     j = F.col("k")
     block = F.when(j < F.col("full"), shuffled(j, F.col("full"), F.xxhash64(F.lit(seed), "source_no", "pass"))).otherwise(j)
     words = F.least(F.lit(block_words).cast("long"), F.col("want") - j * block_words)
@@ -121,8 +131,8 @@ def dealt_slots(by: DataFrame, block_words: int, shard_slots: int, seed: int) ->
     need = need.withColumn("upto", F.sum("need").over(upto)).withColumn("all", F.sum("need").over(Window.partitionBy()))
     need = need.select("source_no", "need", (F.col("upto") - F.col("need")).alias("low"), "upto", "all")
     shards = need.agg(F.max("all").alias("all")).select("all", F.greatest(F.lit(1), F.ceil(F.col("all") / shard_slots)).cast("long").alias("shards"))
-    drawn = shards.select("all", "shards", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard")).where(F.col("all") > 0)
-    drawn = drawn.repartition("shard").select("all", "shard", F.explode(F.sequence(F.lit(0), F.lit(shard_slots - 1))).alias("draw"))
+    drawn = counted_off(shards.where(F.col("all") > 0), "shard", F.lit(0), F.col("shards"))
+    drawn = drawn.select("all", "shard", F.explode(F.sequence(F.lit(0), F.lit(shard_slots - 1))).alias("draw"))
     drawn = drawn.where(F.col("shard") * shard_slots + F.col("draw") < F.col("all")).withColumn("u", F.pmod(F.xxhash64(F.lit(seed), F.lit("draw"), "shard", "draw"), "all"))
     sources = need.where(F.col("need") > 0)
     # draws meet sources by bins of draws, about as many as there are sources, each of which lies in few
@@ -136,7 +146,7 @@ def dealt_slots(by: DataFrame, block_words: int, shard_slots: int, seed: int) ->
     own = kept.select("source_no", "shard", F.explode(F.sequence("from", F.col("to") - 1)).alias("slot"))
     had = kept.groupBy("source_no").agg(F.max("to").alias("had"))
     short = sources.join(had, "source_no", "left").withColumn("had", F.coalesce("had", F.lit(0))).where(F.col("had") < F.col("need")).crossJoin(F.broadcast(shards.select("shards")))  # one row
-    rest = short.select("source_no", "shards", F.explode(F.sequence("had", F.col("need") - 1)).alias("slot")).select("source_no", F.pmod("slot", "shards").alias("shard"), "slot")
+    rest = counted_off(short.select("source_no", "shards", "had", "need"), "slot", F.col("had"), F.col("need") - F.col("had")).select("source_no", F.pmod("slot", "shards").alias("shard"), "slot")
     return own.unionByName(rest)
 
 
@@ -151,7 +161,7 @@ def taken_parts(rows: DataFrame, by: DataFrame, block_words: int = BLOCK_WORDS,
 
 
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
-    """doc_id, size, source_size, target, taken: what the mix takes of every document.
+    """doc_id, size, source_size, target, taken, n_parts, shard, slot: what the mix takes of every document, in how many parts, and the first place of these: output shard and slot of the source, as drawn (null where nothing is taken).
 
     Null texts have no words and nothing is taken of them; a null source is a
     source, the last; repeated rows are documents of their own; an empty table
@@ -161,12 +171,13 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> Da
         sizes = cut(sized(docs.withColumn("__uid", F.monotonically_increasing_id())))  # the rows themselves are not needed again
         by = cut(targets(sizes), keep=True)
         rows = cut(streamed(sizes, by), keep=True)
-    taken = taken_parts(rows.select("uid", "source_no", "first", "size"), by, block_words, seed).groupBy("uid").agg(F.sum(F.col("end") - F.col("begin")).alias("taken"))
-    return rows.join(taken.hint("merge"), "uid", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    taken = taken_parts(rows.select("uid", "source_no", "first", "size"), by, block_words, seed).groupBy("uid").agg(F.sum(F.col("end") - F.col("begin")).alias("taken"), F.count("*").alias("n_parts"), F.min(F.struct("shard", "slot")).alias("place"))
+    none = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return rows.join(taken.hint("merge"), "uid", "left").select("doc_id", "size", "source_size", "target", none("taken"), none("n_parts"), "place.shard", "place.slot")
 
 
 def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
-    """The mix as documents: a row for each document and pass that takes words of it, with the columns of docs.
+    """The mix as documents: a row for each document and pass that takes words of it, with the columns of docs; those of a task in the order of their first shard and slot.
 
     A document that a pass takes whole keeps its text; else its text is the taken
     words joined by one space.  Documents without words have nothing to mix and
@@ -178,8 +189,8 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int =
         by = cut(targets(sizes))
         rows = streamed(sizes, by)
         parts = taken_parts(rows.select("uid", "source_no", "first", "size"), by, block_words, seed)
-        spans = parts.groupBy("uid", "pass").agg(F.first("size").alias("size"), F.sum(F.col("end") - F.col("begin")).alias("n"), F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans"))
-        spans = cut(spans.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("pass", "size", "n", "spans"))).alias("__takes")).withColumnRenamed("uid", "__uid"), keep=True)
+        spans = parts.groupBy("uid", "pass").agg(F.first("size").alias("size"), F.sum(F.col("end") - F.col("begin")).alias("n"), F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans"), F.min(F.struct("shard", "slot")).alias("place"))
+        spans = cut(spans.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("pass", "size", "n", "spans", "place"))).alias("__takes")).withColumnRenamed("uid", "__uid"), keep=True)
     joined = rows_of.join(spans.hint("shuffle_hash"), "__uid").withColumn("__take", F.explode("__takes"))
     words = F.filter(F.split(F.col("text").cast("string"), "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")
     whole = F.col("__take.n") == F.col("__take.size")
@@ -187,4 +198,4 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int =
     out = joined.withColumn("text", F.when(whole, F.col("text").cast("string")).otherwise(some))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text")))
-    return out.select(*docs.columns)
+    return out.sortWithinPartitions("__take.place", "__uid").select(*docs.columns)

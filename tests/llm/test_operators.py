@@ -406,8 +406,9 @@ def test_simhash_against_brute_force(spark, rows):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("cell_rows", [10**6, 40])
-def test_links_connect_crowded_cells(spark, cell_rows):
+@pytest.mark.parametrize("cell_rows,told", [(10**6, 10_000), (40, 10_000), (40, 0)])
+def test_links_connect_crowded_cells(spark, monkeypatch, cell_rows, told):
+    monkeypatch.setattr(simhash, "MOST_BROADCAST", told)
     r = random.Random(8)
     centre = r.getrandbits(64)
     fps = list({centre ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 6))) for _ in range(150)} | {r.getrandbits(64) for _ in range(100)})
@@ -515,6 +516,28 @@ def test_shuffled_is_a_permutation(spark):
         assert sorted(got) == list(range(n)) and (n < 13 or got != list(range(n)))
 
 
+def test_draws_reach_the_mix(spark):
+    """Other draws and other sizes of shards give other places, while what each document gives holds to its target."""
+    r, vocab = random.Random(8), vocabulary()
+    n = 240
+    docs = documents(spark, [prose(r, r.randint(5, 60), vocab) for _ in range(n)], sources=[r.choice("aab") for _ in range(n)], ids=[None] * 150 + [3] * 20 + list(range(n - 170)))
+    key = lambda x: (x.doc_id is None, x.doc_id or 0, x.size, x.taken, x.n_parts, x.shard is None, x.shard or 0, x.slot or 0)
+    one, again, other = (sorted(mixing.mix(docs, block_words=7, seed=s).collect(), key=key) for s in (1, 1, 2))
+    assert one == again and [(x.shard, x.slot) for x in one] != [(x.shard, x.slot) for x in other]
+    for rows in (one, other):
+        assert len(rows) == n and all((x.shard is None) == (x.taken == 0) == (x.n_parts == 0) and x.taken <= 2 * x.size for x in rows)
+        for size in {x.source_size for x in rows}:
+            mine = [x for x in rows if x.source_size == size]
+            assert abs(sum(x.taken for x in mine) - mine[0].target) <= 1
+
+
+def test_counting_off_in_steps(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "STEP", 4)
+    rows = spark.createDataFrame([(1, 0, 9), (2, 5, 4), (3, 7, 0), (4, 2, 1)], "k int, a long, n long")
+    got = mixing.counted_off(rows, "x", F.col("a"), F.col("n")).collect()
+    assert sorted((x.k, x.x) for x in got) == [(k, a + i) for k, a, n in ((1, 0, 9), (2, 5, 4), (4, 2, 1)) for i in range(n)]
+
+
 # ---- 10
 
 def plain_windows(lines):
@@ -611,6 +634,18 @@ def test_line_dedup_equals_brute_force(spark, seed):
     assert all(x.n_lines == len(with_words(texts[x.k])) and x.n_removed == x.n_lines - len(with_words(x.text)) for x in got)
 
 
+@pytest.mark.parametrize("least,most", [(0, 1), (3, 10_000)])
+def test_line_dedup_with_common_and_rare_runs(spark, monkeypatch, least, most):
+    """A join that tells common hashes to every task and one that meets rare ones by hash give the same."""
+    monkeypatch.setattr(linededup, "COMMON_ROWS", least)
+    monkeypatch.setattr(linededup, "MOST_COMMON", most)
+    r, vocab = random.Random(31), vocabulary()
+    common, rare = ("\n".join(prose(r, 14, vocab) for _ in range(5)) for _ in range(2))
+    docs = documents(spark, [f"{prose(r, 9, vocab)}\n{common}\n{rare if k in (3, 9) else prose(r, 9, vocab)}" for k in range(20)])
+    got = {x.doc_id: x.n_removed for x in linededup.line_dedup(docs).collect()}
+    assert got == {k: 0 if k == 0 else 10 if k == 9 else 5 for k in range(20)}
+
+
 def test_line_dedup_is_linear_in_a_document(spark):
     docs = documents(spark, ["\n".join(["one and the same line of ten words in all."] * 20_000), "a b.\n" * 30_000])
     began = time.perf_counter()
