@@ -1,14 +1,16 @@
 """Main text of web pages by line-block distribution (operator 2).
 
 Markup is stripped to lines, one a block of the page.  Every line has a weight:
-the length of its text, which markup makes heavier or lighter.  Lines in a
-marked article (one with at least half of the page's text outside links) gain a
-surge; plain lines count their text outside links and gain a little; lines of
-menus, headers, footers, adverts, forms or comments, and those outside of a
-marked article, keep a tenth of their length, LIGHT at most.  The distribution is
-the sums over sliding windows of what the lines weigh above LIGHT.  Where the
-windows' weight surges a stretch of content begins, where they dive to nothing it
-ends; the lines above LIGHT between surge and dive are the text.
+the length of its text outside links, the less the more of it is linked, and a
+little for being a line.  Markup makes that heavier or lighter by a factor:
+lines in a marked article (one with at least half of the page's text outside
+links) gain half, those outside of it and those of menus, headers, footers,
+adverts, forms or comments keep a small part, however long they are.  The
+distribution is the sums of weights over sliding windows.  Where a window surges
+a stretch of content begins, where it falls to what a light line weighs it ends;
+the lines between surge and dive that are no light ones themselves are the text.
+A short line of an article is thus kept for what stands after it, and a lone
+stray line is left out.
 """
 
 from __future__ import annotations
@@ -26,10 +28,12 @@ from pyspark.sql import functions as F
 WINDOW = 3
 #: A window's sum of weights from which a stretch begins.
 SURGE = 80
-#: What a line weighs at most where markup says that it is no content: the floor of the distribution.
+#: A window's sum of weights below which it ends, and the weight below which a line is a light one.
 LIGHT = 15
-#: What a plain line gains, if most of it is outside links.
+#: What a line has for being one, if most of it is outside links.
 PLAIN = 20
+#: Factors of markup: of parts that are no content, of lines outside of a marked article, and of lines in it.
+BARRED, OUTSIDE, INSIDE = 0.02, 0.04, 1.5
 
 # Elements by what they mean for the text.
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -104,6 +108,8 @@ def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
             continue
         if name in RAW and not closing:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
+            if not end and name in EMPTY:
+                continue  # a drawing or frame that nothing ends has no text of its own
             at = end.end() if end else len(html)
             if name == "title":
                 end_line()
@@ -130,34 +136,30 @@ def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
     return out
 
 
-def weights(lines: list[tuple[str, int, bool, bool]], surge: int = SURGE, light: int = LIGHT) -> np.ndarray:
+def weights(lines: list[tuple[str, int, bool, bool]]) -> np.ndarray:
     """What every line weighs."""
     free = lambda wanted: sum(n for _, n, barred, article in lines if not barred and wanted(article))
     marked = any(article and not barred for _, _, barred, article in lines) and 2 * free(bool) >= free(lambda _: True)
-    out = np.zeros(len(lines), np.int64)
-    for k, (line, n, barred, article) in enumerate(lines):
-        if barred or marked and not article:
-            out[k] = min(len(line) // 10, light)
-        elif marked:
-            out[k] = len(line) + surge
-        else:
-            out[k] = n + PLAIN * (2 * n >= len(line))
-    return out
+    factor = lambda barred, article: BARRED if barred else 1.0 if not marked else INSIDE if article else OUTSIDE
+    return np.array([(n * n / len(line) + PLAIN * (2 * n >= len(line))) * factor(barred, article) for line, n, barred, article in lines], np.float64)
+
 
+def between(weights: np.ndarray, window: int = WINDOW, surge: float = SURGE, light: float = LIGHT) -> np.ndarray:
+    """Which lines are the text, by what the lines weigh alone."""
+    if not len(weights):
+        return np.zeros(0, bool)
+    sums = np.convolve(weights, np.ones(window))[window - 1 :]  # of a line and those after it
+    surge = min(surge, sums.max())  # on a short page its heaviest stretch
+    inside, out = False, np.zeros(len(weights), bool)
+    for k, s in enumerate(sums.tolist()):
+        inside = s >= surge or inside and s >= light
+        out[k] = inside
+    return out & (weights >= min(light, weights.max()))
 
-def main_lines(lines: list[tuple[str, int, bool, bool]], window: int = WINDOW, surge: int = SURGE, light: int = LIGHT) -> list[str]:
+
+def main_lines(lines: list[tuple[str, int, bool, bool]], window: int = WINDOW) -> list[str]:
     """The lines between surge and dive."""
-    above = np.maximum(weights(lines, surge, light) - light, 0)
-    if not above.any():
-        return []
-    sums = np.convolve(above, np.ones(window, np.int64))[window - 1 :]  # of a line and those after it
-    surge = min(surge - light, int(sums.max()))  # on a short page its heaviest stretch
-    out, inside = [], False
-    for k, (line, *_) in enumerate(lines):
-        inside = sums[k] >= surge or inside and sums[k] > 0
-        if inside and above[k]:
-            out.append(line)
-    return out
+    return [line for (line, *_), keep in zip(lines, between(weights(lines), window)) if keep]
 
 
 def main_text(html: str | None) -> str:
