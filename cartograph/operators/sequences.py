@@ -103,6 +103,12 @@ def with_master(seqs: DataFrame) -> DataFrame:
     return seqs.withColumn("master_no", F.first("seq_no").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
 
 
+def same_hash(seqs: DataFrame) -> DataFrame:
+    """Adds class_no (the smallest number with the hash) and n (sequences with it): members of classes, not pairs."""
+    classes = seqs.groupBy("hash").agg(F.min("seq_no").alias("class_no"), F.count("*").alias("n"))
+    return seqs.join(classes, "hash")
+
+
 def clades(seqs: DataFrame, rules: DataFrame, require_sequence: bool = True) -> DataFrame:
     """seq_no, clades: the clades all of whose positions a sequence has.
 

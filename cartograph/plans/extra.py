@@ -24,8 +24,8 @@ def query(name, sql, *views):
 
 CIRCLE = HOME + """,
 hm AS (SELECT serum_no, arg_min(boundary, antigen_no) AS boundary, any_value(column_basis) AS column_basis
-  FROM (SELECT serum_no, antigen_no, column_basis, least(column_basis, log2(v / 10.0) + CASE WHEN p = '>' THEN 1 ELSE 0 END) - 2 AS boundary FROM home JOIN bases USING (serum_no) WHERE serum_no < 8 AND titer <> '*') t WHERE boundary >= 1 GROUP BY 1),
-ce AS (SELECT avg(x) AS cx, avg(y) AS cy FROM layout WHERE point_no BETWEEN 1000000 AND 1000007),
+  FROM (SELECT serum_no, antigen_no, column_basis, least(column_basis, log2(v / 10.0) + CASE WHEN p = '>' THEN 1 ELSE 0 END) - 2 AS boundary FROM home JOIN bases USING (serum_no) WHERE titer <> '*') t WHERE boundary >= 1 GROUP BY 1),
+ce AS (SELECT avg(x) AS cx, avg(y) AS cy FROM layout WHERE point_no - 1000000 IN (SELECT serum_no FROM m)),
 vo AS (SELECT antigen_no, count(*) FILTER (CASE WHEN p = '' THEN least(column_basis, log2(v / 10.0)) >= boundary ELSE least(column_basis, log2(v / 10.0) + CASE WHEN p = '>' THEN 1 ELSE 0 END) > boundary END) AS yes FROM m JOIN hm USING (serum_no) WHERE titer <> '*' GROUP BY 1),
 ag AS (SELECT coalesce(yes, 0) AS yes, (SELECT count(*) FROM hm) - coalesce(yes, 0) AS no, sqrt(pow(x - (SELECT cx FROM ce), 2) + pow(y - (SELECT cy FROM ce), 2)) AS dist FROM layout LEFT JOIN vo ON antigen_no = point_no WHERE point_no < 1000000),
 ds AS (SELECT yes > no AS prot, dist FROM ag WHERE yes <> no {cond}),
@@ -37,7 +37,7 @@ SELECT round(cx, 6) AS x, round(cy, 6) AS y, n, n_protected, CASE WHEN n_protect
 
 def several(spark, d, conservative):
     m = merged(spark, d)
-    sera = m.select("serum_no").distinct().where("serum_no < 8")
+    sera = m.select("serum_no").distinct()
     out = maps.circle_for_several_sera(homologous(m), m, titers.raw_column_bases(m), layout(spark, d), sera, SERA_FROM, conservative=conservative)
     return out.select(F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "n", "n_protected", F.round("radius", 5).alias("radius"))
 

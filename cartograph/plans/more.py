@@ -156,4 +156,4 @@ query("js1_event_properties", "SELECT event_id, CAST(json_extract(props, '$.k')
 query("mg2_mid_points", " SELECT a.point_no, round((a.x + b.x) / 2, 6) AS x, round((a.y + b.y) / 2, 6) AS y FROM layout a JOIN layout b ON b.point_no = a.point_no + 30 WHERE a.point_no < 1000000", "layout")(lambda spark, d: layout(spark, d).where("point_no < 1000000").join(layout(spark, d).select((F.col("point_no") - 30).alias("point_no"), F.col("x").alias("x2"), F.col("y").alias("y2")), "point_no").select("point_no", F.round((F.col("x") + F.col("x2")) / 2, 6).alias("x"), F.round((F.col("y") + F.col("y2")) / 2, 6).alias("y")))
 query("o5_by_layers", " SELECT antigen_no, count(DISTINCT layer_no) AS n, max(layer_no) AS last FROM titer_layers GROUP BY 1", "titer_layers")(lambda spark, d: titers.by_layers(view(spark, d, "titer_layers")))
 query("u7_union_of_disconnected", " SELECT DISTINCT point_no FROM layout WHERE point_no % 7 = 0 OR point_no % 11 = 0", "layout")(lambda spark, d: lookups.united_points(layout(spark, d).where("point_no % 7 = 0"), layout(spark, d).where("point_no % 11 = 0")))
-query("sk3_table", MERGED + " SELECT antigen_no, " + ", ".join(f"max(CASE WHEN serum_no = {k} THEN titer END) AS \"{k}\"" for k in range(N_SERA)) + " FROM merged_all GROUP BY 1", "titer_layers")(lambda spark, d: titers.wide(titers.merge_layers(view(spark, d, "titer_layers")), list(range(N_SERA))))
+query("sk3_table", MERGED + " SELECT antigen_no, " + ", ".join(f"max(CASE WHEN serum_no % {N_SERA} = {k} THEN titer END) AS \"{k}\"" for k in range(N_SERA)) + " FROM merged_all GROUP BY 1", "titer_layers")(lambda spark, d: titers.wide(titers.merge_layers(view(spark, d, "titer_layers")).withColumn("serum_no", F.col("serum_no") % N_SERA), list(range(N_SERA))))  # the sera of each antigen's chart

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import sequence as S
 from ..operators import lookups, matching, sequences, titers, trees
 from ..operators.sequences import Selected
+from .charts import MERGED
 from .fixtures import view, with_views
 
 QUERIES, SQL = {}, {}
@@ -116,10 +117,12 @@ def j21(spark, d):
     return matching.repeated_assay(layers.join(layers.where("layer_no = 0").select("antigen_no", "serum_no", F.col("titer").alias("other")), ["antigen_no", "serum_no"]))
 
 
-@query("j26_same_tables", " SELECT true AS same, false AS other", "titer_layers")
+@query("j26_same_tables", MERGED + """ SELECT (SELECT count(*) FROM (SELECT antigen_no, serum_no, titer FROM merged_all EXCEPT ALL SELECT antigen_no, serum_no, titer FROM merged_all) t) = 0 AS same,
+  (SELECT count(*) FROM (SELECT antigen_no, serum_no, titer FROM merged_all EXCEPT ALL SELECT antigen_no, serum_no, titer FROM merged_all WHERE NOT starts_with(titer, '<')) t) = 0 AS other""", "titer_layers")
 def j26(spark, d):
-    m = titers.merge_layers(view(spark, d, "titer_layers"))
-    return spark.createDataFrame([(matching.same_tables(m, m), matching.same_tables(m, m.limit(5)))], "same boolean, other boolean")
+    """The merged table against itself, and against what is left of it without thresholded titers."""
+    m = titers.merge_layers(view(spark, d, "titer_layers")).select("antigen_no", "serum_no", "titer")
+    return spark.createDataFrame([(matching.same_tables(m, m), matching.same_tables(m, m.where("not startswith(titer, '<')")))], "same boolean, other boolean")
 
 
 # ---- selections
@@ -149,7 +152,7 @@ query("o1_sort_date", " SELECT seq_no FROM seqs ORDER BY isolation_date DESC, se
 query("o2_move_to_front", " SELECT seq_no FROM seqs ORDER BY CASE WHEN contains(name, '/DE/1') THEN 0 ELSE 1 END, seq_no", *Q)(lambda spark, d: chain(spark, d).move_to_front(["/DE/1"]).df.select("seq_no"))
 query("f17_passage_kind", f" SELECT seq_no, CASE WHEN reassortant <> '' THEN 'reassortant' WHEN {EGG.format(p='passage')} THEN 'egg' ELSE 'cell' END AS kind FROM seqs", *Q)(lambda spark, d: seqs(spark, d).select("seq_no", F.when(F.col("reassortant") != "", "reassortant").when(matching.is_egg(F.col("passage")), "egg").otherwise("cell").alias("kind")))
 
-query("j2_find_all_by_hash", " SELECT a.seq_no, b.seq_no AS other_no FROM seqs a JOIN seqs b ON a.hash = b.hash", *Q)(lambda spark, d: seqs(spark, d).select("seq_no", "hash").join(seqs(spark, d).select(F.col("seq_no").alias("other_no"), "hash"), "hash").select("seq_no", "other_no"))
+query("j2_find_all_by_hash", " SELECT seq_no, min(seq_no) OVER (PARTITION BY hash) AS class_no, count(*) OVER (PARTITION BY hash) AS n FROM seqs", *Q)(lambda spark, d: sequences.same_hash(seqs(spark, d)).select("seq_no", "class_no", "n"))
 query("j3_find_masters", " SELECT seq_no, first_value(seq_no) OVER (PARTITION BY hash ORDER BY isolation_date, seq_no) AS master_no FROM seqs", *Q)(lambda spark, d: sequences.with_master(seqs(spark, d)).select("seq_no", "master_no"))
 query("j4_clades", "+ h AS (SELECT seq_no, clade FROM seqs, clade_rules GROUP BY seq_no, clade, aa HAVING bool_and((substr(aa, pos, 1) = letter) = eq)) SELECT s.seq_no, coalesce(string_agg(clade, ' ' ORDER BY clade), '') AS clades FROM seqs s LEFT JOIN h ON h.seq_no = s.seq_no GROUP BY 1", "seqs", "clade_rules")(lambda spark, d: sequences.clades(seqs(spark, d), view(spark, d, "clade_rules")).select("seq_no", "clades"))
 query("a23_clade_counts", "+ h AS (SELECT seq_no, clade FROM seqs, clade_rules GROUP BY seq_no, clade, aa HAVING bool_and((substr(aa, pos, 1) = letter) = eq)) SELECT clade, count(DISTINCT country) AS countries, count(*) AS n FROM h JOIN seqs USING (seq_no) GROUP BY 1", "seqs", "clade_rules")(lambda spark, d: sequences.clades(seqs(spark, d), view(spark, d, "clade_rules")).select("country", F.explode(F.split("clades", " ")).alias("clade")).where("clade <> ''").groupBy("clade").agg(F.count_distinct("country").alias("countries"), F.count("*").alias("n")))
@@ -223,15 +226,14 @@ tree("sc17_attach_subtree", " SELECT node_id, parent_id FROM nodes UNION ALL SEL
 
 
 def leafseqs(spark, d):
-    """Nodes with sequences: leaf and inner node k have the sequence of document |k| mod 200."""
-    n = view(spark, d, "nodes").withColumn("seq_no", (F.abs("node_id") % 200).cast("int"))
-    return n.join(seqs(spark, d).select("seq_no", "aa"), "seq_no")
+    """The tree of all documents, each node with the document's sequence."""
+    return view(spark, d, "deep_nodes").drop("aa").join(seqs(spark, d).select(F.col("seq_no").cast("long").alias("node_id"), "aa"), "node_id")
 
 
-NSEQ = "+ ns AS (SELECT node_id, parent_id, is_leaf, aa FROM nodes JOIN seqs ON seq_no = abs(node_id) % 200)"
+NSEQ = "+ ns AS (SELECT node_id, parent_id, is_leaf, s.aa FROM deep_nodes JOIN seqs s ON seq_no = node_id)"
 TRANS = NSEQ + ", tr AS (SELECT node_id, parent_id, concat(substr(b, CAST(i AS INT), 1), CAST(i AS STRING), substr(a, CAST(i AS INT), 1)) AS label, i FROM (SELECT x.node_id, x.parent_id, x.aa AS a, y.aa AS b, unnest(range(1, least(length(x.aa), length(y.aa)) + 1)) AS i FROM ns x JOIN ns y ON y.node_id = x.parent_id) t WHERE substr(a, CAST(i AS INT), 1) <> substr(b, CAST(i AS INT), 1))"
-query("sq14_transitions", TRANS + " SELECT node_id, label FROM tr", "nodes", "seqs")(lambda spark, d: trees.transitions(leafseqs(spark, d)))
-query("u8_flips", TRANS + " SELECT a.node_id, string_agg(CAST(a.i AS STRING), ',' ORDER BY CAST(a.i AS STRING)) AS positions FROM tr a JOIN tr b ON b.node_id = a.parent_id AND a.i = b.i GROUP BY 1", "nodes", "seqs")(lambda spark, d: trees.flips(trees.transitions(leafseqs(spark, d)), view(spark, d, "nodes")))
-query("a28_consensus_counts", NSEQ + "," + CLOSURE + " SELECT ancestor AS node_id, CAST(i AS INT) AS pos, substr(aa, CAST(i AS INT), 1) AS letter, count(*) AS n FROM (SELECT ancestor, aa, unnest(range(1, length(aa) + 1)) AS i FROM c JOIN ns USING (node_id) WHERE is_leaf AND ancestor <> node_id) t GROUP BY 1, 2, 3", "nodes", "seqs")(lambda spark, d: trees.consensus_counts(leafseqs(spark, d).unionByName(view(spark, d, "nodes").where("not is_leaf").join(leafseqs(spark, d).select("node_id"), "node_id", "left_anti").withColumn("seq_no", F.lit(0)).withColumn("aa", F.lit(None).cast("string")))))
-SQL["a28_consensus_counts"] = SQL["a28_consensus_counts"].replace("WITH nodes", "WITH RECURSIVE nodes", 1)
+query("sq14_transitions", TRANS + " SELECT node_id, label FROM tr", "deep_nodes", "seqs")(lambda spark, d: trees.transitions(leafseqs(spark, d)))
+query("u8_flips", TRANS + " SELECT a.node_id, string_agg(CAST(a.i AS STRING), ',' ORDER BY CAST(a.i AS STRING)) AS positions FROM tr a JOIN tr b ON b.node_id = a.parent_id AND a.i = b.i GROUP BY 1", "deep_nodes", "seqs")(lambda spark, d: trees.flips(trees.transitions(leafseqs(spark, d)), view(spark, d, "deep_nodes")))
+query("a28_consensus_counts", NSEQ + "," + CLOSURE.replace("nodes", "deep_nodes") + " SELECT ancestor AS node_id, CAST(i AS INT) AS pos, substr(aa, CAST(i AS INT), 1) AS letter, count(*) AS n FROM (SELECT ancestor, aa, unnest(range(1, length(aa) + 1)) AS i FROM c JOIN ns USING (node_id) WHERE is_leaf AND ancestor <> node_id) t GROUP BY 1, 2, 3", "deep_nodes", "seqs")(lambda spark, d: trees.consensus_counts(leafseqs(spark, d)))
+SQL["a28_consensus_counts"] = SQL["a28_consensus_counts"].replace("WITH deep_nodes", "WITH RECURSIVE deep_nodes", 1)
 query("j13_leaves_with_sequences", " SELECT n.node_id, s.aa FROM nodes n LEFT JOIN seqs s ON s.seq_no = n.node_id WHERE is_leaf", "nodes", "seqs")(lambda spark, d: trees.with_sequences(view(spark, d, "nodes").where("is_leaf").withColumn("name", F.col("node_id").cast("string")), seqs(spark, d).withColumn("name", F.col("seq_no").cast("string")), "aa").select("node_id", "aa"))
