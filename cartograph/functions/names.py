@@ -11,20 +11,20 @@ from pyspark.sql import functions as F
 
 # Names of reassortants and how they are spelled before their number (upper case; blanks, dashes and underscores between parts don't matter).
 MAKERS = {
-    "NYMC": "NYMC X, NYMC BX, NYMC, BX, X",
-    "NIB": "NIBSC, NIBRG, NIB",
-    "RG": "PR8 IDCDC RG, IDCDC RG, IBCDC RG, RG",
-    "CBER": "CBER",
-    "BVR": "BVR",
-    "IVR": "IVR",
-    "CVR": "CVR",
-    "CNIC": "CNIC",
-    "SAN": "SAN",
+    "NYMC": ["NYMC X", "NYMC BX", "NYMC", "BX", "X"],
+    "NIB": ["NIBSC", "NIBRG", "NIB"],
+    "RG": ["PR8 IDCDC RG", "IDCDC RG", "IBCDC RG", "RG"],
+    "CBER": ["CBER"],
+    "BVR": ["BVR"],
+    "IVR": ["IVR"],
+    "CVR": ["CVR"],
+    "CNIC": ["CNIC"],
+    "SAN": ["SAN"],
 }
 # Names without a number of their own, and those that only count where the name says that it is a reassortant's.
-UNNUMBERED = {"PR8": "PR8 HY, PR8"}
-DECLARED = {"CL": "CL", "CDC": "CDC"}
-DECLARED_UNNUMBERED = {"BS": "BS"}
+UNNUMBERED = {"PR8": ["PR8 HY", "PR8"]}
+DECLARED = {"CL": ["CL"], "CDC": ["CDC"]}
+DECLARED_UNNUMBERED = {"BS": ["BS"]}
 # Words that are hosts even where a location has the same name.
 HOSTS = [
     "BARNACLE GOOSE", "BROILER CHICKEN", "BLUE WINGED TEAL", "CAMEL", "CHICK", "CHICKEN", "COCKATOO", "COMMON BUZZARD", "COMMON KESTREL", "COMMON TEAL", "CROW", "DOMESTIC GOOSE",
@@ -39,9 +39,9 @@ def tidy(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.trim(F.upper(name)), "\\s+", " "), " ?/ ?", "/")
 
 
-def _spelled(spellings: str, number: str) -> str:
+def _spelled(spellings: list[str], number: str) -> str:
     """A pattern of any of the spellings, not inside a word, with a number after it."""
-    each = ["[ _-]*".join(x.split()) for x in spellings.split(", ")]
+    each = ["[ _-]*".join(x.split()) for x in spellings]
     # a single letter is too common to stand for a name after a slash or a parenthesis
     long, single = [x for x in each if len(x) > 1], [x for x in each if len(x) == 1]
     out = [f"(?<![A-Z0-9])(?:{'|'.join(long)}){number}"] if long else []
@@ -52,7 +52,7 @@ _NUMBER = "[ -]?[0-9][A-Z0-9-]*(?![A-Z0-9])"
 _DOTTED = "[ -]*[0-9A-Z.]*[0-9][0-9A-Z.]*(?![A-Z0-9])"
 _MADE = "^[AB][^/]*/RE[A-Z]*SORTANT/|^HIGH ?GROWTH RE[A-Z]*SORTANT "
 _NAMED = [(called, _spelled(x, _DOTTED if called == "RG" else _NUMBER), "") for called, x in MAKERS.items()]
-_NAMED += [("IGYRP", _spelled("IGYRP", "[0-9]+(?:[.]C[0-9]+)?"), ""), ("REASSORTANT", "(?<![A-Z0-9])REASSORTANT-[^ ]+", "")]
+_NAMED += [("IGYRP", _spelled(["IGYRP"], "[0-9]+(?:[.]C[0-9]+)?"), ""), ("REASSORTANT", "(?<![A-Z0-9])REASSORTANT-[^ ]+", "")]
 _PLAIN = [(called, _spelled(x, "(?![A-Z0-9])"), called) for called, x in UNNUMBERED.items()]
 _ONLY_MADE = [(called, _spelled(x, "[ -]*[0-9]+"), "") for called, x in DECLARED.items()] + [(called, _spelled(x, "(?![A-Z0-9])"), called) for called, x in DECLARED_UNNUMBERED.items()]
 
@@ -66,7 +66,7 @@ def _canonical(found: Column, named: list[tuple[str, str, str]]) -> Column:
         elif called in ("IGYRP", "REASSORTANT", "CDC"):
             out = out.when(found.rlike(f"^(?:{called})"), F.regexp_replace(found, "^CDC[ -]+", "CDC"))
         else:
-            spelled = "|".join(sorted(("[ _-]*".join(x.split()) for x in ({**MAKERS, **DECLARED})[called].split(", ")), key=len, reverse=True))
+            spelled = "|".join(sorted(("[ _-]*".join(x.split()) for x in ({**MAKERS, **DECLARED})[called]), key=len, reverse=True))
             out = out.when(found.rlike(f"^(?:{spelled})[ -]*[0-9A-Z.]*[0-9]"), F.concat(F.lit(called + "-"), F.regexp_replace(found, f"^(?:{spelled})[ -]*", "")))
     return out.otherwise(found)
 

@@ -14,66 +14,67 @@ from pyspark.sql import functions as F
 from ..functions import names
 from ..functions import sequence as S
 
-# Fixed values, one rule a line: subtype, letters that are searched, motifs, shift from the motif's beginning, conditions (offset:pattern, any of them).
-# A rule that searches "end" wants the motif at the sequence's end; its shift is from there.
-MOTIFS = """
-A(H3) 30 MKTIIALSNILCLVFA 17 16:[^Q]Q
-A(H3) 20 MKTII 16 16:Q|15:A
-A(H1) 20 MKV,MKA,MEA,MEV 17 17:DTLC|17:DTIC
-B 20 MKAIIVLLM 15
-B 100 CTDL -59
-B 100 NSPHVV -10
-B 150 EHIRL -114
-B 250 CPNATS -142
-B 250 PNATSK -143
-B 150 NVTNG -144
-A(H2) 20 MTIT,MAII,MTII 15 14:GDQIC
-A(H4) 20 MLS 16 16:Q|16:SQNY
-A(H5) 20 MEKIV,MERIV,MKKIV 16
-A(H6) 20 MIAIIV,MIAIII 16
-A(H7) 20 MNIQ,MNNQ,MNTQ 18 17:[^S]DKIC
-A(H8) 20 MEKFIA 17 17:D
-A(H9) 20 MET,MEIIS,MEV 18 17:ADKIC
-A(H10) 20 MYK 17
-A(H11) 20 MK,MEKTLL 16 16:DEIC
-A(H12) 20 MEKFIIL 17 15:AYDKIC
-A(H13) 20 MDI,MAL,MEV 18 17:ADRIC
-A(H14) 20 MIA 17 14:AYSQITN
-A(H16) 20 MMVK,MMIK 19 19:DKIC
-A(H17) 20 MEL 18 17:GDRICI
-A(H4) 100 QNYT 0 11:GHHA
-A(H11) 50 DEICIGYL 0
-A(H15) 100 KSDKICLGHHA 2
-A(H3) 150 CTLID,CTLMDALL,CTLVD -63
-A(H3) 100 PNGTIVKTI -20
-A(H3) 200 DKLYIWG -174
-A(H3) 150 SNCYPYDV -94
-A(H1) 50 VLEKN -18
-A(H1) 150 SSWSYI,ESWSYI -73
-A(H1) 150 FERFEI -110
-A(H1) 200 IWLVKKG -148
-A(H1) 200 SSVSSF -105
-A(H5) 100 GVKPLIL,GVRPLIL -45
-A(H5) 100 GWLLGNPMCDE -58
-A(H5) 150 NHFE -108
-A(H6) 100 QKEER -35
-A(H6) 150 EELKA -98
-A(H7) 100 GQCGL -51
-A(H8) 200 FYRSINWL -141
-A(H9) 50 QSTN -7
-A(H9) 150 CDLLLGG,CDLLLEG -66
-A(H9) 150 LEELRS -97
-A(H9) 150 SARSYQ -106
-A(H9) 150 SSYQRIQ -108
-A(H10) 50 NGTIVKTLTNE -11
-A(H10) 150 QKIMESG -99
-A(H11) 100 SSVEL -27
-A(H13) 50 VGYLSTN -4
-A(H16) 70 DTLTENGVP,DTLIENGVP -16
-A(H1) end LQCRICI -549 -549:DT
-A(H3) end IRCNICI -550
-B end SCSICL -570
-""".strip()
+# Subtype, letters that are searched, motifs, shift from the motif's beginning, conditions (offset from the motif and pattern, any of them).
+# A rule that searches the "end" wants the motif at the sequence's end; its shift is from there.
+Rule = tuple[str, int | str, list[str], int, list[tuple[int, str]]]
+MOTIFS: list[Rule] = [
+    ("A(H3)", 30, ["MKTIIALSNILCLVFA"], 17, [(16, "[^Q]Q")]),
+    ("A(H3)", 20, ["MKTII"], 16, [(16, "Q"), (15, "A")]),
+    ("A(H1)", 20, ["MKV", "MKA", "MEA", "MEV"], 17, [(17, "DTLC"), (17, "DTIC")]),
+    ("B", 20, ["MKAIIVLLM"], 15, []),
+    ("B", 100, ["CTDL"], -59, []),
+    ("B", 100, ["NSPHVV"], -10, []),
+    ("B", 150, ["EHIRL"], -114, []),
+    ("B", 250, ["CPNATS"], -142, []),
+    ("B", 250, ["PNATSK"], -143, []),
+    ("B", 150, ["NVTNG"], -144, []),
+    ("A(H2)", 20, ["MTIT", "MAII", "MTII"], 15, [(14, "GDQIC")]),
+    ("A(H4)", 20, ["MLS"], 16, [(16, "Q"), (16, "SQNY")]),
+    ("A(H5)", 20, ["MEKIV", "MERIV", "MKKIV"], 16, []),
+    ("A(H6)", 20, ["MIAIIV", "MIAIII"], 16, []),
+    ("A(H7)", 20, ["MNIQ", "MNNQ", "MNTQ"], 18, [(17, "[^S]DKIC")]),
+    ("A(H8)", 20, ["MEKFIA"], 17, [(17, "D")]),
+    ("A(H9)", 20, ["MET", "MEIIS", "MEV"], 18, [(17, "ADKIC")]),
+    ("A(H10)", 20, ["MYK"], 17, []),
+    ("A(H11)", 20, ["MK", "MEKTLL"], 16, [(16, "DEIC")]),
+    ("A(H12)", 20, ["MEKFIIL"], 17, [(15, "AYDKIC")]),
+    ("A(H13)", 20, ["MDI", "MAL", "MEV"], 18, [(17, "ADRIC")]),
+    ("A(H14)", 20, ["MIA"], 17, [(14, "AYSQITN")]),
+    ("A(H16)", 20, ["MMVK", "MMIK"], 19, [(19, "DKIC")]),
+    ("A(H17)", 20, ["MEL"], 18, [(17, "GDRICI")]),
+    ("A(H4)", 100, ["QNYT"], 0, [(11, "GHHA")]),
+    ("A(H11)", 50, ["DEICIGYL"], 0, []),
+    ("A(H15)", 100, ["KSDKICLGHHA"], 2, []),
+    ("A(H3)", 150, ["CTLID", "CTLMDALL", "CTLVD"], -63, []),
+    ("A(H3)", 100, ["PNGTIVKTI"], -20, []),
+    ("A(H3)", 200, ["DKLYIWG"], -174, []),
+    ("A(H3)", 150, ["SNCYPYDV"], -94, []),
+    ("A(H1)", 50, ["VLEKN"], -18, []),
+    ("A(H1)", 150, ["SSWSYI", "ESWSYI"], -73, []),
+    ("A(H1)", 150, ["FERFEI"], -110, []),
+    ("A(H1)", 200, ["IWLVKKG"], -148, []),
+    ("A(H1)", 200, ["SSVSSF"], -105, []),
+    ("A(H5)", 100, ["GVKPLIL", "GVRPLIL"], -45, []),
+    ("A(H5)", 100, ["GWLLGNPMCDE"], -58, []),
+    ("A(H5)", 150, ["NHFE"], -108, []),
+    ("A(H6)", 100, ["QKEER"], -35, []),
+    ("A(H6)", 150, ["EELKA"], -98, []),
+    ("A(H7)", 100, ["GQCGL"], -51, []),
+    ("A(H8)", 200, ["FYRSINWL"], -141, []),
+    ("A(H9)", 50, ["QSTN"], -7, []),
+    ("A(H9)", 150, ["CDLLLGG", "CDLLLEG"], -66, []),
+    ("A(H9)", 150, ["LEELRS"], -97, []),
+    ("A(H9)", 150, ["SARSYQ"], -106, []),
+    ("A(H9)", 150, ["SSYQRIQ"], -108, []),
+    ("A(H10)", 50, ["NGTIVKTLTNE"], -11, []),
+    ("A(H10)", 150, ["QKIMESG"], -99, []),
+    ("A(H11)", 100, ["SSVEL"], -27, []),
+    ("A(H13)", 50, ["VGYLSTN"], -4, []),
+    ("A(H16)", 70, ["DTLTENGVP", "DTLIENGVP"], -16, []),
+    ("A(H1)", "end", ["LQCRICI"], -549, [(-549, "DT")]),
+    ("A(H3)", "end", ["IRCNICI"], -550, []),
+    ("B", "end", ["SCSICL"], -570, []),
+]
 
 # What a single gap in an aligned sequence of type B says of its lineage: first position, letters, lineage.
 B_GAPS = [(163, 1, "YAMAGATA"), (162, 2, "VICTORIA"), (162, 3, "VICTORIA"), (163, 2, "YAMAGATA")]
@@ -81,16 +82,7 @@ B_GAPS = [(163, 1, "YAMAGATA"), (162, 2, "VICTORIA"), (162, 3, "VICTORIA"), (163
 NEAR_MASTER = 100
 
 
-def rules(table: str = MOTIFS) -> list[tuple[str, str, list[str], int, list[tuple[int, str]]]]:
-    """The rules of a table as subtype, limit, motifs, shift, conditions."""
-    out = []
-    for line in table.splitlines():
-        subtype, limit, motifs, shift, *cond = line.split()
-        out.append((subtype, limit, motifs.split(","), int(shift), [(int(c.split(":")[0]), c.split(":")[1]) for c in cond[0].split("|")] if cond else []))
-    return out
-
-
-def _found(seq: Column, rule: tuple) -> Column:
+def _found(seq: Column, rule: Rule) -> Column:
     """Struct subtype, shift, motif where the rule holds, else null."""
     subtype, limit, motifs, shift, conditions = rule
     if limit == "end":
@@ -100,7 +92,7 @@ def _found(seq: Column, rule: tuple) -> Column:
         for offset, pattern in conditions:
             right = right & ((size < -offset) | F.substring(seq, size + offset + 1, F.lit(len(pattern))).eqNullSafe(F.lit(pattern)))
         return F.when(right, F.struct(F.lit(subtype).alias("subtype"), begin.cast("int").alias("shift"), F.lit(motifs[0]).alias("motif")))
-    head = F.substring(seq, 1, int(limit))
+    head = F.substring(seq, 1, limit)
     at = F.coalesce(*(F.nullif(F.instr(head, m), F.lit(0)) for m in motifs))
     holds = at.isNotNull()
     if conditions:
@@ -111,9 +103,9 @@ def _found(seq: Column, rule: tuple) -> Column:
     return F.when(holds, F.struct(F.lit(subtype).alias("subtype"), (at - 1 + shift).cast("int").alias("shift"), F.lit(motifs[0]).alias("motif")))
 
 
-def detected(seq: Column, table: str = MOTIFS) -> Column:
+def detected(seq: Column, table: list[Rule] = MOTIFS) -> Column:
     """Struct subtype, shift, motif by the first rule that holds; null if none does."""
-    return F.coalesce(*(_found(seq, r) for r in rules(table)))
+    return F.coalesce(*(_found(seq, r) for r in table))
 
 
 def aligned(rows: DataFrame, column: str = "aa", table: str = MOTIFS) -> DataFrame:

@@ -24,7 +24,7 @@ def query(name, sql=None, *views):
 
 
 # ---- alignment: each sequence gets the motif of a rule in its place, every fifth one without its middle letter
-RULES = alignment.rules()
+RULES = alignment.MOTIFS
 
 
 def _sample(pattern: str) -> str:
