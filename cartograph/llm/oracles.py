@@ -20,6 +20,8 @@ s AS (SELECT q.rid AS query, q.vec_id AS query_id, d.rid, d.vec_id, CAST(list_do
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id NULLS LAST, rid) AS rank FROM s)
 SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= {topk.K}"""
 
+# neighbours share what stands between them, so a second pass finds every other phrase of a row
+_PHRASE = f"([^{quality.LETTER}])(?:{quality.PHRASES})([^{quality.LETTER}])"
 OP4 = f"""
 WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, {WORDS.format("text")} AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{W}')) AS lines FROM d),
@@ -29,9 +31,10 @@ t AS (SELECT id, i, count(*) OVER (PARTITION BY id, a, b, c) AS n FROM x WHERE c
 c AS (SELECT id, count(DISTINCT place) AS n_repeat_words FROM (SELECT id, unnest([i, i + 1, i + 2]) AS place FROM t WHERE n > 1) u GROUP BY 1),
 l AS (SELECT id, unnest(lines) AS line FROM w),
 lw AS (SELECT id, line, {WORDS.format("line")} AS lw FROM l),
-lx AS (SELECT *, CASE WHEN len(lw) >= {quality.LONG_LINE} THEN ' ' || regexp_replace(line, '{_plain(quality.APART)}', '  ', 'g') || ' ' END AS spread FROM lw),
-lp AS (SELECT *, len(regexp_extract_all(spread, '[^ ]+')) AS na, len(regexp_extract_all(regexp_replace(spread, '(?i){_plain(quality.PHRASE)}', ' ', 'g'), '[^ ]+')) AS nr FROM lx),
-k AS (SELECT id, sum(CASE WHEN (CASE WHEN len(lw) >= {quality.LONG_LINE} THEN na - nr <= CAST({quality.PHRASE_SHARE} AS DOUBLE) * na END OR len(lw) < {quality.LONG_LINE} AND regexp_matches(line, '{_plain(quality.CLOSED)}')
+lx AS (SELECT *, CASE WHEN len(lw) >= {quality.LONG_LINE} THEN ' ' || lower(line) || ' ' END AS low FROM lw),
+ly AS (SELECT *, regexp_replace(regexp_replace(low, '{_plain(_PHRASE)}', '\\1' || chr(1) || '\\2', 'g'), '{_plain(_PHRASE)}', '\\1' || chr(1) || '\\2', 'g') AS rest FROM lx),
+lp AS (SELECT *, len(regexp_extract_all(low, '[{quality.LETTER}]+')) - len(regexp_extract_all(rest, '[{quality.LETTER}]+')) AS phrases FROM ly),
+k AS (SELECT id, sum(CASE WHEN (CASE WHEN len(lw) >= {quality.LONG_LINE} THEN phrases <= CAST({quality.PHRASE_SHARE} AS DOUBLE) * len(lw) END OR len(lw) < {quality.LONG_LINE} AND regexp_matches(line, '{_plain(quality.CLOSED)}')
       AND NOT regexp_matches(line, '(?i){_plain(quality.MENU)}') AND NOT regexp_matches(line, '(?i){_plain(quality.BOILERPLATE)}'))
     AND NOT (len(list_filter(lw, lambda x: regexp_matches(x, '[#*$%&|<>{{}}]'))) > CAST({quality.SYMBOL_SHARE} AS DOUBLE) * len(lw)
       OR len(list_filter(lw, lambda x: regexp_full_match(x, '[{quality.SEPARATORS}]+'))) > CAST({quality.SYMBOL_SHARE} AS DOUBLE) * len(lw))

@@ -42,9 +42,28 @@ NOTICES = (
 MENU = f"^[^A-Za-z0-9_\u00c0-\u024f]*(?:{'|'.join(MENUS)})[^A-Za-z0-9_\u00c0-\u024f]*\\z"
 BOILERPLATE = "|".join(NOTICES)
 CASELESS = "(?iu)"
-#: What parts the words of a long line; words are then set between two spaces each, so that a phrase ends where a word does.
-APART = "[^A-Za-z0-9_\u00c0-\u024f\u00a9()'.-]+"
-PHRASE = " [('.-]*(?:" + "|".join((*MENUS, *NOTICES)).replace(" ?", "_?").replace(" ", "  ").replace("_?", "(?:  )?") + ")[)'.-]* "
+#: A letter or digit of a phrase's words; anything else stands between words.
+LETTER = "A-Za-z0-9_\u00c0-\u024f"
+
+
+def _by_first_letter(phrases: str) -> str:
+    """The same alternatives, those that begin with one letter together, so that most words fail at once."""
+    parts, depth, start = [], 0, 0
+    for k, c in enumerate(phrases + "|"):
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            parts.append(phrases[start:k])
+            start = k + 1
+    groups: dict[str, list[str]] = {}
+    for x in parts:
+        first = x[0] if x[0].isalpha() and x[1:2] not in ("?", "*", "+") else ""
+        groups.setdefault(first, []).append(x[len(first) :])
+    return "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in groups.items())
+
+
+PHRASES = "|".join((*MENUS, *NOTICES)).lower()
+#: A phrase of a lower-cased line between spaces, with what stands before it.
+PHRASE = f"[^{LETTER}](?:{_by_first_letter(PHRASES.replace('[a-za-z0-9_]', '[a-z0-9_]'))})(?=[^{LETTER}])"
 
 
 def _line(x: Column) -> Column:
@@ -54,9 +73,9 @@ def _line(x: Column) -> Column:
     symbols = F.regexp_count(x, F.lit("[^ \\t-\\r]*[#*$%&|<>{}][^ \\t-\\r]*"))
     lone = F.regexp_count(x, F.lit(f"(?<![^ \\t-\\r])[{SEPARATORS}]+(?![^ \\t-\\r])"))
     heavy = (symbols > SYMBOL_SHARE * words) | (lone > SYMBOL_SHARE * words)
-    spread = F.concat(F.lit(" "), F.regexp_replace(x, APART, "  "), F.lit(" "))
-    all_, rest = F.regexp_count(spread, F.lit("[^ ]+")), F.regexp_count(F.regexp_replace(spread, CASELESS + PHRASE, " "), F.lit("[^ ]+"))
-    short = F.when(words < LONG_LINE, x.rlike(CLOSED) & ~x.rlike(CASELESS + MENU) & ~x.rlike(CASELESS + BOILERPLATE)).otherwise(all_ - rest <= PHRASE_SHARE * all_)
+    found = F.regexp_extract_all(F.concat(F.lit(" "), F.lower(x), F.lit(" ")), F.lit(PHRASE), F.lit(0))
+    phrases = F.regexp_count(F.array_join(found, ""), F.lit(f"[{LETTER}]+"))
+    short = F.when(words < LONG_LINE, x.rlike(CLOSED) & ~x.rlike(CASELESS + MENU) & ~x.rlike(CASELESS + BOILERPLATE)).otherwise(phrases <= PHRASE_SHARE * words)
     return F.struct(words.alias("n"), (short & (plain | ~heavy)).alias("stays"))
 
 

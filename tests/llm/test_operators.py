@@ -293,8 +293,8 @@ def plain_kept(text):
             continue
         bad = len(w) < 30 and (not re.search(quality.CLOSED.replace("\\z", "\\Z"), line) or fold(quality.MENU).search(line) or fold(quality.BOILERPLATE).search(line))
         if len(w) >= 30:
-            apart = " " + "".join(f" {x} " for x in re.split(quality.APART, line) if x).replace("  ", "  ") + " "
-            bad = len(apart.split()) - len(re.sub(quality.PHRASE, " ", apart, flags=re.I).split()) > 0.2 * len(apart.split())
+            spare = re.sub(f"(?<![{quality.LETTER}])(?:{quality.PHRASES})(?![{quality.LETTER}])", "", line.lower())
+            bad = len(re.findall(f"[{quality.LETTER}]+", line.lower())) - len(re.findall(f"[{quality.LETTER}]+", spare)) > 0.2 * len(w)
         heavy = sum(bool(set(x) & set("#*$%&|<>{}")) for x in w) > 0.2 * len(w) or sum(not set(x) - set(quality.SEPARATORS) for x in w) > 0.2 * len(w)
         stay += 0 if bad or heavy else len(w)
     return stay, not base_measures(text)[5] and words - stay <= 0.3 * words
