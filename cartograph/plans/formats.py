@@ -162,3 +162,52 @@ def members(spark, d):
     a = charts.antigens(doc).join(per("antigen_no"), "antigen_no", "left").select(F.lit("antigen").alias("kind"), F.col("antigen_no").alias("no"), "name", F.col("passage").alias("text"), n)
     s = charts.sera(doc).join(per("serum_no"), "serum_no", "left").select(F.lit("serum").alias("kind"), F.col("serum_no").alias("no"), "name", F.col("serum_id").alias("text"), n)
     return a.unionByName(s)
+
+
+#: A sheet for each chart of the titer table: serum names above, names, dates and passages of antigens at the left, * where there is no titer.
+GRID = """SELECT chart_no, antigen_no, serum_no, min(titer) AS titer, CAST(dense_rank() OVER (PARTITION BY chart_no ORDER BY antigen_no) + 1 AS INT) AS row, CAST(serum_no % 30 + 3 AS INT) AS col
+FROM (SELECT CAST(floor(antigen_no / 120) AS INT) AS chart_no, antigen_no, serum_no, titer FROM titer_layers WHERE layer_no = 0) t GROUP BY 1, 2, 3"""
+
+
+def grid(spark, d):
+    """file, sheet, row, col, text."""
+    cells = derived(spark, GRID, titer_layers=view(spark, d, "titer_layers"))
+    place = [F.lit("f").alias("file"), F.col("chart_no").cast("string").alias("sheet")]
+    rows = cells.select("chart_no", "antigen_no", "row").distinct()
+    every = rows.select("chart_no", "row", F.explode(F.sequence(F.lit(3), F.lit(32))).alias("col")).join(cells.select("chart_no", "row", "col", "titer"), ["chart_no", "row", "col"], "left")
+    left = F.array(*(F.struct(F.lit(k).alias("col"), x.alias("text")) for k, x in enumerate((F.concat(F.lit("A/TOWN/"), F.col("antigen_no").cast("string"), F.lit("/2020")), F.lit("2020-03-04"), F.lit("MDCK1")))))
+    above = rows.select("chart_no").distinct().select(*place, F.explode(F.sequence(F.lit(0), F.lit(29))).alias("s"))
+    out = every.select(*place, "row", "col", F.coalesce("titer", F.lit("*")).alias("text"))
+    out = out.unionByName(rows.select(*place, "row", F.explode(left).alias("x")).select("file", "sheet", "row", "x.col", "x.text"))
+    return out.unionByName(above.select("file", "sheet", F.lit(1).alias("row"), (F.col("s") + 3).alias("col"), F.concat(F.lit("A/CITY/"), F.col("s").cast("string"), F.lit("/2019")).alias("text")))
+
+
+@query("sc22_titer_block", f"+ g AS ({GRID}) SELECT CAST(chart_no AS STRING) AS sheet, 2 AS first_row, max(row) AS last_row, 3 AS first_col, 32 AS last_col FROM g GROUP BY 1", "titer_layers")
+def block(spark, d):
+    return tables.titer_block(grid(spark, d)).select("sheet", "first_row", "last_row", "first_col", "last_col")
+
+
+query("sc23_label_columns", f"+ g AS (SELECT DISTINCT CAST(chart_no AS STRING) AS sheet FROM ({GRID}) t) SELECT sheet, kind, col FROM g, (VALUES ('name', 0), ('date', 1), ('passage', 2)) v(kind, col)", "titer_layers")(lambda spark, d: tables.label_columns(grid(spark, d), tables.titer_block(grid(spark, d))).select("sheet", "kind", "col"))
+query("sc24_cells_above_cells", f"+ g AS ({GRID}) SELECT CAST(chart_no AS STRING) AS sheet, row, col, titer AS text FROM g WHERE regexp_matches(titer, '^[0-9]+$') AND (chart_no, row + 1, col) IN (SELECT chart_no, row, col FROM g WHERE titer LIKE '<%')", "titer_layers")(lambda spark, d: tables.find_cells(grid(spark, d), "^[0-9]+$", "^<").select("sheet", "row", "col", "text"))
+
+
+@query("sc22_sheet_titers", f"+ g AS ({GRID}) SELECT CAST(chart_no AS STRING) AS sheet, row - 2 AS antigen_no, col - 3 AS serum_no, titer FROM g WHERE titer <> '*'", "titer_layers")
+def sheet_titers(spark, d):
+    return tables.sheet_chart(grid(spark, d))[2].select("sheet", "antigen_no", "serum_no", "titer")
+
+
+@query("sc25_org_tables", f"+ g AS ({GRID}) SELECT chart_no, row - 2 AS antigen_no, col - 3 AS serum_no, titer FROM g WHERE titer <> '*'", "titer_layers")
+def org(spark, d):
+    """Each chart as an org table, and from there again."""
+    cells = grid(spark, d)
+    line = lambda xs: F.concat(F.lit("| "), F.array_join(xs, " | "), F.lit(" |"))
+    per = cells.groupBy(F.col("sheet").alias("chart"), "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "text"))), lambda x: x["text"]).alias("t"))  # a line's 33 cells
+    none = F.array_repeat(F.lit(""), 3)
+    text = F.when(F.col("row") == 1, line(F.concat(F.array(F.lit("name")), none, "t"))).otherwise(line(F.concat(F.array(F.lit("")), "t")))
+    head = line(F.concat(F.array(*map(F.lit, ("", "name", "date", "passage"))), F.array_repeat(F.lit(""), 30)))
+    docs = per.groupBy("chart").agg(F.concat(F.lit("- Lab: X\n\n"), head, F.lit("\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", text.alias("text")))), lambda x: x["text"]), "\n")).alias("value"))  # a chart's 121 lines
+    at = folder(spark, "org")
+    docs.repartition("chart").write.partitionBy("chart").text(at)
+    _, found = tables.read_org(spark, f"{at}/*/*.txt")
+    titers = tables.org_chart(found)[2]
+    return titers.select(F.regexp_extract("file", "chart=([0-9]+)", 1).cast("int").alias("chart_no"), "antigen_no", "serum_no", "titer")
