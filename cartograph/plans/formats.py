@@ -188,7 +188,7 @@ def block(spark, d):
 
 
 query("sc23_label_columns", f"+ g AS (SELECT DISTINCT CAST(chart_no AS STRING) AS sheet FROM ({GRID}) t) SELECT sheet, kind, col FROM g, (VALUES ('name', 0), ('date', 1), ('passage', 2)) v(kind, col)", "titer_layers")(lambda spark, d: tables.label_columns(grid(spark, d), tables.titer_block(grid(spark, d))).select("sheet", "kind", "col"))
-query("sc24_cells_above_cells", f"+ g AS ({GRID}) SELECT CAST(chart_no AS STRING) AS sheet, row, col, titer AS text FROM g WHERE regexp_matches(titer, '^[0-9]+$') AND (chart_no, row + 1, col) IN (SELECT chart_no, row, col FROM g WHERE titer LIKE '<%')", "titer_layers")(lambda spark, d: tables.find_cells(grid(spark, d), "^[0-9]+$", "^<").select("sheet", "row", "col", "text"))
+query("sc24_cells_above_cells", f"+ g AS ({GRID}) SELECT CAST(chart_no AS STRING) AS sheet, row, col, titer AS text FROM g JOIN (SELECT chart_no, max(row) AS last FROM g GROUP BY 1) m USING (chart_no) WHERE titer LIKE '<%' AND row < last AND (chart_no, row + 1, col) NOT IN (SELECT chart_no, row, col FROM g)", "titer_layers")(lambda spark, d: tables.find_cells(grid(spark, d), "^<", "^\\*$").select("sheet", "row", "col", "text"))
 
 
 @query("sc22_sheet_titers", f"+ g AS ({GRID}) SELECT CAST(chart_no AS STRING) AS sheet, row - 2 AS antigen_no, col - 3 AS serum_no, titer FROM g WHERE titer <> '*'", "titer_layers")
