@@ -2,10 +2,11 @@
 
 The base spans are taken by fixed rules.  Beyond them the method proposes
 international account numbers (confirmed by mod 97), national telephone numbers
-without a country code, social security numbers, IPv6 and MAC addresses, and
+without a country code, international ones that other digits follow, social
+security numbers, IPv6 and MAC addresses, and
 access tokens (confirmed by their mix of characters); each has a prior score
 that confirmation and context words around it raise or lower, and is kept from
-THRESHOLD on.  All of it is linear in the text: patterns begin at the edge of a
+THRESHOLD on; words inside of base spans, such as an address's, are no context.  All of it is linear in the text: patterns begin at the edge of a
 run of their characters and don't give back what they took.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import text_or_empty
 
 #: Kinds in the order in which spans that start together are listed.
-KINDS = ("email", "ip", "card", "phone", "iban", "national_phone", "ssn", "ipv6", "mac", "secret")
+KINDS = ("email", "ip", "card", "phone", "iban", "national_phone", "ssn", "ipv6", "mac", "secret", "international_phone")
 BASE = 4
 THRESHOLD = 0.6
 CONTEXT = 40
@@ -38,6 +39,7 @@ EMAIL_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012
 PROPOSED = {
     "iban": (re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ -]?[A-Z0-9]{4}){2,7}(?:[ -]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), 0.3),
     "national_phone": (re.compile(r"(?<![\w+().-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![\w-])"), 0.4),
+    "international_phone": (re.compile(r"(?<![\w+])\+[0-9]{1,3}[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"), 0.7),
     "ssn": (re.compile(r"(?<![\w-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![\w-])"), 0.4),
     "ipv6": (re.compile(r"(?<![\w:])(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![\w:])"), 0.8),
     "mac": (re.compile(r"(?<![\w:-])(?:[0-9a-fA-F]{2}[:-]){5}[0-9a-fA-F]{2}(?![\w:-])"), 0.7),
@@ -46,6 +48,7 @@ PROPOSED = {
 RAISES = {
     "iban": ("iban", "account", "konto", "bank", "transfer", "compte", "cuenta", "payment"),
     "national_phone": ("phone", "tel", "call", "mobile", "cell", "fax", "contact", "whatsapp", "telefon", "teléfono", "téléphone"),
+    "international_phone": ("phone", "tel", "call", "mobile", "cell", "fax", "contact", "whatsapp", "telefon", "teléfono", "téléphone"),
     "ssn": ("ssn", "social", "security", "tax", "taxpayer", "identity"),
     "ipv6": ("ip", "address", "host", "server", "ipv6"),
     "mac": ("mac", "device", "address", "hardware"),
@@ -117,6 +120,10 @@ def added_spans(text: str, base: list[Span], threshold: float = THRESHOLD) -> li
         else:
             taken.append([b.start, b.end])
     begins = [x[0] for x in taken]
+    around = text  # what context words are read from
+    if taken:
+        ends = [0, *(x[1] for x in taken)]
+        around = "".join(text[a:b] + " " * (x[1] - b) for a, b, x in zip(ends, begins, taken)) + text[ends[-1] :]
     for kind, (pattern, prior) in PROPOSED.items():
         for m in pattern.finditer(text):
             before = bisect_right(begins, m.end() - 1)
@@ -127,7 +134,7 @@ def added_spans(text: str, base: list[Span], threshold: float = THRESHOLD) -> li
                 if not mod97(m[0]):
                     continue
                 score += 0.6
-            words = re.findall(r"[^\W\d_]+", text[max(0, m.start() - CONTEXT) : m.start()].lower() + " " + text[m.end() : m.end() + CONTEXT].lower())
+            words = re.findall(r"[^\W\d_]+", around[max(0, m.start() - CONTEXT) : m.start()].lower() + " " + around[m.end() : m.end() + CONTEXT].lower())
             score += 0.35 * any(w in RAISES[kind] for w in words) - 0.3 * any(w in LOWERS for w in words)
             if score >= threshold:
                 out.append(Span(m.start(), kind, m.end()))

@@ -495,6 +495,28 @@ def test_pii_finds_tokens_by_context(spark):
     assert sorted(map(str, (x.spans for x in pii.personal_data(docs).collect()))) == ["", "secret:11:51", "secret:11:51"]
 
 
+def test_numbers_beside_numbers_and_words_of_addresses():
+    of = lambda text: [(s.kind, text[s.start : s.end]) for s in pii.spans_of(text)[1]]
+    assert ("international_phone", "+1 (826) 555-4081") in of("call +1 (826) 555-4081 190.137.22 now")
+    assert of("+1 (826) 555-4081") == [("phone", "+1 (826) 555-4081")]
+    token = "aB3dE6gH9jK2mN5pQ8sT"
+    assert ("secret", token) in of(f"me@mail.example.com token = {token}")
+    assert ("secret", token) not in of(f"an example of a token = {token}")
+
+
+def test_added_spans_on_the_given_documents(rows):
+    """Every access token that a document assigns by name is found, and every base span stays."""
+    found = asked = 0
+    for x in rows.select("text").collect():
+        text = x.text or ""
+        base, all_ = pii.spans_of(text)
+        assert set(base) <= set(all_)
+        for m in re.finditer(r'token = "([A-Za-z0-9_-]{20,})"', text):
+            asked += 1
+            found += any(s.start <= m.start(1) and s.end >= m.end(1) for s in all_)
+    assert found == asked
+
+
 # ---- 9
 
 def plain_targets(sizes):
