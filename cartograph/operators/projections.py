@@ -183,3 +183,18 @@ def inserted(projections: DataFrame, layout: DataFrame, start: int, stress: floa
 def cloned(projections: DataFrame, start: int, to: int) -> DataFrame:
     """Projections with a copy of one of them under another number."""
     return projections.unionByName(projections.where(F.col("start") == start).withColumn("start", F.lit(to).cast("int")))
+
+
+def problems_before_merging(projections: DataFrame, layouts: DataFrame) -> DataFrame:
+    """problem, charts: what keeps the projections of charts from being merged; no rows if nothing does.
+
+    projections: chart_id, minimum_column_basis, avidity (null or empty: not
+    adjusted); layouts: chart_id, coord.  Merged projections have no adjusted
+    avidity, one number of dimensions, and one minimum column basis.
+    """
+    adjusted = projections.where(F.size(F.coalesce("avidity", F.array().cast("array<double>"))) > 0)
+    dims = layouts.where(F.col("coord").isNotNull()).select("chart_id", F.size("coord").alias("n")).distinct()
+    told = lambda rows, problem: rows.agg(F.lit(problem).alias("problem"), F.array_sort(F.collect_set("chart_id")).alias("charts"))
+    several = lambda rows, by: rows.withColumn("_k", F.lit(0)).join(rows.agg(F.count_distinct(by).alias("_n")).where("_n > 1").withColumn("_k", F.lit(0)), "_k", "left_semi")
+    found = told(adjusted, "avidity is adjusted").unionByName(told(several(dims, "n"), "different numbers of dimensions"))
+    return found.unionByName(told(several(projections, "minimum_column_basis"), "different minimum column bases")).where(F.size("charts") > 0)

@@ -100,8 +100,8 @@ def serum_circles(homologous: DataFrame, titers: DataFrame, bases: DataFrame, la
     return out
 
 
-def populated(antigens: DataFrame, egg: Column, reference_date: str, clades: DataFrame | None = None, references: DataFrame | None = None) -> DataFrame:
-    """Attributes that every chart gets, in order: passage (p), age, clades (C: antigen_no, clades), reference (R: antigen_no)."""
+def populated(antigens: DataFrame, egg: Column, reference_date: str, clades: DataFrame | None = None, references: DataFrame | None = None, places: DataFrame | None = None) -> DataFrame:
+    """Attributes that every chart gets, in order: passage (p), age, clades (C: antigen_no, clades), reference (R: antigen_no), continent and country (C9, c9: antigen_no, continent, country)."""
     out = antigens.withColumn("semantic", F.coalesce(F.col("semantic"), F.create_map().cast("map<string,string>")) if "semantic" in antigens.columns else F.create_map().cast("map<string,string>"))
     out = with_attribute(out, "p", passage_type(F.col("reassortant"), egg))
     out = with_attribute(out, "age", age_mark(F.col("date"), reference_date))
@@ -109,6 +109,9 @@ def populated(antigens: DataFrame, egg: Column, reference_date: str, clades: Dat
         out = with_attribute(out.join(clades.select("antigen_no", F.col("clades").alias("_c")), "antigen_no", "left"), "C", F.col("_c")).drop("_c")
     if references is not None:
         out = with_attribute(out.join(references.select("antigen_no", F.lit("1").alias("_r")).distinct(), "antigen_no", "left"), "R", F.col("_r")).drop("_r")
+    if places is not None:
+        out = out.join(places.select("antigen_no", F.col("continent").alias("_k"), F.col("country").alias("_l")), "antigen_no", "left")
+        out = with_attribute(with_attribute(out, "C9", F.col("_k")), "c9", F.col("_l")).drop("_k", "_l")
     return out
 
 

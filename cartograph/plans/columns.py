@@ -100,15 +100,17 @@ def l3(spark, d):
     return locations.unknown(locations.resolve(rows, dim.select(F.col("location").alias("name"), "location"), none, dim))
 
 
-@query("sm1_attributes_of_charts", f""" SELECT antigen_no, CASE WHEN reassortant <> '' THEN 'r' WHEN {EGG.format(p='passage')} THEN 'e' ELSE 'c' END AS p, CASE WHEN antigen_no % 4 = 1 THEN concat('C', CAST(antigen_no % 9 AS STRING)) END AS c, CASE WHEN antigen_no % 10 = 2 THEN '1' END AS r FROM antigens""", "antigens")
+@query("sm1_attributes_of_charts", f""" SELECT antigen_no, CASE WHEN reassortant <> '' THEN 'r' WHEN {EGG.format(p='passage')} THEN 'e' ELSE 'c' END AS p, CASE WHEN antigen_no % 4 = 1 THEN concat('C', CAST(antigen_no % 9 AS STRING)) END AS c, CASE WHEN antigen_no % 10 = 2 THEN '1' END AS r, CASE WHEN antigen_no % 3 <> 0 THEN concat('CONTINENT ', CAST(antigen_no % 5 AS STRING)) END AS continent, CASE WHEN antigen_no % 3 = 1 THEN concat('COUNTRY ', CAST(antigen_no % 50 AS STRING)) END AS country FROM antigens""", "antigens")
 def sm1(spark, d):
-    """Passage, clades and references as attributes."""
+    """Passage, clades, references and places as attributes; a third of the antigens have no place, a third no country."""
     from ..operators import matching
 
     a = antigens(spark, d)
     clades = a.where("antigen_no % 4 = 1").select("antigen_no", F.concat(F.lit("C"), (F.col("antigen_no") % 9).cast("string")).alias("clades"))
-    out = semantic.populated(a, matching.is_egg(F.col("passage")), "2020-01-01", clades, a.where("antigen_no % 10 = 2"))
-    return out.select("antigen_no", F.col("semantic")["p"].alias("p"), F.col("semantic")["C"].alias("c"), F.col("semantic")["R"].alias("r"))
+    text = lambda name, by: F.concat(F.lit(name + " "), (F.col("antigen_no") % by).cast("string"))
+    places = a.where("antigen_no % 3 <> 0").select("antigen_no", text("CONTINENT", 5).alias("continent"), F.when(F.col("antigen_no") % 3 == 1, text("COUNTRY", 50)).otherwise("").alias("country"))
+    out = semantic.populated(a, matching.is_egg(F.col("passage")), "2020-01-01", clades, a.where("antigen_no % 10 = 2"), places)
+    return out.select("antigen_no", *(F.col("semantic")[k].alias(v) for k, v in (("p", "p"), ("C", "c"), ("R", "r"), ("C9", "continent"), ("c9", "country"))))
 
 
 @query("tree_split", f"+{WALK.removeprefix('RECURSIVE ')},{CLOSURE}{SUB}, t AS (SELECT n.node_id FROM nodes n JOIN sc USING (node_id) LEFT JOIN sc up ON up.node_id = n.parent_id WHERE sc.n_leaves <= 70 AND (up.n_leaves IS NULL OR up.n_leaves > 70)) SELECT c.node_id, t.node_id AS part FROM c JOIN t ON t.node_id = c.ancestor", "nodes")

@@ -89,3 +89,12 @@ def test_relaxation_in_steps(spark, made):
     got = projections.relaxed_in_steps(spark, edges, start, every=3)
     by = [r.stress for r in got.select("step", "stress").distinct().orderBy("step").collect()]
     assert len(by) > 2 and by == sorted(by, reverse=True) and by[-1] < 1e-4 and got.count() == 12 * len(by)
+
+
+def test_problems_before_merging(spark):
+    p = lambda *rows: spark.createDataFrame(rows, "chart_id string, minimum_column_basis string, avidity array<double>")
+    at = lambda *rows: spark.createDataFrame(rows, "chart_id string, coord array<double>")
+    fine = projections.problems_before_merging(p(("a", "none", None), ("b", "none", [])), at(("a", [1.0, 2.0]), ("b", [1.0, 2.0]), ("b", None)))
+    assert fine.count() == 0
+    bad = projections.problems_before_merging(p(("a", "none", [0.5]), ("b", "1280", None)), at(("a", [1.0, 2.0]), ("b", [1.0, 2.0, 3.0])))
+    assert {(x.problem, tuple(x.charts)) for x in bad.collect()} == {("avidity is adjusted", ("a",)), ("different numbers of dimensions", ("a", "b")), ("different minimum column bases", ("a", "b"))}
