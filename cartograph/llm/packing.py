@@ -27,7 +27,7 @@ END_ID = 1
 #: Rows of one length and bucket that are ranked together in one task.
 RANK_ROWS = 20_000
 #: Words whose ids a Python worker keeps, at most.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 600_000
 #: A stored number of each piece, by which pieces are dealt over tasks.
 DEAL = "__deal"
 
@@ -101,7 +101,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOK
                 raw = words.encode(text.as_py()) + end
                 for piece, at in enumerate(range(0, len(raw), width)):
                     ids = raw[at : at + width]
-                    out.append((doc, piece, at // 4, len(ids) // 4, zlib.crc32(ids), ids))
+                    out.append((doc, piece, at // 4, len(ids) // 4, zlib.crc32(ids), ids if keep_ids else None))
             if out:
                 doc, piece, start, length, crc, ids = zip(*out)
                 arrays = [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
