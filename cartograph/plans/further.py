@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import names
 from ..operators import alignment, lookups, maps, matching, projections
 from .charts import merged
-from .fixtures import SERA_FROM, view, with_views
+from .fixtures import SERA_FROM, layout_number, view, with_views
 from .sequences import EGG, antigens, common_sql, sera, seqs
 
 QUERIES, SQL = {}, {}
@@ -155,15 +155,15 @@ query("clades_of_subtype", "SELECT clade, pos FROM (VALUES ('1A', 'A(H3)', 5), (
 
 
 # ---- merged projections: the secondary is a turned copy of a part of the layout
-def turned(spark, d):
-    lay = view(spark, d, "layout")
-    return lay, maps.transform(lay.where("point_no % 3 <> 0"), maps.rotation(0.5), [3.0, -2.0])
+def turned(spark, d, name="layout"):
+    lay = view(spark, d, name)
+    return lay, maps.transform(lay.where(layout_number("point_no") % 3 != 0), maps.rotation(0.5), [3.0, -2.0])
 
 
 def overlay(spark, d, keep):
-    lay, other = turned(spark, d)
-    out = projections.overlaid(lay.where("point_no % 3 <> 1"), other, keep)
-    return out.select("point_no", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), "origin")
+    lay, other = turned(spark, d, "layout_apart" if keep == "middle" else "layout")
+    out = projections.overlaid(lay.where(layout_number("point_no") % 3 != 1), other, keep)
+    return out.select(layout_number("point_no").alias("point_no"), F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), "origin")
 
 
 OVERLAY = " SELECT point_no, round(x, 4) AS x, round(y, 4) AS y, CASE point_no % 3 WHEN 0 THEN 'primary' WHEN 1 THEN 'secondary' ELSE 'common' END AS origin FROM layout"
