@@ -161,7 +161,7 @@ def turned(spark, d, name="layout"):
 
 
 def overlay(spark, d, keep):
-    lay, other = turned(spark, d, "layout_apart" if keep == "middle" else "layout")
+    lay, other = turned(spark, d, "layout_apart")
     out = projections.overlaid(lay.where(layout_number("point_no") % 3 != 1), other, keep)
     return out.select(layout_number("point_no").alias("point_no"), F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), "origin")
 
