@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import titer as T
 from ..operators import maps, titers
-from .fixtures import SERA_FROM, view, with_views
+from .fixtures import SERA_FROM, layout_number, view, with_views
 
 QUERIES, SQL = {}, {}
 
@@ -277,11 +277,12 @@ def la5(spark, d):
 @query("pr1_procrustes", " SELECT point_no AS primary_no, point_no AS secondary_no, 0.0 AS distance FROM layout", "layout")
 def pr1(spark, d):
     """A rotated, flipped and moved copy comes back onto the original."""
-    lay = layout(spark, d)
+    lay = view(spark, d, "layout_apart")
     moved = maps.transform(lay, maps.multiply(maps.rotation(0.7), maps.flip(1.0, 2.0)), [5.0, -3.0])
     common = lay.select(F.col("point_no").alias("primary_no"), F.col("point_no").alias("secondary_no"))
     matrix, translation, _, _ = maps.procrustes(lay, moved, common)
-    return maps.procrustes_distances(lay, moved, common, matrix, translation).withColumn("distance", F.abs(F.round("distance", 5)))
+    found = maps.procrustes_distances(lay, moved, common, matrix, translation)
+    return found.select(layout_number("primary_no").alias("primary_no"), layout_number("secondary_no").alias("secondary_no"), F.abs(F.round("distance", 5)).alias("distance"))
 
 
 HOME = EDGES + ", home AS (SELECT antigen_no, serum_no, titer, p, v FROM m WHERE antigen_no % 30 = serum_no % 30 AND antigen_no // 120 = serum_no // 30)"
