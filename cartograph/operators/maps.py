@@ -166,15 +166,21 @@ def transform(layout: DataFrame, matrix: list[float], translation: list[float] |
     return layout.select(*(c for c in layout.columns if c not in dims), *out)
 
 
+def _partners(primary: DataFrame, secondary: DataFrame, common: DataFrame) -> DataFrame:
+    """primary_no, secondary_no and the coordinates a_ and b_ of connected points; a pair that common has twice is one."""
+    rows = common.select("primary_no", "secondary_no").distinct()
+    for no, prefix, layout in (("primary_no", "a", primary), ("secondary_no", "b", secondary)):
+        rows = rows.join(connected(layout).select(F.col("point_no").alias(no), *(F.col(c).alias(f"{prefix}_{c}") for c in dims_of(primary))), no)
+    return rows
+
+
 def procrustes(primary: DataFrame, secondary: DataFrame, common: DataFrame, scaling: bool = False) -> tuple[list[float], list[float], float, float]:
     """Matrix, translation, scale and RMS that bring the secondary layout onto the primary over common points (primary_no, secondary_no).
 
     The sums over points are one aggregation; only a square matrix of as many
     rows as there are dimensions is decomposed on the driver.
     """
-    dims = dims_of(primary)
-    pairs = common.join(connected(primary).select(F.col("point_no").alias("primary_no"), *(F.col(c).alias(f"a_{c}") for c in dims)), "primary_no")
-    pairs = pairs.join(connected(secondary).select(F.col("point_no").alias("secondary_no"), *(F.col(c).alias(f"b_{c}") for c in dims)), "secondary_no")
+    dims, pairs = dims_of(primary), _partners(primary, secondary, common)
     a, b = [f"a_{c}" for c in dims], [f"b_{c}" for c in dims]
     sums = pairs.agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in a + b), *(F.sum(F.col(p) * F.col(q)).alias(f"{p}{q}") for p in a + b for q in a + b)).first()
     n = sums["n"]
@@ -193,11 +199,8 @@ def procrustes(primary: DataFrame, secondary: DataFrame, common: DataFrame, scal
 
 def procrustes_distances(primary: DataFrame, secondary: DataFrame, common: DataFrame, matrix: list[float], translation: list[float]) -> DataFrame:
     """primary_no, secondary_no, distance between a point and its moved partner, longest first by place."""
-    dims = dims_of(primary)
-    moved = transform(connected(secondary), matrix, translation)
-    rows = common.join(connected(primary).select(F.col("point_no").alias("primary_no"), *(F.col(c).alias(f"a_{c}") for c in dims)), "primary_no")
-    rows = rows.join(moved.select(F.col("point_no").alias("secondary_no"), *(F.col(c).alias(f"b_{c}") for c in dims)), "secondary_no")
-    return rows.select("primary_no", "secondary_no", euclid(dims, "a", "b").alias("distance"))
+    rows = _partners(primary, transform(secondary, matrix, translation), common)
+    return rows.select("primary_no", "secondary_no", euclid(dims_of(primary), "a", "b").alias("distance"))
 
 
 # ---- serum circles
