@@ -77,7 +77,7 @@ def gradient(edges: DataFrame, layout: DataFrame, unmovable: DataFrame | None =
     one = lambda p, sign: F.struct(F.col(p).alias("point_no"), *((sign * F.col("factor") * (F.col(f"a_{c}") - F.col(f"b_{c}"))).alias(c) for c in dims))
     sums = rows.select(F.explode(F.array(one("p1", 1.0), one("p2", -1.0))).alias("g")).select("g.*").groupBy("point_no").agg(*(F.sum(c).alias(f"d{c}") for c in dims))
     if unmovable is not None:
-        sums = sums.join(unmovable.select("point_no", F.lit(True).alias("fixed")), "point_no", "left")
+        sums = sums.join(unmovable.select("point_no").distinct().withColumn("fixed", F.lit(True)), "point_no", "left")
         sums = sums.select("point_no", *(F.when(F.col("fixed"), 0.0).otherwise(F.col(f"d{c}")).alias(f"d{c}") for c in dims))
     return sums
 

@@ -6,7 +6,7 @@ from test_registered import plain
 
 from cartograph.plans import registered
 
-QUERIES = ["a12_too_few_titers", "mg2_overlay_type3", "mg2_overlay_type5", "pr1_procrustes", "pr3_summary"]
+QUERIES = ["a12_too_few_titers", "mg2_overlay_type3", "mg2_overlay_type5", "pr1_procrustes", "pr3_summary", "st5_gradient"]
 
 
 @pytest.fixture(scope="module")
