@@ -6,6 +6,9 @@ it and close after it:
 
     ((name:0.1   name:0.2)   'a name':1)label:0.5);
 
+A node that opens and closes with nothing inside is an inner node without
+children; its record has no leaf.
+
 Where a record stands follows from sums over what comes before it: of quotes
 (an odd number of them: the comma belongs to a name), of leaves, of opened nodes,
 of depth.  Sums go in two levels, over the blocks of the file and within a block,
@@ -71,7 +74,7 @@ def _records(spark: SparkSession, path: str, joined: bool) -> DataFrame:
 
 
 def _items(records: DataFrame) -> DataFrame:
-    """Adds opens (parentheses that open), closes (names and edges of the nodes that close; the first of all is the leaf), over (the tree ends here)."""
+    """Adds opens (parentheses that open), read (names and edges of the leaf and of the nodes that close), n_leaves (1; 0 if nothing stands between an opening and its closing), over (the tree ends here)."""
     label = rf"\s*({NAME})\s*(?::\s*({EDGE}))?\s*"
     opens = F.length(F.regexp_replace(F.regexp_extract("value", r"^[\s(]*", 0), r"\s", ""))
     rest = F.regexp_replace(F.col("value"), r"^[\s(]*", "")
@@ -83,8 +86,9 @@ def _items(records: DataFrame) -> DataFrame:
     rows = records.select("tree_id", "block", "pos", opens.cast("long").alias("opens"), rest.alias("rest")).withColumn("body", body)
     # the leaf is read as if it closed something too; a pattern for the whole record would recurse for each node
     rows = rows.withColumn("labels", F.regexp_extract_all(F.concat(F.lit(")"), "body"), F.lit(rf"\){label}"), F.lit(0)))
+    lone = (F.col("opens") > 0) & (F.size("labels") > 1) & (F.regexp_replace(F.col("labels")[0], r"\s", "") == ")")
     over, bad = F.length("body") < F.length("rest"), F.array_join("labels", "") != F.concat(F.lit(")"), "body")
-    return rows.select("tree_id", "block", "pos", "opens", read.alias("read"), over.alias("over"), bad.alias("bad"))
+    return rows.select("tree_id", "block", "pos", "opens", read.alias("read"), (~lone).cast("int").alias("n_leaves"), over.alias("over"), bad.alias("bad"))
 
 
 def read_newick(spark: SparkSession, path: str, joined: bool = False) -> DataFrame:
@@ -94,14 +98,14 @@ def read_newick(spark: SparkSession, path: str, joined: bool = False) -> DataFra
 
     Leaves count from 1 up, inner nodes from 0 down, in the order of the text.
     What follows the first semicolon is left out; a leaf without name and edge is
-    a leaf.  Parentheses that don't match, and marks where a name should be, are
+    a leaf, but () an inner node without children.  Parentheses that don't match, and marks where a name should be, are
     errors.
     """
     items = stored(_items(_records(spark, path, joined)))
     ends = items.where("over").groupBy("tree_id").agg(F.min(F.struct("block", "pos")).alias("last"))
     items = items.join(ends, "tree_id", "left").where(F.col("last").isNull() | (F.struct("block", "pos") <= F.col("last"))).drop("last")
     n_closes = F.size("read") - 1
-    items = stored(_before(items, ["tree_id"], leaf_no=F.lit(1), opened=F.col("opens"), depth=F.col("opens") - n_closes))
+    items = stored(_before(items, ["tree_id"], leaf_no=F.col("n_leaves"), opened=F.col("opens"), depth=F.col("opens") - n_closes))
     after = F.col("depth") + F.col("opens") - n_closes
     wrong = items.groupBy("tree_id").agg(F.min(after).alias("least"), F.sum(F.col("opens") - n_closes).alias("rest"), F.max("bad").alias("bad")).where("bad or least < 0 or rest <> 0").first()
     if wrong:
@@ -117,7 +121,7 @@ def read_newick(spark: SparkSession, path: str, joined: bool = False) -> DataFra
     events = items.select("tree_id", "block", "pos", F.explode(F.concat(asks, opening, closing)).alias("e")).select("tree_id", "block", F.struct("pos", "e.phase").alias("pos"), "e.level", "e.own", "e.ask", "e.label")
     matched = stored(_last(events, ["tree_id", "level"], "own", "at"))
 
-    leaves = items.select("tree_id", "block", "pos", (F.col("leaf_no") + 1).alias("node_id"), F.col("read")[0].alias("label"), F.when(F.col("opens") > 0, inner(F.col("opens") - 1)).alias("parent"))
+    leaves = items.where("n_leaves > 0").select("tree_id", "block", "pos", (F.col("leaf_no") + 1).alias("node_id"), F.col("read")[0].alias("label"), F.when(F.col("opens") > 0, inner(F.col("opens") - 1)).alias("parent"))
     opened = items.where("opens > 0").select("tree_id", "block", "pos", "opened", F.explode(F.sequence(F.lit(0).cast("long"), F.col("opens") - 1)).alias("k")).select("tree_id", "block", "pos", inner(F.col("k")).alias("node_id"), F.when(F.col("k") > 0, inner(F.col("k") - 1)).alias("parent"))
     labels = matched.where("label is not null").select("tree_id", F.col("at").alias("node_id"), "label")
     found = matched.where("ask is not null").select("tree_id", F.col("ask").alias("node_id"), "at")
@@ -140,7 +144,7 @@ def _written(nodes: DataFrame, path: str, opened: Column, closed: Column, leaf:
     """
     eldest = Window.partitionBy("parent_id").orderBy("child_order", "node_id")
     rows = nodes.withColumn("later", F.col("parent_id").isNotNull() & (F.row_number().over(eldest) > 1)).join(numbered(nodes), "node_id")
-    inner, come = F.col("n_nodes") > 1, 2 * F.col("place") - F.col("depth")
+    inner, come = ~F.col("is_leaf") | (F.col("n_nodes") > 1), 2 * F.col("place") - F.col("depth")
     comma = F.when(F.col("later"), ",").otherwise("")
     first = F.struct(come.alias("at"), F.concat(F.when(F.col("parent_id").isNull(), head).otherwise(""), comma, F.when(inner, opened).otherwise(leaf), F.when(F.col("parent_id").isNull() & ~inner, tail).otherwise("")).alias("text"))
     last = F.struct((come + 2 * F.col("n_nodes") - 1).alias("at"), F.concat(closed, F.when(F.col("parent_id").isNull(), tail).otherwise("")).alias("text"))
@@ -151,11 +155,12 @@ def _written(nodes: DataFrame, path: str, opened: Column, closed: Column, leaf:
 
 
 def write_newick(nodes: DataFrame, path: str) -> None:
-    """One tree (node_id, parent_id, child_order, is_leaf, name, edge) as a folder of text files that make one Newick text.  Names with marks or white space are quoted."""
+    """One tree (node_id, parent_id, child_order, is_leaf, name, edge) as a folder of text files that make one Newick text.  Names with marks or white space are quoted; an inner node without children has nothing between its parentheses."""
     name = F.coalesce("name", F.lit(""))
     quoted = F.when(name.rlike(r"[():;,'\s]"), F.concat(F.lit("'"), F.replace(name, F.lit("'"), F.lit("''")), F.lit("'"))).otherwise(name)
     label = F.concat(quoted, F.when(F.col("edge") != 0, F.concat(F.lit(":"), F.regexp_replace(F.format_string("%.10f", "edge"), r"\.?0+$", ""))).otherwise(""))
-    _written(nodes, path, F.lit("("), F.concat(F.lit(")"), label), label, "", ";")
+    # a leaf without name and edge gets one, so that it isn't taken for nothing between parentheses
+    _written(nodes, path, F.lit("("), F.concat(F.lit(")"), label), F.when(label == "", ":0").otherwise(label), "", ";")
 
 
 def write_json(nodes: DataFrame, path: str) -> None:

@@ -89,3 +89,23 @@ def test_written_in_order_and_read_again(spark, tmp_path):
     doc = json.loads("".join(p.read_text() for p in sorted((tmp_path / "json").glob("part-*"))))
     kids = lambda found: sorted((x[3], x[4], round(x[5], 8)) for x in found)
     assert kids(json_nodes(doc)) == kids(tokens(text))
+
+
+def test_inner_nodes_without_children(spark, tmp_path):
+    text = "((( )y)z,()x:0.5,(\n)'a, b',(:0)w,(,)v)r;\n"
+    (tmp_path / "t.nwk").write_text(text)
+    nodes = spark.createDataFrame(read(spark, tmp_path / "t.nwk", "1g")).drop("tree_id")
+    want = [(-6, 0, 4, False, "v", 0.0), (-5, 0, 3, False, "w", 0.0), (-4, 0, 2, False, "a, b", 0.0), (-3, 0, 1, False, "x", 0.5), (-2, -1, 0, False, "y", 0.0), (-1, 0, 0, False, "z", 0.0), (0, None, 0, False, "r", 0.0)]
+    want += [(1, -5, 0, True, "", 0.0), (2, -6, 0, True, "", 0.0), (3, -6, 1, True, "", 0.0)]
+    assert rows(nodes.collect()) == want
+    newick.write_newick(nodes.repartition(3), f"{tmp_path}/out")
+    whole = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*")))
+    assert "".join(whole.split("\n")) == "((()y)z,()x:0.5,()'a, b',(:0)w,(:0,:0)v)r;"
+    assert rows(newick.read_newick(spark, f"{tmp_path}/out", joined=True).collect()) == want
+
+
+@pytest.mark.parametrize("is_leaf,text", [(True, "a;"), (False, "()a;")])
+def test_a_node_alone(spark, tmp_path, is_leaf, text):
+    newick.write_newick(spark.createDataFrame([(1, None, 0, is_leaf, "a", 0.0)], "node_id long, parent_id long, child_order int, is_leaf boolean, name string, edge double"), f"{tmp_path}/out")
+    assert "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*"))).replace("\n", "") == text
+    assert [(r.is_leaf, r.name) for r in newick.read_newick(spark, f"{tmp_path}/out", joined=True).collect()] == [(is_leaf, "a")]
