@@ -123,12 +123,42 @@ def test_antigens(antigens: DataFrame, sera: DataFrame, number: str = "antigen_n
     return antigens.join(reference_antigens(antigens, sera).select(number), number, "left_anti")
 
 
+#: What a serum and its homologous antigens share; annotations (s_key, a_key) are compared too where that leaves any.
+HOME = ["name", "reassortant", "egg"]
+
+
+def tier() -> Column:
+    return F.when(F.col("s_key") == F.col("a_key"), 1).otherwise(2)
+
+
+def with_best_tier(sera: DataFrame, antigens: DataFrame) -> DataFrame:
+    """Sera (serum_no, HOME, s_key) that have homologous antigens (HOME, a_key), with best: the least tier of a serum's number.
+
+    Kinds of sera meet kinds of antigens; no pair of members is made.
+    """
+    met = sera.select(*HOME, "s_key").distinct().join(antigens.select(*HOME, "a_key").distinct(), HOME)
+    found = met.groupBy(*HOME, F.col("s_key").alias("_s_key")).agg(F.min(tier()).alias("best"))
+    rows = sera.join(found, HOME).where(F.col("s_key").eqNullSafe(F.col("_s_key"))).drop("_s_key")
+    return rows.withColumn("best", F.min("best").over(Window.partitionBy("serum_no")))
+
+
+def best_pairs(sera: DataFrame, antigens: DataFrame) -> DataFrame:
+    """serum_no, antigen_no of the best tier.
+
+    The tier is known before members meet: of the pairs none is put in order,
+    exchanged or stored, and where annotations agree they are part of the key.
+    """
+    told, a = with_best_tier(sera, antigens), antigens.select("antigen_no", *HOME, "a_key")
+    same = told.where("best = 1").join(a.withColumnRenamed("a_key", "s_key"), [*HOME, "s_key"])
+    other = told.where("best = 2").join(a, HOME).where(tier() == 2)
+    return same.select("serum_no", "antigen_no").unionByName(other.select("serum_no", "antigen_no"))
+
+
 def homologous(antigens: DataFrame, sera: DataFrame) -> DataFrame:
     """serum_no, antigen_no: antigens of a serum's name, reassortant, annotations and kind of passage; where there is none, without regard to annotations."""
     s = sera.select("serum_no", "name", "reassortant", comparable_annotations(F.regexp_replace("annotations", "CONC [0-9:]+", ""), True).alias("s_key"), is_egg(F.col("passage")).alias("egg"))
     a = antigens.select("antigen_no", "name", "reassortant", comparable_annotations(F.col("annotations")).alias("a_key"), is_egg(F.col("passage")).alias("egg"))
-    pairs = s.join(a, ["name", "reassortant", "egg"]).withColumn("tier", F.when(F.col("s_key") == F.col("a_key"), 1).otherwise(2))
-    return pairs.withColumn("best", F.min("tier").over(Window.partitionBy("serum_no"))).where("tier = best").select("serum_no", "antigen_no")
+    return best_pairs(s, a)
 
 
 def new_antigens(antigens: DataFrame, previous: DataFrame, *parts: str) -> DataFrame:
