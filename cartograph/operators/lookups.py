@@ -106,21 +106,37 @@ def with_serology(antigens: DataFrame, found: DataFrame, number: str = "antigen_
     return antigens.join(first, number, "left").withColumn("semantic", marked).drop("_s")
 
 
+def _homes(antigens: DataFrame, sera: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Antigens and sera with what matching.HOME names; a serum without a passage has its kind in its id."""
+    egg = F.when(F.col("passage") == "", F.upper("serum_id").contains("EGG")).otherwise(matching.is_egg(F.col("passage")))
+    s = sera.select("serum_no", "name", "reassortant", F.col("passage").alias("s_passage"), egg.alias("egg"), matching.comparable_annotations(F.regexp_replace("annotations", "CONC [0-9:]+", ""), True).alias("s_key"))
+    a = antigens.select("antigen_no", "name", "reassortant", "passage", matching.is_egg(F.col("passage")).alias("egg"), matching.comparable_annotations(F.col("annotations")).alias("a_key"))
+    return a, s
+
+
 def homologous(antigens: DataFrame, sera: DataFrame, mode: str = "all") -> DataFrame:
     """serum_no, antigen_no by mode: all candidates; strict: the same passage (one serum, one antigen); relaxed: strict ones, else the first of the same kind; relaxed_strict: strict ones, else a single candidate.
 
-    A serum without a passage has its kind in its id.
+    Where a serum gets one antigen, kinds of sera (all that is compared is equal)
+    meet kinds of antigens, of each the first number and how many there are; so
+    work grows with members and kinds, not with pairs of members.
     """
-    s = sera.withColumn("_egg", F.when(F.col("passage") == "", F.upper("serum_id").contains("EGG")).otherwise(matching.is_egg(F.col("passage"))))
-    s = s.select("serum_no", "name", "reassortant", F.col("passage").alias("_p"), "_egg", matching.comparable_annotations(F.regexp_replace("annotations", "CONC [0-9:]+", ""), True).alias("_k"))
-    a = antigens.select("antigen_no", "name", "reassortant", "passage", matching.is_egg(F.col("passage")).alias("_egg"), matching.comparable_annotations(F.col("annotations")).alias("_a"))
-    pairs = s.join(a, ["name", "reassortant", "_egg"]).withColumn("tier", F.when(F.col("_k") == F.col("_a"), 1).otherwise(2))
-    one = Window.partitionBy("serum_no")
-    pairs = pairs.withColumn("best", F.min("tier").over(one)).where("tier = best")
-    same = (F.col("_p") == F.col("passage")) | (F.col("_p") == "")
-    pairs = pairs.withColumns({"same": same.cast("int"), "any_same": F.max(same.cast("int")).over(one), "n": F.count("*").over(one), "k": F.row_number().over(one.orderBy(same.cast("int").desc(), "antigen_no"))})
-    kept = {"all": F.lit(True), "strict": (F.col("same") == 1) & (F.col("k") == 1), "relaxed": F.col("k") == 1, "relaxed_strict": (F.col("k") == 1) & ((F.col("same") == 1) | (F.col("n") == 1))}[mode]
-    return pairs.where(kept).select("serum_no", "antigen_no")
+    a, s = _homes(antigens, sera)
+    if mode == "all":
+        return matching.best_pairs(s, a)
+    of_serum = [*matching.HOME, "s_key", "s_passage"]
+    kinds = a.groupBy(*matching.HOME, "a_key", "passage").agg(F.min("antigen_no").alias("first"), F.count("*").alias("n"))
+    met = s.select(*of_serum).distinct().join(kinds, matching.HOME).withColumn("tier", matching.tier())
+    other = F.when((F.col("s_passage") == F.col("passage")) | (F.col("s_passage") == ""), 0).otherwise(1)
+    of_tier = lambda k: F.sum(F.when(F.col("tier") == k, F.col("n")).otherwise(0)).alias(f"n{k}")
+    found = met.groupBy(*(F.col(c).alias(f"_{c}") for c in of_serum)).agg(F.min(F.struct("tier", other.alias("other"), "first")).alias("choice"), of_tier(1), of_tier(2))
+    mine = F.lit(True)
+    for c in of_serum:
+        mine = mine & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    rows = s.join(found, mine).groupBy("serum_no").agg(F.min("choice").alias("choice"), F.sum("n1").alias("n1"), F.sum("n2").alias("n2"))
+    same, n = F.col("choice.other") == 0, F.when(F.col("choice.tier") == 1, F.col("n1")).otherwise(F.col("n2"))
+    kept = {"strict": same, "relaxed": F.lit(True), "relaxed_strict": same | (n == 1)}[mode]
+    return rows.where(kept).select("serum_no", F.col("choice.first").alias("antigen_no"))
 
 
 def inserted(members: DataFrame, rows: DataFrame, before: int, number: str = "antigen_no") -> DataFrame:

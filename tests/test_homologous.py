@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from cartograph.operators import matching
+from cartograph.operators import lookups, matching
 
 ANTIGENS, SERA = "antigen_no int, name string, reassortant string, annotations string, passage string, date string", "serum_no int, name string, reassortant string, annotations string, passage string, serum_id string"
 
@@ -44,11 +44,42 @@ def wanted(found, mode):
     return sorted(out, key=str)
 
 
+@pytest.mark.parametrize("mode", ["relaxed"])
+def test_modes(made, mode):
+    a, s, antigens, sera = made
+    got = lookups.homologous(antigens, sera, mode).select("serum_no", "antigen_no").collect()
+    assert sorted(map(tuple, got), key=str) == wanted(best(a, s, True), mode)
+
+
 def test_all_by_passage(made):
     a, s, antigens, sera = made
     assert sorted(map(tuple, matching.homologous(antigens, sera).select("serum_no", "antigen_no").collect()), key=str) == wanted(best(a, s, False), "all")
 
 
+def rows_met(df):
+    """The greatest number of rows that a step of the query's plan has put out."""
+    df.collect()
+    todo, most = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        plan = todo.pop()
+        name = plan.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(plan.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(plan.plan())
+        if (n := plan.metrics().get("numOutputRows")).isDefined():
+            most = max(most, n.get().value())
+        todo += [plan.children().apply(k) for k in range(plan.children().size())]
+    return most
+
+
+@pytest.mark.parametrize("mode", ["relaxed"])
+def test_no_pairs_of_members_are_made(spark, mode):
+    antigens = spark.range(2000).selectExpr("CAST(id AS INT) AS antigen_no", "'A' AS name", "'' AS reassortant", "'' AS annotations", "'E1' AS passage", "'' AS date")
+    sera = spark.range(500).selectExpr("CAST(id AS INT) AS serum_no", "'A' AS name", "'' AS reassortant", "'' AS annotations", "'E2' AS passage", "'' AS serum_id")
+    assert 500 <= rows_met(lookups.homologous(antigens, sera, mode)) <= 2500
+
+
 def test_pairs_are_not_exchanged(spark, made):
     _, _, antigens, sera = made
     plan = matching.homologous(antigens, sera)._jdf.queryExecution().optimizedPlan().toString()
