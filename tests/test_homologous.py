@@ -44,7 +44,7 @@ def wanted(found, mode):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("mode", ["strict", "relaxed"])
+@pytest.mark.parametrize("mode", ["strict", "relaxed", "relaxed_strict"])
 def test_modes(made, mode):
     a, s, antigens, sera = made
     got = lookups.homologous(antigens, sera, mode).select("serum_no", "antigen_no").collect()
@@ -73,7 +73,7 @@ def rows_met(df):
     return most
 
 
-@pytest.mark.parametrize("mode", ["strict", "relaxed"])
+@pytest.mark.parametrize("mode", ["strict", "relaxed", "relaxed_strict"])
 def test_no_pairs_of_members_are_made(spark, mode):
     antigens = spark.range(2000).selectExpr("CAST(id AS INT) AS antigen_no", "'A' AS name", "'' AS reassortant", "'' AS annotations", "'E1' AS passage", "'' AS date")
     sera = spark.range(500).selectExpr("CAST(id AS INT) AS serum_no", "'A' AS name", "'' AS reassortant", "'' AS annotations", "'E2' AS passage", "'' AS serum_id")
