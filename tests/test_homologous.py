@@ -44,7 +44,7 @@ def wanted(found, mode):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("mode", ["strict", "relaxed", "relaxed_strict"])
+@pytest.mark.parametrize("mode", ["all", "strict", "relaxed", "relaxed_strict"])
 def test_modes(made, mode):
     a, s, antigens, sera = made
     got = lookups.homologous(antigens, sera, mode).select("serum_no", "antigen_no").collect()
