@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..functions import sequence as S
+from ..storage import stored
 from . import matching
 
 # Laboratories and subtypes as sequence databases write them.
@@ -139,6 +140,15 @@ def homologous(antigens: DataFrame, sera: DataFrame, mode: str = "all") -> DataF
     return rows.where(kept).select("serum_no", F.col("choice.first").alias("antigen_no"))
 
 
+def first_homologous_serum(antigens: DataFrame, sera: DataFrame) -> DataFrame:
+    """antigen_no, serum_no: of homologous()'s pairs those with the least serum of an antigen; kinds meet, not members."""
+    a, s = _homes(antigens, sera)
+    told = matching.with_best_tier(s, a).groupBy(*matching.HOME, "s_key", "best").agg(F.min("serum_no").alias("serum_no"))
+    met = a.select(*matching.HOME, "a_key").distinct().join(told, matching.HOME).where(matching.tier() == F.col("best"))
+    found = met.groupBy(*matching.HOME, F.col("a_key").alias("_a_key")).agg(F.min("serum_no").alias("serum_no"))
+    return a.join(found, matching.HOME).where(F.col("a_key").eqNullSafe(F.col("_a_key"))).select("antigen_no", "serum_no")
+
+
 def inserted(members: DataFrame, rows: DataFrame, before: int, number: str = "antigen_no") -> DataFrame:
     """Members with further rows put before a number; those from it on move up."""
     n = rows.withColumn(number, F.row_number().over(Window.orderBy(number)) - 1 + F.lit(before))  # a few rows by hand
@@ -158,10 +168,18 @@ def common_points(antigens: DataFrame, sera: DataFrame, n_primary: int, n_second
 
 
 def homologous_first(antigens: DataFrame, pairs: DataFrame, *then: str) -> DataFrame:
-    """place, antigen_no: antigens with a homologous serum first, by the serum's number, then by the columns named."""
+    """place, antigen_no: antigens with a homologous serum first, by the serum's number, then by the columns named.
+
+    Places are counted within ranges of that order, after the members of the ranges before.
+    """
     first = pairs.groupBy("antigen_no").agg(F.min("serum_no").alias("_serum"))
-    w = Window.orderBy(F.col("_serum").asc_nulls_last(), *then, "antigen_no")  # one chart's antigens
-    return antigens.join(first, "antigen_no", "left").select("antigen_no", (F.row_number().over(w) - 1).alias("place"))
+    order = [F.col("_serum").asc_nulls_last(), *then, "antigen_no"]
+    rows = antigens.join(first, "antigen_no", "left").select("antigen_no", "_serum", *then)
+    ranges = stored(stored(rows).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    base = ranges.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return ranges.withColumn("_within", within).join(base, "_range").select("antigen_no", (F.col("_base") + F.col("_within")).cast("int").alias("place"))
 
 
 def detected_references(antigens: DataFrame, sera: DataFrame) -> DataFrame:

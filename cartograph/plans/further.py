@@ -134,7 +134,7 @@ query("u5_keep_only", common_sql("antigens", "antigen_no", levels=("ignored",))
     lambda spark, d: lookups.keep_only(matching.common(antigens(spark, d, 1), antigens(spark, d, 2), "antigen_no", level="ignored"), antigens(spark, d, 1), antigens(spark, d, 2))[0].select("antigen_no")
 )
 query("o8_homologous_first", HOMOLOGOUS.replace(" SELECT serum_no, antigen_no FROM k WHERE ", ", m AS (SELECT antigen_no, min(serum_no) AS s FROM b GROUP BY 1)") + " SELECT a.antigen_no, row_number() OVER (ORDER BY s NULLS LAST, date, a.antigen_no) - 1 AS place FROM antigens a LEFT JOIN m ON m.antigen_no = a.antigen_no", "antigens", "sera")(
-    lambda spark, d: lookups.homologous_first(antigens(spark, d), lookups.homologous(antigens(spark, d), sera(spark, d)), "date")
+    lambda spark, d: lookups.homologous_first(antigens(spark, d), lookups.first_homologous_serum(antigens(spark, d), sera(spark, d)), "date")
 )
 query("sm13_detected_references", " SELECT antigen_no FROM antigens WHERE upper(name) IN (SELECT upper(name) FROM sera)", "antigens", "sera")(lambda spark, d: lookups.detected_references(antigens(spark, d), sera(spark, d)).select("antigen_no"))
 query("n13_formatted", " SELECT antigen_no, trim(regexp_replace(concat(CASE WHEN name <> '' THEN name ELSE '' END, ' [', passage, '] ', replace(date, '-', ''), '/', substr(lineage, 1, 1)), ' +', ' ', 'g')) AS text FROM antigens", "antigens")(

@@ -56,6 +56,17 @@ def test_all_by_passage(made):
     assert sorted(map(tuple, matching.homologous(antigens, sera).select("serum_no", "antigen_no").collect()), key=str) == wanted(best(a, s, False), "all")
 
 
+def test_first(made):
+    a, s, antigens, sera = made
+    least = {}
+    for no, antigen in wanted(best(a, s, True), "all"):
+        if no is not None:
+            least[antigen] = min(no, least.get(antigen, no))
+    order = sorted(a, key=lambda x: (least.get(x[0], 1000), x[5], x[0]))
+    for pairs in (lookups.homologous(antigens, sera), lookups.first_homologous_serum(antigens, sera)):
+        assert {r.antigen_no: r.place for r in lookups.homologous_first(antigens, pairs, "date").collect()} == {x[0]: k for k, x in enumerate(order)}
+
+
 def rows_met(df):
     """The greatest number of rows that a step of the query's plan has put out."""
     df.collect()
@@ -73,11 +84,12 @@ def rows_met(df):
     return most
 
 
-@pytest.mark.parametrize("mode", ["strict", "relaxed", "relaxed_strict"])
+@pytest.mark.parametrize("mode", ["strict", "relaxed", "relaxed_strict", "first"])
 def test_no_pairs_of_members_are_made(spark, mode):
     antigens = spark.range(2000).selectExpr("CAST(id AS INT) AS antigen_no", "'A' AS name", "'' AS reassortant", "'' AS annotations", "'E1' AS passage", "'' AS date")
     sera = spark.range(500).selectExpr("CAST(id AS INT) AS serum_no", "'A' AS name", "'' AS reassortant", "'' AS annotations", "'E2' AS passage", "'' AS serum_id")
-    assert 500 <= rows_met(lookups.homologous(antigens, sera, mode)) <= 2500
+    found = lookups.first_homologous_serum(antigens, sera) if mode == "first" else lookups.homologous(antigens, sera, mode)
+    assert 500 <= rows_met(found) <= 2500
 
 
 def test_pairs_are_not_exchanged(spark, made):
