@@ -2,7 +2,10 @@
 
 import random
 
-from cartograph.operators.sequences import nearest_leaves
+import pytest
+from test_homologous import rows_met
+
+from cartograph.operators.sequences import nearest, nearest_leaves
 
 LEAVES = "seq_no long, aa string, cumulative double"
 
@@ -50,3 +53,20 @@ def test_edges_that_outweigh_letters(spark):
 def test_no_leaves_and_no_queries(spark):
     assert found(spark, [(1, "AC")], []) == {}
     assert found(spark, [], [(1, "AC", 0.5)]) == {}
+
+
+@pytest.mark.parametrize("most", [None, 2])
+def test_equal_sequences_are_compared_once(spark, most):
+    r = random.Random(3)
+    texts = ["".join(r.choice("ACD") for _ in range(r.choice([11, 12]))) for _ in range(12)]
+    queries = [(k, changed(r, texts[k % 4], k % 3)) for k in range(30)] + [(k % 7 + 30, texts[k % 4]) for k in range(300)]
+    candidates = [(1000 + k, texts[k % 12]) for k in range(400)]
+    distance = lambda a, b: sum(x != y for x, y in zip(a, b)) + abs(len(a) - len(b))
+    want = {}
+    for no, aa in queries:
+        d, k = min((distance(aa, x), k) for k, x in candidates)
+        if most is None or (d <= most and len(aa) == len(dict(candidates)[k])):
+            want[no] = min((d, k), want.get(no, (d, k)))
+    found = nearest(spark.createDataFrame(queries, "seq_no int, aa string"), spark.createDataFrame(candidates, "seq_no int, aa string"), most)
+    assert {r.query_no: (r.distance, r.seq_no) for r in found.collect()} == want
+    assert rows_met(found) < 1000
