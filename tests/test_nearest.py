@@ -5,6 +5,7 @@ import random
 import pytest
 from test_homologous import rows_met
 
+from cartograph.operators import sequences
 from cartograph.operators.sequences import nearest, nearest_leaves
 
 LEAVES = "seq_no long, aa string, cumulative double"
@@ -70,3 +71,27 @@ def test_equal_sequences_are_compared_once(spark, most):
     found = nearest(spark.createDataFrame(queries, "seq_no int, aa string"), spark.createDataFrame(candidates, "seq_no int, aa string"), most)
     assert {r.query_no: (r.distance, r.seq_no) for r in found.collect()} == want
     assert rows_met(found) < 1000
+
+
+def test_small_cells_and_batches(spark, monkeypatch):
+    monkeypatch.setattr(sequences, "CELL_LETTERS", 1500)
+    monkeypatch.setattr(sequences, "BATCH", 50)
+    r = random.Random(4)
+    base = ["".join(r.choice("ACDEFGHIKL") for _ in range(60)) for _ in range(4)]
+    leaves = [(k, changed(r, base[k % 4], r.choice([0, 2, 9])), r.randrange(64) / 64) for k in range(150)] + [(200, "\u00c4\U0001f600 A", 0.5)]
+    queries = [(1000 + k, changed(r, base[k % 4], r.choice([0, 1, 5, 60]))) for k in range(150)] + [(2000, "\u00c4\U0001f600 "), (2001, "A" * 90)]
+    assert found(spark, queries, leaves) == wanted(queries, leaves)
+
+
+def test_letters_met_grow_less_than_pairs(monkeypatch):
+    """Relatives of a pivot: what is looked up is what differs from it, not all letters of all pairs."""
+    r = random.Random(5)
+    base = "".join(r.choice("ACDEFGHIKL") for _ in range(400))
+    queries, leaves = ([changed(r, base, 4) for _ in range(200)] for _ in range(2))
+    seen = []
+    count = sequences.np.bincount
+    monkeypatch.setattr(sequences.np, "bincount", lambda x, *more, **named: (seen.append(len(x)), count(x, *more, **named))[1])
+    score, k, distance = sequences._best_of_cell(queries, leaves, sequences.np.zeros(200), base, 100.0)
+    apart = lambda a, b: sum(x != y for x, y in zip(a, b))
+    assert [(x, y) for x, y in zip(distance, k)] == [min((apart(q, x), n) for n, x in enumerate(leaves)) for q in queries]
+    assert sum(seen) < 200 * 200
