@@ -36,3 +36,11 @@ def test_sequences_without_a_hash(spark):
     assert sorted(found.columns) == ["class_no", "hash", "n", "name", "seq_no"]
     got = sorted((tuple(r) for r in found.select("seq_no", "class_no", "n", "name").collect()), key=str)
     assert got == [(2, 2, 2, "y"), (4, 2, 2, "x"), (5, 5, 2, "z"), (7, 5, 2, "z"), (9, 9, 1, "z"), (None, None, 1, "z")]
+
+
+def test_pairs_are_whole(spark, sf_dir):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    pairs = con.execute(fixtures.with_views(" SELECT a.seq_no, b.seq_no AS other_no FROM seqs a JOIN seqs b ON a.hash = b.hash", "seqs")).fetchall()
+    found = registered.QUERIES["j2_pairs_by_hash"](spark, sf_dir).select("seq_no", "other_no").collect()
+    assert len(pairs) > 200 and sorted(map(tuple, found)) == sorted(pairs)
