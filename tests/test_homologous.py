@@ -92,7 +92,8 @@ def test_no_pairs_of_members_are_made(spark, mode):
     assert 500 <= rows_met(found) <= 2500
 
 
-def test_pairs_are_not_exchanged(spark, made):
+@pytest.mark.parametrize("find", [matching.homologous, lookups.homologous])
+def test_pairs_are_not_exchanged(made, find):
     _, _, antigens, sera = made
-    plan = matching.homologous(antigens, sera)._jdf.queryExecution().optimizedPlan().toString()
+    plan = find(antigens, sera)._jdf.queryExecution().optimizedPlan().toString()
     assert all("Window" not in line or "serum_no" in line for line in plan.splitlines()) and plan.splitlines()[0].startswith("Union")
